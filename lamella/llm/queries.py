@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, dedup, packing, sharding
+from . import bpe, dedup, fingerprints, langid, packing, sharding
+from .common import held_out
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +21,17 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, end_id=0)
 
 
+def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edit_check(_read(spark, sf_dir, "documents"), k=12, window=32)
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    away = held_out("doc_id", 4, 2)
+    model = langid.learn(docs, ~away)
+    return langid.identify(docs, model).withColumn("held_out", away).select("doc_id", "held_out", "lang_pred", "score", "confident")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digest(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
@@ -31,7 +43,9 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_hilbert_sharding": op1_hilbert_sharding,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op5_winnowing": op5_winnowing,
     "op6_byte_bpe": op6_byte_bpe,
+    "op9_language_id": op9_language_id,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
