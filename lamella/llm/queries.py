@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, dedup, fingerprints, langid, packing, sharding
+from . import bpe, dedup, fingerprints, langid, packing, sharding, toxicity
 from .common import held_out
 
 
@@ -25,6 +25,13 @@ def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_check(_read(spark, sf_dir, "documents"), k=12, window=32)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    away = held_out("doc_id", 5, 0)
+    model = toxicity.learn(docs.where(~away), _read(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).withColumn("held_out", away).select("doc_id", "held_out", "score", "predicted", "clauses")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     away = held_out("doc_id", 4, 2)
@@ -45,6 +52,7 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op5_winnowing": op5_winnowing,
     "op6_byte_bpe": op6_byte_bpe,
+    "op8_toxicity": op8_toxicity,
     "op9_language_id": op9_language_id,
     "op10_exact_dedup": op10_exact_dedup,
 }
