@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, dedup, fingerprints, langid, packing, sharding, toxicity
+from . import bpe, dedup, fingerprints, jaccard, langid, packing, sharding, toxicity
 from .common import held_out
 
 
@@ -21,6 +21,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, end_id=0)
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_classes(_read(spark, sf_dir, "documents"), width=4, num=85, den=100)
+
+
 def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_check(_read(spark, sf_dir, "documents"), k=12, window=32)
 
@@ -50,6 +54,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_hilbert_sharding": op1_hilbert_sharding,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_jaccard_join": op3_jaccard_join,
     "op5_winnowing": op5_winnowing,
     "op6_byte_bpe": op6_byte_bpe,
     "op8_toxicity": op8_toxicity,
