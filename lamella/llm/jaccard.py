@@ -228,7 +228,7 @@ def _leftover_links(docs: DataFrame, stars: DataFrame, labels: DataFrame, sets:
 
 
 def jaccard_classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id for every row.
+    """doc_id, n_shingles, component_id, text_hash for every row.
 
     Two documents link when den * intersection >= num * union of their sets of distinct
     ``width``-word shingles; component_id is the least doc_id that links reach. A text without
@@ -243,7 +243,7 @@ def jaccard_classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [(len(s), set_id(s) if len(s) else None) for s in shingle_sets(batch["text"].tolist(), width)]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": [n for n, _ in found], "sid": pd.array([d for _, d in found], "Int64")})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "text_hash": batch["text_hash"], "n_shingles": [n for n, _ in found], "sid": pd.array([d for _, d in found], "Int64")})
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         met: set[int] = set()  # equal sets of a task enter the lists once
@@ -265,7 +265,7 @@ def jaccard_classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
                 if keys:
                     yield pd.DataFrame({"key": np.concatenate(keys), "sid": np.concatenate(sids)})
 
-    facts = materialize(rows.mapInPandas(describe, f"doc_id {kind}, n_shingles long, sid long"), "jaccard-docs")
+    facts = materialize(rows.withColumn("text_hash", F.xxhash64("text")).mapInPandas(describe, f"doc_id {kind}, text_hash long, n_shingles long, sid long"), "jaccard-docs")
     sets = materialize(facts.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")), "jaccard-sets")
     lists = rows.select("text").mapInPandas(index, "key long, sid long")
     leader = F.min("sid").over(Window.partitionBy("key"))
@@ -280,4 +280,14 @@ def jaccard_classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     found = materialize(named.join(least, "label").select("sid", "component_id"), "jaccard-classes")
     out = facts.join(found, "sid", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash")
+
+
+def keep_one(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with the least id of their class, with all their columns.
+
+    Rows are told apart by id and text. Texts without words all stay.
+    """
+    gone = jaccard_classes(docs, width, num, den, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    mine = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    return docs.join(gone, (F.col(id_col) == F.col("__id")) & (mine == F.col("__hash")), "left_anti")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 #: Raw-content dictionary of each language, the most frequent language first.
 Model = dict[str, bytes]
+MARGIN, LEAST_LETTERS = 0.005, 24
 REST = re.compile(r"[\W\d_]+")
 
 
@@ -43,7 +44,33 @@ def learn(docs: DataFrame, where: Column, lang_col: str = "lang", text_col: str
     return {lang: " ".join(plain(p) for _, ps in sorted(found[lang]) for p in ps).encode() for lang in order}
 
 
-def identify(docs: DataFrame, model: Model, margin: float = 0.005, least_letters: int = 24, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = 2000) -> DataFrame:
+class Judge:
+    """Predicts one text: its language, the score, and whether the margin is wide enough."""
+
+    def __init__(self, model: Model, margin: float, least_letters: int, chunk_chars: int):
+        self.langs, self.tools = list(model), []
+        self.margin, self.least, self.chunk = margin, least_letters, chunk_chars
+        for lang in self.langs:
+            held = zstandard.ZstdCompressionDict(model[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            how = zstandard.ZstdCompressionParameters.from_level(6, min_match=3, strategy=zstandard.STRATEGY_BTOPT, write_content_size=False, write_dict_id=False)
+            held.precompute_compress(compression_params=how)
+            self.tools.append(zstandard.ZstdCompressor(dict_data=held, compression_params=how))
+
+    def __call__(self, text: object) -> tuple[str, float, bool]:
+        if not self.langs or not isinstance(text, str) or not any(map(str.isalpha, text)):
+            return "und", 0.0, False
+        text = plain(text)
+        sizes = np.zeros(len(self.langs))
+        for a in range(0, len(text), self.chunk):
+            raw = text[a : a + self.chunk].encode()
+            sizes += [len(t.compress(raw)) for t in self.tools]
+        best = int(sizes.argmin())
+        rest = np.delete(sizes, best)
+        gap = (rest.min() - sizes[best]) / sizes[best] if len(rest) else 1.0
+        return self.langs[best], float(gap / (gap + 0.05)) if gap > 0 else 0.0, bool(gap >= self.margin or len(text) < self.least)
+
+
+def identify(docs: DataFrame, model: Model, margin: float = MARGIN, least_letters: int = LEAST_LETTERS, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = 2000) -> DataFrame:
     """doc_id, lang_pred, score, confident of every whole text.
 
     Every chunk of the text is compressed with each language's dictionary; the language of
@@ -57,31 +84,23 @@ def identify(docs: DataFrame, model: Model, margin: float = 0.005, least_letters
     carried = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        langs = list(carried.value)
-        tools = []
-        for lang in langs:
-            held = zstandard.ZstdCompressionDict(carried.value[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            how = zstandard.ZstdCompressionParameters.from_level(6, min_match=3, strategy=zstandard.STRATEGY_BTOPT, write_content_size=False, write_dict_id=False)
-            held.precompute_compress(compression_params=how)
-            tools.append(zstandard.ZstdCompressor(dict_data=held, compression_params=how))
-
-        def judge(text: str | None) -> tuple[str, float, bool]:
-            if not langs or not text or not any(map(str.isalpha, text)):
-                return "und", 0.0, False
-            text = plain(text)
-            sizes = np.zeros(len(langs))
-            for a in range(0, len(text), chunk_chars):
-                raw = text[a : a + chunk_chars].encode()
-                sizes += [len(t.compress(raw)) for t in tools]
-            best = int(sizes.argmin())
-            rest = np.delete(sizes, best)
-            gap = (rest.min() - sizes[best]) / sizes[best] if len(rest) else 1.0
-            return langs[best], float(gap / (gap + 0.05)) if gap > 0 else 0.0, bool(gap >= margin or len(text) < least_letters)
-
+        judge = Judge(carried.value, margin, least_letters, chunk_chars)
         for batch in batches:
-            found = [judge(t if isinstance(t, str) else None) for t in batch["text"]]
-            out = pd.DataFrame(found, columns=["lang_pred", "score", "confident"])
+            out = pd.DataFrame([judge(t) for t in batch["text"]], columns=["lang_pred", "score", "confident"])
             out.insert(0, "doc_id", batch["doc_id"].to_numpy())
             yield out
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, schema)
+
+
+def keep_identified(docs: DataFrame, model: Model, margin: float = MARGIN, least_letters: int = LEAST_LETTERS, text_col: str = "text", chunk_chars: int = 2000) -> DataFrame:
+    """The rows of ``docs`` whose language is predicted with confidence, with all their columns."""
+    carried = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def sure(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        judge = Judge(carried.value, margin, least_letters, chunk_chars)
+        for batch in batches:
+            yield pd.Series([judge(t)[2] for t in batch], dtype="bool")
+
+    return docs.where(sure(F.col(text_col)))

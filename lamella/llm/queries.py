@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, dedup, fingerprints, jaccard, langid, packing, sharding, toxicity
+from . import bpe, dedup, fingerprints, html, jaccard, langid, licenses, packing, sharding, toxicity
 from .common import held_out
 
 
@@ -22,7 +22,15 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_classes(_read(spark, sf_dir, "documents"), width=4, num=85, den=100)
+    return jaccard.jaccard_classes(_read(spark, sf_dir, "documents"), width=4, num=85, den=100).select("doc_id", "n_shingles", "component_id")
+
+
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_read(spark, sf_dir, "pages"), html.trained())
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_read(spark, sf_dir, "documents"))
 
 
 def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +63,8 @@ QUERIES = {
     "op1_hilbert_sharding": op1_hilbert_sharding,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_jaccard_join": op3_jaccard_join,
+    "op4_html_text": op4_html_text,
+    "op7_license_scan": op7_license_scan,
     "op5_winnowing": op5_winnowing,
     "op6_byte_bpe": op6_byte_bpe,
     "op8_toxicity": op8_toxicity,

@@ -282,3 +282,16 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield out
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, schema)
+
+
+def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score under 0.5, with all their columns."""
+    carried = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        judge = Scorer(carried.value)
+        for batch in batches:
+            yield pd.Series([judge.score(t if isinstance(t, str) else "") for t in batch], dtype="float64")
+
+    return docs.where(scored(F.col(text_col)) < 0.5)
