@@ -26,14 +26,15 @@ def hilbert_cells(spark: SparkSession, dims: int, bits: int) -> DataFrame:
         exchange = F.transform(x, lambda v, i: F.when(s.d == 0, v).when((i == 0) | (i == s.d), v.bitwiseXOR(swap)).otherwise(v))
         return F.when(mine.bitwiseAND(s.q) != 0, invert).otherwise(exchange)
 
-    walked = spark.range(1 << (dims * bits)).select(F.col("id").cast("int").alias("cell")).withColumn("x", F.aggregate(steps, axes, turn))
+    walked = spark.range(1 << (dims * bits)).select(F.col("id").cast("int").alias("cell"))
+    walked = walked.withColumn("x", F.aggregate(steps, axes, turn) if bits > 1 else axes)
     coded = [F.col("x")[0]]
     for d in range(1, dims):
         coded.append(F.col("x")[d].bitwiseXOR(coded[-1]))
     walked = walked.withColumn("g", F.array(*coded))
     last = F.element_at("g", dims)
-    tops = F.array(*[F.lit(1 << b) for b in range(bits - 1, 0, -1)]) if bits > 1 else F.array().cast("array<int>")
-    flip = F.aggregate(tops, F.lit(0), lambda t, q: F.when(last.bitwiseAND(q) != 0, t.bitwiseXOR(q - 1)).otherwise(t))
+    tops = F.array(*[F.lit(1 << b) for b in range(bits - 1, 0, -1)])
+    flip = F.aggregate(tops, F.lit(0), lambda t, q: F.when(last.bitwiseAND(q) != 0, t.bitwiseXOR(q - 1)).otherwise(t)) if bits > 1 else F.lit(0)
     walked = walked.withColumn("t", flip)
     index = F.lit(0)
     for b in range(bits - 1, -1, -1):

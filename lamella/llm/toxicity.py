@@ -128,8 +128,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         def toxic_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 for i in range(0, len(batch), 64):
-                    some = [sorted(features(t)) for t in batch["text"].iloc[i : i + 64]]
-                    yield pd.DataFrame({"feature": [f for x in some for f in x]})
+                    some = [(f,) for t in batch["text"].iloc[i : i + 64] for f in sorted(features(t))]
+                    yield pd.DataFrame(some, columns=["feature"])
 
         common = rows.where("toxic = 1").select("text").mapInPandas(toxic_features, "feature string").groupBy("feature").count()
         common = {r["feature"]: r["count"] for r in common.where(F.col("count") >= least).orderBy(F.desc("count"), "feature").limit(50_000).collect()}
@@ -138,7 +138,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 counts = Counter(f for t in batch["text"] for f in features(t) & carried.value)
-                yield pd.DataFrame({"feature": list(counts), "n": list(counts.values())})
+                yield pd.DataFrame(list(counts.items()), columns=["feature", "n"])
 
         clean = rows.where("toxic = 0").select("text").mapInPandas(met, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
         clean = {r["feature"]: r["n"] for r in clean.collect()}
@@ -147,7 +147,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
         def holds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                yield pd.DataFrame({"found": [sorted(features(t) & held.value) for t in batch["text"]]})
+                yield pd.DataFrame([(sorted(features(t) & held.value),) for t in batch["text"]], columns=["found"])
 
         sets = [set(r["found"]) for r in rows.where("toxic = 1").select("text").mapInPandas(holds, "found array<string>").collect()]  # at most the sample
         stems = _cover(sets, pure, clean, least)
