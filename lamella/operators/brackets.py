@@ -49,7 +49,7 @@ def reconstruct(entries: DataFrame, keys: list[str], seed: str = "seed", rank: s
 
     For sizes 32, 16, 8, 4 and 2: with more survivors than the size the first 2*size - n by seed
     have byes and the rest pair high with low; with as many, all pair; with fewer the size is
-    skipped. The lower rank wins, on a tie the lower seed. Five steps, each one window and one join by position.
+    skipped. The lower rank wins, on a tie the one seeded behind. Five steps, each one window and one join by position.
     """
     alive = entries.select(*keys, F.col(seed).alias("seed"), F.col(rank).alias("rank"), F.col(name).alias("name"))
     out = None
@@ -61,7 +61,7 @@ def reconstruct(entries: DataFrame, keys: list[str], seed: str = "seed", rank: s
         seen = seen.withColumn("__byes", byes).withColumn("__slot", F.col("__at") - F.col("__byes")).withColumn("__field", F.col("__n") - F.col("__byes"))
         through = seen.where("__slot <= 0 or __slot * 2 = __field + 1").select(*keys, "seed", "rank", "name")
         playing = seen.where("__slot > 0 and __slot * 2 <> __field + 1").withColumn("__pair", F.least(F.col("__slot"), F.col("__field") + 1 - F.col("__slot")))
-        best = F.struct("rank", "seed", "name")
+        best = F.struct("rank", (-F.col("seed")).alias("behind"), "seed", "name")
         met = playing.groupBy(*keys, "__pair").agg(F.min(best).alias("w"), F.max(best).alias("l"))
         bouts = met.select(*keys, F.lit(size).alias("round_size"), F.col("w.name").alias("winner"), F.col("l.name").alias("loser"))
         out = bouts if out is None else out.unionByName(bouts)

@@ -307,8 +307,8 @@ def _reconstruct_sql() -> str:
         steps += [
             f"s{size} AS (SELECT *, count(*) OVER (PARTITION BY event) AS n, row_number() OVER (PARTITION BY event ORDER BY seed, name) AS pos FROM {alive})",
             f"b{size} AS (SELECT *, pos - byes AS slot, n - byes AS field FROM (SELECT *, CASE WHEN n > {size} THEN greatest(0, {2 * size} - n) WHEN n = {size} THEN 0 ELSE n END AS byes FROM s{size}))",
-            f"m{size} AS (SELECT event, least(slot, field + 1 - slot) AS pair, min((rank, seed, name)) AS w, max((rank, seed, name)) AS l FROM b{size} WHERE slot > 0 AND slot * 2 <> field + 1 GROUP BY 1, 2)",
-            f"a{size} AS (SELECT event, name, rank, seed FROM b{size} WHERE slot <= 0 OR slot * 2 = field + 1 UNION ALL SELECT event, w[3], w[1], w[2] FROM m{size})",
+            f"m{size} AS (SELECT event, least(slot, field + 1 - slot) AS pair, min((rank, -seed, name)) AS w, max((rank, -seed, name)) AS l FROM b{size} WHERE slot > 0 AND slot * 2 <> field + 1 GROUP BY 1, 2)",
+            f"a{size} AS (SELECT event, name, rank, seed FROM b{size} WHERE slot <= 0 OR slot * 2 = field + 1 UNION ALL SELECT event, w[3], w[1], -w[2] FROM m{size})",
         ]
         alive = f"a{size}"
     legs = " UNION ALL ".join(f"SELECT event, {size} AS round_size, w[3] AS winner, l[3] AS loser FROM m{size}" for size in (32, 16, 8, 4, 2))

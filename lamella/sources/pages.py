@@ -68,7 +68,7 @@ def paged_source(name: str, schema: str, fetch: Callable[[int], list[tuple]]) ->
         def schema(self) -> str:
             return schema
 
-        def reader(self, _: object) -> DataSourceReader:
+        def reader(self, schema: object) -> DataSourceReader:
             return _PageReader(fetch, int(self.options.get("pages", "1")))
 
     return Paged

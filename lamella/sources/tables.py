@@ -46,7 +46,7 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 def with_actions(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """New rows, each marked created or updated."""
     known = old.select(*keys).distinct().withColumn("__known", F.lit(True))
-    return new.join(known, keys, "left").withColumn("action", F.when("__known", "updated").otherwise("created")).drop("__known")
+    return new.join(known, keys, "left").withColumn("action", F.when(F.col("__known"), "updated").otherwise("created")).drop("__known")
 
 
 def replace_partitions(rows: DataFrame, path: str, by: list[str]) -> None:
