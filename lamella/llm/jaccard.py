@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 from .common import materialize
 from .shingles import mix, set_id, shingle_sets
 
-#: Members of a block, and of one task's share of a leader's members.
-BLOCK = 256
+#: Members that one task compares with a leader at a time.
+SHARE = 256
+#: Members of a block at most, their shingles in sum, and shingles compared at once.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
 SLAB = 4096
 
 
@@ -112,7 +114,7 @@ def _texts(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
 def _star_links(docs: DataFrame, stars: DataFrame, sets: DataFrame, width: int) -> DataFrame:
     """leader, member, inter, n_a, n_b: every member compared with its leader."""
-    count = stars.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("long").alias("shares"))
+    count = stars.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / F.lit(SHARE)).cast("long").alias("shares"))
     share = F.pmod(F.xxhash64("member"), F.col("shares"))
     dealt = materialize(stars.join(count, "leader").select("leader", "member", share.alias("share")), "jaccard-stars")
     members = dealt.select("leader", "share", F.lit(1).alias("role"), F.col("member").alias("sid"))
@@ -148,8 +150,9 @@ def _leftover_links(docs: DataFrame, stars: DataFrame, labels: DataFrame, sets:
     known = stars.join(label, "member", "left").withColumn("label", F.coalesce("label", "member"))
     known = known.withColumn("dist", F.lit(1.0) - F.col("inter") / (F.col("n_a") + F.col("n_b") - F.col("inter")))
     split = known.groupBy("leader").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("leader")
-    known = materialize(known.join(split, "leader").withColumn("ring", F.floor(F.col("dist") * 20).cast("int")), "jaccard-left")
-    rings = known.groupBy("leader", "ring").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("parts"))
+    known = materialize(known.join(split, "leader").withColumn("ring", F.floor(F.col("dist") / (1 - num / den)).cast("int")), "jaccard-left")
+    parts = F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(BLOCK), F.sum("n_b") / F.lit(BLOCK_SHINGLES)))
+    rings = known.groupBy("leader", "ring").agg(parts.cast("int").alias("parts"))
     block = F.col("ring") * 100_000 + F.pmod(F.xxhash64("member", "leader"), F.col("parts")).cast("int")
     known = materialize(known.join(rings, ["leader", "ring"]).withColumn("block", block).drop("parts"), "jaccard-blocks")
     blocks = known.groupBy("leader", "block").agg(
@@ -170,26 +173,25 @@ def _leftover_links(docs: DataFrame, stars: DataFrame, labels: DataFrame, sets:
     rows = rows.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j", "side")
 
     def compare(side: list[int], sids: list[int], label: list[int], found: list[np.ndarray]) -> list[tuple[int, int]]:
-        """Links of one pair of blocks that join classes."""
+        """Links of one pair of blocks, or of one block with itself, that join classes."""
         tokens, at, times = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
         owner = np.repeat(np.arange(len(found)), [len(s) for s in found])
         shared = times[at] > 1
-        column = (np.cumsum(times > 1) - 1)[at[shared]]
-        owner, wide = owner[shared], int((times > 1).sum())
-        inter = np.zeros((len(found), len(found)), np.float64)
+        column, wide = (np.cumsum(times > 1) - 1)[at[shared]], int((times > 1).sum())
         order = np.argsort(column, kind="stable")
-        column, owner = column[order], owner[order]
+        column, owner = column[order], owner[shared][order]
+        left = np.flatnonzero(np.array(side) == side[0])
+        right = np.flatnonzero(np.array(side) != side[0]) if side[-1] != side[0] else left
+        inter = np.zeros((len(left), len(right)), np.float32)
         for a in range(0, wide, SLAB):
             lo, hi = np.searchsorted(column, [a, a + SLAB])
             held = np.zeros((len(found), min(SLAB, wide - a)), np.float32)
             held[owner[lo:hi], column[lo:hi] - a] = 1
-            inter += held @ held.T
+            inter += held[left] @ held[right].T
         size = np.array([len(s) for s in found], np.float64)
-        link = inter * den >= (size[:, None] + size[None, :] - inter) * num
         names, of = np.unique(label, return_inverse=True)
-        link &= of[:, None] != of[None, :]
-        if len(set(side)) > 1:
-            link &= np.array(side)[:, None] != np.array(side)[None, :]
+        link = inter * den >= (size[left, None] + size[None, right] - inter) * num
+        link &= of[left, None] != of[None, right]
         parent = list(range(len(names)))
 
         def root(v: int) -> int:
@@ -199,11 +201,11 @@ def _leftover_links(docs: DataFrame, stars: DataFrame, labels: DataFrame, sets:
             return v
 
         out = []
-        for p, q in zip(*np.nonzero(np.triu(link)), strict=True):
-            u, v = root(of[p]), root(of[q])
+        for p, q in zip(*np.nonzero(link), strict=True):
+            u, v = root(of[left[p]]), root(of[right[q]])
             if u != v:
                 parent[u] = v
-                out.append((sids[p], sids[q]))
+                out.append((sids[left[p]], sids[right[q]]))
         return out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
