@@ -39,6 +39,18 @@ ORGANISATIONS = [
     ("national", ["국가대표", "대표팀", "협회", "연맹"]),
     ("club", ["클럽", "펜싱클럽", "펜싱", "스포츠클럽", "FC", "SC", "아카데미", "도장", "체육관", "센터", "랩", "LAB"]),
 ]
+ORGANISATION_CODES = {"club": "C", "middle": "M", "high": "H", "university": "V", "professional": "A", "national": "N", "unknown": "X"}
+REGIONS = {
+    "서울": "Seoul", "부산": "Busan", "대구": "Daegu", "인천": "Incheon", "광주": "Gwangju", "대전": "Daejeon", "울산": "Ulsan", "세종": "Sejong",
+    "경기": "Gyeonggi", "강원": "Gangwon", "충북": "Chungbuk", "충남": "Chungnam", "전북": "Jeonbuk", "전남": "Jeonnam", "경북": "Gyeongbuk", "경남": "Gyeongnam", "제주": "Jeju",
+    "수원": "Suwon", "성남": "Seongnam", "용인": "Yongin", "고양": "Goyang", "안양": "Anyang",
+}
+ORGANISATION_WORDS = {
+    "중학교": "Middle School", "여자중학교": "Girls' Middle School", "남자중학교": "Boys' Middle School", "고등학교": "High School", "여자고등학교": "Girls' High School",
+    "남자고등학교": "Boys' High School", "체육고등학교": "Sports High School", "예술고등학교": "Arts High School", "과학고등학교": "Science High School",
+    "외국어고등학교": "Foreign Language High School", "대학교": "University", "대학": "University", "시청": "City Hall", "군청": "County Office", "구청": "District Office",
+    "도청": "Provincial Office", "체육회": "Sports Council", "펜싱클럽": "Fencing Club", "클럽": "Club", "스포츠클럽": "Sports Club", "아카데미": "Academy", "센터": "Center", "협회": "Association", "연맹": "Federation",
+}
 TEAM_LABELS = {"club": "클럽", "elementary": "초등학교", "middle": "중학교", "high": "고등학교", "university": "대학교", "professional": "실업팀"}
 INITIALS = ["g", "kk", "n", "d", "tt", "r", "m", "b", "pp", "s", "ss", "", "j", "jj", "ch", "k", "t", "p", "h"]
 VOWELS = ["a", "ae", "ya", "yae", "eo", "e", "yeo", "ye", "o", "wa", "wae", "oe", "yo", "u", "wo", "we", "wi", "yu", "eu", "ui", "i"]
@@ -88,6 +100,19 @@ def organisation_type(name: Column | str) -> Column:
     return keyword_case(F.trim(_col(name)), ORGANISATIONS, "unknown")
 
 
+def region(name: Column | str) -> Column:
+    """The first region named, in the table's order; null if none is."""
+    return keyword_case(name, [(k, [k]) for k in REGIONS])
+
+
+def organisation_english(name: Column | str) -> Column:
+    """Words of organisations and regions in English, the longest first; the rest romanised, words capitalised."""
+    c = F.trim(_col(name))
+    for k, v in sorted((ORGANISATION_WORDS | REGIONS).items(), key=lambda kv: -len(kv[0])):
+        c = F.replace(c, F.lit(k), F.lit(f" {v} "))
+    return F.initcap(romanised(F.trim(F.regexp_replace(c, r"\s+", " "))))
+
+
 def _syllable(ch: Column) -> tuple[Column, Column, Column, Column]:
     at = F.ascii(ch) - 44032
     return ch.rlike("^[가-힣]$"), F.floor(at / 588).cast("int"), F.floor((at % 588) / 28).cast("int"), (at % 28).cast("int")

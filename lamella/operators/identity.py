@@ -6,7 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import age_level, age_token, gender, school_level, team_type
+from ..functions.korean import ORGANISATION_CODES, organisation_english, organisation_type, region
+from ..functions.scalar import age_level, age_token, gender, lookup, school_level, team_type
 
 PROFILE = "name string, part int, teams array<string>, weapons array<string>, current_team string, first_seen string, last_seen string, appearances int"
 
@@ -120,6 +121,20 @@ def resolve_people(rows: DataFrame) -> DataFrame:
     return _team_rows(rows).groupBy("name").applyInPandas(_resolve, PROFILE)
 
 
+def organisations(rows: DataFrame, team: str = "team", date: str = "date", person: str = "name", country: str = "KO") -> DataFrame:
+    """One row per organisation: id, name, type, English name, region, span, rows and people.
+
+    Ids number the organisations of a type by first date, then name.
+    """
+    named = rows.where(F.trim(F.coalesce(F.col(team), F.lit(""))) != "")
+    seen = named.groupBy(F.trim(team).alias("organisation")).agg(F.min(date).alias("first_seen"), F.max(date).alias("last_seen"), F.count(F.lit(1)).alias("rows"), F.countDistinct(person).alias("people"))
+    seen = seen.withColumn("kind", organisation_type("organisation"))
+    number = F.row_number().over(Window.partitionBy("kind").orderBy("first_seen", "organisation"))
+    code = lookup("kind", ORGANISATION_CODES)
+    found = seen.withColumn("id", F.concat(F.lit(country), code, F.format_string("%04d", number)))
+    return found.withColumn("english", organisation_english("organisation")).withColumn("region", region("organisation"))
+
+
 def homonyms(rows: DataFrame, name: str = "name", team: str = "team") -> DataFrame:
     """Names with more than one team."""
     return rows.groupBy(name).agg(F.array_sort(F.collect_set(team)).alias("teams")).where(F.size("teams") > 1)

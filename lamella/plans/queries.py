@@ -590,6 +590,14 @@ def homonym_flags(t):
     return I.homonyms(t("customer").select(F.concat(F.lit("P"), (F.col("c_custkey") % 400).cast("string")).alias("name"), F.col("c_nationkey").alias("team")))
 
 
+@_query("""
+    WITH o AS (SELECT 'Team ' || (user_id % 40) AS organisation, min(strftime(ts, '%Y-%m-%d')) AS first_seen, max(strftime(ts, '%Y-%m-%d')) AS last_seen, count(*) AS rows, count(DISTINCT user_id) AS people FROM events GROUP BY 1)
+    SELECT *, printf('KOX%04d', row_number() OVER (ORDER BY first_seen, organisation)) AS id, 'unknown' AS kind FROM o""")
+def organisation_ids(t):
+    rows = t("events").select(F.col("user_id").alias("name"), F.concat(F.lit("Team "), (F.col("user_id") % 40).cast("string")).alias("team"), F.date_format("ts", "yyyy-MM-dd").alias("date"))
+    return I.organisations(rows).drop("english", "region")
+
+
 @_query("SELECT event_type, count(*) AS changes, max(ts) AS last FROM events GROUP BY 1")
 def stream_counts(t):
     return _streamed(t("events"))

@@ -143,6 +143,13 @@ def test_people(spark):
     assert by["N1"][0].current_team == "T1" and by["N1"][0].appearances == 2 and by["N3"][0].teams == ["서울중학교", "서울고등학교"]
 
 
+def test_organisations(spark):
+    rows = spark.createDataFrame([("A", " 서울중학교 ", "2022"), ("B", "서울중학교", "2021"), ("C", "부산고등학교", "2020"), ("D", "한강클럽", "2020"), ("E", None, "2020"), ("F", "대전중학교", "2020")], "name string, team string, date string")
+    got = {r.organisation: r for r in identity.organisations(rows).collect()}
+    assert {k: r.id for k, r in got.items()} == {"대전중학교": "KOV0001", "서울중학교": "KOM0001", "부산고등학교": "KOH0001", "한강클럽": "KOC0001"}
+    assert got["서울중학교"].people == 2 and got["서울중학교"].english == "Seoul Middle School" and got["부산고등학교"].region == "부산"
+
+
 def test_age_regression_splits_a_name(spark):
     rows = [("N", "서울대학교", "C1", "2020-01-01", "대학부", "e", 1, "pool"), ("N", "부산중학교", "C2", "2022-01-01", "중등부", "e", 1, "pool")]
     assert len(people(spark, rows)) == 2
