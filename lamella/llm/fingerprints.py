@@ -118,20 +118,22 @@ def edit_check(docs: DataFrame, k: int = 12, window: int = 32, id_col: str = "do
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None  # the row whose next one isn't known yet
+        columns = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
         for batch in batches:
-            out = []
-            for doc_id, text, at, ahead in zip(batch["doc_id"], batch["text"], batch["at"], batch["ahead"], strict=True):
-                points = _points(text)
-                mine = winnow(points, k, window)
-                if held is not None and held[0] == at:
-                    _, held_id, old, own = held
-                    n = len(old)
-                    cut = n // 4
-                    edited = np.concatenate([old[: n - cut], points[:cut]])
-                    changed = winnow(edited, k, window)
-                    raw = edited.astype("<u4").tobytes().decode("utf-32-le").encode()
-                    out.append((held_id, n, hashlib.sha256(raw).hexdigest(), written(*own), written(*changed), likeness(own[0], changed[0]), likeness(own[0], mine[0])))
-                held = None if ahead else (at, doc_id, points, mine)
-            yield pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+            for a in range(0, len(batch), 200):  # few rows at a time bound a worker's memory
+                some, out = batch.iloc[a : a + 200], []
+                for doc_id, text, at, ahead in zip(some["doc_id"], some["text"], some["at"], some["ahead"], strict=True):
+                    points = _points(text)
+                    mine = winnow(points, k, window)
+                    if held is not None and held[0] == at:
+                        _, held_id, old, own = held
+                        n = len(old)
+                        cut = n // 4
+                        edited = np.concatenate([old[: n - cut], points[:cut]])
+                        changed = winnow(edited, k, window)
+                        raw = edited.astype("<u4").tobytes().decode("utf-32-le").encode()
+                        out.append((held_id, n, hashlib.sha256(raw).hexdigest(), written(*own), written(*changed), likeness(own[0], changed[0]), likeness(own[0], mine[0])))
+                    held = None if ahead else (at, doc_id, points, mine)
+                yield pd.DataFrame(out, columns=columns)
 
     return dealt.select("doc_id", "text", "at", "ahead").mapInPandas(run, schema)
