@@ -2,9 +2,11 @@
 
 The method skips along set relations. Every set is sorted in one global order (of hashes) and
 cut into blocks by position in that order. The index has one list per block content. If two
-sets differ in d elements at most, they differ in d blocks at most, so sets of more than d blocks
-share the content of one: whole lists of sets that share none are skipped. The first set of a
-list is its leader. Each member is compared with its leader alone; those linked to it need no
+sets differ in d elements at most, they differ in d blocks at most, so a set with d + m blocks in
+use shares m lists with each partner. Of its lists, a set therefore skips those that it has alone
+and the m - 1 longest ones, in one order for all sets: the shortest list that two partners share
+is skipped by neither, while lists that come of passages in many documents are left out. The first
+set of what stays of a list is its leader. Each member is compared with its leader alone; those linked to it need no
 further answers. For leaders with members left over, the answers already computed settle
 most of the rest: members are put in blocks by distance from the leader, and two blocks are
 skipped if their distances differ by more than the threshold (the Jaccard distance is a
@@ -30,6 +32,8 @@ SHARE = 256
 #: Members of a block at most, their shingles in sum, and shingles compared at once.
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
 SLAB = 4096
+#: A set has lists of three schemes in a row at most, told apart by this many remainders.
+SCHEMES = 4
 
 
 @lru_cache(8)
@@ -52,7 +56,7 @@ def schemes(n: int, num: int, den: int) -> list[tuple[int, int, int]]:
 
     def scheme(tag: int, total: int) -> tuple[int, int, int]:
         d = (den - num) * total // (den + num)
-        return tag, 1 if d == 0 else d + 2 + (d + 1) // 20, d
+        return tag, 1 if d == 0 else d + 2 + d // 3, d
 
     last = starts[c + 1] - 1
     found = [scheme(2 * c, 2 * last)]
@@ -65,13 +69,14 @@ def schemes(n: int, num: int, den: int) -> list[tuple[int, int, int]]:
     return found
 
 
-def block_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The lists that a set belongs to.
+def block_keys(s: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(lists that a set belongs to, how many of that scheme it may skip); a list's scheme is in its low bits.
 
     A set with more blocks in use than differences has a used block in common with every
-    partner. Only sets with fewer also take the lists of unused blocks.
+    partner, and may skip as many as it has beyond one. Only sets with fewer also take the
+    lists of unused blocks; they skip none.
     """
-    out = []
+    out, spare = [], []
     mixed = mix(s + np.uint64(1))
     for tag, blocks, d in schemes(len(s), num, den):
         at = ((s >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)  # s is sorted, so is at
@@ -83,8 +88,10 @@ def block_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
                 content = np.r_[content, np.zeros(blocks - len(first), np.uint64)]
                 place = np.r_[place, np.setdiff1d(np.arange(blocks), place)]
             where = np.uint64(tag << 40) + place.astype(np.uint64)
-            out.append(mix(content * np.uint64(0x9E3779B97F4A7C15) + mix(where)))
-    return np.concatenate(out)
+            key = mix(content * np.uint64(0x9E3779B97F4A7C15) + mix(where))
+            out.append(key & ~np.uint64(SCHEMES - 1) | np.uint64(tag % SCHEMES))
+            spare.append(np.full(len(key), max(len(first) - d - 1, 0), np.int32))
+    return np.concatenate(out), np.concatenate(spare)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -252,7 +259,7 @@ def jaccard_classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
         for batch in batches:
             texts = batch["text"].tolist()
             for a in range(0, len(texts), 500):
-                keys, sids = [], []
+                keys, spare, sids = [], [], []
                 for s in shingle_sets(texts[a : a + 500], width):
                     if not len(s):
                         continue
@@ -260,18 +267,24 @@ def jaccard_classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
                     if sid in met:
                         continue
                     met.add(sid)
-                    keys.append(block_keys(s, num, den).view(np.int64))
+                    lists, skips = block_keys(s, num, den)
+                    keys.append(lists.view(np.int64))
+                    spare.append(skips)
                     sids.append(np.full(len(keys[-1]), sid, np.int64))
                 if len(met) > 1_000_000:
                     met.clear()
                 if keys:
-                    yield pd.DataFrame({"key": np.concatenate(keys), "sid": np.concatenate(sids)})
+                    yield pd.DataFrame({"key": np.concatenate(keys), "sid": np.concatenate(sids), "spare": np.concatenate(spare)})
 
     facts = materialize(rows.withColumn("text_hash", F.xxhash64("text")).mapInPandas(describe, f"doc_id {kind}, text_hash long, n_shingles long, sid long"), "jaccard-docs")
     sets = materialize(facts.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")), "jaccard-sets")
-    lists = rows.select("text").mapInPandas(index, "key long, sid long")
-    leader = F.min("sid").over(Window.partitionBy("key"))
-    stars = lists.withColumn("leader", leader).where("leader < sid").select("leader", F.col("sid").alias("member")).distinct()
+    lists = rows.select("text").mapInPandas(index, "key long, sid long, spare int")
+    same = Window.partitionBy("key")
+    shared = lists.withColumns({"leader": F.min("sid").over(same), "last": F.max("sid").over(same), "members": F.count(F.lit(1)).over(same)})
+    shared = shared.where("leader <> last").groupBy("key", "sid", "spare").agg(F.max("members").alias("members"))
+    longest = Window.partitionBy("sid", F.col("key").bitwiseAND(SCHEMES - 1)).orderBy(F.desc("members"), "key")
+    shared = shared.withColumn("place", F.row_number().over(longest)).where("place > spare")
+    stars = shared.withColumn("leader", F.min("sid").over(same)).where("leader < sid").select("leader", F.col("sid").alias("member")).distinct()
     compared = materialize(_star_links(rows, materialize(stars, "jaccard-lists"), sets, width), "jaccard-compared")
     links = compared.where(_linked(F.col("inter"), F.col("n_a"), F.col("n_b"), num, den)).select(F.col("leader").alias("a"), F.col("member").alias("b"))
     labels = components(links)
