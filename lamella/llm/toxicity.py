@@ -105,10 +105,10 @@ def features(text: str, lengths: tuple[int, ...] = (4, 5, 6)) -> set[str]:
     return {f"={w}" for w in words} | {w[:n] for w in words for n in lengths if len(w) >= n}
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 24_000, least: int = 4, purity: float = 0.97) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 24_000, least: int = 4, purity: float = 0.97, vocabulary: int = 50_000) -> Model:
     """Learns insult stems and clause weights from at most about ``sample`` labelled rows.
 
-    The rows of least hash are taken when there are more. Candidates are words and beginnings
+    The rows of least hash are taken when there are more. Candidates are the ``vocabulary`` commonest words and beginnings
     of words that at least ``least`` toxic texts hold and whose texts are toxic to the share
     ``purity``. They are chosen greedily by the toxic texts they explain, so words that merely
     share a text with an insult are left out. Null labels teach nothing; without any toxic row
@@ -132,8 +132,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                     yield pd.DataFrame(some, columns=["feature"])
 
         common = rows.where("toxic = 1").select("text").mapInPandas(toxic_features, "feature string").groupBy("feature").count()
-        common = {r["feature"]: r["count"] for r in common.where(F.col("count") >= least).orderBy(F.desc("count"), "feature").limit(50_000).collect()}
-        carried = docs.sparkSession.sparkContext.broadcast(frozenset(common))  # 50,000 at most
+        common = {r["feature"]: r["count"] for r in common.where(F.col("count") >= least).orderBy(F.desc("count"), "feature").limit(vocabulary).collect()}
+        carried = docs.sparkSession.sparkContext.broadcast(frozenset(common))  # vocabulary entries at most
 
         def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
@@ -227,16 +227,16 @@ class Scorer:
         """The kind of each clause that the grammar accepts."""
         low = text.lower()
         found = []
-        last = -1
+        ends = CLAUSE_END.finditer(low)
+        begin = stop = after = 0  # the clause read last, and where the next one begins
         for hit in self.any.finditer(low):
-            if hit.start() < last:
+            if hit.start() < stop:
                 continue
-            ends = [m.end() for m in CLAUSE_END.finditer(low, max(0, hit.start() - 400), hit.start())]
-            begin = ends[-1] if ends else max(0, hit.start() - 400)
-            stop = CLAUSE_END.search(low, hit.end())
-            last = min(stop.start() if stop else len(low), hit.end() + 400)
+            while hit.start() >= stop:
+                begin, end = after, next(ends, None)
+                stop, after = end.span() if end else (len(low), len(low))
             state = 0
-            for word in WORD.findall(low, begin, last):
+            for word in WORD.findall(low, begin, stop):
                 kind = self.class_of.get(word)
                 if kind is None:
                     if len(self.class_of) > 200_000:
@@ -254,7 +254,7 @@ class Scorer:
             return self.model.base / 10
         weights = sorted((self.model.kinds[k] for k in kinds), reverse=True)
         clear = 1.0 - weights[0]
-        for w in weights[1:9]:  # later clauses hardly move it
+        for w in weights[1:]:  # later clauses move it less
             clear *= 1.0 - w / 4
         return float(min(1.0, 1.0 - clear))
 
@@ -263,8 +263,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """doc_id, score, predicted, clauses (matched ones) of every whole text.
 
     Null and empty texts have no clause and score as clean. A clause runs to the next sentence
-    mark or line end; one longer than 400 characters on a side of its word is matched within them.
-    Repeated rows repeat their result; an empty table gives an empty result.
+    mark or line end, however long. Repeated rows repeat their result; an empty table gives an empty result.
     """
     schema = f"doc_id {dict(docs.dtypes)[id_col]}, score double, predicted int, clauses int"
     carried = docs.sparkSession.sparkContext.broadcast(model)
