@@ -171,15 +171,16 @@ def _byte_names() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 for each piece of a document's ids.
+def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 (and ids) for each piece of a document's ids.
 
     The ids are those of the tokenizers file without special tokens, then ``end_id``. The task
     splits texts by the byte-level pattern, and each different word is merged once; texts that
     hold the spelling of a special token go through the tokenizers library whole. Documents longer than
     ``capacity`` are cut from their end, so only the first piece is shorter.
     """
-    schema = f"doc_id {dict(docs.dtypes)[id_col]}, piece int, start long, length long, ids_crc32 long"
+    schema = f"doc_id {dict(docs.dtypes)[id_col]}, piece int, start long, length long, ids_crc32 long{', ids array<int>' if with_ids else ''}"
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         whole, special, core = _library(tokenizer_path)
@@ -197,8 +198,10 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end
                     n = len(raw) // 4
                     first = n % capacity or capacity
                     cuts = [0, *range(first, n + 1, capacity)] if n > capacity else [0, n]
-                    rows += [(doc_id, i, x, y - x, zlib.crc32(raw[4 * x : 4 * y])) for i, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False))]
-                yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+                    for i, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                        part = raw[4 * x : 4 * y]
+                        rows.append((doc_id, i, x, y - x, zlib.crc32(part), *([np.frombuffer(part, "<u4").astype(np.int32)] if with_ids else [])))
+                yield pd.DataFrame(rows, columns=names)
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, schema)
 
@@ -211,7 +214,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, sub_bits: int = 8) -> DataFram
     very common length is no single task. A task looks its ranks up in the plan, whose size
     depends on ``capacity`` alone.
     """
-    spark = pieces.sparkSession
+    spark, names = pieces.sparkSession, pieces.columns
     part = F.shiftrightunsigned(F.xxhash64("doc_id", "piece", "ids_crc32"), 64 - sub_bits).cast("int")
     pieces = materialize(pieces.withColumn("__part", part), "pack-pieces")
     parts = materialize(pieces.groupBy("length", "__part").agg(F.count(F.lit(1)).alias("__n")), "pack-parts")
@@ -233,7 +236,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, sub_bits: int = 8) -> DataFram
         return pd.DataFrame({"sequence_id": base + (rank - lo) // each, "offset": offset + (rank - lo) % each * size})
 
     placed = ranked.withColumn("__at", place("length", "__rank"))
-    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "__at.sequence_id", "__at.offset")
+    return placed.select(*names, "__at.sequence_id", "__at.offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -243,3 +246,15 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, e
     gives an empty result; other columns are ignored; ids may be null.
     """
     return pack(token_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col), capacity)
+
+
+def packed_sequences(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """sequence_id, ids array<int>, pieces array<(offset, doc_id, piece, length)>: the sequences themselves.
+
+    A group is one sequence, so it holds ``capacity`` ids at most. Nulls, repeated rows and empty
+    tables are as in ``pack_documents``.
+    """
+    placed = pack(token_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col, with_ids=True), capacity)
+    parts = placed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "doc_id", "piece", "length", "ids"))).alias("parts"))
+    pieces = F.transform("parts", lambda p: F.struct(p["offset"].alias("offset"), p["doc_id"].alias("doc_id"), p["piece"].alias("piece"), p["length"].alias("length")))
+    return parts.select("sequence_id", F.flatten("parts.ids").alias("ids"), pieces.alias("pieces"))

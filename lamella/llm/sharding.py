@@ -115,3 +115,28 @@ def hilbert_shards(
         first = placed.groupBy("shard").agg(F.min("rank").alias("first"))
         placed = placed.join(F.broadcast(first), "shard").withColumn("slot", F.col("rank") - F.col("first"))
     return placed.select("doc_id", "size", "text_crc32", F.lit(law).alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
+def write_shards(docs: DataFrame, path: str, shards: int = 16, files: int = 8, id_col: str = "doc_id", text_col: str = "text", **how: object) -> str:
+    """Writes ``docs`` with all their columns below ``path``, a folder per shard; returns the folders' column.
+
+    Each shard's rows are written in curve order as about ``files`` files, so the files' least and
+    greatest values of every dimension prune scans. Rows that repeat id and text share their
+    places among themselves. The column is ``shard``, with underscores behind it if docs have one.
+    """
+    name = "shard"
+    while name in docs.columns:
+        name += "_"
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    own = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    key = ["doc_id", "size", "text_crc32"]
+    placed = hilbert_shards(docs, shards, id_col, text_col, **how).select(*key, "shard", "slot")
+    mine = own.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0)))).alias("a")
+    place = placed.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy("shard", "slot"))).alias("b")
+    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id"))
+    for c in ("size", "text_crc32", "nth"):
+        same = same & (F.col(f"a.{c}") == F.col(f"b.{c}"))
+    met = mine.join(place, same).select("a.row", "b.shard", "b.slot")
+    dealt = met.repartitionByRange(shards * files, "shard", "slot").sortWithinPartitions("shard", "slot")
+    dealt.select("row.*", F.col("shard").alias(name)).write.partitionBy(name).parquet(path)
+    return name

@@ -113,3 +113,21 @@ def test_pack_odd_rows(spark, odd_docs, no_docs):
         p.sort()
         assert [o for o, _ in p] == [sum(n for _, n in p[:i]) for i in range(len(p))] and p[-1][0] + p[-1][1] <= cap
     assert packing.pack_documents(no_docs, JSON).count() == 0
+
+
+def test_packed_sequences_hold_the_ids_of_their_pieces(odd_docs, no_docs):
+    whole, cap = Tokenizer.from_file(JSON), 256
+    got = packing.packed_sequences(odd_docs, JSON, capacity=cap).collect()
+    found = Counter()
+    for r in got:
+        assert len(r.ids) == sum(p.length for p in r.pieces) <= cap
+        for p in r.pieces:
+            found[p.doc_id, p.piece, tuple(r.ids[p.offset : p.offset + p.length])] += 1
+    want = Counter()
+    for r in odd_docs.collect():
+        ids = [*whole.encode(r.text or "", add_special_tokens=False).ids, 0]
+        first = len(ids) % cap or cap
+        cuts = [0, *range(first, len(ids) + 1, cap)] if len(ids) > cap else [0, len(ids)]
+        want.update((r.doc_id, k, tuple(ids[a:b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)))
+    assert found == want
+    assert packing.packed_sequences(no_docs, JSON).count() == 0

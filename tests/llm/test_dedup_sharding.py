@@ -94,3 +94,14 @@ def test_shards_are_runs_of_the_curve_and_equal_in_bytes(spark):
     assert max(size.values()) - min(size.values()) <= 2 * max(r.size for r in got)
     order = [span[s] for s in sorted(span)]
     assert all(a[1] <= b[0] for a, b in zip(order, order[1:], strict=False))
+
+
+def test_written_shards_hold_every_row_in_order(spark, odd_docs, no_docs, tmp_path):
+    docs = odd_docs.withColumn("shard", odd_docs.doc_id)
+    name = sharding.write_shards(docs, f"{tmp_path}/shards", shards=3, files=2)
+    back = spark.read.parquet(f"{tmp_path}/shards")
+    assert name == "shard_" and set(back.columns) == {*docs.columns, name}
+    assert Counter(map(tuple, back.select(*docs.columns).collect())) == Counter(map(tuple, docs.collect()))
+    placed = Counter((r.doc_id, r.shard) for r in sharding.hilbert_shards(docs, 3).collect())
+    assert Counter((r.doc_id, r[name]) for r in back.collect()) == placed
+    sharding.write_shards(no_docs, f"{tmp_path}/none")
