@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..operators import addresses as A
 from ..operators import bouts as B
 from ..operators import brackets as K
 from ..operators import identity as I
@@ -598,6 +599,33 @@ def organisation_ids(t):
     return I.organisations(rows).drop("english", "region")
 
 
+def _addresses(t):
+    """Customers as teams, suppliers as the registry and nations as the map."""
+    teams = t("customer").select("c_custkey", "c_mktsegment", (F.col("c_custkey") % 50).alias("team"), F.when(F.col("c_custkey") % 11 == 0, F.lit("known")).alias("address"))
+    registry = t("supplier").where("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("address"))
+    places = t("nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("address"))
+    return A.look_up(teams, "team", [("registry", registry), ("map", places)])
+
+
+_ADDRESS_SQL = """
+    SELECT c_custkey, c_mktsegment, coalesce(address, s_name, n_name) AS found, CASE WHEN address IS NOT NULL THEN NULL WHEN s_name IS NOT NULL THEN 'registry' WHEN n_name IS NOT NULL THEN 'map' END AS source,
+           CASE WHEN address IS NOT NULL THEN 'skipped' WHEN coalesce(s_name, n_name) IS NOT NULL THEN 'collected' ELSE 'failed' END AS status
+    FROM (SELECT c_custkey, c_mktsegment, c_custkey % 50 AS team, CASE WHEN c_custkey % 11 = 0 THEN 'known' END AS address FROM customer)
+    LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey % 3 = 0) ON s_suppkey = team LEFT JOIN nation ON n_nationkey = team"""
+
+
+@_query(_ADDRESS_SQL)
+def address_lookup(t):
+    return _addresses(t).select("c_custkey", "c_mktsegment", "found", "source", "status")
+
+
+@_query(f"""
+    SELECT c_mktsegment, count(*) AS total, count(*) FILTER (status = 'collected') AS collected, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'skipped') AS skipped,
+           round_even(count(*) FILTER (status = 'collected') * 100.0::DOUBLE / count(*), 1) AS success_rate FROM ({_ADDRESS_SQL}) GROUP BY 1""")
+def address_report(t):
+    return A.report(_addresses(t), "c_mktsegment")
+
+
 @_query("SELECT event_type, count(*) AS changes, max(ts) AS last FROM events GROUP BY 1")
 def stream_counts(t):
     return _streamed(t("events"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lamella.functions import korean as K
 from lamella.functions import scalar as S
-from lamella.operators import bouts, brackets, identity, quality, rankings, relations
+from lamella.operators import addresses, bouts, brackets, identity, quality, rankings, relations
 from lamella.sources import pages, tables
 
 
@@ -244,3 +244,14 @@ def test_relations_on_odd_rows(spark):
     rows = spark.createDataFrame([("a", "t"), ("a", None), ("b", "t"), ("b", "u"), ("b", ""), ("c", None)], "name string, team string")
     assert sorted(((r.name, r.team) for r in relations.filled_names(rows, "name", "team").collect()), key=str) == sorted([("a", "t"), ("a", "t"), ("b", "t"), ("b", "u"), ("b", None), ("c", None)], key=str)
     assert relations.orphans(rows, "team", rows.where("team = 't'"), "team").count() == 2
+
+
+def test_school_names_and_address_order(spark):
+    names = spark.createDataFrame([("가나중",), ("다라고",), ("마-바초",), ("사아대",), (None,)], "n string")
+    got = [r[0] for r in names.select(addresses.full_school_name("n")).collect()]
+    assert got == ["가나중학교", "다라고등학교", "마바초등학교", "사아대학교", None]
+    teams = spark.createDataFrame([("a", None), ("b", " "), ("c", "here"), ("d", None), (None, None)], "team string, address string")
+    one = spark.createDataFrame([("a", ""), ("b", "x"), ("b", "w")], "key string, address string")
+    two = spark.createDataFrame([("a", "y"), ("b", "z")], "key string, address string")
+    found = {r.team: (r.found, r.source, r.status) for r in addresses.look_up(teams, "team", [("one", one), ("two", two)]).collect()}
+    assert found == {"a": ("y", "two", "collected"), "b": ("w", "one", "collected"), "c": ("here", None, "skipped"), "d": (None, None, "failed"), None: (None, None, "failed")}
