@@ -243,7 +243,8 @@ def jaccard_classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     ``width``-word shingles; component_id is the least doc_id that links reach. A text without
     words, or null, is linked with nothing and is its own component. Rows of equal sets collapse
     into one before any comparison; ids that repeat are told apart by their sets. A null id
-    counts as no candidate for component_id unless there is no other. An empty table gives an
+    counts as no candidate for component_id unless there is no other, and a set that only rows
+    without an id hold is compared with nothing. An empty table gives an
     empty result; other columns are ignored. Sets are told apart by 64-bit hashes.
     """
     kind = dict(docs.dtypes)[id_col]
