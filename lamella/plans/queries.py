@@ -575,6 +575,13 @@ def connected_components(t):
     return I.components(edges, "a", "b")
 
 
+@_query()
+def connected_components_whole(t):
+    """All orders as edges; ``connected_components`` keeps the few that its recursive SQL can bear."""
+    edges = t("orders").select(F.col("o_custkey").alias("a"), (F.lit(1_000_000) + F.col("o_orderkey") % 997).cast("bigint").alias("b"))
+    return I.components(edges, "a", "b")
+
+
 @_query()
 def entity_resolution(t):
     orders = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))

@@ -255,3 +255,37 @@ def test_school_names_and_address_order(spark):
     two = spark.createDataFrame([("a", "y"), ("b", "z")], "key string, address string")
     found = {r.team: (r.found, r.source, r.status) for r in addresses.look_up(teams, "team", [("one", one), ("two", two)]).collect()}
     assert found == {"a": ("y", "two", "collected"), "b": ("w", "one", "collected"), "c": ("here", None, "skipped"), "d": (None, None, "failed"), None: (None, None, "failed")}
+
+
+def _union_find(edges):
+    parent = {}
+
+    def root(v):
+        parent.setdefault(v, v)
+        while parent[v] != v:
+            parent[v] = parent[parent[v]]
+            v = parent[v]
+        return v
+
+    for a, b in edges:
+        x, y = root(a), root(b)
+        parent[max(x, y)] = min(x, y)
+    return {v: root(v) for v in list(parent)}
+
+
+def test_components_equal_union_find(spark):
+    """A long path, a star, a cycle, two nodes, a loop and a repeated edge."""
+    edges = [(i + 1, i) for i in range(40)] + [(100, 100 + i) for i in range(1, 9)] + [(200, 201), (201, 202), (202, 200)] + [(301, 300), (300, 301), (301, 300), (400, 400)]
+    got = identity.components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()
+    assert len(got) == len({r.node for r in got})
+    assert {r.node: r.component for r in got} == _union_find(edges)
+
+
+def test_whole_components_take_every_order(spark):
+    from lamella.plans.queries import QUERIES
+
+    sf = "/root/testdata/sf0.01"
+    orders = spark.read.parquet(f"{sf}/orders.parquet").select("o_custkey", "o_orderkey").collect()
+    got = QUERIES["connected_components_whole"](spark, sf).collect()
+    assert len(got) == len({r.node for r in got})
+    assert {r.node: r.component for r in got} == _union_find((r.o_custkey, 1_000_000 + r.o_orderkey % 997) for r in orders)
