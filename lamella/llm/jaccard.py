@@ -114,9 +114,15 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _texts(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """wanted's columns and the text whose set is wanted's sid; wanted has (sid, rep)."""
-    return wanted.join(docs.withColumnRenamed("doc_id", "rep"), "rep")
+def _named(rows: DataFrame) -> DataFrame:
+    """rep, hash, text: rows with an id as they are (hash 0), and one row for each text without an id (hash its hash)."""
+    known = rows.where("doc_id is not null").select(F.col("doc_id").alias("rep"), F.lit(0).cast("long").alias("hash"), "text")
+    return known.union(rows.where("doc_id is null").select("doc_id", F.xxhash64("text").alias("hash"), "text").dropDuplicates(["hash"]))
+
+
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted's columns and the text whose set is wanted's sid; wanted has (sid, rep, hash)."""
+    return wanted.join(docs, wanted["rep"].eqNullSafe(docs["rep"]) & (wanted["hash"] == docs["hash"])).drop(docs["rep"], docs["hash"])
 
 
 def _star_links(docs: DataFrame, stars: DataFrame, sets: DataFrame, width: int) -> DataFrame:
@@ -126,8 +132,8 @@ def _star_links(docs: DataFrame, stars: DataFrame, sets: DataFrame, width: int)
     dealt = materialize(stars.join(count, "leader").select("leader", "member", share.alias("share")), "jaccard-stars")
     members = dealt.select("leader", "share", F.lit(1).alias("role"), F.col("member").alias("sid"))
     leaders = dealt.select("leader", "share").distinct().select("leader", "share", F.lit(0).alias("role"), F.col("leader").alias("sid"))
-    rows = members.union(leaders).join(sets.select("sid", "rep"), "sid")
-    rows = _texts(docs, rows, width).select("leader", "share", "role", "sid", "text")
+    rows = members.union(leaders).join(sets.select("sid", "rep", "hash"), "sid")
+    rows = _texts(docs, rows).select("leader", "share", "role", "sid", "text")
     rows = rows.repartition("leader", "share").sortWithinPartitions("leader", "share", "role")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -174,8 +180,8 @@ def _leftover_links(docs: DataFrame, stars: DataFrame, labels: DataFrame, sets:
     pairs = materialize(pairs.select("x.leader", F.col("x.block").alias("i"), F.col("y.block").alias("j")), "jaccard-pairs")
     one = pairs.select("leader", "i", "j", F.col("i").alias("block"), F.lit(0).alias("side"))
     two = pairs.where("i < j").select("leader", "i", "j", F.col("j").alias("block"), F.lit(1).alias("side"))
-    wanted = known.select("member").distinct().withColumnRenamed("member", "sid").join(sets.select("sid", "rep"), "sid")
-    texts = _texts(docs, wanted, width).select(F.col("sid").alias("member"), "text")
+    wanted = known.select("member").distinct().withColumnRenamed("member", "sid").join(sets.select("sid", "rep", "hash"), "sid")
+    texts = _texts(docs, wanted).select(F.col("sid").alias("member"), "text")
     rows = one.union(two).join(known.select("leader", "block", "member", "label"), ["leader", "block"]).join(texts, "member")
     rows = rows.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j", "side")
 
@@ -243,8 +249,8 @@ def jaccard_classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     ``width``-word shingles; component_id is the least doc_id that links reach. A text without
     words, or null, is linked with nothing and is its own component. Rows of equal sets collapse
     into one before any comparison; ids that repeat are told apart by their sets. A null id
-    counts as no candidate for component_id unless there is no other, and a set that only rows
-    without an id hold is compared with nothing. An empty table gives an
+    counts as no candidate for component_id unless there is no other; a set that only rows
+    without an id hold is compared like the others, its text found by hash. An empty table gives an
     empty result; other columns are ignored. Sets are told apart by 64-bit hashes.
     """
     kind = dict(docs.dtypes)[id_col]
@@ -278,7 +284,9 @@ def jaccard_classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
                     yield pd.DataFrame({"key": np.concatenate(keys), "sid": np.concatenate(sids), "spare": np.concatenate(spare)})
 
     facts = materialize(rows.withColumn("text_hash", F.xxhash64("text")).mapInPandas(describe, f"doc_id {kind}, text_hash long, n_shingles long, sid long"), "jaccard-docs")
-    sets = materialize(facts.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")), "jaccard-sets")
+    sets = facts.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.min("text_hash").alias("hash"), F.max("n_shingles").alias("n"))
+    sets = materialize(sets.withColumn("hash", F.when(F.col("rep").isNull(), F.col("hash")).otherwise(F.lit(0))), "jaccard-sets")
+    texts = _named(rows)
     lists = rows.select("text").mapInPandas(index, "key long, sid long, spare int")
     same = Window.partitionBy("key")
     shared = lists.withColumns({"leader": F.min("sid").over(same), "last": F.max("sid").over(same), "members": F.count(F.lit(1)).over(same)})
@@ -286,10 +294,10 @@ def jaccard_classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     longest = Window.partitionBy("sid", F.col("key").bitwiseAND(SCHEMES - 1)).orderBy(F.desc("members"), "key")
     shared = shared.withColumn("place", F.row_number().over(longest)).where("place > spare")
     stars = shared.withColumn("leader", F.min("sid").over(same)).where("leader < sid").select("leader", F.col("sid").alias("member")).distinct()
-    compared = materialize(_star_links(rows, materialize(stars, "jaccard-lists"), sets, width), "jaccard-compared")
+    compared = materialize(_star_links(texts, materialize(stars, "jaccard-lists"), sets, width), "jaccard-compared")
     links = compared.where(_linked(F.col("inter"), F.col("n_a"), F.col("n_b"), num, den)).select(F.col("leader").alias("a"), F.col("member").alias("b"))
     labels = components(links)
-    more = materialize(_leftover_links(rows, compared, labels, sets, width, num, den), "jaccard-more")
+    more = materialize(_leftover_links(texts, compared, labels, sets, width, num, den), "jaccard-more")
     if more.limit(1).count():
         labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
     named = sets.join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))

@@ -63,6 +63,31 @@ def test_jaccard_equals_brute_force(spark, odd_docs, width, num):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_classes(docs.collect(), width, num, 100)
 
 
+def test_jaccard_of_sets_that_only_rows_without_id_hold(spark):
+    """A null-id set leads all lists that two others share; joins two that aren't linked; has copies; has no partner with an id."""
+    import random
+
+    def sid(text):
+        return shingles.set_id(next(shingles.shingle_sets([text], 5)))
+
+    r, rows = random.Random(3), []
+    while len(rows) < 9:
+        base = " ".join(f"w{r.randint(0, 9999)}" for _ in range(60))
+        if sid(base) < min(sid(base + " x"), sid(base + " y")):
+            rows += [(None, base), (100 + len(rows), base + " x"), (100 + len(rows), base + " y")]
+    base = [f"v{i}" for i in range(64)]
+    rows += [(50, " ".join(base[9:])), (51, " ".join(base[:-9])), *[(None, " ".join(base))] * 3]
+    rows += [(None, " ".join(f"u{i}" for i in range(n))) for n in (40, 41, 41)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_classes(docs.collect(), 5, 80, 100)
+    assert want[51, 51, 50] == 1 and want[None, 60, 50] == 3
+    got = jaccard.jaccard_classes(docs).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
+    named = docs.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    found = jaccard.jaccard_classes(named).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in found) == brute_classes(named.collect(), 5, 80, 100)
+
+
 def test_jaccard_of_nothing_and_keep_one(odd_docs, no_docs):
     assert jaccard.jaccard_classes(no_docs).count() == 0
     kept = jaccard.keep_one(odd_docs)
