@@ -47,11 +47,69 @@ def pool_bouts(pools: DataFrame, keys: list[str], results: str = "results") -> D
     return found.where(F.col("kind").isNotNull()).drop("kind")
 
 
-def bracket_bouts(events: DataFrame, keys: list[str]) -> DataFrame:
+def _entry_score(c: str, part: int) -> Column:
+    """Winner's (1) or loser's (2) score of text: an object, ``15-12`` or the winner's alone."""
+    name = ("$.winner_score", "$.loser_score")[part - 1]
+    alone = F.when(F.lit(part == 1), F.regexp_extract(c, r"^([0-9]+)(\.[0-9]+)?$", 1))
+    pair = F.regexp_extract(c, r"^([0-9]+)\s*[-:]\s*([0-9]+)", part)
+    return F.coalesce(F.get_json_object(c, name).try_cast("int"), pair.try_cast("int"), alone.try_cast("int"))
+
+
+def _round_map_bouts(events: DataFrame, keys: list[str]) -> DataFrame:
+    """Bouts of ``bouts_by_round``, nested or flat; won by name, else by score; ties and missing names go, byes stay."""
+    rows = events.select(*keys, F.posexplode("bouts_by_round").alias("r", "round", "list"))
+    rows = rows.select(*keys, "r", "round", F.posexplode("list").alias("j", "b"))
+
+    def side(i: int) -> Column:
+        return F.struct(*[F.coalesce(f"b.player{i}.{c}", f"b.player{i}_{c}").alias(c) for c in ("name", "team", "seed", "score")])
+
+    rows = rows.select(*keys, (F.col("r") * 100_000 + F.col("j")).alias("ord"), "round", side(1).alias("p1"), side(2).alias("p2"), F.coalesce("b.winnerName", "b.winner_name").alias("said"), F.coalesce("b.isBye", "b.is_bye", F.lit(False)).alias("is_bye"))
+    one, two = F.coalesce("p1.score", F.lit(0)), F.coalesce("p2.score", F.lit(0))
+    winner = F.when(F.col("said").isin(F.col("p1.name"), F.col("p2.name")) | F.col("is_bye"), F.col("said")).when(one > two, F.col("p1.name")).when(two > one, F.col("p2.name"))
+    whole = (F.coalesce("p1.name", F.lit("")) != "") & (F.coalesce("p2.name", F.lit("")) != "") & F.col("winner").isNotNull()
+    return rows.withColumn("winner", winner).where(whole | F.col("is_bye")).select(*keys, "ord", "round", "p1", "p2", "winner", "is_bye")
+
+
+def _legacy_bouts(events: DataFrame, keys: list[str]) -> DataFrame:
+    """Bouts of ``results_by_round``: the results of a table in order of seed, two at a time; who has a winner's score won."""
+    rows = events.select(*keys, F.posexplode("results_by_round").alias("r", "round", "list"))
+    rows = rows.select(*keys, "r", "round", F.posexplode("list").alias("j", "b")).where("b.is_match_result")
+    rows = rows.withColumn("table", F.coalesce("b.table_index", F.lit(0)))
+    seat = F.row_number().over(Window.partitionBy(*keys, "r", "table").orderBy(F.coalesce("b.seed", F.lit(999)), "j")) - 1
+    who = F.struct("b.name", "b.team", "b.seed", _entry_score("b.score", 1).alias("won"), _entry_score("b.score", 2).alias("lost"))
+    rows = rows.withColumn("seat", seat).withColumn("who", who).withColumn("match", F.floor(F.col("seat") / 2).cast("int"))
+    at = lambda k: F.max(F.when(F.col("seat") % 2 == k, F.col("who")))
+    rows = rows.groupBy(*keys, "r", "round", "table", "match").agg(at(0).alias("x"), at(1).alias("y"))
+    rows = rows.withColumn("y", F.when(~F.col("x.name").eqNullSafe(F.col("y.name")), F.col("y")))
+    first, second = F.col("x.won").isNotNull(), F.col("x.won").isNull() & F.col("y.won").isNotNull()
+    side = lambda s, won: F.struct(f"{s}.name", f"{s}.team", f"{s}.seed", F.when(won, F.col(f"{s}.won")).otherwise(F.col(f"{s}.lost")).alias("score"))
+    number = F.row_number().over(Window.partitionBy(*keys, "r").orderBy("table", "match"))
+    return rows.select(
+        *keys, (F.col("r") * 100_000 + number).alias("ord"), "round", side("x", first).alias("p1"), side("y", second).alias("p2"),
+        F.when(first, F.col("x.name")).when(second, F.col("y.name")).alias("winner"), F.col("y").isNull().alias("is_bye"),
+    )
+
+
+def _winner_bouts(events: DataFrame, keys: list[str]) -> DataFrame:
+    """Wins of ``de_matches``, whose other side isn't known; without a score, or 0:0, they go."""
+    rows = events.select(*keys, F.posexplode("de_matches").alias("ord", "b")).where("b.is_match_result and coalesce(b.name, '') <> ''")
+    one, two = F.coalesce(_entry_score("b.score", 1), F.lit(0)), F.coalesce(_entry_score("b.score", 2), F.lit(0))
+    side = lambda name, team, seed, score: F.struct(name.alias("name"), team.alias("team"), seed.cast("int").alias("seed"), score.alias("score"))
+    rows = rows.where((one != 0) | (two != 0))
+    return rows.select(
+        *keys, "ord", F.col("b.round").alias("round"), side(F.col("b.name"), F.col("b.team"), F.col("b.seed"), one).alias("p1"),
+        side(F.lit("(상대)"), F.lit(""), F.lit(None), two).alias("p2"), F.col("b.name").alias("winner"), F.lit(False).alias("is_bye"),
+    )
+
+
+def bracket_bouts(events: DataFrame, keys: list[str], double_count: bool = False) -> DataFrame:
     """Bouts of an elimination bracket given in any of its shapes.
 
     Uses ``full_bouts`` (round, table_index, winner, loser, score) where there are any; else
-    ``bouts`` (round, match_number, player1, player2, winner_name, is_bye). Of bouts between the
+    ``bouts`` (round, match_number, player1, player2, winner_name, is_bye); else the maps
+    ``bouts_by_round``; else ``results_by_round``. Wins of ``de_matches`` are added, unless
+    one of these has the winner's win of that round (``double_count`` adds them all). Columns
+    of the last three may be missing. Of bouts between the
     same two names of a round, the first stays. A round with twice its bouts or more takes the
     name for that number, unless it is a final or semifinal.
     """
@@ -60,7 +118,16 @@ def bracket_bouts(events: DataFrame, keys: list[str]) -> DataFrame:
     full = full.select(*keys, "ord", F.col("b.round").alias("round"), side("winner", F.col("b.score.winner_score")).alias("p1"), side("loser", F.col("b.score.loser_score")).alias("p2"), F.col("b.winner.name").alias("winner"), F.lit(False).alias("is_bye"))
     flat = events.where((F.coalesce(F.size("full_bouts"), F.lit(0)) <= 0) & (F.coalesce(F.size("bouts"), F.lit(0)) > 0)).select(*keys, F.posexplode("bouts").alias("ord", "b"))
     flat = flat.select(*keys, "ord", F.col("b.round").alias("round"), side("player1", F.col("b.player1.score")).alias("p1"), side("player2", F.col("b.player2.score")).alias("p2"), F.col("b.winner_name").alias("winner"), F.coalesce("b.is_bye", F.lit(False)).alias("is_bye"))
-    both = full.unionByName(flat).withColumn("round", round_label("round"))
+    both, left = full.unionByName(flat), (F.coalesce(F.size("full_bouts"), F.lit(0)) <= 0) & (F.coalesce(F.size("bouts"), F.lit(0)) <= 0)
+    for shape, read in (("bouts_by_round", _round_map_bouts), ("results_by_round", _legacy_bouts)):
+        if shape in events.columns:
+            both = both.unionByName(read(events.where(left), keys))
+            left = left & (F.coalesce(F.size(shape), F.lit(0)) <= 0)
+    if "de_matches" in events.columns:
+        both = both.withColumn("__alone", F.lit(False)).unionByName(_winner_bouts(events, keys).withColumn("__alone", F.lit(True)))
+        won = Window.partitionBy(*keys, round_label("round"), F.trim("winner"))
+        both = both.withColumn("__met", ~F.every("__alone").over(won)).where(F.lit(double_count) | ~F.col("__alone") | ~F.col("__met")).drop("__alone", "__met")
+    both = both.withColumn("round", round_label("round"))
     pair = F.array_sort(F.array(F.trim(F.coalesce("p1.name", F.lit(""))), F.trim(F.coalesce("p2.name", F.lit("")))))
     first = Window.partitionBy(*keys, "round", "__pair").orderBy("ord")
     both = both.withColumn("__pair", pair).withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__pair", "__n")

@@ -13,13 +13,15 @@ PROFILE = "name string, part int, teams array<string>, weapons array<string>, cu
 
 
 def appearances(documents: DataFrame) -> DataFrame:
-    """name, team, comp, date, event, weapon, rank, kind of every pool and ranking row; empty names are left out."""
+    """name, team, comp, date, event, weapon, rank, kind of every pool, ranking and seeding row; empty names are left out."""
     events = documents.select("competition", F.explode("events").alias("e"))
     base = ["competition", "e"]
     pools = events.select(*base, F.explode("e.pool_rounds").alias("p")).select(*base, F.explode("p.results").alias("r"), F.lit("pool").alias("kind"))
     ranks = events.select(*base, F.explode("e.final_rankings").alias("r"), F.lit("ranking").alias("kind"))
+    seeds = events.select(*base, F.explode("e.seeding").alias("r")).where("r.name <> '-'")
+    seeds = seeds.select(*base, F.struct("r.name", "r.team", F.lit(None).cast("int").alias("rank")).alias("r"), F.lit("de_seeding").alias("kind"))
     rows = None
-    for part in (pools, ranks):
+    for part in (pools, ranks, seeds):
         part = part.select(
             F.trim("r.name").alias("name"), F.trim(F.coalesce("r.team", F.lit(""))).alias("team"), F.col("competition.event_cd").alias("comp"),
             F.coalesce("competition.start_date", F.lit("")).alias("date"), F.col("e.name").alias("event"), F.col("e.weapon").alias("weapon"), F.col("r.rank").cast("int").alias("rank"), "kind",

@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 RESULT = "struct<name:string,team:string,rank:int,scores:array<string>>"
 SIDE = "struct<name:string,team:string,seed:int,score:int>"
+FLAT_SIDES = ",".join(f"player{i}_seed:int,player{i}_name:string,player{i}_team:string,player{i}_score:int" for i in (1, 2))
+ENTRY = "struct<round:string,table_index:int,seed:int,name:string,team:string,is_match_result:boolean,score:string>"
 EVENT = (
     "struct<event_cd:string,sub_event_cd:string,name:string,weapon:string,gender:string,event_type:string,age_group:string,total_participants:int,"
     f"pool_rounds:array<struct<round_number:int,pool_number:int,results:array<{RESULT}>>>,final_rankings:array<struct<rank:int,name:string,team:string>>,"
+    f"seeding:array<struct<seed:int,name:string,team:string>>,de_matches:array<{ENTRY}>,results_by_round:map<string,array<{ENTRY}>>,"
+    f"bouts_by_round:map<string,array<struct<player1:{SIDE},player2:{SIDE},winnerName:string,isBye:boolean,{FLAT_SIDES},winner_name:string,is_bye:boolean>>>,"
     f"full_bouts:array<struct<round:string,table_index:int,winner:{SIDE},loser:{SIDE},score:struct<winner_score:int,loser_score:int>>>,"
     f"bouts:array<struct<round:string,match_number:int,player1:{SIDE},player2:{SIDE},winner_name:string,is_bye:boolean>>>"
 )

@@ -289,3 +289,29 @@ def test_whole_components_take_every_order(spark):
     got = QUERIES["connected_components_whole"](spark, sf).collect()
     assert len(got) == len({r.node for r in got})
     assert {r.node: r.component for r in got} == _union_find((r.o_custkey, 1_000_000 + r.o_orderkey % 997) for r in orders)
+
+
+def test_every_bracket_shape_is_read(spark, tmp_path):
+    """bouts_by_round (nested and flat), results_by_round, de_matches beside and without full_bouts, and seeding."""
+    (tmp_path / "d.json").write_text("""[{"competition":{"event_cd":"C"},"events":[
+        {"event_cd":"map","bouts_by_round":{"결승":[{"player1":{"name":"A","team":"t","score":15},"player2":{"name":"B","team":"u","score":10},"winnerName":"A"}],
+            "4강":[{"player1":{"name":"A","team":"t","score":9},"player2":{"name":"C","team":"u","score":15}},{"player1":{"name":"D","score":5},"player2":{"name":"E","score":5}},
+                   {"player1_name":"F","player1_score":15,"player2_name":"G","player2_score":3,"winner_name":"F"},{"player1":{"name":"H"},"isBye":true,"winnerName":"H"}]},
+            "results_by_round":{"8강":[{"name":"no","is_match_result":true,"score":"15-1"}]}},
+        {"event_cd":"legacy","results_by_round":{"8강":[{"name":"Q","seed":8,"table_index":1,"is_match_result":true},{"name":"P","seed":1,"table_index":1,"is_match_result":true,"score":{"winner_score":15,"loser_score":7}},
+            {"name":"S","seed":2,"table_index":2,"is_match_result":true,"score":"15-9"},{"name":"skip","seed":3,"table_index":2,"is_match_result":false}]}},
+        {"event_cd":"wins","de_matches":[{"round":"8강","name":"W","team":"t","is_match_result":true,"score":{"winner_score":15,"loser_score":3}},{"round":"8강","name":"Z","is_match_result":true,"score":{"winner_score":0,"loser_score":0}}]},
+        {"event_cd":"both","full_bouts":[{"round":"결승","winner":{"name":"A"},"loser":{"name":"B"},"score":{"winner_score":15,"loser_score":8}}],
+            "de_matches":[{"round":"결승전","name":"A","is_match_result":true,"score":{"winner_score":15,"loser_score":8}},{"round":"8강","name":"A","is_match_result":true,"score":{"winner_score":15,"loser_score":2}}],
+            "seeding":[{"seed":1,"name":"A","team":"t"},{"seed":2,"name":"-"}]}]}]""")
+    docs = tables.read_documents(spark, str(tmp_path))
+    events = docs.select(F.explode("events").alias("e")).select("e.*")
+    seen = lambda rows: {(r.event_cd, r["round"], r.p1.name, r.p2 and r.p2.name, r.p1.score, r.p2 and r.p2.score, r.winner, r.is_bye) for r in rows.collect()}
+    want = {
+        ("map", "결승", "A", "B", 15, 10, "A", False), ("map", "준결승", "A", "C", 9, 15, "C", False), ("map", "준결승", "F", "G", 15, 3, "F", False), ("map", "준결승", "H", None, None, None, "H", True),
+        ("legacy", "8강", "P", "Q", 15, None, "P", False), ("legacy", "8강", "S", None, 15, None, "S", True),
+        ("wins", "8강", "W", "(상대)", 15, 3, "W", False), ("both", "결승", "A", "B", 15, 8, "A", False), ("both", "8강", "A", "(상대)", 15, 2, "A", False),
+    }
+    assert seen(bouts.bracket_bouts(events, ["event_cd"])) == want
+    assert seen(bouts.bracket_bouts(events, ["event_cd"], True)) == want | {("both", "결승", "A", "(상대)", 15, 8, "A", False)}
+    assert {(r.name, r.kind) for r in identity.appearances(docs).collect()} == {("A", "de_seeding")}
