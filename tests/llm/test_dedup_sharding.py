@@ -1,7 +1,9 @@
 import zlib
 from collections import Counter, defaultdict
+from dataclasses import replace
 
 from oracle import connect, same
+from pyspark.sql import functions as F
 
 from lamella.llm import dedup, queries, sharding
 
@@ -12,36 +14,55 @@ def lower(text):
     return (text or "").encode().lower().decode()
 
 
-def test_exact_dedup_equals_brute_force(odd_docs):
-    rows = odd_docs.collect()
+def brute_groups(rows):
     groups = defaultdict(list)
     for r in rows:
         groups[lower(r.text)].append(r.doc_id)
-    got = dedup.exact_dedup(odd_docs, bucket_rows=1, max_depth=4).collect()
-    assert len(got) == len(rows)
-    want = Counter((r.doc_id, max((i for i in groups[lower(r.text)] if i is not None), default=None), len(groups[lower(r.text)])) for r in rows)
-    assert Counter((r.doc_id, r.keep_id, r.group_size) for r in got) == want
-    assert all(r.kept == (r.doc_id == r.keep_id) for r in got)
-
-
-def test_directory_splits_until_buckets_fit(spark):
-    entries = spark.range(4000).selectExpr("xxhash64(id) as key")
-    slots = dedup.directory(entries, 100, 10).collect()
-    loads = Counter()
-    for r in entries.selectExpr("cast(shiftrightunsigned(key, 54) as int) c").collect():
-        loads[r.c] += 1
-    buckets = Counter()
-    for s in slots:
-        buckets[s.bucket, s.local_depth] += loads[s.cell]
-        assert s.bucket == s.cell >> (10 - s.local_depth) << (10 - s.local_depth)
-    assert max(buckets.values()) <= 100 and sum(buckets.values()) == 4000
-    assert len({d for _, d in buckets}) > 1 or len(buckets) > 1
+    found = {t: max((i for i in ids if i is not None), default=None) for t, ids in groups.items()}
+    return Counter((r.doc_id, found[lower(r.text)], len(groups[lower(r.text)])) for r in rows)
 
 
-def test_index_chains_different_texts_once(odd_docs):
-    index = dedup.build_index(odd_docs, bucket_rows=1, max_depth=3).collect()
-    assert len({r.text_sha256 for r in index}) == len(index)
-    assert all(r.chain == 1 for r in index)
+def test_exact_dedup_equals_brute_force(odd_docs):
+    rows = odd_docs.collect()
+    for bucket_rows in (1, 3, 4096):
+        got = dedup.exact_dedup(odd_docs, bucket_rows=bucket_rows).collect()
+        assert Counter((r.doc_id, r.keep_id, r.group_size) for r in got) == brute_groups(rows)
+        assert all(r.kept == (r.doc_id == r.keep_id) for r in got)
+
+
+def test_directory_doubles_until_no_bucket_is_overfull(spark):
+    keys = spark.range(6000).selectExpr("xxhash64(id) as key")
+    cells, depth = dedup.directory(keys, 100)
+    slots = {r.cell: r for r in cells.collect()}
+    buckets = Counter()
+    for r in keys.collect():
+        slot = slots[(r.key & (1 << 64) - 1) >> (64 - depth)]
+        buckets[slot.bucket, slot.local_depth] += 1
+        assert slot.bucket == slot.cell >> (depth - slot.local_depth) << (depth - slot.local_depth)
+    assert max(buckets.values()) <= 100 and sum(buckets.values()) == 6000
+    assert len({d for _, d in buckets}) > 1
+    # keys that share seven leading bits take eight doublings, and no more
+    cells, depth = dedup.directory(spark.range(8).selectExpr("shiftleft(id, 54) as key"), 4)
+    assert depth == 8 and cells.where("local_depth = 8").count() == 2
+
+
+def test_owners_chain_texts_of_one_key_by_their_bytes(spark, odd_docs, monkeypatch):
+    """With one key for all, every text is a link of one chain, and results don't change."""
+    monkeypatch.setattr(dedup.F, "xxhash64", lambda *_: F.lit(7).cast("long"))
+    index = dedup.build_index(odd_docs)
+    rows = odd_docs.collect()
+    links = index.entries.collect()
+    assert sorted(r.chain for r in links) == list(range(1, len({lower(r.text) for r in rows}) + 1))
+    assert Counter((r.doc_id, r.keep_id, r.group_size) for r in dedup.probe(index).collect()) == brute_groups(rows)
+
+
+def test_the_index_decides(odd_docs):
+    index = dedup.build_index(odd_docs, bucket_rows=2)
+    spoilt = index.entries.withColumn("keep_id", F.lit(-1).cast("long"))
+    assert {r.keep_id for r in dedup.probe(replace(index, entries=spoilt)).collect()} == {-1}
+    moved = index.cells.withColumn("bucket", F.col("bucket") + 1)
+    assert dedup.probe(replace(index, cells=moved)).count() == 0
+    assert index.entries.count() == len({lower(r.text) for r in odd_docs.collect()})
 
 
 def test_keep_one_keeps_columns_and_single_rows(odd_docs, no_docs):
