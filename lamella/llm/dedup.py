@@ -11,6 +11,8 @@ from .common import lower_ascii, materialize
 
 #: Parts in which the copies of one text are counted before they meet at its owner.
 PARTIALS = 16
+#: Repeated keys that are broadcast at most (16 bytes each or so); more of them meet the texts in a shuffle.
+BROADCAST_KEYS = 500_000
 
 
 @dataclass(frozen=True)
@@ -74,8 +76,8 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Keys are 64-bit hashes. A key that one row alone has is an entry without its text. The texts
     of all other keys go to their buckets, copies being counted in up to PARTIALS parts before
-    the shuffle, so a text that fills a third of the rows is some rows per task. Each owner task
-    then takes a range of (bucket, key): it lines up the texts of a key, compares neighbours
+    the shuffle, so a text that fills a third of the rows is some rows per task; texts of other keys
+    aren't shuffled while the repeated keys are few enough to be broadcast. Each owner task then takes a range of (bucket, key): it lines up the texts of a key, compares neighbours
     byte by byte, opens a new link of the chain wherever they differ, and writes the links with
     their largest id and number of rows.
     """
@@ -84,11 +86,13 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keys = codes.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("top"), F.min("text_sha256").alias("text_sha256"))
     keys = materialize(keys, "dedup-keys")
     cells, depth = directory(keys, bucket_rows)
-    placed = _placed(keys, cells, depth)
-    alone = placed.where("n = 1").select("bucket", "local_depth", "key", F.lit(None).cast("string").alias("norm"), "text_sha256", "n", "top")
-    shared = rows.join(placed.where("n > 1").select("key", "bucket", "local_depth"), "key")
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(PARTIALS))
-    met = shared.groupBy("bucket", "local_depth", "key", "norm", part.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("top"))
+    alone = _placed(keys.where("n = 1"), cells, depth).select("bucket", "local_depth", "key", F.lit(None).cast("string").alias("norm"), "text_sha256", "n", "top")
+    again = keys.where("n > 1").select("key")
+    few = again.count() <= BROADCAST_KEYS
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(PARTIALS)).alias("part")
+    met = rows.join(F.broadcast(again), "key") if few else rows
+    met = met.groupBy("key", "norm", part).agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("top"))
+    met = _placed(met if few else met.join(again, "key"), cells, depth)
     met = met.select("bucket", "local_depth", "key", "norm", F.lit(None).cast("string").alias("text_sha256"), "n", "top")
     owned = materialize(alone.union(met), "dedup-entries").repartitionByRange("bucket", "key")
     line = Window.partitionBy("bucket", "key").orderBy("norm")

@@ -18,6 +18,8 @@ from .common import materialize
 
 #: A sequence's content as (length, times) entries, and how many sequences have it.
 Plan = list[tuple[list[tuple[int, int]], int]]
+#: Pieces of one length that one task ranks, on average.
+PART_ROWS = 1 << 16
 
 
 def reduce_instance(counts: dict[int, int], capacity: int) -> tuple[Plan, dict[int, int]]:
@@ -184,7 +186,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         whole, special, core = _library(tokenizer_path)
-        encoder = Encoder(lambda words: [core._encode_single_piece(w) for w in words])
+        encoder = Encoder(lambda words: [core.encode_ordinary(w.decode()) for w in words])
         tail = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for a in range(0, len(batch), 1000):
@@ -206,19 +208,23 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, schema)
 
 
-def pack(pieces: DataFrame, capacity: int = 2048, sub_bits: int = 8) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     """The columns of ``pieces``, then sequence_id and offset.
 
     The plan is made from the histogram of lengths (``capacity`` rows at most). Each piece gets
-    a rank among those of its length; ranks are counted within hash parts of a length, so one
-    very common length is no single task. A task looks its ranks up in the plan, whose size
-    depends on ``capacity`` alone.
+    a rank among those of its length; ranks are counted within hash parts of a length, as many
+    as its pieces need, so one very common length is no single task. A task looks its ranks up
+    in the plan, whose size depends on ``capacity`` alone.
     """
     spark, names = pieces.sparkSession, pieces.columns
-    part = F.shiftrightunsigned(F.xxhash64("doc_id", "piece", "ids_crc32"), 64 - sub_bits).cast("int")
-    pieces = materialize(pieces.withColumn("__part", part), "pack-pieces")
+    pieces = materialize(pieces, "pack-pieces")
+    counts = {int(r["length"]): int(r["count"]) for r in pieces.groupBy("length").count().collect()}  # one per length
+    bits = [(length, max(0, (n - 1) // PART_ROWS).bit_length()) for length, n in counts.items()]
+    known = spark.createDataFrame(bits, "length long, __bits int")
+    mixed = F.xxhash64("doc_id", "piece", "ids_crc32")
+    pieces = pieces.withColumn("__mixed", mixed).join(F.broadcast(known), "length")
+    pieces = pieces.withColumn("__part", F.expr("if(__bits = 0, 0, cast(shiftrightunsigned(__mixed, 64 - __bits) as int))"))
     parts = materialize(pieces.groupBy("length", "__part").agg(F.count(F.lit(1)).alias("__n")), "pack-parts")
-    counts = {int(r["length"]): int(r["n"]) for r in parts.groupBy("length").agg(F.sum("__n").alias("n")).collect()}
     fixed, rest = reduce_instance(counts, capacity)
     rows = np.array(plan_rows(fixed + best_fit(rest, capacity)), np.int64).reshape(-1, 6)
     plan = spark.sparkContext.broadcast(rows)

@@ -43,53 +43,78 @@ def hilbert_cells(spark: SparkSession, dims: int, bits: int) -> DataFrame:
     return walked.select("cell", index.alias("curve"))
 
 
-def _code(name: str, kind: str) -> Column:
-    """An order-keeping number of a column's value: strings by their first six bytes; null first."""
-    if kind in ("string", "binary"):
-        code = F.conv(F.substring(F.rpad(F.hex(F.col(name).cast("binary")), 12, "0"), 1, 12), 16, 10).cast("double")
-    else:
-        code = F.col(name).cast("double")
-    return F.coalesce(code, F.lit(-1.0))
+NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
+#: Rows of a cell that one task orders, on average.
+PART_ROWS = 1 << 16
+
+
+def _cuts(rows: DataFrame, name: str, cells: int) -> list[tuple[int, object]]:
+    """(step, least value of the step) at the quantiles of a column of any type that has an order.
+
+    Rows are counted per value, which combines before the shuffle; values are dealt out in ranges,
+    and running sums over ranges and inside them give the share of rows before each value. Only
+    the steps' least values reach the driver, ``cells`` of them at most.
+    """
+    counts = rows.groupBy(F.col(name).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    ranged = materialize(counts.repartitionByRange("v").withColumn("pid", F.spark_partition_id()), "shard-values")
+    before = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    sums = ranged.groupBy("pid").agg(F.sum("n").alias("w")).withColumn("w0", F.coalesce(F.sum("w").over(before), F.lit(0)))
+    total = ranged.agg(F.sum("n")).first()[0] or 1
+    inside = Window.partitionBy("pid").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    share = F.coalesce(F.sum("n").over(inside), F.lit(0)).alias("w1")
+    placed = ranged.select("pid", "v", share).join(F.broadcast(sums), "pid")
+    step = F.expr(f"cast((w0 + w1) * {cells} div {total} as int)")
+    found = placed.where("v is not null").groupBy(step.alias("step")).agg(F.min("v").alias("least")).collect()
+    return sorted((r["step"], r["least"]) for r in found)
 
 
 def hilbert_shards(
     docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", dims: tuple[str, ...] = ("lang", "source", "n_chars"),
-    law: str = "bytes", bits: int = 4, sub_bits: int = 8,
+    law: str = "bytes", bits: int = 4,
 ) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, curve for every row.
 
-    Each dimension is quantised at its approximate quantiles to 2**bits steps, the rows are put
-    in Hilbert order of the cells, and the order is cut into runs. Law ``rows`` cuts runs whose
-    counts differ by one at most; law ``bytes`` cuts where the running size passes a multiple
-    of the mean, so runs differ by the largest row at most. Inside a cell rows are ordered by a
-    hash, whose top ``sub_bits`` divide the cell: no task sorts more than a cell's share of
-    them, even if one cell holds a third of all rows. Offsets are summed over cells (at most
-    2**(dims*bits) rows), then over the parts of one cell (2**sub_bits).
+    Each dimension is quantised at its quantiles to 2**bits steps (numbers at approximate ones,
+    all else in the order of the whole value), the rows are put in Hilbert order of the cells,
+    and the order is cut into runs. Law ``rows`` cuts runs whose counts differ by one at most;
+    law ``bytes`` cuts where the running size passes a multiple of the mean, so runs differ by
+    the largest row at most. Inside a cell rows are ordered by a hash, whose top bits divide the
+    cell into as many parts as its rows need, so no task orders a whole large cell. Offsets are
+    summed over cells (at most 2**(dims*bits) rows), then over the parts of one cell.
 
     Size is the UTF-8 length plus 1; a null text counts as empty. Null dimensions sort first.
-    Repeated rows each get their own slot. An empty table gives an empty result.
+    Equal texts may lie in different shards, as their metadata may differ. Repeated rows each get
+    their own slot. Other columns are ignored. An empty table gives an empty result.
     """
     if law not in ("rows", "bytes"):
         raise ValueError("law must be rows or bytes")
     spark, kinds, cells = docs.sparkSession, dict(docs.dtypes), 1 << bits
     text = F.coalesce(F.col(text_col), F.lit(""))
+    numeric = [kinds[c].startswith(NUMBERS) for c in dims]
     codes = docs.select(
         F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-        *[_code(c, kinds[c]).alias(f"d{i}") for i, c in enumerate(dims)],
+        *[(F.coalesce(F.col(c).cast("double"), F.lit(float("-inf"))) if number else F.col(c)).alias(f"d{i}") for i, (c, number) in enumerate(zip(dims, numeric, strict=True))],
     )
     codes = materialize(codes, "shard-codes")
     at = [i / cells for i in range(1, cells)]
-    cuts = codes.agg(*[F.percentile_approx(f"d{i}", at, 10_000) for i in range(len(dims))]).first()  # a few cut points
     cell = F.lit(0)
-    for i in range(len(dims)):
-        for j, cut in enumerate(sorted(set(cuts[i] or []))):
-            step = F.lit(0) if j == 0 else step
-            step = F.when(F.col(f"d{i}") > cut, j + 1).otherwise(step)
-        cell = cell * cells + (step if cuts[i] else 0)
+    for i, number in enumerate(numeric):
+        step = F.lit(0)
+        if number:
+            cuts = codes.agg(F.percentile_approx(f"d{i}", at, 10_000)).first()[0] or []  # a few cut points
+            for j, cut in enumerate(sorted(set(cuts))):
+                step = F.when(F.col(f"d{i}") > cut, j + 1).otherwise(step)
+        else:
+            for j, least in _cuts(codes, f"d{i}", cells):
+                step = F.when(F.col(f"d{i}") >= least, j).otherwise(step)
+        cell = cell * cells + step
     mixed = F.xxhash64("doc_id", "text_crc32", "size")
     keyed = codes.select("doc_id", "size", "text_crc32", cell.alias("cell"), mixed.alias("h"))
-    keyed = keyed.join(F.broadcast(hilbert_cells(spark, len(dims), bits)), "cell").drop("cell")
-    keyed = keyed.withColumn("sub", F.shiftrightunsigned("h", 64 - sub_bits).cast("int"))
+    counts = keyed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    sub_bits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / PART_ROWS))).cast("int").alias("sub_bits")
+    known = hilbert_cells(spark, len(dims), bits).join(counts, "cell").select("cell", "curve", sub_bits)
+    keyed = keyed.join(F.broadcast(known), "cell").drop("cell")
+    keyed = keyed.withColumn("sub", F.expr("if(sub_bits = 0, 0, cast(shiftrightunsigned(h, 64 - sub_bits) as int))"))
     weight = F.lit(1) if law == "rows" else F.col("size")
     parts = keyed.groupBy("curve", "sub").agg(F.sum(weight).cast("long").alias("w"), F.count(F.lit(1)).alias("n"))
     parts = materialize(parts, "shard-parts")
@@ -100,7 +125,7 @@ def hilbert_shards(
     inside = Window.partitionBy("curve").orderBy("sub").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select("curve", "sub", F.coalesce(F.sum("w").over(inside), F.lit(0)).alias("w1"), F.coalesce(F.sum("n").over(inside), F.lit(0)).alias("n1"))
     offsets = offsets.join(F.broadcast(runs), "curve").select("curve", "sub", (F.col("w0") + F.col("w1")).alias("w0"), (F.col("n0") + F.col("n1")).alias("n0"))
-    order = Window.partitionBy("curve", "sub").orderBy("h", "doc_id", "text_crc32")
+    order = Window.partitionBy("curve", "sub").orderBy(F.col("h") < 0, "h", "doc_id", "text_crc32")  # as unsigned numbers
     upto = order.rowsBetween(Window.unboundedPreceding, -1)
     placed = keyed.join(offsets, ["curve", "sub"])
     placed = placed.withColumn("rank", F.col("n0") + F.row_number().over(order) - 1)
@@ -122,7 +147,7 @@ def write_shards(docs: DataFrame, path: str, shards: int = 16, files: int = 8, i
 
     Each shard's rows are written in curve order as about ``files`` files, so the files' least and
     greatest values of every dimension prune scans. Rows that repeat id and text share their
-    places among themselves. The column is ``shard``, with underscores behind it if docs have one.
+    places among themselves. Nulls, long texts and empty tables are as in ``hilbert_shards``. The column is ``shard``, with underscores behind it if docs have one.
     """
     name = "shard"
     while name in docs.columns:

@@ -2,6 +2,8 @@ import zlib
 from collections import Counter, defaultdict
 from dataclasses import replace
 
+import pyarrow.parquet as pq
+import pytest
 from oracle import connect, same
 from pyspark.sql import functions as F
 
@@ -22,9 +24,10 @@ def brute_groups(rows):
     return Counter((r.doc_id, found[lower(r.text)], len(groups[lower(r.text)])) for r in rows)
 
 
-def test_exact_dedup_equals_brute_force(odd_docs):
+def test_exact_dedup_equals_brute_force(odd_docs, monkeypatch):
     rows = odd_docs.collect()
-    for bucket_rows in (1, 3, 4096):
+    for bucket_rows, broadcast_keys in ((1, 0), (3, 500), (4096, 0)):
+        monkeypatch.setattr(dedup, "BROADCAST_KEYS", broadcast_keys)
         got = dedup.exact_dedup(odd_docs, bucket_rows=bucket_rows).collect()
         assert Counter((r.doc_id, r.keep_id, r.group_size) for r in got) == brute_groups(rows)
         assert all(r.kept == (r.doc_id == r.keep_id) for r in got)
@@ -117,6 +120,80 @@ def test_shards_are_runs_of_the_curve_and_equal_in_bytes(spark):
     assert all(a[1] <= b[0] for a, b in zip(order, order[1:], strict=False))
 
 
+def brute_curve(point, bits):
+    """The place of a point on the curve, one level of the recursion at a time."""
+    x = list(point)
+    for b in range(bits - 1, 0, -1):
+        low = (1 << b) - 1
+        for d in range(len(x)):
+            if x[d] >> b & 1:
+                x[0] ^= low
+            else:
+                swap = (x[0] ^ x[d]) & low
+                x[0], x[d] = x[0] ^ swap, x[d] ^ swap
+    gray = [0] * len(x)
+    for d, v in enumerate(x):
+        gray[d] = v ^ (gray[d - 1] if d else 0)
+    flip = 0
+    for b in range(bits - 1, 0, -1):
+        if gray[-1] >> b & 1:
+            flip ^= (1 << b) - 1
+    return sum((g ^ flip) >> b & 1 and 1 << (b * len(x) + len(x) - 1 - d) for d, g in enumerate(gray) for b in range(bits))
+
+
+def brute_steps(values, cells):
+    """Steps of strings: the share of rows with a lesser value; of numbers: the quantiles passed."""
+    n = len(values)
+    if any(isinstance(v, str) for v in values):
+        before = {v: sum((w or "") < (v or "") for w in values) for v in set(values)}
+        return [before[v] * cells // n for v in values]
+    low = [float("-inf") if v is None else float(v) for v in values]
+    order = sorted(low)
+    cuts = sorted({order[-(-i * n // cells) - 1] for i in range(1, cells)})
+    return [sum(v > c for c in cuts) for v in low]
+
+
+@pytest.mark.parametrize("law", ["rows", "bytes"])
+def test_shards_equal_brute_force(spark, law):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("site", F.concat(F.lit("https://host"), F.col("source")))
+    dims, cells = ("lang", "site", "n_chars"), 16
+    mixed = F.xxhash64("doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary")), (F.octet_length(F.coalesce("text", F.lit(""))) + 1).cast("long"))
+    rows = docs.select("*", mixed.alias("h")).collect()
+    points = list(zip(*[brute_steps([r[d] for r in rows], cells) for d in dims], strict=True))
+    assert len({p[1] for p in points}) > 8
+    placed = sorted((brute_curve(p, 4), r.h & (1 << 64) - 1, r.doc_id, len((r.text or "").encode()) + 1) for p, r in zip(points, rows, strict=True))
+    want, before, total, slots = {}, 0, sum(p[3] for p in placed), Counter()
+    for rank, (curve, _, doc_id, size) in enumerate(placed):
+        shard = rank * 7 // len(placed) if law == "rows" else min(6, (before + size // 2) * 7 // total)
+        want[doc_id] = (curve, shard, slots[shard])
+        slots[shard] += 1
+        before += size
+    for part_rows in (1 << 16, 16):
+        sharding.PART_ROWS, kept = part_rows, sharding.PART_ROWS
+        try:
+            got = {r.doc_id: (r.curve, r.shard, r.slot) for r in sharding.hilbert_shards(docs, 7, law=law, dims=dims).collect()}
+        finally:
+            sharding.PART_ROWS = kept
+        assert got == want
+
+
+def test_files_are_pruned_in_every_dimension(spark, tmp_path):
+    """Least and greatest values of the files skip most of them, whichever dimension is asked for."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    sharding.write_shards(docs, f"{tmp_path}/shards", shards=16, files=4)
+    files = [pq.ParquetFile(p).metadata for p in sorted(tmp_path.glob("shards/*/*.parquet"))]
+    skipped = {}
+    for name, value in (("lang", "fr"), ("source", "src7"), ("n_chars", 5000)):
+        out = 0
+        for meta in files:
+            at = [c.name for c in meta.schema].index(name)
+            spans = [meta.row_group(g).column(at).statistics for g in range(meta.num_row_groups)]
+            out += not any(s.has_min_max and s.min <= value <= s.max for s in spans)
+        skipped[name] = out / len(files)
+    print(skipped)
+    assert min(skipped.values()) > 0.4
+
+
 def test_written_shards_hold_every_row_in_order(spark, odd_docs, no_docs, tmp_path):
     docs = odd_docs.withColumn("shard", odd_docs.doc_id)
     name = sharding.write_shards(docs, f"{tmp_path}/shards", shards=3, files=2)
