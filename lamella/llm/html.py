@@ -5,16 +5,18 @@ from __future__ import annotations
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from html import escape, unescape
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<!--|<[!?][^>]*>""")
+OPENING = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+STOP = re.compile(r"""[>"']""")
 ATTRIBUTE = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 NAME = re.compile(r"[a-z]+")
 SPACES = re.compile(r"\s+")
@@ -32,46 +34,102 @@ ENDS_P = BLOCKS - {"button", "label", "option", "legend", "body", "html", "head"
 
 @dataclass
 class Block:
+    """A run of text: its innermost element, the features of all its ancestors, its linked characters."""
+
     text: str
-    path: tuple[tuple[str, tuple[str, ...]], ...]
+    tag: str
+    above: frozenset[str]
     linked: int
 
 
-def leaf_blocks(page: str) -> list[Block]:
-    """The page's runs of text between block-level tags, with their ancestors and linked characters."""
+class _Tags:
+    """Finds the tags of a page in order, reading each character a fixed number of times.
+
+    A tag ends at the first ``>`` outside quotes. Where a quote stays open to the end of the
+    page, it and all later ones are read as plain characters; without a ``>`` behind it, ``<`` is text.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last, self.quotes = page, page.rfind(">"), True
+
+    def end_of(self, at: int) -> int:
+        """The place of the ``>`` that ends the tag whose name ends at ``at``."""
+        if not self.quotes:
+            return self.page.find(">", at)
+        place = at
+        while hit := STOP.search(self.page, place):
+            if hit.group() == ">":
+                return hit.start()
+            place = self.page.find(hit.group(), hit.end()) + 1
+            if not place:
+                break
+        self.quotes = False
+        return self.page.find(">", at)
+
+    def after(self, at: int) -> tuple[int, int, str, bool, str] | None:
+        """(start, end, name, closing, attributes) of the next tag; comments are named ``!``."""
+        page = self.page
+        while (start := page.find("<", at)) >= 0:
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                return start, end + 3 if end >= 0 else len(page), "!", False, ""
+            if start > self.last:
+                return None
+            if page.startswith(("<!", "<?"), start):
+                return start, page.find(">", start) + 1, "!", False, ""
+            name = OPENING.match(page, start)
+            if name:
+                end = self.end_of(name.end())
+                return start, end + 1, name.group(1).lower(), page[start + 1] == "/", page[name.end() : end]
+            at = start + 1
+        return None
+
+
+def leaf_blocks(page: str, known: frozenset[str] | None = None) -> list[Block]:
+    """The page's runs of text between block-level tags, with their ancestors' features and linked characters.
+
+    Of the ancestors' features only those in ``known`` are kept, if it is given: a field gives
+    others no weight, and so the work per tag is bounded however deep the page is.
+    """
     blocks: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, frozenset[str]]] = []
+    opened: Counter[str] = Counter()
     parts: list[str] = []
     linked = at = 0
     in_link = False
+    nothing: frozenset[str] = frozenset()
 
     def flush() -> None:
         nonlocal linked
         text = SPACES.sub(" ", "".join(parts)).strip()
         if text:
-            blocks.append(Block(text, tuple(stack), linked))
+            tag, above = stack[-1] if stack else ("none", nothing)
+            blocks.append(Block(text, tag, above, linked))
         parts.clear()
         linked = 0
 
+    def close(name: str) -> None:
+        while stack:
+            top, _ = stack.pop()
+            opened[top] -= 1
+            if top == name:
+                break
+
+    tags = _Tags(page)
     while True:
-        hit = TAG.search(page, at)
-        found = page[at : hit.start() if hit else len(page)]
+        hit = tags.after(at)
+        found = page[at : hit[0] if hit else len(page)]
         if found:
             found = unescape(found)
             parts.append(found)
             linked += len(found.strip()) if in_link else 0
         if not hit:
             break
-        at = hit.end()
-        if hit.group(0) == "<!--":
-            end = page.find("-->", at)
-            at = end + 3 if end >= 0 else len(page)
+        _, at, name, closing, attributes = hit
+        if name == "!":
             continue
-        if not hit.group(2):
-            continue
-        name, closing = hit.group(2).lower(), bool(hit.group(1))
         if name in SILENT and not closing:
-            if not hit.group(3).rstrip().endswith("/"):
+            if not attributes.rstrip().endswith("/"):
                 end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
                 at = end.end() if end else len(page)
             parts.append(" ")
@@ -84,21 +142,23 @@ def leaf_blocks(page: str) -> list[Block]:
         if name not in BLOCKS:
             continue
         flush()
-        open_names = [n for n, _ in stack]
         if closing:
-            if name in open_names:
-                del stack[len(open_names) - 1 - open_names[::-1].index(name) :]
+            if opened[name]:
+                close(name)
             continue
-        if name in ENDS_P and "p" in open_names:
-            del stack[open_names.index("p") :]
-            open_names = [n for n, _ in stack]
+        if name in ENDS_P:
+            while opened["p"]:
+                close("p")
         for other in CLOSES.get(name, ()):
-            if open_names and open_names[-1] == other:
-                stack.pop()
-                open_names.pop()
+            if stack and stack[-1][0] == other:
+                close(other)
         if name not in VOID:
-            values = " ".join(filter(None, (v for m in ATTRIBUTE.findall(hit.group(3)) for v in m))).lower()
-            stack.append((name, tuple(NAME.findall(values))))
+            values = " ".join(filter(None, (v for m in ATTRIBUTE.findall(attributes) for v in m))).lower()
+            own = {f"in:{name}", *(f"named:{v}" for v in NAME.findall(values))}
+            above = stack[-1][1] if stack else nothing
+            own = (own if known is None else own & known) - above
+            stack.append((name, above | own if own else above))
+            opened[name] += 1
     flush()
     return blocks
 
@@ -110,9 +170,8 @@ def features(blocks: list[Block]) -> list[list[str]]:
     for i, b in enumerate(blocks):
         size = len(b.text)
         words = b.text.count(" ") + 1
-        found = {f"tag:{b.path[-1][0] if b.path else 'none'}", f"size:{min(int(math.log2(size + 1)), 9)}", f"words:{min(words, 12) if words < 12 else 12 + min(words // 20, 4)}"}
-        found.update(f"in:{name}" for name, _ in b.path)
-        found.update(f"named:{v}" for _, values in b.path for v in values)
+        found = {f"tag:{b.tag}", f"size:{min(int(math.log2(size + 1)), 9)}", f"words:{min(words, 12) if words < 12 else 12 + min(words // 20, 4)}"}
+        found.update(b.above)
         found.add(f"links:{min(4, 5 * b.linked // max(size, 1))}")
         found.add(f"signs:{min(5, 40 * sum(map(b.text.count, '.,;:!?')) // size)}")
         found.add(f"end:{'stop' if b.text[-1] in '.!?…' else 'other'}")
@@ -131,6 +190,10 @@ class Crf:
     pairs: tuple[tuple[float, float], tuple[float, float]]
     start: float
 
+    @cached_property
+    def known(self) -> frozenset[str]:
+        return frozenset(self.weights)
+
     def decode(self, rows: list[list[str]]) -> list[int]:
         """The likeliest labels, by Viterbi."""
         if not rows:
@@ -303,7 +366,7 @@ def trained(pages: int = 500, seed: int = 11) -> Crf:
 
 
 def main_text(page: str, model: Crf) -> str:
-    blocks = leaf_blocks(page)
+    blocks = leaf_blocks(page, model.known)
     return "\n".join(b.text for b, y in zip(blocks, model.decode(features(blocks)), strict=True) if y)
 
 
@@ -311,7 +374,7 @@ def extract(pages: DataFrame, model: Crf, id_col: str = "page_id", url_col: str
     """page_id, url, text, n_chars: the main text of every page, from its whole html.
 
     Blocks are joined in page order by one line feed. Null or empty html, and pages without a
-    main block, give an empty text. Repeated rows repeat their result; other columns are ignored;
+    main block, give an empty text. Malformed and very long pages are read in linear time. Repeated rows repeat their result; other columns are ignored;
     an empty table gives an empty result. Pages don't meet: there is no shuffle.
     """
     kinds = dict(pages.dtypes)
