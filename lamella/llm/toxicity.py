@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -16,14 +17,21 @@ WORD = re.compile(r"[^\W\d_]+")
 CLAUSE_END = re.compile(r"[.!?;:\n]+(?=\s|$)|\n")
 #: Closed-class words of the grammar, for the languages of general text.
 TARGETS = frozenset("you your yours u he him she her they them du dich dir sie ihr euch tu te toi vous il elle ils tú usted ustedes él ella ellos".split())
+SELVES = frozenset("yourself yourselves".split())
 NEGATIONS = frozenset("not no never nor isn aren wasn don doesn didn nicht kein keine nie ne pas jamais nunca ni".split())
 REPORTS = frozenset("said says say called calls quoted quote wrote writes allegedly reported sagte nannte dit disait appelé dijo llamó".split())
 THREATS = frozenset("kill hurt beat destroy shoot stab töten umbringen schlagen tuer frapper matar golpear".split())
+INTENTS = frozenset("will ll gonna going shall want wanna should must werde wird will vais va voy vamos".split())
 
 # Word classes, the input alphabet of the grammar.
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+OTHER, INSULT, THREAT, TARGET, SELF, NEGATION, REPORT, INTENT = range(8)
 #: What a matched clause is, the output of the grammar.
 PLAIN, AIMED, MENACE, NEGATED, REPORTED = range(5)
+#: What each kind of clause makes of its weight. What is denied or reported isn't said: it speaks
+#: against toxicity, however heavy the words, so these two aren't learned.
+FACTORS = (1.0, 1.25, 1.25, -0.25, -0.25)
+#: Lengths of the beginnings of words that may be stems.
+LENGTHS = range(3, 9)
 
 
 @dataclass(frozen=True)
@@ -36,7 +44,7 @@ class Transducer:
 
 def seen(*classes: int) -> Transducer:
     """Marks 1 once a word of one of the classes was read."""
-    step = np.zeros((2, 6), np.int64)
+    step = np.zeros((2, 8), np.int64)
     step[1] = 1
     step[0, list(classes)] = 1
     return Transducer(step, (0, 1))
@@ -44,7 +52,7 @@ def seen(*classes: int) -> Transducer:
 
 def before(first: int, then: tuple[int, ...], reach: int) -> Transducer:
     """Marks 1 once a word of ``then`` was read at most ``reach`` words behind one of ``first``."""
-    step = np.zeros((reach + 2, 6), np.int64)
+    step = np.zeros((reach + 2, 8), np.int64)
     done = reach + 1
     for state in range(reach + 2):
         step[state] = done if state == done else max(state - 1, 0)
@@ -61,7 +69,7 @@ def compose(parts: list[Transducer]) -> Transducer:
     states, order, rows = {start: 0}, [start], []
     for state in order:
         row = []
-        for word in range(6):
+        for word in range(8):
             to = tuple(int(p.step[s, word]) for p, s in zip(parts, state, strict=True))
             if to not in states:
                 states[to] = len(order)
@@ -71,133 +79,148 @@ def compose(parts: list[Transducer]) -> Transducer:
     return Transducer(np.array(rows), tuple(sum(p.final[s] << i for i, (p, s) in enumerate(zip(parts, st, strict=True))) for st in order))
 
 
-def grammar() -> tuple[list[list[int]], list[int | None]]:
-    """Step table and the kind of clause that each final state stands for (None: no match)."""
-    whole = compose([seen(INSULT), seen(THREAT), seen(TARGET), before(NEGATION, (INSULT, THREAT), 2), before(REPORT, (INSULT, THREAT, TARGET), 6)])
-    kinds: list[int | None] = []
+def grammar() -> tuple[list[list[int]], list[tuple[int, bool] | None]]:
+    """Step table, and for each final state the kind of clause and whether it threatens (None: no match).
+
+    A threat counts where somebody intends it and its target follows the verb, or where the
+    reader is to do it to themselves.
+    """
+    whole = compose([
+        seen(INSULT), seen(TARGET), before(INTENT, (THREAT,), 3), before(THREAT, (TARGET,), 3), before(THREAT, (SELF,), 1),
+        before(NEGATION, (INSULT, THREAT), 2), before(REPORT, (INSULT, THREAT, TARGET), 6),
+    ])
+    kinds: list[tuple[int, bool] | None] = []
     for bits in whole.final:
-        insult, threat, target, negated, reported = (bool(bits >> i & 1) for i in range(5))
-        if not insult and not (threat and target):
+        insult, target, meant, followed, self_, negated, reported = (bool(bits >> i & 1) for i in range(7))
+        menace = meant and followed or self_
+        if not insult and not menace:
             kinds.append(None)
         elif reported:
-            kinds.append(REPORTED)
+            kinds.append((REPORTED, menace))
         elif negated:
-            kinds.append(NEGATED)
-        elif threat and target:
-            kinds.append(MENACE)
+            kinds.append((NEGATED, menace))
         else:
-            kinds.append(AIMED if target else PLAIN)
+            kinds.append((MENACE if menace else AIMED if target else PLAIN, menace))
     return whole.step.tolist(), kinds
 
 
 @dataclass(frozen=True)
 class Model:
-    """Stems of insults with their weights, and the chance of toxicity of each kind of clause."""
+    """What was learned, as log-odds: weights of words; beginnings of words, harmless words that begin so.
+
+    ``more`` holds the weights of one, two, and three or more different words with a listed
+    beginning in a text; ``base`` is the log-odds of toxicity before anything is read.
+    """
 
-    stems: dict[str, float]
-    kinds: tuple[float, ...]
+    words: dict[str, float]
+    starts: frozenset[str]
+    harmless: frozenset[str]
+    more: tuple[float, float, float]
     base: float
 
+    @property
+    def heaviest(self) -> float:
+        return max([*self.words.values(), *(self.more if self.starts else ())], default=0.0)
+
+
+NOTHING = Model({}, frozenset(), frozenset(), (0.0, 0.0, 0.0), math.log(0.01 / 0.99))
+
 
-def features(text: str, lengths: tuple[int, ...] = (4, 5, 6)) -> set[str]:
-    """Whole words, written ``=word``, and the beginnings of words."""
-    words = set(WORD.findall(text.lower()))
-    return {f"={w}" for w in words} | {w[:n] for w in words for n in lengths if len(w) >= n}
+def _chance(k: int, n: int, p: float) -> float:
+    """The chance of k or more out of n (for k above the mean the first terms are enough)."""
+    log_term = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p)
+    term, total = math.exp(log_term), 0.0
+    for i in range(k, min(n, k + 400) + 1):
+        total += term
+        term *= (n - i) / (i + 1) * p / (1 - p)
+    return min(1.0, total)
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 24_000, least: int = 4, purity: float = 0.97, vocabulary: int = 50_000) -> Model:
-    """Learns insult stems and clause weights from at most about ``sample`` labelled rows.
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 24_000, purity: float = 0.8, doubt: float = 0.01) -> Model:
+    """Learns words, beginnings of words and their weights from at most about ``sample`` labelled rows.
 
-    The rows of least hash are taken when there are more. Candidates are the ``vocabulary`` commonest words and beginnings
-    of words that at least ``least`` toxic texts hold and whose texts are toxic to the share
-    ``purity``. They are chosen greedily by the toxic texts they explain, so words that merely
-    share a text with an insult are left out. Null labels teach nothing; without any toxic row
-    no text is toxic.
+    The rows of least hash are taken when there are more. Texts are counted for every word in
+    one aggregation. A word met in two or more clean texts, and no oftener in toxic ones, is
+    harmless. Beginnings that several of the others share are listed when toxic texts have the
+    share ``purity`` of them and chance would rarely do that: the chance, times the number of
+    features tried, is below ``doubt``, so no rank or fixed count cuts the vocabulary. Of those
+    that begin alike the one with the best balance is kept. Words
+    without a listed beginning are insults by the same rule. A word with a listed beginning
+    weighs by how many different ones its text has; the others weigh by themselves. Weights are
+    smoothed log-odds of texts. Null labels teach nothing; texts without a label neither;
+    without any toxic or any clean row no text is toxic.
     """
     marks = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(label_col).cast("int").alias("toxic"))
-    n = marks.count()
-    share = min(1.0, sample / max(n, 1))
+    share = min(1.0, sample / max(marks.count(), 1))
     marks = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(marks, "doc_id")
     rows = rows.select("text", "toxic").cache()
     try:
         total, bad = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-        if not bad:
-            return Model({}, (0.0,) * 5, 0.01)
-
-        def toxic_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                for i in range(0, len(batch), 64):
-                    some = [(f,) for t in batch["text"].iloc[i : i + 64] for f in sorted(features(t))]
-                    yield pd.DataFrame(some, columns=["feature"])
-
-        common = rows.where("toxic = 1").select("text").mapInPandas(toxic_features, "feature string").groupBy("feature").count()
-        common = {r["feature"]: r["count"] for r in common.where(F.col("count") >= least).orderBy(F.desc("count"), "feature").limit(vocabulary).collect()}
-        carried = docs.sparkSession.sparkContext.broadcast(frozenset(common))  # vocabulary entries at most
-
-        def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                counts = Counter(f for t in batch["text"] for f in features(t) & carried.value)
-                yield pd.DataFrame(list(counts.items()), columns=["feature", "n"])
-
-        clean = rows.where("toxic = 0").select("text").mapInPandas(met, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
-        clean = {r["feature"]: r["n"] for r in clean.collect()}
-        pure = {f: n for f, n in common.items() if n / (n + clean.get(f, 0)) >= purity}
-        held = docs.sparkSession.sparkContext.broadcast(frozenset(pure))
-
-        def holds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                yield pd.DataFrame([(sorted(features(t) & held.value),) for t in batch["text"]], columns=["found"])
-
-        sets = [set(r["found"]) for r in rows.where("toxic = 1").select("text").mapInPandas(holds, "found array<string>").collect()]  # at most the sample
-        stems = _cover(sets, pure, clean, least)
-        model = Model(stems, (0.9, 0.9, 0.9, 0.9, 0.9), bad / total)
-        scorer = docs.sparkSession.sparkContext.broadcast(model)
-
-        def kinds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            judge = Scorer(scorer.value)
-            for batch in batches:
-                found = [(k, t) for text, t in zip(batch["text"], batch["toxic"], strict=True) for k in set(judge.clauses(text))]
-                yield pd.DataFrame(found, columns=["kind", "toxic"])
-
-        seen_kinds = rows.mapInPandas(kinds, "kind int, toxic int").groupBy("kind").agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("all")).collect()
+        return _learn(rows, bad, total - bad, purity, doubt) if 0 < bad < total else NOTHING
     finally:
         rows.unpersist()
-    # shrunk towards a cautious prior of each kind
-    prior = {PLAIN: 0.8, AIMED: 0.9, MENACE: 0.8, NEGATED: 0.5, REPORTED: 0.5}
-    share_of = {r["kind"]: (r["bad"] + 4 * prior[r["kind"]]) / (r["all"] + 4) for r in seen_kinds}
-    return Model(stems, tuple(float(share_of.get(k, prior[k])) for k in range(5)), bad / total)
-
-
-def _cover(sets: list[set[str]], pure: dict[str, int], clean: dict[str, int], least: int) -> dict[str, float]:
-    """Features chosen one by one, each for the most texts that none before it explains."""
-    where: dict[str, set[int]] = {}
-    for i, found in enumerate(sets):
-        for f in found:
-            where.setdefault(f, set()).add(i)
-    stems: dict[str, float] = {}
-    left = set(range(len(sets)))
-    fresh = {f: len(w) for f, w in where.items()}
-    while fresh:
-        # on ties the feature of more texts, then the whole word, then the shorter one
-        best = max(fresh, key=lambda f: (fresh[f], len(where[f]), f[0] == "=", -len(f), f))
-        gain = len(where[best] & left)
-        if gain < fresh[best]:
-            fresh[best] = gain
-            if gain < least:
-                del fresh[best]
-            continue
-        if gain < least:
-            break
-        stems[best] = float(np.log((pure[best] + 0.5) / (clean.get(best, 0) + 0.5)))
-        left -= where[best]
-        del fresh[best]
-    # a chosen feature may hide others that explain the same texts; take those of like reach and purity
-    reach = min((len(where[f]) for f in stems), default=0)
-    for f, w in where.items():
-        if f not in stems and f[0] == "=" and len(w) >= max(reach, 4 * least) and clean.get(f, 0) == 0:
-            stems[f] = float(np.log((pure[f] + 0.5) / 0.5))
-    return stems
+
+
+def _word_counts(rows: DataFrame) -> DataFrame:
+    """word, bad, clean: in how many toxic and clean texts each word is."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for a in range(0, len(batch), 256):
+                some = batch.iloc[a : a + 256]
+                times: tuple[Counter, Counter] = (Counter(), Counter())
+                for text, toxic in zip(some["text"], some["toxic"], strict=True):
+                    times[toxic].update(set(WORD.findall(text.lower())))
+                yield pd.DataFrame([(w, times[1][w], times[0][w]) for w in times[0].keys() | times[1].keys()], columns=["word", "bad", "clean"])
+
+    return rows.mapInPandas(count, "word string, bad long, clean long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("clean").alias("clean"))
+
+
+def _learn(rows: DataFrame, bad: int, clean: int, purity: float, doubt: float) -> Model:
+    base = bad / (bad + clean)
+
+    def weight(k: float, n: float) -> float:
+        return math.log((k + 0.5) / (bad + 1)) - math.log((n + 0.5) / (clean + 1))
+
+    def sure(counts: DataFrame, tried: int) -> list:
+        """The features that chance wouldn't explain; fewer than the sample has words."""
+        near = counts.where(F.col("bad") >= purity * (F.col("bad") + F.col("clean")))
+        near = near.where(F.col("bad") * -math.log(base) >= math.log(tried / doubt))
+        return [r for r in near.collect() if _chance(r["bad"], r["bad"] + r["clean"], base) * tried < doubt]
+
+    words = _word_counts(rows).cache()
+    try:
+        harmless = (F.col("clean") >= 2) & (F.col("bad") <= F.col("clean"))
+        begun = words.where(~harmless).withColumn("n", F.explode(F.array(*map(F.lit, LENGTHS)))).where(F.length("word") > F.col("n"))
+        begun = begun.groupBy(F.expr("substring(word, 1, n)").alias("start")).agg(F.sum("bad").alias("bad"), F.sum("clean").alias("clean"), F.max("bad").alias("most"))
+        begun = begun.where("2 * most <= bad")  # one common word makes no beginning
+        found = {r["start"]: (r["bad"], r["clean"]) for r in sure(begun, max(begun.where("bad > 0").count(), 1))}
+        worth = {f: n - m * purity / (1 - purity) for f, (n, m) in found.items()}
+        starts: set[str] = set()
+        for f in sorted(found, key=lambda f: (-worth[f], -len(f), f)):
+            if not any(f.startswith(g) or g.startswith(f) for g in starts):
+                starts.add(f)
+        known = rows.sparkSession.createDataFrame([(f,) for f in sorted(starts)], "start string")
+        beginning = F.explode(F.array_distinct(F.array(*[F.substring("word", 1, n) for n in LENGTHS])))
+        held = words.where(harmless).withColumn("start", beginning).join(F.broadcast(known), "start").select("word").distinct()
+        left_out = frozenset(r["word"] for r in held.collect())  # words of the sample with a listed beginning
+        insults = {r["word"]: weight(r["bad"], r["clean"]) for r in sure(words, max(words.where("bad > 0").count(), 1))}
+        insults = {w: n for w, n in insults.items() if not any(len(w) > len(f) and w.startswith(f) for f in starts)}
+    finally:
+        words.unpersist()
+    model = Model(insults, frozenset(starts), left_out, (0.0, 0.0, 0.0), math.log(bad / clean))
+    if not starts:
+        return model
+    carried = rows.sparkSession.sparkContext.broadcast(model)
+
+    def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        judge = Scorer(carried.value)
+        for batch in batches:
+            yield pd.DataFrame({"n": [min(3, sum(judge.look_up(w) == (INSULT, None) for w in set(WORD.findall(t.lower())))) for t in batch["text"]], "toxic": batch["toxic"]})
+
+    by = {(r["n"], r["toxic"]): r["count"] for r in rows.mapInPandas(counts, "n int, toxic int").groupBy("n", "toxic").count().collect()}
+    return replace(model, more=tuple(weight(by.get((n, 1), 0), by.get((n, 0), 0)) for n in (1, 2, 3)))
 
 
 class Scorer:
@@ -206,64 +229,64 @@ class Scorer:
     def __init__(self, model: Model):
         self.model = model
         self.step, self.kind = grammar()
-        self.words = {f[1:] for f in model.stems if f[0] == "="}
-        starts = sorted(f for f in model.stems if f[0] != "=")
-        self.lengths = sorted({len(s) for s in starts})
-        self.starts = set(starts)
-        self.class_of: dict[str, int] = {}
-        menace = "|".join(sorted(THREATS))
-        parts = [*map(re.escape, starts), *(f"{re.escape(w)}\\b" for w in sorted(self.words)), f"(?:{menace})\\b"]
-        self.any = re.compile(rf"(?<![^\W\d_])(?:{'|'.join(parts)})")
-
-    def classify(self, word: str) -> int:
-        if word in self.words or any(word[:n] in self.starts for n in self.lengths):
-            return INSULT
-        for words, kind in ((THREATS, THREAT), (TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT)):
+        self.lengths = sorted({len(s) for s in model.starts})
+        self.known: dict[str, tuple[int, float | None]] = {}
+
+    def classify(self, word: str) -> tuple[int, float | None]:
+        """Class and weight; an insult known by its beginning alone has no weight of its own."""
+        if word in self.model.words:
+            return INSULT, self.model.words[word]
+        if word not in self.model.harmless and any(len(word) > n and word[:n] in self.model.starts for n in self.lengths):
+            return INSULT, None
+        for words, kind in ((THREATS, THREAT), (TARGETS, TARGET), (SELVES, SELF), (NEGATIONS, NEGATION), (REPORTS, REPORT), (INTENTS, INTENT)):
             if word in words:
-                return kind
-        return OTHER
+                return kind, 0.0
+        return OTHER, 0.0
+
+    def look_up(self, word: str) -> tuple[int, float | None]:
+        found = self.known.get(word)
+        if found is None:
+            if len(self.known) > 200_000:
+                self.known.clear()
+            found = self.known[word] = self.classify(word)
+        return found
 
-    def clauses(self, text: str) -> list[int]:
-        """The kind of each clause that the grammar accepts."""
+    def clauses(self, text: str) -> list[tuple[int, float]]:
+        """Kind and weight of each clause that the grammar accepts; a word weighs once in a text."""
         low = text.lower()
-        found = []
-        ends = CLAUSE_END.finditer(low)
-        begin = stop = after = 0  # the clause read last, and where the next one begins
-        for hit in self.any.finditer(low):
-            if hit.start() < stop:
-                continue
-            while hit.start() >= stop:
-                begin, end = after, next(ends, None)
-                stop, after = end.span() if end else (len(low), len(low))
-            state = 0
-            for word in WORD.findall(low, begin, stop):
-                kind = self.class_of.get(word)
-                if kind is None:
-                    if len(self.class_of) > 200_000:
-                        self.class_of.clear()
-                    kind = self.class_of[word] = self.classify(word)
+        if not any(self.look_up(w)[0] in (INSULT, THREAT) for w in set(WORD.findall(low))):
+            return []
+        found, counted, begun, after = [], set(), 0, 0
+        for end in (*CLAUSE_END.finditer(low), None):
+            state, weight = 0, 0.0
+            for word in WORD.findall(low, after, end.start() if end else len(low)):
+                kind, own = self.look_up(word)
                 state = self.step[state][kind]
+                if kind == INSULT and word not in counted:
+                    counted.add(word)
+                    if own is None:
+                        own = self.model.more[min(begun, 2)] - (self.model.more[min(begun, 3) - 1] if begun else 0.0)
+                        begun += 1
+                    weight += own
+            after = end.end() if end else after
             if self.kind[state] is not None:
-                found.append(self.kind[state])
+                kind, menace = self.kind[state]
+                weight += self.model.heaviest if menace else 0.0
+                found.append((kind, FACTORS[kind] * (abs(weight) if kind in (NEGATED, REPORTED) else weight)))
         return found
 
-    def score(self, text: str) -> float:
-        """One minus the chance that no matched clause is toxic; without a match, under the base rate."""
-        kinds = self.clauses(text)
-        if not kinds:
-            return self.model.base / 10
-        weights = sorted((self.model.kinds[k] for k in kinds), reverse=True)
-        clear = 1.0 - weights[0]
-        for w in weights[1:]:  # later clauses move it less
-            clear *= 1.0 - w / 4
-        return float(min(1.0, 1.0 - clear))
+    def score(self, clauses: list[tuple[int, float]]) -> float:
+        z = self.model.base + sum(w for _, w in clauses)
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score, predicted, clauses (matched ones) of every whole text.
+    """doc_id, score, predicted, clauses (those the grammar accepts) of every whole text.
 
     Null and empty texts have no clause and score as clean. A clause runs to the next sentence
-    mark or line end, however long. Repeated rows repeat their result; an empty table gives an empty result.
+    mark or line end, however long. Clause weights add up: insults by their words, more if aimed
+    at somebody; threats as the heaviest insult; denied and reported ones count against. Repeated
+    rows repeat their result; other columns are ignored; an empty table gives an empty result.
     """
     schema = f"doc_id {dict(docs.dtypes)[id_col]}, score double, predicted int, clauses int"
     carried = docs.sparkSession.sparkContext.broadcast(model)
@@ -273,9 +296,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             found = []
             for text in batch["text"]:
-                text = text if isinstance(text, str) else ""
-                s = judge.score(text)
-                found.append((s, int(s >= 0.5), len(judge.clauses(text)) if s >= 0.5 else 0))
+                clauses = judge.clauses(text) if isinstance(text, str) else []
+                s = judge.score(clauses)
+                found.append((s, int(s >= 0.5), len(clauses)))
             out = pd.DataFrame(found, columns=["score", "predicted", "clauses"])
             out.insert(0, "doc_id", batch["doc_id"].to_numpy())
             yield out
@@ -284,13 +307,16 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that score under 0.5, with all their columns."""
+    """The rows of ``docs`` that score under 0.5, with all their columns.
+
+    Null and empty texts stay; rows that repeat share their fate; an empty table stays empty.
+    """
     carried = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         judge = Scorer(carried.value)
         for batch in batches:
-            yield pd.Series([judge.score(t if isinstance(t, str) else "") for t in batch], dtype="float64")
+            yield pd.Series([judge.score(judge.clauses(t) if isinstance(t, str) else []) for t in batch], dtype="float64")
 
     return docs.where(scored(F.col(text_col)) < 0.5)
