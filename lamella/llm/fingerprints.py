@@ -12,22 +12,33 @@ from pyspark.sql import functions as F
 
 from .common import shuffle_width
 
-BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+BASE = 0x9E3779B97F4A7C15
 MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base & (1 << 64) - 1, np.uint64)
+    out[:1] = 1
+    with np.errstate(over="ignore"):
+        return np.multiply.accumulate(out)
+
+
 def kgram_hashes(points: np.ndarray, k: int) -> np.ndarray:
-    """A 32-bit rolling hash of each run of k code points (of all of them, if fewer)."""
+    """A 32-bit rolling hash of each run of k code points (of all of them, if fewer).
+
+    The sum over a run rolls on: it is the difference of two running sums of code times
+    BASE**position, divided by BASE to the power of the run's position.
+    """
     n = len(points)
     if not n:
         return np.zeros(0, np.uint64)
     k = min(k, n)
-    h = np.zeros(n - k + 1, np.uint64)
     with np.errstate(over="ignore"):
         coded = (points.astype(np.uint64) + np.uint64(1)) * MIX
         coded ^= coded >> np.uint64(29)
-        for i in range(k):  # Horner's rule, one k-gram position at a time
-            h = h * BASE + coded[i : n - k + 1 + i]
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(coded * _powers(BASE, n), out=total[1:])
+        h = (total[k:] - total[: n - k + 1]) * _powers(pow(BASE, -1, 1 << 64), n - k + 1)
         h ^= h >> np.uint64(32)
         h *= MIX
     return h >> np.uint64(32)
@@ -92,7 +103,8 @@ def edit_check(docs: DataFrame, k: int = 12, window: int = 32, id_col: str = "do
 
     The edited text has its last quarter replaced by the start of the next document in ascending
     id (after the last: the first). Documents are dealt out in ranges of ids; the first row of a
-    range also goes to the range before it, so neighbours meet without one global sort. Null
+    range also goes to the range before it, so neighbours meet without one global sort. Ids must be
+    whole numbers, or texts that spell them: their order is that of the numbers. Null
     texts count as empty; a null id comes first; rows that repeat an id follow each other in
     order of their text's digest. A single document is its own next one. An empty table gives
     an empty result; other columns are ignored.
