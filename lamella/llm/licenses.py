@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Customary statements of well-known licenses.
+#: Customary statements of well-known licenses, and two whole license texts.
 TEMPLATES = {
     "all-rights-reserved": "All rights reserved.",
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -21,6 +21,8 @@ TEMPLATES = {
     "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
     "mit": "Released under the MIT License.",
     "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+    "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "isc-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "unlicense": "This is free and unencumbered software released into the public domain.",
 }
@@ -71,11 +73,13 @@ def templates_table(spark: SparkSession, templates: dict[str, str], width: int)
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, width: int = 5, least: float = 0.8, bands: int = 12, rows: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_hash, license, start_word, containment, windows: each license found in a whole text.
 
-    Around every anchor word, overlapping windows as long as a template are laid at each word;
-    a window and a template that agree in a band are compared by exact containment of the
-    template's shingles of ``width`` words (of all words, if it has fewer). A window that holds
-    the share ``least`` of a template's shingles, shifted or edited, has Jaccard similarity 0.66
-    or more with it, so the 12 bands of one row meet with probability 1 - 0.34**12 or more for one window, and
+    Around every anchor word, overlapping windows as long as a template are laid at each word.
+    Where a window and a template agree in a band, the words from one length before the window to
+    one behind it are searched for the template by exact containment of its shingles of ``width``
+    words (of all words, if it has fewer), so words put into a license don't push its end out of
+    sight. A window that holds the share ``least`` of a template's shingles, shifted or edited,
+    has Jaccard similarity 0.66 or more with it, so the 12 bands of one row meet with probability
+    1 - 0.34**12 or more for one window; one that holds half of them still meets with 0.99, and
     neighbouring windows try again. start_word is the first best window's first word (from 0).
 
     Words are runs of a-z and 0-9 in the lower-cased text. Null and empty texts have no row, nor
@@ -100,12 +104,12 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, width: int =
     first = lambda p: F.greatest(p - F.col("span.n") + 1, F.lit(0))
     last = lambda p: F.least(p, F.greatest(F.size("words") - F.col("span.n"), F.lit(0)))
     starts = F.array_distinct(F.flatten(F.transform("places", lambda p: F.when(first(p) <= last(p), F.sequence(first(p), last(p))).otherwise(F.array(last(p))))))
-    windows = near.withColumn("start", F.explode(starts)).select("doc_id", "text_hash", "start", F.col("span.n").alias("n"), F.col("span.k").alias("k"), F.slice("words", F.col("start") + 1, F.col("span.n")).alias("window"))
+    windows = near.withColumn("start", F.explode(starts)).select("doc_id", "text_hash", "start", F.col("span.n").alias("n"), F.col("span.k").alias("k"), F.slice("words", F.col("start") + 1, F.col("span.n")).alias("window"), F.slice("words", F.greatest(F.col("start") - F.col("span.n"), F.lit(0)) + 1, F.least(F.col("start"), F.col("span.n")) + 2 * F.col("span.n")).alias("around"))
     windows = windows.withColumn("held", F.array_distinct(_shingles(F.col("window"), F.col("k")))).where(F.size("held") > 0)
     mine = known.select("license", F.size("words").alias("n"), "shingles", F.posexplode(_bands(F.col("shingles"), bands, rows)).alias("band", "value"))
-    met = windows.select("doc_id", "text_hash", "start", "n", "held", F.posexplode(_bands(F.col("held"), bands, rows)).alias("band", "value"))
+    met = windows.select("doc_id", "text_hash", "start", "n", "k", "around", F.posexplode(_bands(F.col("held"), bands, rows)).alias("band", "value"))
     met = met.join(F.broadcast(mine), ["n", "band", "value"])
-    share = F.size(F.array_intersect("held", "shingles")) / F.size("shingles")
+    share = F.size(F.array_intersect(_shingles(F.col("around"), F.col("k")), "shingles")) / F.size("shingles")
     found = met.select("doc_id", "text_hash", "license", "start", share.alias("containment")).where(F.col("containment") >= least)
     best = found.groupBy("doc_id", "text_hash", "license", "start").agg(F.max("containment").alias("containment"))
     return best.groupBy("doc_id", "text_hash", "license").agg(
