@@ -154,6 +154,16 @@ def test_field_on_unseen_labelled_pages():
     assert right / total > 0.97
 
 
+def test_hostile_pages_take_linear_time():
+    import time
+
+    for page in ("<a " * 350_000, '<p "' * 250_000, "<p '" * 250_000, "<div><p>x" * 60_000, "<div>" * 150_000 + "x", "<li>x" * 150_000, "<!--" * 250_000, "<script>" * 120_000, "</div>" * 150_000, "&" * 1_000_000):
+        at = time.perf_counter()
+        blocks = html.leaf_blocks(page)
+        html.features(blocks)
+        assert time.perf_counter() - at < 4, (page[:20], time.perf_counter() - at)
+
+
 def test_viterbi_is_the_best_labelling():
     from itertools import product
 
@@ -208,6 +218,22 @@ def test_common_runs_leave_common_hashes():
     assert np.intersect1d(fingerprints.winnow(a, 8, 16)[0], fingerprints.winnow(b, 8, 16)[0]).size
 
 
+def spelt(text, k, window):
+    return " ".join(f"{h:08x}@{p}" for h, p in brute_winnow(text, k, window))
+
+
+def brute_likeness(a, b):
+    a, b = ({e.split("@")[0] for e in s.split()} for s in (a, b))
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_hashes_depend_on_the_run_alone():
+    points = np.array([ord(c) for c in "abcdefgh" * 5 + "é🙂xyz" + "abcdefgh" * 5], np.uint32)
+    h = fingerprints.kgram_hashes(points, 6)
+    want = [int(fingerprints.kgram_hashes(points[i : i + 6], 6)[0]) for i in range(len(points) - 5)]
+    assert h.tolist() == want and len(set(want)) == len({tuple(points[i : i + 6]) for i in range(len(points) - 5)})
+
+
 def test_edit_check_equals_brute_force(spark, odd_docs, no_docs):
     rows = sorted(((r.doc_id, r.text or "") for r in odd_docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0))
     got = fingerprints.edit_check(odd_docs, 5, 4).collect()
@@ -215,8 +241,10 @@ def test_edit_check_equals_brute_force(spark, odd_docs, no_docs):
     for i, (doc_id, text) in enumerate(rows):
         after, cut = rows[(i + 1) % len(rows)][1], len(text) // 4
         edited = text[: len(text) - cut] + after[:cut]
-        want[doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest()] += 1
-    assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == want
+        own, changed, following = (spelt(t, 5, 4) for t in (text, edited, after))
+        near = (round(brute_likeness(own, changed), 9), round(brute_likeness(own, following), 9))
+        want[doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), own, changed, *near] += 1
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in got) == want
     assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
     assert fingerprints.edit_check(no_docs, 5, 4).count() == 0 and fingerprints.fingerprints(no_docs).count() == 0
     one = odd_docs.where("doc_id = 1")
@@ -234,7 +262,7 @@ def brute_licenses(text, least=0.8, width=5):
         k = min(width, len(t))
         want = {tuple(t[i : i + k]) for i in range(len(t) - k + 1)}
         for s in range(max(1, len(words) - len(t) + 1)):
-            window = words[s : s + len(t)]
+            window = words[max(0, s - len(t)) : s + 2 * len(t)]
             share = len(want & {tuple(window[i : i + k]) for i in range(len(window) - k + 1)}) / len(want)
             if share >= least:
                 out[name] = max(out.get(name, 0), share)
@@ -246,34 +274,97 @@ def test_license_scan_equals_brute_force(spark, odd_docs, no_docs):
     edited = notices[12].split()
     rows = [(i, f"Words before {n.upper() if i % 3 == 0 else n} and words after", None, None, None, None, None, None, None) for i, n in enumerate(notices)]
     rows += [(100, " ".join(edited[:1] + edited[2:]), *[None] * 7), (101, "licensed reserved released warranty", *[None] * 7), (102, "Released\nunder the\tMIT-License", *[None] * 7), (102, "none here", *[None] * 7)]
+    words = notices[8].split()
+    rows += [(103, " ".join([*words[:14], "so", "called", *words[14:]]), *[None] * 7), (104, f"{notices[12][:400]} some words of ours {notices[12][400:]}", *[None] * 7)]
     docs = odd_docs.union(spark.createDataFrame(rows, odd_docs.schema))
     got = {(r.doc_id, r.license): round(r.containment, 9) for r in licenses.scan(docs).collect()}
     want = {(r.doc_id, n): round(s, 9) for r in docs.collect() for n, s in brute_licenses(r.text or "").items()}
     assert got == want and licenses.scan(no_docs).count() == 0
+    assert (103, "gpl-notice") in got and (104, "mit-text") in got
 
 
 # -- toxicity ---------------------------------------------------------------------------------------------
 
 
+@pytest.fixture(scope="module")
+def learned(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{n}.parquet") for n in ("documents", "labels"))
+    return toxicity.learn(docs.where(~held_out("doc_id", 5, 0)), labels)
+
+
 def test_toxicity_learns_and_generalises(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{n}.parquet") for n in ("documents", "labels"))
-    got = queries.QUERIES["op8_toxicity"](spark, SF).join(labels, "doc_id").where("held_out").collect()
-    assert sum(r.predicted == r.toxic for r in got) / len(got) > 0.93
-    assert not any(r.predicted for r in got if not r.toxic)
+    got = queries.QUERIES["op8_toxicity"](spark, SF).join(labels, "doc_id").collect()
+    away = [r for r in got if r.held_out]
+    assert sum(r.predicted == r.toxic for r in away) / len(away) > 0.95
+    assert sum(r.predicted and r.toxic for r in got) >= 0.88 * sum(r.toxic for r in got)
+    assert sum(r.predicted and not r.toxic for r in got) <= 0.02 * sum(r.toxic for r in got)
     assert queries.QUERIES["op8_toxicity"](spark, SF).count() == docs.count()
 
 
-def test_grammar_weighs_clauses():
-    model = toxicity.Model({"=moron": 3.0, "scum": 3.0}, (0.8, 0.95, 0.7, 0.2, 0.3), 0.1)
+def test_learned_weights_and_the_grammar_decide(learned):
+    judge = toxicity.Scorer(learned)
+    worst = max(learned.words, key=learned.words.get)
+    said = {t: judge.score(judge.clauses(t)) for t in [
+        f"You are a {worst}.", f"What a {worst}.", f"He is not a {worst}.", f"The paper said you are a {worst}.", f"They were never {worst}.",
+        "I beat you at chess yesterday.", "They destroy old buildings.", "I will kill the process.", "He will kill you.", "Go and kill yourself.", "The report said he will kill you.", "",
+    ]}
+    bad = {f"You are a {worst}.", f"What a {worst}.", "He will kill you.", "Go and kill yourself."}
+    assert {t for t, s in said.items() if s >= 0.5} == bad
+    assert said[f"You are a {worst}."] > said[f"What a {worst}."] and len(judge.clauses(f"He is not a {worst}.")) == 1
+
+
+def test_score_is_the_sum_of_weights_along_clauses(learned):
+    """Brute force: split, classify every word anew, walk the uncomposed transducers."""
+    model = toxicity.Model({"moron": 4.0, "scum": 3.0}, frozenset({"bad"}), frozenset({"badge"}), (-1.0, 2.0, 3.5), -2.0)
+
+    def brute(text):
+        z, used, begun, total = 0.0, set(), 0, 0
+        for clause in re.split(r"[.!?;:\n]+(?:\s|$)|\n", text.lower()):
+            words = re.findall(r"[a-zà-ü]+", clause)
+            insult = [w in model.words or w.startswith("bad") and w not in ("bad", "badge") for w in words]
+            threat = [w in toxicity.THREATS for w in words]
+            near = lambda xs, i, n: any(w in xs for w in words[max(0, i - n) : i])
+            meant = any(t and near(toxicity.INTENTS, i, 3) for i, t in enumerate(threat)) and any(w in toxicity.TARGETS and near(toxicity.THREATS, i, 3) for i, w in enumerate(words))
+            oneself = any(w in toxicity.SELVES and near(toxicity.THREATS, i, 1) for i, w in enumerate(words))
+            weight = 0.0
+            for w, hit in zip(words, insult, strict=True):
+                if hit and w not in used:
+                    used.add(w)
+                    begun += w not in model.words
+                    weight += model.words[w] if w in model.words else model.more[min(begun, 3) - 1] - (model.more[begun - 2] if 1 < begun <= 3 else model.more[2] if begun > 3 else 0)
+            if not any(insult) and not meant and not oneself:
+                continue
+            total += 1
+            weight += 4.0 * (meant or oneself)
+            heavy = [i for i, (a, b) in enumerate(zip(insult, threat, strict=True)) if a or b]
+            if any(near(toxicity.REPORTS, i, 6) for i in [*heavy, *(i for i, w in enumerate(words) if w in toxicity.TARGETS)]):
+                weight = -abs(weight) / 4
+            elif any(near(toxicity.NEGATIONS, i, 2) for i in heavy):
+                weight = -abs(weight) / 4
+            elif meant or oneself or any(w in toxicity.TARGETS for w in words):
+                weight *= 1.25
+            z += weight
+        return total, 1 / (1 + np.exp(2.0 - z))
+
+    r = np.random.default_rng(5)
+    pool = ["you", "moron", "scum", "bader", "badly", "badge", "bad", "not", "said", "kill", "will", "yourself", "a", "b", "c", "d", "e", ".", ";", "\n"]
     judge = toxicity.Scorer(model)
-    kinds = lambda t: judge.clauses(t)
+    for _ in range(3000):
+        text = " ".join(r.choice(pool, int(r.integers(0, 14))))
+        found = judge.clauses(text)
+        assert (len(found), pytest.approx(judge.score(found))) == brute(text), text
+
+
+def test_grammar_tells_kinds_of_clauses():
+    model = toxicity.Model({"moron": 3.0}, frozenset({"scum"}), frozenset(), (3.0, 4.0, 5.0), -2.0)
+    kinds = lambda t: [k for k, _ in toxicity.Scorer(model).clauses(t)]
     assert kinds("what a moron that was") == [toxicity.PLAIN]
     assert kinds("You are SCUMBAGS. Fine otherwise.") == [toxicity.AIMED]
     assert kinds("not a moron") == [toxicity.NEGATED]
     assert kinds("the report said you moron") == [toxicity.REPORTED]
-    assert kinds("i will kill you") == [toxicity.MENACE]
-    assert kinds("oxymoron, and kill the process") == []
-    assert judge.score("not a moron") < 0.5 <= judge.score("you moron") and judge.score("") < 0.5
+    assert kinds("i will kill you") == kinds("kill yourself") == [toxicity.MENACE]
+    assert kinds("oxymoron, and kill the process. i beat you at chess") == []
 
 
 def test_toxicity_of_odd_rows(spark, odd_docs, no_docs):
@@ -283,6 +374,7 @@ def test_toxicity_of_odd_rows(spark, odd_docs, no_docs):
     nothing = toxicity.learn(no_docs, labels.limit(0))
     assert toxicity.keep_clean(odd_docs, nothing).count() == odd_docs.count()
     assert toxicity.keep_clean(odd_docs, model).columns == odd_docs.columns
+    assert toxicity.keep_clean(no_docs, model).count() == 0
 
 
 # -- language --------------------------------------------------------------------------------------------
@@ -295,6 +387,33 @@ def test_language_of_held_out_documents(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
 
 
+def test_language_equals_brute_force(spark):
+    """Sizes summed text by text with the library, without the judge."""
+    import zstandard
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.learn(docs, ~held_out("doc_id", 4, 2), per_lang=8)
+    how = zstandard.ZstdCompressionParameters.from_level(6, min_match=3, strategy=zstandard.STRATEGY_BTOPT, write_content_size=False, write_dict_id=False)
+    tools = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=how) for d in model.values()]
+    got = {r.doc_id: r for r in langid.identify(docs, model).collect()}
+    for r in docs.collect():
+        text = re.sub(r"[\W\d_]+", " ", (r.text or "").lower())
+        if not text.strip():
+            assert got[r.doc_id].lang_pred == "und" and not got[r.doc_id].confident
+            continue
+        sizes = [sum(len(t.compress(text[a : a + 2000].encode())) for a in range(0, len(text), 2000)) for t in tools]
+        best, second = sorted(sizes)[:2]
+        assert got[r.doc_id].lang_pred == list(model)[sizes.index(best)]
+        assert got[r.doc_id].confident == ((second - best) / best >= langid.MARGIN)
+
+
+def test_short_texts_need_a_margin_too(spark):
+    docs = spark.createDataFrame([(1, "De."), (2, "Und das ist nicht mit der Einung auf die Keitung von sich in den")], "doc_id long, text string")
+    known = spark.read.parquet(f"{SF}/documents.parquet")
+    got = {r.doc_id: r for r in langid.identify(docs, langid.learn(known, F.lit(True))).collect()}
+    assert not got[1].confident and got[2].confident and got[2].lang_pred == "de"
+
+
 def test_language_of_odd_rows(odd_docs, no_docs):
     model = langid.learn(odd_docs, ~held_out("doc_id", 4, 2))
     got = {r.doc_id: r for r in langid.identify(odd_docs, model).collect()}
