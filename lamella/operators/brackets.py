@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
 from ..functions.scalar import lookup
+from ..functions.vocabulary import FINAL, SEMIFINAL
 
 
 def placement(bouts: DataFrame, pool: DataFrame, keys: list[str], event_rank: str = "rank") -> DataFrame:
@@ -72,3 +73,85 @@ def reconstruct(entries: DataFrame, keys: list[str], seed: str = "seed", rank: s
 def incomplete_rounds(rounds: Column, required: list[str]) -> Column:
     """The required rounds that are missing."""
     return F.array_except(F.array(*map(F.lit, required)), rounds)
+
+
+def against_ranks(bouts: DataFrame, ranks: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, valid, final_winner, issues, warnings: a bracket held against the final ranks.
+
+    bouts has keys, number, round, winner, loser; ranks has keys, rank, name. The champion must be
+    first; among several finals the first one whose winner is counts, and their number is a
+    warning. A losing finalist who isn't second and losers of semifinals who aren't third are
+    warnings. Without bouts or ranks an event is invalid.
+    """
+    first = ranks.where("name <> ''").groupBy(*keys).agg(*[F.collect_set(F.when(F.col("rank") == r, F.trim("name"))).alias(f"r{r}") for r in (1, 2, 3)])
+    finals = F.sort_array(F.collect_list(F.when(F.col("round") == FINAL, F.struct("number", "winner", "loser"))))
+    losers = F.sort_array(F.collect_set(F.when(F.col("round") == SEMIFINAL, F.col("loser"))))
+    met = bouts.groupBy(*keys).agg(finals.alias("finals"), losers.alias("losers")).join(first, keys, "full")
+    won = F.filter("finals", lambda f: F.array_contains(F.col("r1"), f["winner"]))
+    used = F.coalesce(F.get(won, F.lit(0)), F.get(F.col("finals"), F.lit(0)))
+    none = F.col("finals").isNull() | F.col("r1").isNull()
+    issues = F.array_compact(F.array(F.when(none, "nothing to compare"), F.when(~none & (F.size("finals") == 0), "no final"), F.when(~none & (F.size("finals") > 0) & (F.size(won) == 0), "champion is not first")))
+    third = F.transform(F.filter("losers", lambda n: ~F.array_contains(F.col("r3"), n)), lambda n: F.concat(F.lit("not third: "), n))
+    several = F.when(~none & (F.size("finals") > 1), F.lit("several finals"))
+    second = F.when(~none & used["loser"].isNotNull() & ~F.array_contains(F.col("r2"), used["loser"]), F.lit("finalist is not second"))
+    warnings = F.when(none, F.array().cast("array<string>")).otherwise(F.concat(F.array_compact(F.array(several, second)), third))
+    return met.select(*keys, (F.size(issues) == 0).alias("valid"), used["winner"].alias("final_winner"), issues.alias("issues"), warnings.alias("warnings"))
+
+
+def changed_winners(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, low, high, old_winner, new_winner of bouts of the same two whose winner differs; both have keys, winner, loser."""
+    old, new = (b.select(*keys, F.least("winner", "loser").alias("low"), F.greatest("winner", "loser").alias("high"), F.col("winner").alias(n)) for b, n in ((before, "old_winner"), (after, "new_winner")))
+    return old.join(new, [*keys, "low", "high"]).where("old_winner <> new_winner")
+
+
+def seed_positions(size: Column) -> Column:
+    """array of seeds by place: neighbours meet first, their seeds adding up to size + 1, and the best meet last.
+
+    Sizes are powers of two from 2 on; the order of 16 and 32 is the customary one, and the other sizes follow its rule.
+    """
+    rounds = F.slice(F.sequence(F.lit(1), F.greatest(F.log2(size).cast("int"), F.lit(2))), 2, F.greatest(F.log2(size).cast("int") - 2, F.lit(0)))
+
+    def doubled(held: Column, r: Column) -> Column:
+        other = lambda s: F.pow(F.lit(2), r).cast("int") + 1 - s
+        return F.flatten(F.transform(held, lambda s, i: F.when(i % 2 == 0, F.array(s, other(s))).otherwise(F.array(other(s), s))))
+
+    order = F.aggregate(rounds, F.array(F.lit(1), F.lit(2)), doubled)
+    return F.when(size == 2, F.array(F.lit(1), F.lit(2))).otherwise(F.flatten(F.transform(order, lambda s: F.array(s, size + 1 - s))))
+
+
+def match_pairs(round_size: Column) -> Column:
+    """array of (first, second): the places that meet in a round."""
+    return F.transform(F.sequence(F.lit(1), round_size - 1, F.lit(2)), lambda i: F.struct(i.alias("first"), (i + 1).alias("second")))
+
+
+def inferred_finals(ranks: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, round, winner, loser, inferred: final and semifinals that ranks 1 to 3 (3 twice) stand for.
+
+    The first of the two thirds by name is taken to have lost to the champion. Events without a first and a second have none.
+    """
+    named = ranks.where("name is not null and rank <= 4").groupBy(*keys).agg(
+        F.min(F.when(F.col("rank") == 1, F.col("name"))).alias("one"), F.min(F.when(F.col("rank") == 2, F.col("name"))).alias("two"), F.sort_array(F.collect_list(F.when(F.col("rank") >= 3, F.struct("rank", "name")))).alias("lost"),
+    )
+    bout = lambda name, a, b: F.struct(F.lit(name).alias("round"), a.alias("winner"), b.alias("loser"))
+    third = lambda i: F.get(F.col("lost"), F.lit(i))["name"]
+    semis = F.array(F.when(third(0).isNotNull(), bout(SEMIFINAL, F.col("one"), third(0))), F.when(third(1).isNotNull(), bout(SEMIFINAL, F.col("two"), third(1))))
+    rows = named.where("one is not null and two is not null").select(*keys, F.explode(F.array_compact(F.concat(semis, F.array(bout(FINAL, F.col("one"), F.col("two")))))).alias("b"))
+    return rows.select(*keys, "b.round", "b.winner", "b.loser", F.lit(True).alias("inferred"))
+
+
+def full_bouts(bouts: DataFrame, keys: list[str]) -> DataFrame:
+    """Bouts of two sides as winner and loser with their scores; byes and undecided bouts go.
+
+    bouts has keys, round, seed1, name1, score1, seed2, name2, score2, winner_seed.
+    """
+    one = F.col("winner_seed") == F.col("seed1")
+    side = lambda yes: [F.when(yes, F.col(f"{c}1")).otherwise(F.col(f"{c}2")) for c in ("seed", "name", "score")]
+    names = [f"{who}_{c}" for who in ("winner", "loser") for c in ("seed", "name", "score")]
+    rows = bouts.where("name1 is not null and name2 is not null and winner_seed in (seed1, seed2)")
+    return rows.select(*keys, "round", *[c.alias(n) for c, n in zip([*side(one), *side(~one)], names, strict=True)])
+
+
+def legacy_rounds(full: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, results_by_round: map of round to its winner rows (seed, name, scores), by seed."""
+    rows = full.groupBy(*keys, "round").agg(F.sort_array(F.collect_list(F.struct(F.col("winner_seed").alias("seed"), F.col("winner_name").alias("name"), F.col("winner_score").alias("score"), F.col("loser_score").alias("against")))).alias("rows"))
+    return rows.groupBy(*keys).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("round", "rows")))).alias("results_by_round"))

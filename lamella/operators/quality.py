@@ -57,6 +57,63 @@ def match_rules() -> list[Rule]:
     ]
 
 
+def event_rules() -> list[Rule]:
+    """Rules of an event with event_name, weapon and gender (as found in the name) and participants."""
+    named = F.coalesce(F.length("event_name") > 0, F.lit(False))
+    return [
+        Rule("event_name", "CRITICAL", "missing", ~named),
+        Rule("participants", "CRITICAL", "negative", F.col("participants") < 0),
+        Rule("event_name", "MEDIUM", "weapon not named", named & F.col("weapon").isNull()),
+        Rule("event_name", "MEDIUM", "gender not named", named & F.col("gender").isNull()),
+    ]
+
+
+def competition_rules() -> list[Rule]:
+    return [
+        Rule("comp_idx", "CRITICAL", "missing", F.coalesce(F.length("comp_idx") < 1, F.lit(True))),
+        Rule("comp_name", "CRITICAL", "missing", F.coalesce(F.length("comp_name") < 1, F.lit(True))),
+        Rule("end_date", "CRITICAL", "ends before its start", F.col("end_date") < F.col("start_date")),
+    ]
+
+
+def competition_status(start: Column | str, end: Column | str, as_of: str, otherwise: Column | str) -> Column:
+    """Status by the dates: over, running (an open end runs on), or planned; without a start it stays."""
+    start, end = (F.col(c) if isinstance(c, str) else c for c in (start, end))
+    day = F.lit(as_of).cast("date")
+    found = F.when(end < day, F.lit("종료")).when(start <= day, F.lit("진행중")).when(start > day, F.lit("예정"))
+    return F.coalesce(F.when(start.isNotNull(), found), F.col(otherwise) if isinstance(otherwise, str) else otherwise)
+
+
+def inconsistent(rows: DataFrame, stored: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """key, field, old, new of known rows whose set fields differ from the stored ones; new keys have none."""
+    old = stored.select(F.col(key), *[F.col(f).alias(f"__{f}") for f in fields])
+    each = [F.struct(F.lit(f).alias("field"), F.col(f"__{f}").cast("string").alias("old"), F.col(f).cast("string").alias("new")) for f in fields]
+    found = rows.join(old, key).select(key, F.explode(F.array(*each)).alias("d")).select(key, "d.*")
+    return found.where("old <> new and old <> '' and new <> ''")
+
+
+def repeated(rows: DataFrame, keys: list[str], name: str = "times") -> DataFrame:
+    """keys, times of the keys that several rows share."""
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(name)).where(F.col(name) > 1)
+
+
+def guardian_missing(rows: DataFrame, born: str, guardian: str, as_of: str, age: int = 14) -> DataFrame:
+    """Rows of members under ``age`` on the day without a guardian."""
+    young = F.col(born) > F.add_months(F.lit(as_of).cast("date"), -12 * age)
+    return rows.where(young & F.col(guardian).isNull())
+
+
+def latency_ms(start: Column | str, end: Column | str) -> Column:
+    start, end = (F.col(c) if isinstance(c, str) else c for c in (start, end))
+    return F.unix_millis(end.cast("timestamp")) - F.unix_millis(start.cast("timestamp"))
+
+
+def acknowledged(alerts: DataFrame, key: str, done: DataFrame) -> DataFrame:
+    """Alerts with ``acknowledged`` set for the keys of ``done``."""
+    marks = done.select(key).distinct().withColumn("__done", F.lit(True))
+    return alerts.join(marks, key, "left").withColumn("acknowledged", F.coalesce("__done", F.lit(False))).drop("__done")
+
+
 def ranking_rules() -> list[Rule]:
     return [
         Rule("rank", "CRITICAL", "range", F.coalesce(~F.col("rank").between(1, 256), F.lit(True))),

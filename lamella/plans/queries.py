@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
-from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
@@ -21,28 +20,12 @@ from ..sources import pages as P
 from ..sources import tables as T
 from ..streaming import changes as C
 from . import router
+from .registry import ORACLE_SQL, QUERIES  # noqa: F401
+from .registry import query as _query
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
 AS_OF = "2001-09-01"
 
 
-def _query(sql: str | None = None) -> Callable[[Callable], Query]:
-    """Registers a query under its name; it gets a reader of the tables."""
-
-    def register(fn: Callable) -> Query:
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
-
-        QUERIES[fn.__name__] = run
-        if sql:
-            ORACLE_SQL[fn.__name__] = sql
-        return run
-
-    return register
-
-
 def _money(c: str) -> F.Column:
     return F.col(c).cast("decimal(18,2)")
 

@@ -1,7 +1,10 @@
 import pytest
 from oracle import connect, same
 
-from lamella.plans.queries import ORACLE_SQL, QUERIES
+import lamella.plans.players
+import lamella.plans.queries
+import lamella.plans.terms  # noqa: F401
+from lamella.plans.registry import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.01"
 
