@@ -50,24 +50,26 @@ def reconstruct(entries: DataFrame, keys: list[str], seed: str = "seed", rank: s
 
     For sizes 32, 16, 8, 4 and 2: with more survivors than the size the first 2*size - n by seed
     have byes and the rest pair high with low; with as many, all pair; with fewer the size is
-    skipped. The lower rank wins, on a tie the one seeded behind. Five steps, each one window and one join by position.
+    skipped. The lower rank wins, on a tie the one seeded behind. Rows stay in place and carry
+    whether they are still in, so an event is read and shuffled once for all rounds.
     """
-    alive = entries.select(*keys, F.col(seed).alias("seed"), F.col(rank).alias("rank"), F.col(name).alias("name"))
-    out = None
+    rows = entries.select(*keys, F.col(seed).alias("seed"), F.col(rank).alias("rank"), F.col(name).alias("name")).withColumn("__in", F.lit(True))
+    event, bouts = Window.partitionBy(*keys), []
     for size in (32, 16, 8, 4, 2):
-        n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-        at = F.row_number().over(Window.partitionBy(*keys).orderBy("seed", "name"))
-        seen = alive.withColumn("__n", n).withColumn("__at", at)
-        byes = F.when(F.col("__n") > size, F.greatest(F.lit(0), 2 * size - F.col("__n"))).when(F.col("__n") == size, F.lit(0)).otherwise(F.col("__n"))
-        seen = seen.withColumn("__byes", byes).withColumn("__slot", F.col("__at") - F.col("__byes")).withColumn("__field", F.col("__n") - F.col("__byes"))
-        through = seen.where("__slot <= 0 or __slot * 2 = __field + 1").select(*keys, "seed", "rank", "name")
-        playing = seen.where("__slot > 0 and __slot * 2 <> __field + 1").withColumn("__pair", F.least(F.col("__slot"), F.col("__field") + 1 - F.col("__slot")))
-        best = F.struct("rank", (-F.col("seed")).alias("behind"), "seed", "name")
-        met = playing.groupBy(*keys, "__pair").agg(F.min(best).alias("w"), F.max(best).alias("l"))
-        bouts = met.select(*keys, F.lit(size).alias("round_size"), F.col("w.name").alias("winner"), F.col("l.name").alias("loser"))
-        out = bouts if out is None else out.unionByName(bouts)
-        alive = through.unionByName(met.select(*keys, F.col("w.seed").alias("seed"), F.col("w.rank").alias("rank"), F.col("w.name").alias("name")))
-    return out
+        n, at = F.col("__n"), F.col("__at")
+        rows = rows.withColumns({"__n": F.count_if("__in").over(event), "__at": F.row_number().over(event.orderBy(~F.col("__in"), "seed", "name"))})
+        byes = F.when(n > size, F.greatest(F.lit(0), 2 * size - n)).when(n == size, F.lit(0)).otherwise(n)
+        rows = rows.withColumns({"__slot": at - byes, "__field": n - byes})
+        slot, field = F.col("__slot"), F.col("__field")
+        rows = rows.withColumn("__plays", F.col("__in") & (slot > 0) & (slot * 2 != field + 1))
+        rows = rows.withColumns({"__pair": F.when(F.col("__plays"), F.least(slot, field + 1 - slot)).otherwise(-at), "__best": F.struct("rank", (-F.col("seed")).alias("behind"), "name", "__at")})
+        pair = Window.partitionBy(*keys, "__pair")
+        rows = rows.withColumns({"__w": F.min("__best").over(pair), "__l": F.max("__best").over(pair)})
+        won = F.col("__plays") & (F.col("__w.__at") == at)
+        bout = F.when(won, F.struct(F.lit(size).alias("round_size"), F.col("__w.name").alias("winner"), F.col("__l.name").alias("loser")))
+        rows = rows.withColumns({f"__b{size}": bout, "__in": F.col("__in") & (~F.col("__plays") | won)})
+        bouts.append(f"__b{size}")
+    return rows.select(*keys, F.explode(F.array_compact(F.array(*bouts))).alias("b")).select(*keys, "b.*")
 
 
 def incomplete_rounds(rounds: Column, required: list[str]) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,75 +52,104 @@ def _team_rows(rows: DataFrame) -> DataFrame:
     ).withColumn("kind", team_type("team")).withColumn("level", school_level("team"))
 
 
-def _years(a: str, b: str) -> float:
-    try:
-        return (pd.Timestamp(b) - pd.Timestamp(a)).days / 365.25
-    except (ValueError, TypeError):
-        return 0.0
+class _Team(NamedTuple):
+    name: str
+    team: str
+    first: str
+    last: str
+    school: bool
+    level: int
+    weapons: frozenset[str]
+    comps: frozenset[str]
+    n: int
 
 
-def _same_person(a: pd.Series, b: pd.Series) -> bool:
-    """Whether two teams can follow each other in one career; a begins first."""
-    wa, wb = set(a["weapons"]), set(b["weapons"])
-    if wa and wb and not wa & wb:
-        return False
-    gap = _years(a["last"], b["first"])
-    schools = (a["kind"] != "club") + (b["kind"] != "club")
-    if schools == 2:
-        if a["level"] == b["level"]:
-            return abs(gap) <= 1
-        return 0 <= b["level"] - a["level"] <= 1 and 0 <= gap <= 1
-    if schools == 1:
-        return False
-    return 0 <= gap <= 2 or (gap < 0 and wa == wb and -gap <= 1)
+def _year(date: str) -> int:
+    return int(date[:4]) if date[:4].isdigit() else 0
+
 
+def _follows(a: _Team, b: _Team, years: int) -> bool:
+    """Whether b begins when a has ended, at most so many calendar years later."""
+    return a.last <= b.first and _year(b.first) - _year(a.last) <= years
 
-def _resolve(teams: pd.DataFrame) -> pd.DataFrame:
+
+def _same_person(a: _Team, b: _Team) -> bool:
+    """Whether two teams can belong to one career."""
+    if a.weapons and b.weapons and not a.weapons & b.weapons or not (a.last and b.last):
+        return False
+    if a.school != b.school:
+        return False
+    if a.school:
+        if a.level == b.level:
+            return (a.last <= b.first or b.last <= a.first) and abs(_year(b.first) - _year(a.last)) <= 1
+        low, high = (a, b) if a.level < b.level else (b, a)
+        return high.level - low.level == 1 and _follows(low, high, 1)
+    if a.last <= b.first or b.last <= a.first:
+        return _follows(a, b, 2) or _follows(b, a, 2)
+    return a.weapons == b.weapons and _year(min(a.last, b.last)) - _year(max(a.first, b.first)) <= 1
+
+
+def _by_weapon(teams: list[_Team]) -> list[list[_Team]]:
+    """Teams in groups that share weapons, directly or through others; those without any are one group."""
+    groups: list[tuple[set[str], list[_Team]]] = []
+    for t in teams:
+        met = [g for g in groups if (g[0] & t.weapons if t.weapons else not g[0])]
+        groups = [g for g in groups if g not in met]
+        groups.append((set(t.weapons).union(*(g[0] for g in met)), [x for g in met for x in g[1]] + [t]))
+    return [sorted(g[1], key=lambda t: (t.first or "9999", t.team)) for g in groups]
+
+
+def _careers(teams: list[_Team]) -> list[list[_Team]]:
+    """Teams, in order of their first date, dealt out to persons; sets are bit masks over their places."""
+    clash = [0] * len(teams)
+    at: dict[str, int] = {}
+    for i, t in enumerate(teams):
+        for c in t.comps:
+            at[c] = at.get(c, 0) | 1 << i
+    for i, t in enumerate(teams):
+        for c in t.comps:
+            clash[i] |= at[c] & ~(1 << i)
+    if not any(clash):
+        schools = [t for t in teams if t.level >= 2]
+        apart = any(a.level == b.level and max(a.first, b.first) <= min(a.last, b.last) for i, a in enumerate(schools) for b in schools[:i])
+        return [[t] for t in teams] if apart else [teams]
+    owner, members, barred = list(range(len(teams))), [1 << i for i in range(len(teams))], clash[:]
+    for i, a in enumerate(teams):
+        for j in range(i + 1, len(teams)):
+            p, q = owner[i], owner[j]
+            if p == q or barred[p] & members[q] or not _same_person(a, teams[j]):
+                continue
+            members[p] |= members[q]
+            barred[p] |= barred[q]
+            owner = [p if o == q else o for o in owner]
+    return [[teams[i] for i in range(len(teams)) if owner[i] == p] for p in sorted(set(owner))]
+
+
+def _resolve(rows: pd.DataFrame) -> pd.DataFrame:
     """Profiles of one name; its rows are teams, so the group is small however often the person appears."""
-    out = []
-    for _, side in teams.groupby(["side", "sex"], sort=True):
-        side = side.sort_values(["first", "team"]).reset_index(drop=True)
-        parent = list(range(len(side)))
-
-        def root(i: int, parent: list[int] = parent) -> int:
-            while parent[i] != i:
-                i = parent[i]
-            return i
-
-        comps = [set(c) for c in side["comps"]]
-        school = side["level"] >= 2
-        rival = {(i, j) for i in range(len(side)) for j in range(i) if comps[i] & comps[j]}
-        clash = rival or {
-            (i, j) for i in range(len(side)) for j in range(i)
-            if school[i] and school[j] and side["level"][i] == side["level"][j] and max(side["first"][i], side["first"][j]) <= min(side["last"][i], side["last"][j])
-        }
-        if not clash:
-            parent = [0] * len(side)
-        else:
-            for j in range(len(side)):
-                for i in range(j):
-                    a, b = root(i, parent), root(j, parent)
-                    if a == b or not _same_person(side.iloc[i], side.iloc[j]):
-                        continue
-                    mine = [k for k in range(len(side)) if root(k, parent) == a]
-                    theirs = [k for k in range(len(side)) if root(k, parent) == b]
-                    if not any((max(x, y), min(x, y)) in clash for x in mine for y in theirs):
-                        parent[b] = a
-        for r in sorted({root(i, parent) for i in range(len(side))}):
-            mine = side[[root(i, parent) == r for i in range(len(side))]]
-            newest = mine.sort_values(["first", "team"]).iloc[-1]
-            out.append((mine["name"].iloc[0], 0, list(mine["team"]), sorted({w for ws in mine["weapons"] for w in ws}), newest["team"], mine["first"].min(), mine["last"].max(), int(mine["n"].sum())))
-    out.sort(key=lambda p: (p[5], p[2]))
-    rows = [(p[0], i, *p[2:]) for i, p in enumerate(out)]
-    return pd.DataFrame(rows, columns=["name", "part", "teams", "weapons", "current_team", "first_seen", "last_seen", "appearances"])
+    out, sides = [], {}
+    for r in rows.itertuples(index=False):
+        team = _Team(r.name, r.team, r.first or "", r.last or "", r.kind != "club", int(r.level), frozenset(w for w in r.weapons if w), frozenset(r.comps), int(r.n))
+        sides.setdefault((r.side, r.sex), []).append(team)
+    for _, teams in sorted(sides.items()):
+        for group in _by_weapon(teams):
+            for mine in _careers(group):
+                newest = max(mine, key=lambda t: (t.first, t.team))
+                seen = [t.first for t in mine if t.first], [t.last for t in mine if t.last]
+                out.append((mine[0].name, [t.team for t in mine], sorted(set().union(*(t.weapons for t in mine))), newest.team, min(seen[0], default=None), max(seen[1], default=None), sum(t.n for t in mine)))
+    out.sort(key=lambda p: (p[4] or "", p[1]))
+    return pd.DataFrame([(p[0], i, *p[1:]) for i, p in enumerate(out)], columns=["name", "part", "teams", "weapons", "current_team", "first_seen", "last_seen", "appearances"])
 
 
 def resolve_people(rows: DataFrame) -> DataFrame:
     """Profiles per name: teams, weapons, current team, span and number of appearances.
 
-    An age regression of two levels splits a name; then gender; then teams of one competition, or
-    schools of one level at once, can't be one person, and the others join greedily in order of
-    their first date. Rows are aggregated to teams before a name meets in one task.
+    An age regression of two levels splits a name once; then gender; then groups of teams that share
+    weapons. Teams of one competition can't be one person; without such, schools of one level at
+    once keep all teams of the name apart; without those, all are one person. Otherwise teams
+    join greedily in order of their first date: schools one level up, or level with no overlap,
+    within a calendar year; clubs within two. Rows are aggregated to teams before a name meets in
+    one task.
     """
     return _team_rows(rows).groupBy("name").applyInPandas(_resolve, PROFILE)
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -177,16 +176,16 @@ def router_intent(t):
 
 _BOUTS_SQL = """
     bout AS (SELECT a.l_orderkey AS o, a.l_suppkey AS s1, b.l_suppkey AS s2, CAST(a.l_quantity AS INT) AS q1, CAST(b.l_quantity AS INT) AS q2, a.l_shipdate AS d
-             FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = 1 AND b.l_linenumber = 2 AND a.l_suppkey <> b.l_suppkey AND a.l_quantity <> b.l_quantity),
+             FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber % 2 = 1 AND b.l_linenumber = a.l_linenumber + 1 AND a.l_suppkey <> b.l_suppkey AND a.l_quantity <> b.l_quantity),
     v AS (SELECT o, d, s1 AS id, q1 AS score, s2 AS other, q2 AS other_score, q1 > q2 AS won FROM bout UNION ALL SELECT o, d, s2, q2, s1, q1, q2 > q1 FROM bout)"""
 
 
 def _bouts(t) -> DataFrame:
-    """The first two lines of an order as a bout of their suppliers, by quantity; both sides as rows."""
-    rows = t("lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", F.col("l_quantity").cast("int").alias("q"), "l_shipdate")
-    one = rows.where("l_linenumber = 1").select("l_orderkey", F.col("l_suppkey").alias("s1"), F.col("q").alias("q1"), F.col("l_shipdate").alias("d"))
-    two = rows.where("l_linenumber = 2").select("l_orderkey", F.col("l_suppkey").alias("s2"), F.col("q").alias("q2"))
-    met = one.join(two, "l_orderkey").where("s1 <> s2 and q1 <> q2")
+    """Each two lines of an order that follow each other as a bout of their suppliers, by quantity; both sides as rows."""
+    rows = t("lineitem").select("l_orderkey", F.floor((F.col("l_linenumber") - 1) / 2).alias("pair"), (F.col("l_linenumber") % 2 == 1).alias("first"), "l_suppkey", F.col("l_quantity").cast("int").alias("q"), "l_shipdate")
+    one = rows.where("first").select("l_orderkey", "pair", F.col("l_suppkey").alias("s1"), F.col("q").alias("q1"), F.col("l_shipdate").alias("d"))
+    two = rows.where("not first").select("l_orderkey", "pair", F.col("l_suppkey").alias("s2"), F.col("q").alias("q2"))
+    met = one.join(two, ["l_orderkey", "pair"]).where("s1 <> s2 and q1 <> q2")
     return B.perspectives(met, ["l_orderkey", "d"], {"id": "s1", "score": "q1"}, {"id": "s2", "score": "q2"}, F.col("q1") > F.col("q2"))
 
 
@@ -205,8 +204,8 @@ def h2h_perspective(t):
     SELECT id, other AS opponent_id, count(*) AS bouts, count(*) FILTER (fixed) AS wins, max(d) AS last, count(*) - count(*) FILTER (fixed) AS losses,
            round_even(count(*) FILTER (fixed) * 100.0::DOUBLE / count(*), 1) AS rate FROM x GROUP BY 1, 2 HAVING count(*) >= 2""")
 def h2h_rank_corrected(t):
-    place = F.row_number().over(Window.orderBy(F.desc("s_acctbal"), "s_suppkey"))  # the small dimension of suppliers
-    ranks = t("supplier").select("s_suppkey", place.alias("k")).withColumn("k", F.when(F.col("k") % 3 > 0, F.col("k")))
+    order = t("supplier").select((-F.col("s_acctbal")).alias("behind"), "s_suppkey")
+    ranks = T.with_surrogate_ids(order, ["behind", "s_suppkey"], id_col="k").select("s_suppkey", "k").withColumn("k", F.when(F.col("k") % 3 > 0, F.col("k")))
     rows = _bouts(t).join(ranks.select(F.col("s_suppkey").alias("id"), F.col("k").alias("mine")), "id").join(ranks.select(F.col("s_suppkey").alias("opponent_id"), F.col("k").alias("yours")), "opponent_id")
     return B.head_to_head(rows.withColumn("fixed", B.corrected_result(F.col("is_win"), F.col("mine"), F.col("yours"))), "id", "opponent_id", F.col("fixed"), F.col("d"), 2)
 
@@ -443,10 +442,10 @@ def merge_people(t):
 # -- nested data ---------------------------------------------------------------------------------
 
 
-@_query("SELECT l_orderkey, l_linenumber, l_partkey, count(*) AS n FROM lineitem WHERE l_linenumber <= 4 GROUP BY 1, 2, 3")
+@_query("SELECT l_orderkey, l_linenumber, l_partkey, count(*) AS n FROM lineitem GROUP BY 1, 2, 3")
 def nested_roundtrip(t):
     lines = t("lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_linenumber", "l_partkey")).alias("lines"))
-    kept = lines.select("l_orderkey", F.inline(F.filter("lines", lambda x: x["l_linenumber"] <= 4)))
+    kept = lines.select("l_orderkey", F.inline("lines"))
     return kept.groupBy("l_orderkey", "l_linenumber", "l_partkey").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -549,18 +548,24 @@ def purge_old(t):
 # -- graphs, people and streams --------------------------------------------------------------------
 
 
-@_query("""
-    WITH RECURSIVE e AS (SELECT o_custkey AS a, 1000000 + o_orderkey % 997 AS b FROM orders WHERE o_totalprice > 480000 UNION SELECT 1000000 + o_orderkey % 997, o_custkey FROM orders WHERE o_totalprice > 480000),
-    reach AS (SELECT a AS node, a AS other FROM e UNION SELECT reach.node, e.b FROM reach JOIN e ON reach.other = e.a)
-    SELECT node, min(other) AS component FROM reach GROUP BY node""")
+def _components_sql(b: str) -> str:
+    return f"""
+    WITH RECURSIVE e AS (SELECT o_custkey AS a, {b} AS b FROM orders UNION SELECT {b}, o_custkey FROM orders),
+    cc(node, component) USING KEY (node) AS (SELECT DISTINCT a, a FROM e UNION (
+        SELECT e.a, min(cc.component) FROM cc JOIN e ON cc.node = e.b JOIN recurring.cc AS old ON old.node = e.a WHERE cc.component < old.component GROUP BY e.a))
+    SELECT node, component FROM cc"""
+
+
+@_query(_components_sql("1000000 + o_custkey // 8 * 2 + o_orderkey % 2"))
 def connected_components(t):
-    edges = t("orders").where("o_totalprice > 480000").select(F.col("o_custkey").alias("a"), (F.lit(1_000_000) + F.col("o_orderkey") % 997).cast("bigint").alias("b"))
-    return I.components(edges, "a", "b")
+    """All orders as edges: customers, eight by eight, meet in two nodes each."""
+    b = F.lit(1_000_000) + F.floor(F.col("o_custkey") / 8) * 2 + F.col("o_orderkey") % 2
+    return I.components(t("orders").select(F.col("o_custkey").alias("a"), b.cast("bigint").alias("b")), "a", "b")
 
 
-@_query()
+@_query(_components_sql("1000000 + o_orderkey % 997"))
 def connected_components_whole(t):
-    """All orders as edges; ``connected_components`` keeps the few that its recursive SQL can bear."""
+    """All orders as edges of one large component."""
     edges = t("orders").select(F.col("o_custkey").alias("a"), (F.lit(1_000_000) + F.col("o_orderkey") % 997).cast("bigint").alias("b"))
     return I.components(edges, "a", "b")
 
@@ -624,7 +629,7 @@ def stream_counts(t):
 def _streamed(events: DataFrame) -> DataFrame:
     """The table as a stream, counted by an availableNow run into a memory table."""
     spark = events.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lamella-stream-")
+    root = T.shared_folder(spark)
     name = f"counts_{os.urandom(6).hex()}"
     events.write.parquet(f"{root}/{name}/in")
     stream = C.read_changes(spark, f"{root}/{name}/in", events.schema.simpleString()[7:-1].replace(":", " "))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -64,6 +67,17 @@ def save_validated(checked: DataFrame, good: str, quarantine: str) -> None:
     checked.where("not can_save").write.mode("append").parquet(quarantine)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share; only a local master may go without spark.checkpoint.dir."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="lamella-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
 def with_surrogate_ids(rows: DataFrame, keys: list[str], known: DataFrame | None = None, id_col: str = "id") -> DataFrame:
     """keys, id: known ids stay; new keys get the next ones in key order.
 
@@ -75,6 +89,9 @@ def with_surrogate_ids(rows: DataFrame, keys: list[str], known: DataFrame | None
         fresh = fresh.join(known.select(*keys), keys, "left_anti")
         top = known.agg(F.coalesce(F.max(id_col), F.lit(0))).first()[0]
     fresh = fresh.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__p", F.spark_partition_id())
+    spark, path = rows.sparkSession, f"{shared_folder(rows.sparkSession)}/ids-{uuid.uuid4().hex}"
+    fresh.write.parquet(path)  # ranges must not change when a task is run again
+    fresh = spark.read.parquet(path)
     inside = Window.partitionBy("__p").orderBy(*keys)
     counted = fresh.withColumn("__n", F.row_number().over(inside))
     sizes = counted.groupBy("__p").agg(F.max("__n").alias("__size"))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from lamella.functions import korean as K
 from lamella.functions import scalar as S
-from lamella.operators import addresses, bouts, brackets, identity, quality, rankings, relations
-from lamella.sources import pages, tables
+from lamella.operators import addresses, bouts, brackets, identity, players, quality, rankings, relations
+from lamella.sources import endpoints, pages, tables
 
 
 def value(spark, c):
@@ -143,6 +143,26 @@ def test_people(spark):
     assert by["N1"][0].current_team == "T1" and by["N1"][0].appearances == 2 and by["N3"][0].teams == ["서울중학교", "서울고등학교"]
 
 
+def test_people_by_calendar_years_weapons_and_levels(spark):
+    """A clash of two clubs makes the greedy rules count: one name each."""
+
+    def row(name, team, comp, date, weapon="e"):
+        return (name, team, comp, date, "x", weapon, 1, "pool")
+
+    clash = lambda name: [row(name, "KA", "Z", "2001-01-01"), row(name, "KB", "Z", "2001-01-01")]
+    rows = clash("N4") + [row("N4", "서울중학교", "C1", "2022-05-01"), row("N4", "서울고등학교", "C2", "2023-06-01")]  # 13 months, but one calendar year
+    rows += clash("N5") + [row("N5", "서울중학교", "C1", "2021-12-01"), row("N5", "서울고등학교", "C2", "2023-01-01")]  # 13 months, two calendar years
+    rows += clash("N6") + [row("N6", "서울고등학교", "C1", "2020-01-01"), row("N6", "부산고등학교", "C2", "2020-06-01"), row("N6", "부산고등학교", "C3", "2019-06-01")]  # same level, at once
+    rows += [row("N7", "TA", "C1", "2020-01-01", "e"), row("N7", "TB", "C2", "2021-01-01", "f"), row("N7", "TC", "C3", "2022-01-01", "f")]  # no common weapon
+    rows += [row("N8", "서울고등학교", "C1", "2020-01-01"), row("N8", "부산고등학교", "C2", "2020-01-01"), row("N8", "KC", "C3", "2024-01-01")]  # level schools at once keep all apart
+    rows += clash("N9") + [row("N9", "KC", "C2", "2003-12-01")]  # clubs within two calendar years
+    got = {n: sorted(r.teams for r in people(spark, [r for r in rows if r[0] == n])) for n in ("N4", "N5", "N6", "N7", "N8", "N9")}
+    assert ["서울중학교", "서울고등학교"] in got["N4"] and len(got["N4"]) == 3
+    assert len(got["N5"]) == 4 and len(got["N6"]) == 4
+    assert got["N7"] == [["TA"], ["TB", "TC"]] and len(got["N8"]) == 3
+    assert ["KA", "KC"] in got["N9"] and len(got["N9"]) == 2
+
+
 def test_organisations(spark):
     rows = spark.createDataFrame([("A", " 서울중학교 ", "2022"), ("B", "서울중학교", "2021"), ("C", "부산고등학교", "2020"), ("D", "한강클럽", "2020"), ("E", None, "2020"), ("F", "대전중학교", "2020")], "name string, team string, date string")
     got = {r.organisation: r for r in identity.organisations(rows).collect()}
@@ -166,6 +186,26 @@ def test_documents_flatten(spark, tmp_path):
     assert {(r.name, r.kind) for r in identity.appearances(docs).collect()} == {("A", "ranking"), ("B", "ranking"), ("C", "ranking"), ("D", "ranking"), ("Z", "pool")}
 
 
+def test_endpoints_skip_what_is_malformed(spark, tmp_path):
+    bodies = spark.createDataFrame([(1, '[{"subEventCd":"A","subEventNm":"n"}]'), (2, "not json"), (3, None), (4, "[]")], "k int, body string")
+    assert [tuple(r) for r in endpoints.events(bodies).collect()] == [(1, "A", "n")]
+    assert endpoints.matches(bodies).count() == 0 and endpoints.ranks(bodies.limit(0)).count() == 0
+    table = spark.createDataFrame([("a", 1), ("a", 200), ("b", 3)], "category string, rank int")
+    endpoints.export_top(table, f"{tmp_path}/top", "category", "rank")
+    assert {(r.category, r["rank"]) for r in spark.read.json(f"{tmp_path}/top").collect()} == {("a", 1), ("b", 3)}
+    table.write.parquet(f"{tmp_path}/t")
+    endpoints.truncate(table, f"{tmp_path}/t")
+    assert spark.read.parquet(f"{tmp_path}/t").count() == 0
+
+
+def test_comparing_takes_two_to_ten(spark):
+    table = spark.createDataFrame([(i,) for i in range(20)], "k int")
+    assert players.compared(table, "k", [1, 2, 2]).count() == 2
+    for ids in ([1], [1, 1], list(range(11))):
+        with pytest.raises(ValueError):
+            players.compared(table, "k", ids)
+
+
 def test_validation_stages(spark):
     rows = spark.createDataFrame([("A", 2000), ("A", 2022), ("A1bcdefghijkl", 1990), ("Abc", 1990)], "name string, birth_year int")
     got = quality.validate(rows, quality.player_rules(2024)).collect()
