@@ -1,4 +1,9 @@
-"""The corpus pipeline: toxicity, language, exact copies, near copies, packing."""
+"""The corpus pipeline: toxicity, language, exact copies, near copies, packing.
+
+All stages but the last keep the columns of their input, whatever others it has. Null and empty
+texts pass the toxicity stage and go in the language stage, which can't tell their language. Rows
+that repeat share their fate in the filters; of them exact dedup keeps one. Empty tables stay empty.
+"""
 
 from __future__ import annotations
 
@@ -16,7 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or whose language isn't told apart by a wide enough margin, go."""
+    """Documents without a letter, or whose language isn't told apart by a wide enough margin, go: also very short ones."""
     return langid.keep_identified(docs, langid.learn(docs, ~held_out("doc_id", 4, 2)))
 
 
