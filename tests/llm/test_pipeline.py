@@ -37,3 +37,18 @@ def test_run_and_registration(spark):
     found = __spark_entry__.queries()
     assert set(queries.QUERIES) < set(found) and "pipeline" in found
     assert found["pipeline"](spark, SF).count() > 0
+
+
+def test_stages_take_odd_rows_and_empty_tables(spark, odd_docs, no_docs):
+    """Nulls, repeats, long texts and clashing columns pass through every stage; nothing stays nothing."""
+    for docs in (odd_docs, no_docs):
+        rows = docs
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, rows, SF)
+            assert out.columns == docs.columns and out.count() <= rows.count()
+            rows = spark.createDataFrame(out.collect(), docs.schema)
+        packed = corpus_pipeline.STAGES[-1][1](spark, rows, SF)
+        assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in rows.collect()}
+    kept = {r.doc_id for r in corpus_pipeline.drop_toxic(spark, odd_docs, SF).collect()}
+    assert kept == {r.doc_id for r in odd_docs.collect()}
+    assert {3, 4, 9, 10}.isdisjoint(r.doc_id for r in corpus_pipeline.drop_unidentified(spark, odd_docs, SF).collect())
