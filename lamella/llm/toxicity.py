@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections import Counter
@@ -145,7 +146,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     share ``purity`` of them and chance would rarely do that: the chance, times the number of
     features tried, is below ``doubt``, so no rank or fixed count cuts the vocabulary. Of those
     that begin alike the one with the best balance is kept. Words
-    without a listed beginning are insults by the same rule. A word with a listed beginning
+    without a listed beginning are insults by the same rule. Of all these, one by one, those are
+    kept that explain toxic texts which the ones before don't, so what copies of a text share is
+    no insult. A word with a listed beginning
     weighs by how many different ones its text has; the others weigh by themselves. Weights are
     smoothed log-odds of texts. Null labels teach nothing; texts without a label neither;
     without any toxic or any clean row no text is toxic.
@@ -210,7 +213,19 @@ def _learn(rows: DataFrame, bad: int, clean: int, purity: float, doubt: float) -
     finally:
         words.unpersist()
     model = Model(insults, frozenset(starts), left_out, (0.0, 0.0, 0.0), math.log(bad / clean))
-    if not starts:
+    finder = rows.sparkSession.sparkContext.broadcast(model)
+
+    def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        judge = Scorer(finder.value)
+        for batch in batches:
+            yield pd.DataFrame({"found": [judge.features(t) for t in batch["text"]], "toxic": batch["toxic"]})
+
+    marked = rows.mapInPandas(held, "found array<string>, toxic int").where(F.size("found") > 0)
+    sets = [frozenset(r["found"]) for r in marked.where("toxic = 1").select("found").collect()]  # at most the sample
+    in_clean = {r["f"]: r["count"] for r in marked.where("toxic = 0").select(F.explode("found").alias("f")).groupBy("f").count().collect()}
+    chosen = _explaining(sets, in_clean, bad, clean, purity, doubt)
+    model = replace(model, words={w: n for w, n in insults.items() if "=" + w in chosen}, starts=frozenset(starts & chosen))
+    if not model.starts:
         return model
     carried = rows.sparkSession.sparkContext.broadcast(model)
 
@@ -223,6 +238,39 @@ def _learn(rows: DataFrame, bad: int, clean: int, purity: float, doubt: float) -
     return replace(model, more=tuple(weight(by.get((n, 1), 0), by.get((n, 0), 0)) for n in (1, 2, 3)))
 
 
+def _explaining(sets: list[frozenset[str]], in_clean: dict[str, int], bad: int, clean: int, purity: float, doubt: float) -> set[str]:
+    """Features chosen one by one, each for the toxic texts that none before it explains.
+
+    What copies of a toxic text merely share with each other explains nothing once their insult is
+    chosen. Words that reach half as many toxic texts as the chosen ones do in the middle, and
+    no clean text, are taken though others explain their texts.
+    """
+    where: dict[str, set[int]] = {}
+    for i, found in enumerate(sets):
+        for f in found:
+            where.setdefault(f, set()).add(i)
+    price = purity / (1 - purity)
+    left, chosen = set(range(len(sets))), set()
+    heap = [(in_clean.get(f, 0) * price - len(w), f[0] != "=", f) for f, w in where.items()]
+    heapq.heapify(heap)
+    while heap:
+        cost, start, f = heapq.heappop(heap)
+        gain, spoilt = len(where[f] & left), in_clean.get(f, 0)
+        now = spoilt * price - gain
+        if now >= 0 or gain < 2:
+            continue
+        if now > cost:
+            heapq.heappush(heap, (now, start, f))
+            continue
+        share = (len(left) + 1) / (len(left) + clean + 1)
+        if _chance(gain, gain + spoilt, share) * len(where) < doubt:
+            chosen.add(f)
+            left -= where[f]
+    reach = sorted(len(where[f]) for f in chosen if f[0] == "=")
+    enough = reach[len(reach) // 2] / 2 if reach else math.inf
+    return chosen | {f for f, w in where.items() if f[0] == "=" and not in_clean.get(f) and len(w) >= enough}
+
+
 class Scorer:
     """Runs the grammar over the clauses of a text."""
 
@@ -251,6 +299,17 @@ class Scorer:
             found = self.known[word] = self.classify(word)
         return found
 
+    def features(self, text: str) -> list[str]:
+        """The listed words of a text (written ``=word``), and beginnings where it has two words or more with listed ones."""
+        words, begun = set(), []
+        for w in set(WORD.findall(text.lower())):
+            kind, own = self.look_up(w)
+            if kind == INSULT and own is not None:
+                words.add("=" + w)
+            elif kind == INSULT:
+                begun.append(next(w[:n] for n in self.lengths if w[:n] in self.model.starts))
+        return sorted(words.union(begun if len(begun) > 1 else ()))
+
     def clauses(self, text: str) -> list[tuple[int, float]]:
         """Kind and weight of each clause that the grammar accepts; a word weighs once in a text."""
         low = text.lower()
