@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.korean import ORGANISATION_CODES, organisation_english, organisation_type, region
 from ..functions.scalar import age_level, age_token, gender, lookup, school_level, team_type
+from ..sources.tables import numbered, written
 
 PROFILE = "name string, part int, teams array<string>, weapons array<string>, current_team string, first_seen string, last_seen string, appearances int"
 
@@ -161,10 +162,9 @@ def organisations(rows: DataFrame, team: str = "team", date: str = "date", perso
     """
     named = rows.where(F.trim(F.coalesce(F.col(team), F.lit(""))) != "")
     seen = named.groupBy(F.trim(team).alias("organisation")).agg(F.min(date).alias("first_seen"), F.max(date).alias("last_seen"), F.count(F.lit(1)).alias("rows"), F.countDistinct(person).alias("people"))
-    seen = seen.withColumn("kind", organisation_type("organisation"))
-    number = F.row_number().over(Window.partitionBy("kind").orderBy("first_seen", "organisation"))
+    seen = numbered(seen.withColumn("kind", organisation_type("organisation")), ["kind"], ["first_seen", "organisation"], "number")
     code = lookup("kind", ORGANISATION_CODES)
-    found = seen.withColumn("id", F.concat(F.lit(country), code, F.format_string("%04d", number)))
+    found = seen.withColumn("id", F.concat(F.lit(country), code, F.format_string("%04d", "number"))).drop("number")
     return found.withColumn("english", organisation_english("organisation")).withColumn("region", region("organisation"))
 
 
@@ -174,19 +174,17 @@ def homonyms(rows: DataFrame, name: str = "name", team: str = "team") -> DataFra
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """node, component of an undirected graph: least label spreading with label jumps, on checkpointed rounds."""
+    """node, component of an undirected graph: least label spreading with label jumps; each round is written to the shared folder."""
     pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b"))
-    pairs = pairs.union(pairs.select("b", "a")).distinct()
+    pairs = written(pairs.union(pairs.select("b", "a")).distinct(), "edges")
     labels = pairs.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("component"))
-    spark = edges.sparkSession
-    durable = bool(spark.conf.get("spark.checkpoint.dir", None)) or spark.sparkContext.getCheckpointDir() is not None
-    pairs, labels = (pairs.checkpoint(), labels.checkpoint()) if durable else (pairs.cache(), labels)
+    labels = written(labels, "labels")
     while True:
         heard = pairs.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("heard"))
         spread = labels.join(heard, "node").select("node", F.col("component").alias("old"), F.least("component", "heard").alias("via"))
         jump = labels.select(F.col("node").alias("via"), F.col("component").alias("far"))
         moved = spread.join(jump, "via", "left").select("node", "old", F.least("via", F.coalesce("far", "via")).alias("component"))
-        moved = moved.checkpoint() if durable else moved.cache()
+        moved = written(moved, "labels")
         done = moved.where("component < old").limit(1).count() == 0
         labels = moved.select("node", "component")
         if done:

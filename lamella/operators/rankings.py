@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import numbered
+
 
 def flatten_results(documents: DataFrame, as_of: str) -> DataFrame:
     """Result rows of nested competition documents, with their three ordinals.
@@ -29,7 +31,8 @@ def best_n_ranking(rows: DataFrame, cell: list[str], player: str, points: str, r
     The total is of the best n rows (ties: first in ``order``); medals and competitions count
     all rows. Positions are sequential: total, medals and competitions descending, then the
     player. The n best rows are cut before the shuffle and the counts combine before theirs,
-    so a player with very many rows is no large task. Null points count as none.
+    so a player with very many rows is no large task; positions are counted in ranges, so a cell
+    with very many players is none either. Null points count as none.
     """
     by = [*cell, player]
     best = Window.partitionBy(*by).orderBy(F.desc_nulls_last(points), *order)
@@ -42,8 +45,8 @@ def best_n_ranking(rows: DataFrame, cell: list[str], player: str, points: str, r
     counts = rows.groupBy(*by).agg(*[F.count_if(F.col(rank) == k).alias(m) for m, k in medals.items()], F.count(F.lit(1)).alias("competitions"))
     same = [F.col(f"t.{c}").eqNullSafe(F.col(f"c.{c}")) for c in by]
     joined = top.alias("t").join(counts.alias("c"), same).select(*[f"t.{c}" for c in by], "total", "gold", "silver", "bronze", "competitions", "best")
-    place = Window.partitionBy(*cell).orderBy(F.desc("total"), F.desc("gold"), F.desc("silver"), F.desc("bronze"), F.desc("competitions"), player)
-    return joined.withColumn("position", F.row_number().over(place))
+    place = [F.desc("total"), F.desc("gold"), F.desc("silver"), F.desc("bronze"), F.desc("competitions"), player]
+    return numbered(joined, cell, place, "position")
 
 
 def in_cells(rows: DataFrame, memberships: Column, name: str = "cell") -> DataFrame:

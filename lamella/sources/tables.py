@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -78,26 +79,42 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` as a table in the shared folder: lineage ends there, and a lost executor costs nothing before it."""
+    spark = rows.sparkSession
+    path = f"{shared_folder(spark)}/lamella-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def numbered(rows: DataFrame, by: list[str], order: list[str | Column], name: str) -> DataFrame:
+    """``rows`` and ``name``: their number, from 1, among the rows of equal ``by`` (nulls are equal) in ``order``.
+
+    Rows are dealt out in ranges of both, counted inside a range, and each range adds the counts
+    of those before it, so no task sorts a whole group, however large. The ranges are written when
+    this is called, as they must not change when a task is run again. Rows that tie in all of
+    ``order`` get their numbers in any order.
+    """
+    ranged = written(rows.repartitionByRange(*by, *order).withColumn("__p", F.spark_partition_id()), "ranges")
+    counted = ranged.withColumn("__n", F.row_number().over(Window.partitionBy("__p", *by).orderBy(*order)))
+    sizes = ranged.groupBy("__p", *by).agg(F.count(F.lit(1)).alias("__size"))
+    before = Window.partitionBy(*by).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    sizes = sizes.select(F.col("__p").alias("__q"), *[F.col(c).alias(f"__by_{c}") for c in by], F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__before"))
+    same = [F.col("__p") == F.col("__q"), *[F.col(c).eqNullSafe(F.col(f"__by_{c}")) for c in by]]
+    return counted.join(sizes, reduce(Column.__and__, same)).select(*rows.columns, (F.col("__n") + F.col("__before")).alias(name))
+
+
 def with_surrogate_ids(rows: DataFrame, keys: list[str], known: DataFrame | None = None, id_col: str = "id") -> DataFrame:
     """keys, id: known ids stay; new keys get the next ones in key order.
 
-    Numbers are counted inside range partitions and then offset, so no single task sorts all keys.
+    New keys are numbered in ranges (see ``numbered``), so no single task sorts all of them.
     """
     fresh = rows.select(*keys).distinct()
     top = 0
     if known is not None:
         fresh = fresh.join(known.select(*keys), keys, "left_anti")
         top = known.agg(F.coalesce(F.max(id_col), F.lit(0))).first()[0]
-    fresh = fresh.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__p", F.spark_partition_id())
-    spark, path = rows.sparkSession, f"{shared_folder(rows.sparkSession)}/ids-{uuid.uuid4().hex}"
-    fresh.write.parquet(path)  # ranges must not change when a task is run again
-    fresh = spark.read.parquet(path)
-    inside = Window.partitionBy("__p").orderBy(*keys)
-    counted = fresh.withColumn("__n", F.row_number().over(inside))
-    sizes = counted.groupBy("__p").agg(F.max("__n").alias("__size"))
-    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("__before", F.coalesce(F.sum("__size").over(before), F.lit(0))).drop("__size")  # one row per partition
-    new = counted.join(F.broadcast(sizes), "__p").select(*keys, (F.col("__n") + F.col("__before") + top).alias(id_col))
+    new = numbered(fresh, [], keys, id_col).select(*keys, (F.col(id_col) + top).alias(id_col))
     return new if known is None else known.select(*keys, id_col).unionByName(new)
 
 

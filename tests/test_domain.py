@@ -3,6 +3,7 @@
 import datetime
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lamella.functions import korean as K
@@ -355,3 +356,20 @@ def test_every_bracket_shape_is_read(spark, tmp_path):
     assert seen(bouts.bracket_bouts(events, ["event_cd"])) == want
     assert seen(bouts.bracket_bouts(events, ["event_cd"], True)) == want | {("both", "결승", "A", "(상대)", 15, 8, "A", False)}
     assert {(r.name, r.kind) for r in identity.appearances(docs).collect()} == {("A", "de_seeding")}
+
+
+def test_numbers_over_ranges(spark):
+    cell = F.when(F.col("id") % 7 > 0, F.lit("hot")).when(F.col("id") % 2 == 0, F.lit("cold"))
+    rows = spark.range(5000).select(cell.alias("cell"), (F.col("id") * 37 % 101).alias("v"), "id")
+    rows = rows.withColumn("v", F.when(F.col("v") > 3, F.col("v")))
+    order = [F.desc("v"), F.col("id")]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # otherwise small tables are one range
+    try:
+        for by in (["cell"], []):
+            want = rows.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+            got = tables.numbered(rows, by, order, "n")
+            assert {r.id: r for r in got.collect()} == {r.id: r for r in want.collect()}
+            assert got.count() == 5000
+            assert tables.numbered(rows.limit(0), by, order, "n").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
