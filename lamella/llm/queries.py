@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, dedup, fingerprints, html, jaccard, langid, licenses, packing, sharding, toxicity
+from . import bpe, conversations, dedup, fingerprints, html, jaccard, langid, licenses, mixing, packing, ranking, sharding, toxicity
 from .common import held_out
 
 
@@ -59,6 +59,20 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_dedup(_read(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op11_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(_read(spark, sf_dir, "documents"), weights=(5, 2, 1), limit=3, shards=16, block=32)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damage(_read(spark, sf_dir, "conversations")))
+
+
+def op13_tiered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _read(spark, sf_dir, "benchmark")
+    index = ranking.build_index(_read(spark, sf_dir, "documents"), wanted=ranking.item_terms(items))
+    return ranking.search(index, items, k=10)
+
+
 QUERIES = {
     "op1_hilbert_sharding": op1_hilbert_sharding,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -70,6 +84,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_language_id": op9_language_id,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_sainte_lague_mix": op11_sainte_lague_mix,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_tiered_search": op13_tiered_search,
 }
 
 ORACLE_SQL = {
