@@ -126,10 +126,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; of repeated rows, one.
 
-    Nulls and equal texts are treated as in ``exact_dedup``; an empty table stays empty.
+    Which stay is found by probing the index through its directory; only then do whole rows meet. Nulls and equal texts are treated as in ``exact_dedup``; an empty table stays empty.
     """
-    index = build_index(docs, id_col, text_col).entries.select(F.col("keep_id").alias("__keep"), F.col("text_sha256").alias("__sha"))
-    marked = docs.withColumn("__sha_doc", F.sha2(_norm(text_col), 256))
-    kept = marked.join(index, F.col(id_col).eqNullSafe(F.col("__keep")) & (F.col("__sha_doc") == F.col("__sha")))
-    first = F.row_number().over(Window.partitionBy("__keep", "__sha").orderBy("__sha_doc"))
-    return kept.withColumn("__n", first).where("__n = 1").select(*docs.columns)
+    kept = probe(build_index(docs, id_col, text_col)).where("kept").select("doc_id", "text_sha256").distinct().alias("b")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("doc_id"), F.sha2(_norm(text_col), 256).alias("sha")).alias("a")
+    met = rows.join(kept, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.sha") == F.col("b.text_sha256"))).select("a.row", "b.doc_id", "b.text_sha256")
+    first = F.row_number().over(Window.partitionBy("doc_id", "text_sha256").orderBy("text_sha256"))
+    return met.withColumn("n", first).where("n = 1").select("row.*")

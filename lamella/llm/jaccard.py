@@ -312,6 +312,7 @@ def keep_one(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_
 
     Rows are told apart by id and text. Texts without words all stay.
     """
-    gone = jaccard_classes(docs, width, num, den, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    mine = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    return docs.join(gone, (F.col(id_col) == F.col("__id")) & (mine == F.col("__hash")), "left_anti")
+    gone = jaccard_classes(docs, width, num, den, id_col, text_col).where("doc_id <> component_id").select("doc_id", "text_hash").distinct().alias("b")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("hash")).alias("a")
+    same = (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.hash") == F.col("b.text_hash"))
+    return rows.join(gone, same, "left_anti").select("row.*")

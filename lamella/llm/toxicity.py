@@ -6,7 +6,7 @@ import heapq
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -15,102 +15,145 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\W\d_]+")
+#: Words of the grammar: a shortened not belongs to its verb, and a comma is a word.
+TOKEN = re.compile(r"[^\W\d_]+n['’]t\b|[^\W\d_]+|,")
 CLAUSE_END = re.compile(r"[.!?;:\n]+(?=\s|$)|\n")
 #: Closed-class words of the grammar, for the languages of general text.
 TARGETS = frozenset("you your yours u he him she her they them du dich dir sie ihr euch tu te toi vous il elle ils tú usted ustedes él ella ellos".split())
 SELVES = frozenset("yourself yourselves".split())
-NEGATIONS = frozenset("not no never nor isn aren wasn don doesn didn nicht kein keine nie ne pas jamais nunca ni".split())
+NEGATIONS = frozenset("not no never nor isn aren wasn don doesn didn cannot nicht kein keine keinen keiner keinem nie ne pas aucun aucune jamais nunca ni ningún ninguna".split())
 REPORTS = frozenset("said says say called calls quoted quote wrote writes allegedly reported sagte nannte dit disait appelé dijo llamó".split())
+SPEAKERS = frozenset("i we ich wir je j nous yo nosotros nosotras".split())
 THREATS = frozenset("kill hurt beat destroy shoot stab töten umbringen schlagen tuer frapper matar golpear".split())
 INTENTS = frozenset("will ll gonna going shall want wanna should must werde wird will vais va voy vamos".split())
-
-# Word classes, the input alphabet of the grammar.
-OTHER, INSULT, THREAT, TARGET, SELF, NEGATION, REPORT, INTENT = range(8)
-#: What a matched clause is, the output of the grammar.
+CONTRASTS = frozenset("but yet though however sondern aber doch mais sino pero".split())
+LINKS = frozenset("or oder noch ou o u".split())
+ONLYS = frozenset("only just merely simply nur bloß seulement solo sólo solamente".split())
+
+# Word classes, the input alphabet of the grammar, and what its transducers write in their place.
+OTHER, INSULT, THREAT, TARGET, SELF, NEGATION, REPORT, INTENT, CONTRAST, COMMA, SPEAKER, LINK, ONLY = range(13)
+DENIED_INSULT, DENIED_THREAT, REPORTED_INSULT, REPORTED_THREAT, MENACE_SAID, MENACE_DENIED, MENACE_REPORTED = range(13, 20)
+WORDS = ((COMMA, frozenset(",")), (THREAT, THREATS), (TARGET, TARGETS), (SELF, SELVES), (NEGATION, NEGATIONS), (REPORT, REPORTS), (INTENT, INTENTS), (CONTRAST, CONTRASTS), (SPEAKER, SPEAKERS), (LINK, LINKS), (ONLY, ONLYS))
+#: What an insult or threat is in its clause.
 PLAIN, AIMED, MENACE, NEGATED, REPORTED = range(5)
-#: What each kind of clause makes of its weight. What is denied or reported isn't said: it speaks
-#: against toxicity, however heavy the words, so these two aren't learned.
+#: What each kind makes of a weight. What is denied or reported isn't said: it speaks against
+#: toxicity, however heavy the words, so these two aren't learned.
 FACTORS = (1.0, 1.25, 1.25, -0.25, -0.25)
+#: How many words a denial, a report, an intent and a threat reach, and a first person before a verb of report.
+DENIAL, HEARSAY, AIM, FIRST = 3, 8, 3, 2
 #: Lengths of the beginnings of words that may be stems.
 LENGTHS = range(3, 9)
 
 
 @dataclass(frozen=True)
 class Transducer:
-    """A deterministic transducer: step[state, class] is the next state; final[state] its mark."""
-
-    step: np.ndarray
-    final: tuple[int, ...]
-
-
-def seen(*classes: int) -> Transducer:
-    """Marks 1 once a word of one of the classes was read."""
-    step = np.zeros((2, 8), np.int64)
-    step[1] = 1
-    step[0, list(classes)] = 1
-    return Transducer(step, (0, 1))
+    """A deterministic transducer: step[state][class] is the next state, out[state][class] what it writes; and what its states stand for."""
 
+    step: list[list[int]]
+    out: list[list[int]]
+    states: list
 
-def before(first: int, then: tuple[int, ...], reach: int) -> Transducer:
-    """Marks 1 once a word of ``then`` was read at most ``reach`` words behind one of ``first``."""
-    step = np.zeros((reach + 2, 8), np.int64)
-    done = reach + 1
-    for state in range(reach + 2):
-        step[state] = done if state == done else max(state - 1, 0)
-        if state != done:
-            step[state, first] = reach
-            if state:
-                step[state, list(then)] = done
-    return Transducer(step, (*[0] * done, 1))
 
-
-def compose(parts: list[Transducer]) -> Transducer:
-    """All of them at once: reachable tuples of their states are the states; marks become bits."""
-    start = (0,) * len(parts)
-    states, order, rows = {start: 0}, [start], []
+def transducer(start: object, move: Callable[[object, int], tuple[object, int]], alphabet: int = 20) -> Transducer:
+    """The transducer of a rule ``move`` (state, symbol) -> (state, symbol), over the states met from ``start``."""
+    states, order, step, out = {start: 0}, [start], [], []
     for state in order:
-        row = []
-        for word in range(8):
-            to = tuple(int(p.step[s, word]) for p, s in zip(parts, state, strict=True))
+        went = [move(state, symbol) for symbol in range(alphabet)]
+        for to, _ in went:
             if to not in states:
                 states[to] = len(order)
                 order.append(to)
-            row.append(states[to])
-        rows.append(row)
-    return Transducer(np.array(rows), tuple(sum(p.final[s] << i for i, (p, s) in enumerate(zip(parts, st, strict=True))) for st in order))
+        step.append([states[to] for to, _ in went])
+        out.append([symbol for _, symbol in went])
+    return Transducer(step, out, order)
+
 
+def denial(left: int, symbol: int) -> tuple[int, int]:
+    """A negation governs the first insult or threat in reach; an or behind that carries on, a contrast or comma ends it.
+
+    States: words that the negation still reaches, 0 for none, -1 just behind what it denied.
+    """
+    if symbol == NEGATION:
+        return DENIAL, symbol
+    if symbol in (INSULT, THREAT) and left > 0:
+        return -1, DENIED_INSULT if symbol == INSULT else DENIED_THREAT
+    if left == -1:
+        return DENIAL if symbol == LINK else 0, symbol
+    if symbol in (CONTRAST, COMMA) or symbol == ONLY and left == DENIAL:
+        return 0, symbol
+    return max(left - 1, 0), symbol
 
-def grammar() -> tuple[list[list[int]], list[tuple[int, bool] | None]]:
-    """Step table, and for each final state the kind of clause and whether it threatens (None: no match).
 
-    A threat counts where somebody intends it and its target follows the verb, or where the
-    reader is to do it to themselves.
+def hearsay(state: int, symbol: int) -> tuple[int, int]:
+    """A verb of report governs the words behind it, up to a contrast, unless the speaker reports himself.
+
+    States: words that the report still reaches; negative, words since a first person.
+    """
+    if state > 0:
+        if symbol == CONTRAST:
+            return 0, symbol
+        rest = HEARSAY if symbol == REPORT else state - 1
+        return rest, {INSULT: REPORTED_INSULT, THREAT: REPORTED_THREAT}.get(symbol, symbol)
+    if symbol == SPEAKER:
+        return -FIRST, symbol
+    if symbol == REPORT:
+        return (0 if state < 0 else HEARSAY), symbol
+    return min(state + 1, 0), symbol
+
+
+def threats(state: tuple[int, int, bool, int], symbol: int) -> tuple[tuple[int, int, bool, int], int]:
+    """A threat is a menace where somebody intends it and its target follows, or where the reader is to do it to themselves.
+
+    States: words that an intent still reaches; the threat that waits for a target (0: none), whether it is meant, how long it waits.
     """
-    whole = compose([
-        seen(INSULT), seen(TARGET), before(INTENT, (THREAT,), 3), before(THREAT, (TARGET,), 3), before(THREAT, (SELF,), 1),
-        before(NEGATION, (INSULT, THREAT), 2), before(REPORT, (INSULT, THREAT, TARGET), 6),
-    ])
-    kinds: list[tuple[int, bool] | None] = []
-    for bits in whole.final:
-        insult, target, meant, followed, self_, negated, reported = (bool(bits >> i & 1) for i in range(7))
-        menace = meant and followed or self_
-        if not insult and not menace:
-            kinds.append(None)
-        elif reported:
-            kinds.append((REPORTED, menace))
-        elif negated:
-            kinds.append((NEGATED, menace))
-        else:
-            kinds.append((MENACE if menace else AIMED if target else PLAIN, menace))
-    return whole.step.tolist(), kinds
+    intent, waiting, meant, left = state
+    if symbol == COMMA:
+        return state, symbol
+    if symbol in (THREAT, DENIED_THREAT, REPORTED_THREAT):
+        return (max(intent - 1, 0), symbol, intent > 0, AIM), symbol
+    if waiting and (symbol == TARGET and meant or symbol == SELF and left == AIM):
+        said = {THREAT: MENACE_SAID, DENIED_THREAT: MENACE_DENIED, REPORTED_THREAT: MENACE_REPORTED}[waiting]
+        return (max(intent - 1, 0), 0, False, 0), said
+    intent = AIM if symbol == INTENT else max(intent - 1, 0)
+    return ((intent, waiting, meant, left - 1) if left > 1 else (intent, 0, False, 0)), symbol
+
+
+def target(state: bool, symbol: int) -> tuple[bool, int]:
+    """Whether anybody was spoken to or about: the state at the end of the clause tells."""
+    return state or symbol in (TARGET, MENACE_SAID, MENACE_DENIED, MENACE_REPORTED), symbol
+
+
+def compose(parts: list[Transducer]) -> Transducer:
+    """Each transducer reads what the one before writes; a state is the tuple of their states."""
+
+    def move(state: tuple[int, ...], symbol: int) -> tuple[tuple[int, ...], int]:
+        to = []
+        for part, at in zip(parts, state, strict=True):
+            to.append(part.step[at][symbol])
+            symbol = part.out[at][symbol]
+        return tuple(to), symbol
+
+    return transducer((0,) * len(parts), move, DENIED_INSULT)
+
+
+def grammar() -> tuple[Transducer, list[bool]]:
+    """Insult, threat, target, negation and reported speech as one transducer; for each state, whether there was a target."""
+    spoken = transducer(False, target)
+    whole = compose([transducer(0, denial), transducer(0, hearsay), transducer((0, 0, False, 0), threats), spoken])
+    return whole, [spoken.states[state[-1]] for state in whole.states]
+
+
+#: Kind of what the grammar writes for an insult or a threat (an insult is aimed if there is a target).
+KINDS = {INSULT: PLAIN, DENIED_INSULT: NEGATED, REPORTED_INSULT: REPORTED, MENACE_SAID: MENACE, MENACE_DENIED: NEGATED, MENACE_REPORTED: REPORTED}
 
 
 @dataclass(frozen=True)
 class Model:
     """What was learned, as log-odds: weights of words; beginnings of words, harmless words that begin so.
 
-    ``more`` holds the weights of one, two, and three or more different words with a listed
-    beginning in a text; ``base`` is the log-odds of toxicity before anything is read.
+    ``more`` holds the log-odds of toxicity of a text that has words with listed beginnings: a
+    constant, a part for each different one, and a part for every 100 words of the text, since long texts have some
+    by chance. ``base`` is the log-odds of toxicity before anything is read.
     """
 
     words: dict[str, float]
@@ -121,7 +164,11 @@ class Model:
 
     @property
     def heaviest(self) -> float:
-        return max([*self.words.values(), *(self.more if self.starts else ())], default=0.0)
+        return max([*self.words.values(), *(self.more[1:2] if self.starts else ())], default=0.0)
+
+    def begun(self, n: int, length: int) -> float:
+        """What ``n`` different words with listed beginnings add to ``base`` in a text of ``length`` words."""
+        return self.more[0] + self.more[1] * n + self.more[2] * length / 100 - self.base
 
 
 NOTHING = Model({}, frozenset(), frozenset(), (0.0, 0.0, 0.0), math.log(0.01 / 0.99))
@@ -148,8 +195,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     that begin alike the one with the best balance is kept. Words
     without a listed beginning are insults by the same rule. Of all these, one by one, those are
     kept that explain toxic texts which the ones before don't, so what copies of a text share is
-    no insult. A word with a listed beginning
-    weighs by how many different ones its text has; the others weigh by themselves. Weights are
+    no insult. Words with listed beginnings
+    weigh by how many different ones a text has for its length; the others weigh by themselves, their
     smoothed log-odds of texts. Null labels teach nothing; texts without a label neither;
     without any toxic or any clean row no text is toxic.
     """
@@ -232,10 +279,28 @@ def _learn(rows: DataFrame, bad: int, clean: int, purity: float, doubt: float) -
     def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         judge = Scorer(carried.value)
         for batch in batches:
-            yield pd.DataFrame({"n": [min(3, sum(judge.look_up(w) == (INSULT, None) for w in set(WORD.findall(t.lower())))) for t in batch["text"]], "toxic": batch["toxic"]})
+            found = [WORD.findall(t.lower()) for t in batch["text"]]
+            yield pd.DataFrame({"n": [sum(judge.look_up(w) == (INSULT, None) for w in set(words)) for words in found], "length": [len(words) for words in found], "toxic": batch["toxic"]})
+
+    met = rows.mapInPandas(counts, "n int, length int, toxic int").where("n > 0").toPandas()  # three numbers of a text, of the sample
+    more = _logistic(np.column_stack([np.ones(len(met)), met["n"], met["length"] / 100]), met["toxic"].to_numpy(dtype=float))
+    return replace(model, more=more) if more[1] > 0 else replace(model, starts=frozenset())
 
-    by = {(r["n"], r["toxic"]): r["count"] for r in rows.mapInPandas(counts, "n int, toxic int").groupBy("n", "toxic").count().collect()}
-    return replace(model, more=tuple(weight(by.get((n, 1), 0), by.get((n, 0), 0)) for n in (1, 2, 3)))
+
+def _logistic(x: np.ndarray, toxic: np.ndarray, miss: float = 2.0, ridge: float = 0.05) -> tuple[float, ...]:
+    """Weights of the columns of ``x`` by Newton's method; a toxic row missed costs as much as ``miss`` clean ones caught.
+
+    If chance words and meant ones come at steady rates, the log-odds are linear in their number
+    and in the length of the text.
+    """
+    w, cost = np.zeros(x.shape[1]), np.where(toxic == 1, miss, 1.0)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (cost * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (cost * (toxic - p)) - ridge * w)
+        w += step
+        if np.abs(step).max() < 1e-9:
+            break
+    return tuple(w.tolist())
 
 
 def _explaining(sets: list[frozenset[str]], in_clean: dict[str, int], bad: int, clean: int, purity: float, doubt: float) -> set[str]:
@@ -276,7 +341,7 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
-        self.step, self.kind = grammar()
+        self.machine, self.aimed = grammar()
         self.lengths = sorted({len(s) for s in model.starts})
         self.known: dict[str, tuple[int, float | None]] = {}
 
@@ -286,10 +351,9 @@ class Scorer:
             return INSULT, self.model.words[word]
         if word not in self.model.harmless and any(len(word) > n and word[:n] in self.model.starts for n in self.lengths):
             return INSULT, None
-        for words, kind in ((THREATS, THREAT), (TARGETS, TARGET), (SELVES, SELF), (NEGATIONS, NEGATION), (REPORTS, REPORT), (INTENTS, INTENT)):
-            if word in words:
-                return kind, 0.0
-        return OTHER, 0.0
+        if word[-3:] in ("n't", "n’t"):
+            return NEGATION, 0.0
+        return next((kind for kind, words in WORDS if word in words), OTHER), 0.0
 
     def look_up(self, word: str) -> tuple[int, float | None]:
         found = self.known.get(word)
@@ -310,41 +374,53 @@ class Scorer:
                 begun.append(next(w[:n] for n in self.lengths if w[:n] in self.model.starts))
         return sorted(words.union(begun if len(begun) > 1 else ()))
 
-    def clauses(self, text: str) -> list[tuple[int, float]]:
-        """Kind and weight of each clause that the grammar accepts; a word weighs once in a text."""
+    def clauses(self, text: str) -> list[list[tuple[str, int]]]:
+        """(word, kind) of the insults and threats of each clause that the grammar accepts; the word of a threat is empty."""
         low = text.lower()
         if not any(self.look_up(w)[0] in (INSULT, THREAT) for w in set(WORD.findall(low))):
             return []
-        found, counted, begun, after = [], set(), 0, 0
+        found, after, step, out = [], 0, self.machine.step, self.machine.out
         for end in (*CLAUSE_END.finditer(low), None):
-            state, weight = 0, 0.0
-            for word in WORD.findall(low, after, end.start() if end else len(low)):
-                kind, own = self.look_up(word)
-                state = self.step[state][kind]
-                if kind == INSULT and word not in counted:
-                    counted.add(word)
-                    if own is None:
-                        own = self.model.more[min(begun, 2)] - (self.model.more[min(begun, 3) - 1] if begun else 0.0)
-                        begun += 1
-                    weight += own
+            state, said = 0, []
+            for word in TOKEN.findall(low, after, end.start() if end else len(low)):
+                symbol = self.look_up(word)[0]
+                kind = KINDS.get(out[state][symbol])
+                if kind is not None:
+                    said.append((word if symbol == INSULT else "", kind))
+                state = step[state][symbol]
             after = end.end() if end else after
-            if self.kind[state] is not None:
-                kind, menace = self.kind[state]
-                weight += self.model.heaviest if menace else 0.0
-                found.append((kind, FACTORS[kind] * (abs(weight) if kind in (NEGATED, REPORTED) else weight)))
+            if said:
+                whole = MENACE if ("", MENACE) in said else AIMED if self.aimed[state] else PLAIN
+                found.append([(word, whole if kind == PLAIN else kind) for word, kind in said])
         return found
 
-    def score(self, clauses: list[tuple[int, float]]) -> float:
-        z = self.model.base + sum(w for _, w in clauses)
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+    def weigh(self, text: object) -> tuple[float, int]:
+        """Score, and number of accepted clauses, of a whole text (null: clean)."""
+        clauses = self.clauses(text) if isinstance(text, str) else []
+        best: dict[str, float] = {}  # the plainest use of a word counts, wherever it is
+        for clause in clauses:
+            for word, kind in clause:
+                best[word] = max(best.get(word, -1.0), FACTORS[kind])
+        z, begun = self.model.base, []
+        for word, factor in best.items():
+            own = self.look_up(word)[1] if word else self.model.heaviest
+            if own is None and factor > 0:
+                begun.append(factor)
+            else:
+                z += factor * abs(self.model.more[1] if own is None else own)
+        if begun:
+            more = self.model.begun(len(begun), len(WORD.findall(text)))
+            z += more * (max(begun) if more > 0 else 1.0)
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), len(clauses)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score, predicted, clauses (those the grammar accepts) of every whole text.
 
     Null and empty texts have no clause and score as clean. A clause runs to the next sentence
-    mark or line end, however long. Clause weights add up: insults by their words, more if aimed
-    at somebody; threats as the heaviest insult; denied and reported ones count against. Repeated
+    mark or line end, however long. Each word weighs once, by its plainest use in the text, so the
+    order of sentences doesn't matter: insults more if aimed at somebody, threats as the heaviest
+    insult; a word that is only denied or reported counts against. Repeated
     rows repeat their result; other columns are ignored; an empty table gives an empty result.
     """
     schema = f"doc_id {dict(docs.dtypes)[id_col]}, score double, predicted int, clauses int"
@@ -353,11 +429,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         judge = Scorer(carried.value)
         for batch in batches:
-            found = []
-            for text in batch["text"]:
-                clauses = judge.clauses(text) if isinstance(text, str) else []
-                s = judge.score(clauses)
-                found.append((s, int(s >= 0.5), len(clauses)))
+            found = [(s, int(s >= 0.5), n) for s, n in map(judge.weigh, batch["text"])]
             out = pd.DataFrame(found, columns=["score", "predicted", "clauses"])
             out.insert(0, "doc_id", batch["doc_id"].to_numpy())
             yield out
@@ -376,6 +448,6 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         judge = Scorer(carried.value)
         for batch in batches:
-            yield pd.Series([judge.score(judge.clauses(t) if isinstance(t, str) else []) for t in batch], dtype="float64")
+            yield pd.Series([judge.weigh(t)[0] for t in batch], dtype="float64")
 
     return docs.where(scored(F.col(text_col)) < 0.5)

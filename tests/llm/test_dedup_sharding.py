@@ -7,7 +7,7 @@ import pytest
 from oracle import connect, same
 from pyspark.sql import functions as F
 
-from lamella.llm import dedup, queries, sharding
+from lamella.llm import dedup, jaccard, queries, sharding
 
 SF = "/root/testdata/sf0.01"
 
@@ -75,6 +75,30 @@ def test_keep_one_keeps_columns_and_single_rows(odd_docs, no_docs):
     assert dedup.keep_one(no_docs).count() == 0 and dedup.exact_dedup(no_docs).count() == 0
 
 
+def test_keep_one_leaves_columns_of_any_name_alone(odd_docs):
+    """Columns named like everything inside: ids, hashes, keys, marks, numbers."""
+    names = "row n a b sha kept key norm text_sha256 keep_id bucket chain cell hash text_hash component_id n_shingles sid __n __sha __keep __id __hash __sha_doc".split()
+    own = [c for c in odd_docs.columns if c not in names]
+    crowded = odd_docs.select(*own, *[F.concat(F.lit(f"{c}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("?"))).alias(c) for c in names])
+    for keep in (dedup.keep_one, jaccard.keep_one):
+        got = keep(crowded)
+        assert got.columns == crowded.columns
+        rows = got.collect()
+        assert Counter(r.doc_id for r in rows) == Counter(r.doc_id for r in keep(odd_docs).collect())
+        assert all(r[c] == f"{c}-{'?' if r.doc_id is None else r.doc_id}" for r in rows for c in names)
+
+
+def test_keep_one_goes_through_the_directory(odd_docs, monkeypatch):
+    real = dedup.build_index
+
+    def moved(*given, **how):
+        index = real(*given, **how)
+        return replace(index, cells=index.cells.withColumn("bucket", F.col("bucket") + 1))
+
+    monkeypatch.setattr(dedup, "build_index", moved)
+    assert dedup.keep_one(odd_docs).count() == 0
+
+
 def test_dedup_equals_sql(spark):
     same(queries.QUERIES["op10_exact_dedup"](spark, SF), connect(SF), queries.ORACLE_SQL["op10_exact_dedup"])
 

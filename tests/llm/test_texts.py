@@ -302,69 +302,127 @@ def test_toxicity_learns_and_generalises(spark):
     assert queries.QUERIES["op8_toxicity"](spark, SF).count() == docs.count()
 
 
+def test_toxicity_of_held_out_rows_in_every_language(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    got = queries.QUERIES["op8_toxicity"](spark, sf).where("held_out").join(labels.where("toxic is not null"), "doc_id").join(docs.select("doc_id", "lang"), "doc_id").collect()
+    caught = [r for r in got if r.predicted]
+    assert sum(r.toxic for r in caught) >= 0.98 * len(caught)
+    for lang in ("en", "de", "fr", "es"):
+        mine = [r.predicted for r in got if r.toxic and r.lang == lang]
+        assert len(mine) > 5 and sum(mine) >= 0.9 * len(mine), lang
+
+
 def test_learned_weights_and_the_grammar_decide(learned):
     judge = toxicity.Scorer(learned)
     worst = max(learned.words, key=learned.words.get)
-    said = {t: judge.score(judge.clauses(t)) for t in [
+    said = {t: judge.weigh(t)[0] for t in [
         f"You are a {worst}.", f"What a {worst}.", f"He is not a {worst}.", f"The paper said you are a {worst}.", f"They were never {worst}.",
         "I beat you at chess yesterday.", "They destroy old buildings.", "I will kill the process.", "He will kill you.", "Go and kill yourself.", "The report said he will kill you.", "",
     ]}
     bad = {f"You are a {worst}.", f"What a {worst}.", "He will kill you.", "Go and kill yourself."}
     assert {t for t, s in said.items() if s >= 0.5} == bad
-    assert said[f"You are a {worst}."] > said[f"What a {worst}."] and len(judge.clauses(f"He is not a {worst}.")) == 1
+    assert said[f"You are a {worst}."] > said[f"What a {worst}."] and judge.weigh(f"He is not a {worst}.")[1] == 1
+
+
+def test_scopes_of_denial_and_report_with_learned_weights(learned):
+    judge = toxicity.Scorer(learned)
+    a, b = sorted(learned.words, key=lambda w: (-learned.words[w], w))[:2]
+    toxic = [
+        f"You are a {a}.", f"You are not a {a}. You are a {a}.", f"You are a {a}. You are not a {a}.", f"You are not a {a} but a {b}", f"no {a} should get away, you {b}", f"You {a} wrote him again",
+        f"As I said, you are a {a}.", f"No, {a}!", f"You are not only a {a}, you are boring", f"He said hello but you are a {a}", f"He said you are a {b}. You are a {a}.", f"Du bist kein {a}, sondern ein {b}", f"Tu n'es pas seulement un {a}",
+    ]
+    clean = [f"You are not a {a}.", f"Don't be a {a}", f"You aren’t a {a} or a {b}.", f"He said you are a {a}.", f"He called her a {a} and a {b}", f"This is not a {a}", f"Du bist kein {a}", f"Tu n'es pas un {a}", "I will not kill you.", "He said he will kill you."]
+    wrong = [t for t in toxic if judge.weigh(t)[0] < 0.5] + [t for t in clean if judge.weigh(t)[0] >= 0.5]
+    assert not wrong, wrong
+
+
+def test_order_of_sentences_does_not_matter(learned):
+    judge, r = toxicity.Scorer(learned), np.random.default_rng(2)
+    a, b = sorted(learned.words, key=lambda w: (-learned.words[w], w))[:2]
+    pool = [f"You are a {a}.", f"You are not a {a}.", f"He said that {b} is here.", f"What a {b}!", "I will kill you.", "I will not kill you.", "Hello there.", f"They never met a {b}."]
+    for _ in range(100):
+        some = list(r.choice(pool, 4))
+        scores = {round(judge.weigh(" ".join(r.permutation(some)))[0], 12) for _ in range(6)}
+        assert len(scores) == 1, some
 
 
-def test_score_is_the_sum_of_weights_along_clauses(learned):
-    """Brute force: split, classify every word anew, walk the uncomposed transducers."""
-    model = toxicity.Model({"moron": 4.0, "scum": 3.0}, frozenset({"bad"}), frozenset({"badge"}), (-1.0, 2.0, 3.5), -2.0)
+def test_score_is_the_sum_of_weights_along_clauses():
+    """Brute force: split, classify every word anew, keep scopes in plain variables."""
+    model = toxicity.Model({"moron": 4.0, "scum": 3.0}, frozenset({"bad"}), frozenset({"badge"}), (-1.5, 2.0, -0.5), -2.0)
 
     def brute(text):
-        z, used, begun, total = 0.0, set(), 0, 0
+        best, total = {}, 0
         for clause in re.split(r"[.!?;:\n]+(?:\s|$)|\n", text.lower()):
-            words = re.findall(r"[a-zà-ü]+", clause)
-            insult = [w in model.words or w.startswith("bad") and w not in ("bad", "badge") for w in words]
-            threat = [w in toxicity.THREATS for w in words]
-            near = lambda xs, i, n: any(w in xs for w in words[max(0, i - n) : i])
-            meant = any(t and near(toxicity.INTENTS, i, 3) for i, t in enumerate(threat)) and any(w in toxicity.TARGETS and near(toxicity.THREATS, i, 3) for i, w in enumerate(words))
-            oneself = any(w in toxicity.SELVES and near(toxicity.THREATS, i, 1) for i, w in enumerate(words))
-            weight = 0.0
-            for w, hit in zip(words, insult, strict=True):
-                if hit and w not in used:
-                    used.add(w)
-                    begun += w not in model.words
-                    weight += model.words[w] if w in model.words else model.more[min(begun, 3) - 1] - (model.more[begun - 2] if 1 < begun <= 3 else model.more[2] if begun > 3 else 0)
-            if not any(insult) and not meant and not oneself:
-                continue
-            total += 1
-            weight += 4.0 * (meant or oneself)
-            heavy = [i for i, (a, b) in enumerate(zip(insult, threat, strict=True)) if a or b]
-            if any(near(toxicity.REPORTS, i, 6) for i in [*heavy, *(i for i, w in enumerate(words) if w in toxicity.TARGETS)]):
-                weight = -abs(weight) / 4
-            elif any(near(toxicity.NEGATIONS, i, 2) for i in heavy):
-                weight = -abs(weight) / 4
-            elif meant or oneself or any(w in toxicity.TARGETS for w in words):
-                weight *= 1.25
-            z += weight
-        return total, 1 / (1 + np.exp(2.0 - z))
+            words = re.findall(r"[a-zà-ü]+n't\b|[a-zà-ü]+|,", clause)
+            denies, told, speaker, intent, threat, said, aimed = 0, 0, -9, 0, None, [], False
+            behind = False  # just behind something denied
+            for i, w in enumerate(words):
+                insult = w in model.words or w.startswith("bad") and w not in ("bad", "badge")
+                heavy = insult or w in toxicity.THREATS
+                role = "plain"
+                if heavy and denies:
+                    role = "denied"
+                if w in toxicity.NEGATIONS or w.endswith("n't") or behind and w in toxicity.LINKS:
+                    denies = 3
+                elif heavy and denies or w == "," or w in toxicity.CONTRASTS or behind or denies == 3 and w in toxicity.ONLYS:
+                    denies = 0
+                else:
+                    denies = max(0, denies - 1)
+                behind = heavy and role == "denied"
+                if told:
+                    told = 0 if w in toxicity.CONTRASTS else 8 if w in toxicity.REPORTS else told - 1
+                    if heavy and role == "plain":
+                        role = "told"
+                elif w in toxicity.SPEAKERS:
+                    speaker = i
+                elif w in toxicity.REPORTS:
+                    told, speaker = (0, -9) if i - speaker <= 2 else (8, -9)
+                aimed = aimed or w in toxicity.TARGETS
+                if w == ",":
+                    continue
+                if w in toxicity.THREATS:
+                    threat = (role, intent > 0, 3)
+                elif threat and (w in toxicity.TARGETS and threat[1] or w in toxicity.SELVES and threat[2] == 3):
+                    said.append(("", threat[0]))
+                    threat, aimed = None, True
+                elif threat:
+                    threat = (*threat[:2], threat[2] - 1) if threat[2] > 1 else None
+                intent = 3 if w in toxicity.INTENTS else max(0, intent - 1)
+                if insult:
+                    said.append((w, role))
+            total += bool(said)
+            for w, role in said:
+                plain = 1.25 if aimed or ("", "plain") in said else 1.0
+                best[w] = max(best.get(w, -1.0), plain if role == "plain" else -0.25)
+        z = -2.0 + sum(f * model.words.get(w, 4.0) for w, f in best.items() if w in model.words or not w)
+        begun = {w: f for w, f in best.items() if w and w not in model.words}
+        z += sum(-0.25 * 2.0 for f in begun.values() if f < 0)
+        used = [f for f in begun.values() if f > 0]
+        if used:
+            more = -1.5 + 2.0 * len(used) - 0.5 * len(re.findall(r"[a-zà-ü]+", text.lower().replace("n't", "n t"))) / 100 + 2.0
+            z += more * (max(used) if more > 0 else 1)
+        return total, 1 / (1 + np.exp(-z))
 
     r = np.random.default_rng(5)
-    pool = ["you", "moron", "scum", "bader", "badly", "badge", "bad", "not", "said", "kill", "will", "yourself", "a", "b", "c", "d", "e", ".", ";", "\n"]
+    pool = ["you", "moron", "scum", "bader", "badly", "badge", "bad", "not", "said", "kill", "will", "yourself", "a", "b", "c", "or", "but", ",", "i", "only", "don't", ".", ";", "\n"]
     judge = toxicity.Scorer(model)
-    for _ in range(3000):
+    for _ in range(5000):
         text = " ".join(r.choice(pool, int(r.integers(0, 14))))
-        found = judge.clauses(text)
-        assert (len(found), pytest.approx(judge.score(found))) == brute(text), text
+        score, clauses = judge.weigh(text)
+        assert (clauses, pytest.approx(score)) == brute(text), text
 
 
 def test_grammar_tells_kinds_of_clauses():
-    model = toxicity.Model({"moron": 3.0}, frozenset({"scum"}), frozenset(), (3.0, 4.0, 5.0), -2.0)
-    kinds = lambda t: [k for k, _ in toxicity.Scorer(model).clauses(t)]
+    model = toxicity.Model({"moron": 3.0}, frozenset({"scum"}), frozenset(), (3.0, 4.0, -1.0), -2.0)
+    kinds = lambda t: [k for clause in toxicity.Scorer(model).clauses(t) for _, k in clause]
     assert kinds("what a moron that was") == [toxicity.PLAIN]
     assert kinds("You are SCUMBAGS. Fine otherwise.") == [toxicity.AIMED]
     assert kinds("not a moron") == [toxicity.NEGATED]
     assert kinds("the report said you moron") == [toxicity.REPORTED]
     assert kinds("i will kill you") == kinds("kill yourself") == [toxicity.MENACE]
     assert kinds("oxymoron, and kill the process. i beat you at chess") == []
+    assert kinds("not a moron, scumbag") == [toxicity.NEGATED, toxicity.PLAIN]
 
 
 def test_toxicity_of_odd_rows(spark, odd_docs, no_docs):
