@@ -33,21 +33,71 @@ def pool_bouts(pools: DataFrame, keys: list[str], results: str = "results") -> D
     cells = cells.withColumn("other", F.get("all", F.col("j"))).where(F.col("other").isNotNull())
     cells = cells.where(~(F.col("me.name").eqNullSafe(F.col("other.name")) & F.col("me.team").eqNullSafe(F.col("other.team"))))
 
-    def kind(c: Column) -> Column:
-        return F.coalesce(F.get_json_object(c, "$.type"), F.when(c == "V", "V").when(c.rlike("^[0-9]+$"), "L"))
-
-    def score(c: Column) -> Column:
-        return F.coalesce(F.get_json_object(c, "$.score").try_cast("int"), F.when(c == "V", 5), c.try_cast("int"))
-
     back = F.get("other.scores", F.col("i"))
     found = cells.select(
         *keys, F.col("me.name").alias("name"), F.col("me.team").alias("team"), F.col("other.name").alias("opponent"), F.col("other.team").alias("opponent_team"),
-        score(F.col("cell")).alias("score"), F.coalesce(score(back), F.lit(0)).alias("opponent_score"), (kind(F.col("cell")) == "V").alias("is_win"), kind(F.col("cell")).alias("kind"),
+        _touches(F.col("cell")).alias("score"), F.coalesce(_touches(back), F.lit(0)).alias("opponent_score"), (_kind(F.col("cell")) == "V").alias("is_win"), _kind(F.col("cell")).alias("kind"),
     )
     return found.where(F.col("kind").isNotNull()).drop("kind")
 
 
-def _entry_score(c: str, part: int) -> Column:
+def _kind(c: Column) -> Column:
+    """V or L of a pool's cell; null where it is neither."""
+    return F.coalesce(F.get_json_object(c, "$.type"), F.when(c == "V", "V").when(c.rlike("^[0-9]+$"), "L"))
+
+
+def _touches(c: Column) -> Column:
+    return F.coalesce(F.get_json_object(c, "$.score").try_cast("int"), F.when(c == "V", 5), c.try_cast("int"))
+
+
+def _side(name: Column, team: Column, seed: Column, score: Column) -> Column:
+    return F.struct(name.alias("name"), team.alias("team"), seed.cast("int").alias("seed"), score.cast("int").alias("score"))
+
+
+def _bout(kind: str, ord_: Column, round_: Column, p1: Column, p2: Column, winner: Column, bye: Column, table: Column | None = None) -> Column:
+    """One bout as all shapes give it; ``kind`` is tree (``full_bouts``), rounds, win (the other side isn't known) or pool (a cell, seen from its row)."""
+    return F.struct(
+        F.lit(kind).alias("kind"), ord_.cast("long").alias("ord"), round_.alias("round"), p1.alias("p1"), p2.alias("p2"), winner.alias("winner"), bye.alias("is_bye"),
+        F.coalesce(F.lit(0) if table is None else table, F.lit(0)).alias("table_index"),
+    )
+
+
+def _tree(full: Column) -> Column:
+    """Bouts of ``full_bouts``."""
+
+    def one(b: Column, i: Column) -> Column:
+        side = lambda who, score: _side(b[who]["name"], b[who]["team"], b[who]["seed"], score)
+        return _bout("tree", i, b["round"], side("winner", b["score"]["winner_score"]), side("loser", b["score"]["loser_score"]), b["winner"]["name"], F.lit(False), b["table_index"])
+
+    return F.transform(full, one)
+
+
+def _nested(bouts: Column) -> Column:
+    """Bouts of ``bouts``."""
+
+    def one(b: Column, i: Column) -> Column:
+        side = lambda who: _side(b[who]["name"], b[who]["team"], b[who]["seed"], b[who]["score"])
+        return _bout("rounds", i, b["round"], side("player1"), side("player2"), b["winner_name"], F.coalesce(b["is_bye"], F.lit(False)))
+
+    return F.transform(bouts, one)
+
+
+def _by_round(rounds: Column) -> Column:
+    """Bouts of ``bouts_by_round``, nested or flat; won by name, else by score; ties and missing names go, byes stay."""
+
+    def one(round_: Column, r: Column, b: Column, j: Column) -> Column:
+        side = lambda i: _side(*[F.coalesce(b[f"player{i}"][c], b[f"player{i}_{c}"]) for c in ("name", "team", "seed", "score")])
+        p1, p2, bye = side(1), side(2), F.coalesce(b["isBye"], b["is_bye"], F.lit(False))
+        said, x, y = F.coalesce(b["winnerName"], b["winner_name"]), F.coalesce(p1["score"], F.lit(0)), F.coalesce(p2["score"], F.lit(0))
+        winner = F.when((said == p1["name"]) | (said == p2["name"]) | bye, said).when(x > y, p1["name"]).when(y > x, p2["name"])
+        return _bout("rounds", r * 100_000 + j, round_, p1, p2, winner, bye)
+
+    every = F.flatten(F.transform(F.map_entries(rounds), lambda e, r: F.transform(F.coalesce(e["value"], F.slice(e["value"], 1, 0)), lambda b, j: one(e["key"], r, b, j))))
+    named = lambda p: F.coalesce(p["name"], F.lit("")) != ""
+    return F.filter(every, lambda b: (named(b["p1"]) & named(b["p2"]) & b["winner"].isNotNull()) | b["is_bye"])
+
+
+def _entry_scores(c: Column, part: int) -> Column:
     """Winner's (1) or loser's (2) score of text: an object, ``15-12`` or the winner's alone."""
     name = ("$.winner_score", "$.loser_score")[part - 1]
     alone = F.when(F.lit(part == 1), F.regexp_extract(c, r"^([0-9]+)(\.[0-9]+)?$", 1))
@@ -55,55 +105,76 @@ def _entry_score(c: str, part: int) -> Column:
     return F.coalesce(F.get_json_object(c, name).try_cast("int"), pair.try_cast("int"), alone.try_cast("int"))
 
 
-def _round_map_bouts(events: DataFrame, keys: list[str]) -> DataFrame:
-    """Bouts of ``bouts_by_round``, nested or flat; won by name, else by score; ties and missing names go, byes stay."""
-    rows = events.select(*keys, F.posexplode("bouts_by_round").alias("r", "round", "list"))
-    rows = rows.select(*keys, "r", "round", F.posexplode("list").alias("j", "b"))
+def _legacy(rounds: Column) -> Column:
+    """Bouts of ``results_by_round``: the results of a table in order of seed, two at a time; who has a winner's score won."""
 
-    def side(i: int) -> Column:
-        return F.struct(*[F.coalesce(f"b.player{i}.{c}", f"b.player{i}_{c}").alias(c) for c in ("name", "team", "seed", "score")])
+    def entries(results: Column) -> Column:
+        """Results with their table, in order of table, seed and place."""
+        key = lambda b, j: F.struct(F.coalesce(b["table_index"], F.lit(0)).alias("table"), F.coalesce(b["seed"], F.lit(999)).alias("by"), j.alias("j"), b["name"].alias("name"), b["team"].alias("team"), b["seed"].alias("seed"), _entry_scores(b["score"], 1).alias("won"), _entry_scores(b["score"], 2).alias("lost"), b["is_match_result"].alias("is"))
+        return F.array_sort(F.filter(F.transform(results, key), lambda s: s["is"]))
 
-    rows = rows.select(*keys, (F.col("r") * 100_000 + F.col("j")).alias("ord"), "round", side(1).alias("p1"), side(2).alias("p2"), F.coalesce("b.winnerName", "b.winner_name").alias("said"), F.coalesce("b.isBye", "b.is_bye", F.lit(False)).alias("is_bye"))
-    one, two = F.coalesce("p1.score", F.lit(0)), F.coalesce("p2.score", F.lit(0))
-    winner = F.when(F.col("said").isin(F.col("p1.name"), F.col("p2.name")) | F.col("is_bye"), F.col("said")).when(one > two, F.col("p1.name")).when(two > one, F.col("p2.name"))
-    whole = (F.coalesce("p1.name", F.lit("")) != "") & (F.coalesce("p2.name", F.lit("")) != "") & F.col("winner").isNotNull()
-    return rows.withColumn("winner", winner).where(whole | F.col("is_bye")).select(*keys, "ord", "round", "p1", "p2", "winner", "is_bye")
+    def pairs(sorted_: Column) -> Column:
+        """An entry whose number within its table is even meets the next one of the table."""
+        at = F.transform(sorted_, lambda s, i: F.struct(s.alias("x"), F.when(F.get(sorted_, i + 1)["table"] == s["table"], F.get(sorted_, i + 1)).alias("y"), (F.size(F.filter(F.slice(sorted_, 1, i), lambda o: o["table"] == s["table"])) % 2 == 0).alias("opens")))
+        return F.filter(at, lambda m: m["opens"])
 
+    def one(round_: Column, r: Column, m: Column, n: Column) -> Column:
+        x, y = m["x"], F.when(~m["x"]["name"].eqNullSafe(m["y"]["name"]), m["y"])
+        first, second = x["won"].isNotNull(), x["won"].isNull() & y["won"].isNotNull()
+        side = lambda s, won: _side(s["name"], s["team"], s["seed"], F.when(won, s["won"]).otherwise(s["lost"]))
+        return _bout("rounds", r * 100_000 + n + 1, round_, side(x, first), side(y, second), F.when(first, x["name"]).when(second, y["name"]), y.isNull())
 
-def _legacy_bouts(events: DataFrame, keys: list[str]) -> DataFrame:
-    """Bouts of ``results_by_round``: the results of a table in order of seed, two at a time; who has a winner's score won."""
-    rows = events.select(*keys, F.posexplode("results_by_round").alias("r", "round", "list"))
-    rows = rows.select(*keys, "r", "round", F.posexplode("list").alias("j", "b")).where("b.is_match_result")
-    rows = rows.withColumn("table", F.coalesce("b.table_index", F.lit(0)))
-    seat = F.row_number().over(Window.partitionBy(*keys, "r", "table").orderBy(F.coalesce("b.seed", F.lit(999)), "j")) - 1
-    who = F.struct("b.name", "b.team", "b.seed", _entry_score("b.score", 1).alias("won"), _entry_score("b.score", 2).alias("lost"))
-    rows = rows.withColumn("seat", seat).withColumn("who", who).withColumn("match", F.floor(F.col("seat") / 2).cast("int"))
-    at = lambda k: F.max(F.when(F.col("seat") % 2 == k, F.col("who")))
-    rows = rows.groupBy(*keys, "r", "round", "table", "match").agg(at(0).alias("x"), at(1).alias("y"))
-    rows = rows.withColumn("y", F.when(~F.col("x.name").eqNullSafe(F.col("y.name")), F.col("y")))
-    first, second = F.col("x.won").isNotNull(), F.col("x.won").isNull() & F.col("y.won").isNotNull()
-    side = lambda s, won: F.struct(f"{s}.name", f"{s}.team", f"{s}.seed", F.when(won, F.col(f"{s}.won")).otherwise(F.col(f"{s}.lost")).alias("score"))
-    number = F.row_number().over(Window.partitionBy(*keys, "r").orderBy("table", "match"))
-    return rows.select(
-        *keys, (F.col("r") * 100_000 + number).alias("ord"), "round", side("x", first).alias("p1"), side("y", second).alias("p2"),
-        F.when(first, F.col("x.name")).when(second, F.col("y.name")).alias("winner"), F.col("y").isNull().alias("is_bye"),
-    )
+    return F.flatten(F.transform(F.map_entries(rounds), lambda e, r: F.transform(pairs(entries(F.coalesce(e["value"], F.slice(e["value"], 1, 0)))), lambda m, n: one(e["key"], r, m, n))))
 
 
-def _winner_bouts(events: DataFrame, keys: list[str]) -> DataFrame:
+def _wins(matches: Column) -> Column:
     """Wins of ``de_matches``, whose other side isn't known; without a score, or 0:0, they go."""
-    rows = events.select(*keys, F.posexplode("de_matches").alias("ord", "b")).where("b.is_match_result and coalesce(b.name, '') <> ''")
-    one, two = F.coalesce(_entry_score("b.score", 1), F.lit(0)), F.coalesce(_entry_score("b.score", 2), F.lit(0))
-    side = lambda name, team, seed, score: F.struct(name.alias("name"), team.alias("team"), seed.cast("int").alias("seed"), score.alias("score"))
-    rows = rows.where((one != 0) | (two != 0))
-    return rows.select(
-        *keys, "ord", F.col("b.round").alias("round"), side(F.col("b.name"), F.col("b.team"), F.col("b.seed"), one).alias("p1"),
-        side(F.lit("(상대)"), F.lit(""), F.lit(None), two).alias("p2"), F.col("b.name").alias("winner"), F.lit(False).alias("is_bye"),
-    )
+
+    def one(b: Column, i: Column) -> Column:
+        x, y = F.coalesce(_entry_scores(b["score"], 1), F.lit(0)), F.coalesce(_entry_scores(b["score"], 2), F.lit(0))
+        return F.struct(_bout("win", i, b["round"], _side(b["name"], b["team"], b["seed"], x), _side(F.lit("(상대)"), F.lit(""), F.lit(None), y), b["name"], F.lit(False)).alias("b"), (b["is_match_result"] & (F.coalesce(b["name"], F.lit("")) != "") & ((x != 0) | (y != 0))).alias("ok"))
+
+    return F.transform(F.filter(F.transform(matches, one), lambda s: s["ok"]), lambda s: s["b"])
+
+
+def _bracket_array(events: DataFrame) -> Column:
+    """All bouts of an event's bracket, from the first shape that has any, and its wins."""
+    found = None
+    shapes = (("full_bouts", _tree), ("bouts", _nested), ("bouts_by_round", _by_round), ("results_by_round", _legacy))
+    for shape, read in shapes:
+        if shape in events.columns:
+            has = F.coalesce(F.size(shape), F.lit(0)) > 0
+            found = F.when(has, read(F.col(shape))) if found is None else found.when(has, read(F.col(shape)))
+    none = F.array().cast(BOUTS)
+    bouts = F.coalesce(found, none) if found is not None else none
+    return F.concat(bouts, F.coalesce(_wins(F.col("de_matches")), none)) if "de_matches" in events.columns else bouts
+
+
+SIDE = "struct<name:string,team:string,seed:int,score:int>"
+BOUTS = f"array<struct<kind:string,ord:bigint,round:string,p1:{SIDE},p2:{SIDE},winner:string,is_bye:boolean,table_index:int>>"
+
+
+def _settled(both: DataFrame, keys: list[str], double_count: bool) -> DataFrame:
+    """Bouts of brackets, each once, in rounds by their right names; those of pools as they are."""
+    pool, alone = F.col("kind") == "pool", F.col("kind") == "win"
+    won = Window.partitionBy(*keys, pool, round_label("round"), F.trim("winner"))
+    both = both.withColumn("__met", ~F.every(alone).over(won)).where(F.lit(double_count) | ~alone | ~F.col("__met")).drop("__met")
+    both = both.withColumn("round", F.when(pool, F.col("round")).otherwise(round_label("round")))
+    pair = F.array_sort(F.array(F.trim(F.coalesce("p1.name", F.lit(""))), F.trim(F.coalesce("p2.name", F.lit("")))))
+    first = Window.partitionBy(*keys, pool, "round", "__pair").orderBy("ord")
+    both = both.withColumn("__pair", pair).withColumn("__n", F.row_number().over(first)).where(pool | (F.col("__n") == 1)).drop("__pair", "__n")
+    n = F.count(F.lit(1)).over(Window.partitionBy(*keys, pool, "round"))
+    expected = F.lit(None).cast("int")
+    for name, count in V.ROUND_BOUTS.items():
+        expected = F.when(F.col("round") == name, count).otherwise(expected)
+    wrong = ~pool & ~F.col("round").isin(V.FINAL, V.SEMIFINAL) & (F.col("__count") >= 2 * F.col("__expected"))
+    better = F.when(F.col("__count").between(3, 4), "8강").when(F.col("__count").between(5, 8), "16강").when(F.col("__count").between(9, 16), "32강").when(F.col("__count").between(17, 32), "64강").otherwise(F.col("round"))
+    both = both.withColumn("__count", n).withColumn("__expected", expected).withColumn("round", F.when(wrong, better).otherwise(F.col("round")))
+    return both.withColumn("round_order", round_order("round")).drop("__count", "__expected")
 
 
 def bracket_bouts(events: DataFrame, keys: list[str], double_count: bool = False) -> DataFrame:
-    """Bouts of an elimination bracket given in any of its shapes.
+    """Bouts of an elimination bracket given in any of its shapes; the events are read once.
 
     Uses ``full_bouts`` (round, table_index, winner, loser, score) where there are any; else
     ``bouts`` (round, match_number, player1, player2, winner_name, is_bye); else the maps
@@ -113,32 +184,87 @@ def bracket_bouts(events: DataFrame, keys: list[str], double_count: bool = False
     same two names of a round, the first stays. A round with twice its bouts or more takes the
     name for that number, unless it is a final or semifinal.
     """
-    side = lambda who, score: F.struct(F.col(f"b.{who}.name").alias("name"), F.col(f"b.{who}.team").alias("team"), F.col(f"b.{who}.seed").alias("seed"), score.alias("score"))
-    full = events.where(F.coalesce(F.size("full_bouts"), F.lit(0)) > 0).select(*keys, F.posexplode("full_bouts").alias("ord", "b"))
-    full = full.select(*keys, "ord", F.col("b.round").alias("round"), side("winner", F.col("b.score.winner_score")).alias("p1"), side("loser", F.col("b.score.loser_score")).alias("p2"), F.col("b.winner.name").alias("winner"), F.lit(False).alias("is_bye"))
-    flat = events.where((F.coalesce(F.size("full_bouts"), F.lit(0)) <= 0) & (F.coalesce(F.size("bouts"), F.lit(0)) > 0)).select(*keys, F.posexplode("bouts").alias("ord", "b"))
-    flat = flat.select(*keys, "ord", F.col("b.round").alias("round"), side("player1", F.col("b.player1.score")).alias("p1"), side("player2", F.col("b.player2.score")).alias("p2"), F.col("b.winner_name").alias("winner"), F.coalesce("b.is_bye", F.lit(False)).alias("is_bye"))
-    both, left = full.unionByName(flat), (F.coalesce(F.size("full_bouts"), F.lit(0)) <= 0) & (F.coalesce(F.size("bouts"), F.lit(0)) <= 0)
-    for shape, read in (("bouts_by_round", _round_map_bouts), ("results_by_round", _legacy_bouts)):
-        if shape in events.columns:
-            both = both.unionByName(read(events.where(left), keys))
-            left = left & (F.coalesce(F.size(shape), F.lit(0)) <= 0)
-    if "de_matches" in events.columns:
-        both = both.withColumn("__alone", F.lit(False)).unionByName(_winner_bouts(events, keys).withColumn("__alone", F.lit(True)))
-        won = Window.partitionBy(*keys, round_label("round"), F.trim("winner"))
-        both = both.withColumn("__met", ~F.every("__alone").over(won)).where(F.lit(double_count) | ~F.col("__alone") | ~F.col("__met")).drop("__alone", "__met")
-    both = both.withColumn("round", round_label("round"))
-    pair = F.array_sort(F.array(F.trim(F.coalesce("p1.name", F.lit(""))), F.trim(F.coalesce("p2.name", F.lit("")))))
-    first = Window.partitionBy(*keys, "round", "__pair").orderBy("ord")
-    both = both.withColumn("__pair", pair).withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__pair", "__n")
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys, "round"))
-    expected = F.lit(None).cast("int")
-    for name, count in V.ROUND_BOUTS.items():
-        expected = F.when(F.col("round") == name, count).otherwise(expected)
-    wrong = ~F.col("round").isin(V.FINAL, V.SEMIFINAL) & (F.col("__count") >= 2 * F.col("__expected"))
-    better = F.when(F.col("__count").between(3, 4), "8강").when(F.col("__count").between(5, 8), "16강").when(F.col("__count").between(9, 16), "32강").when(F.col("__count").between(17, 32), "64강").otherwise(F.col("round"))
-    both = both.withColumn("__count", n).withColumn("__expected", expected).withColumn("round", F.when(wrong, better).otherwise(F.col("round")))
-    return both.withColumn("round_order", round_order("round")).drop("__count", "__expected")
+    both = events.select(*keys, F.explode_outer(_bracket_array(events)).alias("b")).where("b is not null").select(*keys, "b.*")
+    return _settled(both, keys, double_count).drop("kind", "table_index")
+
+
+def _pool_array(pools: Column, most: int) -> Column:
+    """Cells of the pools that ``clean_pools`` leaves, each a bout seen from its row."""
+    kept = F.filter(pools, lambda p: (F.size(p["results"]) <= most) & ~F.exists(p["results"], lambda r: F.coalesce(r["name"].rlike("^[0-9]+$"), F.lit(False))))
+    named = F.transform(kept, lambda p: F.struct(p["results"].alias("results"), F.array_sort(F.transform(p["results"], lambda r: r["name"])).alias("names"), F.coalesce(p["pool_number"], F.lit(0)).alias("n")))
+    own = F.filter(named, lambda p, i: ~F.exists(F.slice(named, 1, i), lambda q: q["names"] == p["names"]))
+
+    def cell(p: Column, me: Column, i: Column, c: Column, j: Column) -> Column:
+        other = F.get(p["results"], j)
+        back = F.coalesce(_touches(F.get(other["scores"], i)), F.lit(0))
+        same = me["name"].eqNullSafe(other["name"]) & me["team"].eqNullSafe(other["team"])
+        ok = (F.coalesce(F.trim(c), F.lit("")) != "") & other.isNotNull() & ~same & _kind(c).isNotNull()
+        side = lambda r, score: _side(r["name"], r["team"], F.lit(None), score)
+        return F.struct(_bout("pool", i * 1000 + j, F.lit("Pool"), side(me, _touches(c)), side(other, back), F.when(_kind(c) == "V", me["name"]).otherwise(other["name"]), F.lit(False)).alias("b"), ok.alias("ok"))
+
+    cells = F.flatten(F.transform(own, lambda p: F.flatten(F.transform(p["results"], lambda me, i: F.transform(F.coalesce(me["scores"], F.slice(me["scores"], 1, 0)), lambda c, j: cell(p, me, i, c, j))))))
+    return F.transform(F.filter(cells, lambda s: s["ok"]), lambda s: s["b"])
+
+
+def bout_index(events: DataFrame, keys: list[str], most: int = 12, double_count: bool = False) -> DataFrame:
+    """All bouts of pools and brackets as rows of a player: one scan of the nested events, one explode.
+
+    keys, kind, round, table_index, name, team, score, opponent, opponent_team, opponent_score, is_win, rank,
+    opponent_rank. Pools are cleaned as in ``clean_pools`` and give the rows of ``pool_bouts``; brackets those of ``bracket_bouts``,
+    seen from both sides; byes, and bouts without a winner, aren't bouts of a player. Ranks are those of ``final_rankings`` (of equal names the last
+    one's). Columns that hold shapes may be missing; null arrays are empty.
+    """
+    none = F.array().cast(BOUTS)
+    pools = F.coalesce(_pool_array(F.col("pool_rounds"), most), none) if "pool_rounds" in events.columns else none
+    ranks = "final_rankings" if "final_rankings" in events.columns else None
+
+    def with_ranks(b: Column) -> Column:
+        def rank(name: Column) -> Column:
+            if ranks is None:
+                return F.lit(None).cast("int")
+            mine = F.filter(ranks, lambda r: r["name"] == name)
+            return F.get(mine, F.size(mine) - 1)["rank"]
+
+        return F.struct(b.alias("b"), rank(b["p1"]["name"]).alias("r1"), rank(b["p2"]["name"]).alias("r2"))
+
+    every = F.transform(F.concat(pools, _bracket_array(events)), with_ranks)
+    rows = events.select(*keys, F.explode_outer(every).alias("x")).where("x is not null").select(*keys, "x.b.*", "x.r1", "x.r2")  # outer: an inferred filter would build the array twice
+    settled = _settled(rows, keys, double_count)
+    view = lambda a, c, r, q: F.struct(*[F.col(f"{a}.{f}").alias(f) for f in ("name", "team", "score")], *[F.col(f"{c}.{f}").alias(f"opponent_{f}" if f != "name" else "opponent") for f in ("name", "team", "score")], F.col(r).alias("rank"), F.col(q).alias("opponent_rank"))
+    one = F.struct(view("p1", "p2", "r1", "r2").alias("v"), (F.col("winner") == F.col("p1.name")).alias("is_win"))
+    two = F.struct(view("p2", "p1", "r2", "r1").alias("v"), (F.col("winner") == F.col("p2.name")).alias("is_win"))
+    sides = F.when(F.col("kind").isin("pool", "win"), F.array(one)).otherwise(F.array(one, two))
+    out = settled.where(~F.col("is_bye") & F.col("winner").isNotNull()).select(*keys, "kind", "round", "table_index", F.explode(sides).alias("s"))
+    return out.select(*keys, "kind", "round", "table_index", "s.v.*", "s.is_win")
+
+
+def meetings(rows: DataFrame, event: list[str], me: str = "name", other: str = "opponent") -> DataFrame:
+    """Each bout of ``rows`` (see ``bout_index``) once for each side, with the result that the evidence supports.
+
+    Where both have a final rank in the event, the better one has won a bout of an elimination tree; if the stored
+    result differs, it is turned round and the scores are exchanged. In a tree the same two meet once: of
+    several stored bouts the one of the highest ``table_index`` counts. In pools and lists of rounds bouts of the same round and
+    score are the same bout. Bouts without an opponent or against oneself go. One ordered aggregation, the rows are read once.
+    """
+    tree, both = F.col("kind") == "tree", F.col("rank").isNotNull() & F.col("opponent_rank").isNotNull()
+    right = F.when(tree & both, F.col("rank") < F.col("opponent_rank")).otherwise(F.col("is_win"))
+    turned = right != F.col("is_win")
+    score, against = (F.coalesce(F.when(turned, a).otherwise(b), F.lit(0)) for a, b in ((F.col("opponent_score"), F.col("score")), (F.col("score"), F.col("opponent_score"))))
+    found = rows.where(F.col(other).isNotNull() & (F.col(other) != F.col(me))).select(
+        *event, me, other, "kind", "table_index", F.struct(right.alias("is_win"), score.alias("score"), against.alias("opponent_score"), F.col("round"), F.col("opponent_team")).alias("m"),
+    )
+    same = F.when(F.col("kind") != "tree", F.struct("m.round", "m.score", "m.opponent_score"))
+    found = found.withColumn("same", same)
+    order = F.struct("table_index", "m.is_win", "m.score", "m.opponent_score", "m.round", "m.opponent_team")
+    return found.groupBy(*event, me, other, "kind", "same").agg(F.max_by("m", order).alias("m")).select(*event, me, other, "kind", "m.*")
+
+
+def head_to_head_records(met: DataFrame, date: str, me: str = "name", other: str = "opponent", tie: tuple[str, ...] = ()) -> DataFrame:
+    """wins, losses, win_rate and last (date, is_win, score, opponent_score, round, opponent_team) per pair of ``meetings``; ties in date by ``tie``."""
+    last = F.struct(F.col(date).alias("date"), "is_win", "score", "opponent_score", "round", "opponent_team")
+    order = F.struct(date, *tie, "is_win", "score", "opponent_score", "round")
+    out = met.groupBy(me, other).agg(F.count_if("is_win").alias("wins"), F.count_if(~F.col("is_win")).alias("losses"), F.max_by(last, order).alias("last"))
+    return out.withColumn("win_rate", win_rate(F.col("wins"), F.col("wins") + F.col("losses")))
 
 
 def perspectives(bouts: DataFrame, keys: list[str], one: dict[str, str], two: dict[str, str], win: Column) -> DataFrame:

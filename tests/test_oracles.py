@@ -1,6 +1,8 @@
 import pytest
 from oracle import connect, same
 
+import lamella.plans.matches
+import lamella.plans.pages
 import lamella.plans.players
 import lamella.plans.queries
 import lamella.plans.terms  # noqa: F401
