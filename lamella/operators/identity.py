@@ -5,7 +5,7 @@ from __future__ import annotations
 from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.korean import ORGANISATION_CODES, organisation_english, organisation_type, region
@@ -155,6 +155,94 @@ def resolve_people(rows: DataFrame) -> DataFrame:
     return _team_rows(rows).groupBy("name").applyInPandas(_resolve, PROFILE)
 
 
+def _year_of(date: Column) -> Column:
+    return F.coalesce(F.regexp_extract(date, "^([0-9]{4})", 1).try_cast("int"), F.lit(0))
+
+
+def _may_be_one(a: str, b: str) -> Column:
+    """``_same_person`` as a condition on two rows of teams."""
+    first, last, school, level, weapons = ((F.col(f"{a}.{c}"), F.col(f"{b}.{c}")) for c in ("first", "last", "school", "level", "weapons"))
+    disjoint = (F.size(weapons[0]) > 0) & (F.size(weapons[1]) > 0) & ~F.arrays_overlap(*weapons)
+    follows = lambda x, y, years: (last[x] <= first[y]) & (_year_of(first[y]) - _year_of(last[x]) <= years)
+    apart = (last[0] <= first[1]) | (last[1] <= first[0])
+    same_level = apart & (F.abs(_year_of(first[1]) - _year_of(last[0])) <= 1)
+    up = ((level[1] - level[0] == 1) & follows(0, 1, 1)) | ((level[0] - level[1] == 1) & follows(1, 0, 1))
+    overlap = (weapons[0] == weapons[1]) & (_year_of(F.least(*last)) - _year_of(F.greatest(*first)) <= 1)
+    clubs = F.when(apart, follows(0, 1, 2) | follows(1, 0, 2)).otherwise(overlap)
+    schools = F.when(level[0] == level[1], same_level).otherwise(up)
+    return ~disjoint & (last[0] != "") & (last[1] != "") & (school[0] == school[1]) & F.when(school[0], schools).otherwise(clubs)
+
+
+def merged_under_bars(edges: DataFrame, bars: DataFrame) -> DataFrame:
+    """node, label: nodes merged along ``edges`` (a, b, by) in the order of ``by``, a struct unique to each edge, unless ``bars`` (a, b) keep their groups apart.
+
+    What one pass over all edges in order would give, in rounds of joins: an edge that is the least one left at both
+    of its groups is decided as that pass would decide it, for no edge before it touches them. Each
+    round drops edges inside a group and between barred groups, merges along all such least edges, which form
+    a matching, and hands the bars of both groups on. Rounds are written to the shared folder; a chain whose edges
+    come in order takes as many as it has edges. Nodes without an edge don't appear.
+    """
+    edges = written(edges.select("a", "b", "by"), "bar-edges")
+    labels = written(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node")), "bar-labels")
+    bars = written(bars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "bars")
+    final = labels
+    while True:
+        barred = edges.select("a", "b", "by", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).where("a <> b")
+        left = written(barred.alias("e").join(bars.alias("s"), (F.col("e.x") == F.col("s.a")) & (F.col("e.y") == F.col("s.b")), "left_anti").select("a", "b", "by"), "bar-left")
+        if left.isEmpty():
+            return final
+        best = left.select("by", F.explode(F.array("a", "b")).alias("group")).groupBy("group").agg(F.min("by").alias("by"))
+        twice = best.groupBy("by").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("by")
+        step = written(left.join(twice, "by").select(F.greatest("a", "b").alias("old"), F.least("a", "b").alias("new")), "bar-step")  # a matching: each group once
+
+        def moved(rows: DataFrame, column: str, step: DataFrame = step) -> DataFrame:
+            met = rows.alias("r").join(step.alias("s"), F.col(f"r.{column}") == F.col("s.old"), "left")
+            return met.select(*[(F.coalesce("s.new", f"r.{c}") if c == column else F.col(f"r.{c}")).alias(c) for c in rows.columns])
+
+        edges = written(moved(moved(left, "a"), "b"), "bar-edges")
+        final = written(moved(final, "label"), "bar-labels")
+        raised = moved(moved(bars, "a"), "b")
+        bars = written(raised.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "bars")
+
+
+def resolve_people_in_rounds(rows: DataFrame) -> DataFrame:
+    """The profiles of ``resolve_people``, for names of any number of teams: no task holds a whole name.
+
+    Groups of teams that share weapons are connected components; clashes (two teams in one
+    competition) are pairs from a self-join; the greedy joining of teams is ``merged_under_bars``. Teams
+    are numbered in ranges. Pairs of teams that might be one person are listed, spread over
+    tasks, so work grows with the square of a name's teams, not of its rows. Written when it is called.
+    """
+    teams = _team_rows(rows).withColumns({"first": F.coalesce("first", F.lit("")), "last": F.coalesce("last", F.lit("")), "school": F.col("kind") != "club", "weapons": F.filter("weapons", lambda w: w != "")})
+    key = F.concat_ws("\x1f", "name", F.col("side").cast("string"), "sex")
+    teams = written(teams.withColumns({"key": key, "node": F.concat_ws("\x1f", key, F.lit("t"), "team")}), "teams")
+    shared = teams.select(F.col("node").alias("a"), "key", F.explode("weapons").alias("weapon")).select("a", F.concat_ws("\x1f", "key", F.lit("w"), "weapon").alias("b"))
+    groups = components(shared, "a", "b") if not shared.isEmpty() else shared.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    teams = teams.join(groups, "node", "left").withColumn("group", F.coalesce("component", "key")).drop("component")
+    teams = numbered(teams, ["group"], [F.coalesce(F.nullif("first", F.lit("")), F.lit("9999")), "team"], "i")
+    teams = written(teams, "teams")
+    met = teams.select("group", "node", F.explode("comps").alias("comp"))
+    clashes = met.alias("x").join(met.alias("y"), (F.col("x.group") == F.col("y.group")) & (F.col("x.comp") == F.col("y.comp")) & (F.col("x.node") < F.col("y.node")))
+    clashes = written(clashes.select(F.col("x.group").alias("group"), F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "clashes")
+    torn = clashes.select("group").distinct()
+    # groups without a clash: all one, or all apart where schools of a level overlap
+    so_far = Window.partitionBy("group", "level").orderBy("first", "last").rowsBetween(Window.unboundedPreceding, -1)
+    whole = teams.join(torn, "group", "left_anti")
+    over = whole.where("level >= 2").withColumn("until", F.max("last").over(so_far)).where("first <= until").select("group").distinct().withColumn("apart", F.lit(True))
+    easy = whole.join(over, "group", "left").select("node", F.when(F.col("apart"), F.col("node")).otherwise(F.col("group")).alias("label"))
+    hard = teams.join(torn, "group", "left_semi")
+    pair = hard.alias("x").join(hard.alias("y"), (F.col("x.group") == F.col("y.group")) & (F.col("x.i") < F.col("y.i")) & _may_be_one("x", "y"))
+    edges = pair.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.struct(F.col("x.group").alias("group"), F.col("x.i").alias("i"), F.col("y.i").alias("j")).alias("by"))
+    joined = merged_under_bars(edges, clashes)
+    found = hard.join(joined, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+    profiles = teams.join(easy.unionByName(found), "node").groupBy("name", "label").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("i", "team"))), lambda t: t["team"]).alias("teams"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("weapons")))).alias("weapons"),
+        F.max_by("team", F.struct("first", "team")).alias("current_team"), F.min(F.nullif("first", F.lit(""))).alias("first_seen"), F.max(F.nullif("last", F.lit(""))).alias("last_seen"), F.sum("n").cast("int").alias("appearances"),
+    )
+    out = numbered(profiles, ["name"], [F.coalesce("first_seen", F.lit("")), "teams"], "part")
+    return out.select("name", (F.col("part") - 1).cast("int").alias("part"), "teams", "weapons", "current_team", "first_seen", "last_seen", "appearances")
+
+
 def organisations(rows: DataFrame, team: str = "team", date: str = "date", person: str = "name", country: str = "KO") -> DataFrame:
     """One row per organisation: id, name, type, English name, region, span, rows and people.
 

@@ -362,6 +362,19 @@ def theta_contains(t):
     return L.matching_any(t("part"), "p_name", ["gear", "ring", "red", "small"]).select("p_partkey", "key")
 
 
+@_query("""
+    WITH l AS (SELECT c_custkey, CASE WHEN c_custkey % 400 = 7 THEN '' WHEN c_custkey % 5 = 0 THEN 'red bolt ' || c_custkey % 50 || ' shop' ELSE CAST(c_custkey % 997 AS VARCHAR) END AS a FROM customer),
+    r AS (SELECT p_partkey, CASE WHEN p_partkey % 300 = 5 THEN NULL ELSE p_name || ' ' || p_partkey % 300 END AS b FROM part)
+    SELECT c_custkey, p_partkey FROM l JOIN r ON (b LIKE '%' || a || '%' OR a LIKE '%' || b || '%') WHERE a <> ''""")
+def names_within_names(t):
+    """Customers and parts by names of which one holds the other, without comparing all with all."""
+    k, p = F.col("c_custkey"), F.col("p_partkey")
+    name = F.when(k % 400 == 7, "").when(k % 5 == 0, F.concat(F.lit("red bolt "), (k % 50).cast("string"), F.lit(" shop"))).otherwise((k % 997).cast("string"))
+    other = F.when(p % 300 != 5, F.concat("p_name", F.lit(" "), (p % 300).cast("string")))
+    pairs = L.containing_pairs(t("customer").select("c_custkey", name.alias("a")), "c_custkey", "a", t("part").select("p_partkey", other.alias("b")), "p_partkey", "b")
+    return pairs.withColumnRenamed("left", "c_custkey").withColumnRenamed("right", "p_partkey")
+
+
 @_query("""
     SELECT c_custkey, count(o_orderkey) AS orders, coalesce(round_even(CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE), 2), 0) AS spent, min(o_orderdate) AS first, count(DISTINCT o_orderpriority) AS priorities
     FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey""")
@@ -570,15 +583,43 @@ def connected_components_whole(t):
     return I.components(edges, "a", "b")
 
 
-@_query()
-def entity_resolution(t):
+def _career_rows(t) -> DataFrame:
     orders = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
     weapon = F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c")), (F.col("o_orderkey") % 3 + 1).cast("int"))
     rows = orders.select(
         F.concat(F.lit("P"), (F.col("c_custkey") % 400).cast("string")).alias("name"), F.concat(F.lit("club "), F.col("c_nationkey").cast("string")).alias("team"), F.date_format("o_orderdate", "yyyyMM").alias("comp"),
         F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), F.lit("").alias("event"), weapon.alias("weapon"), F.lit(1).alias("rank"), F.lit("ranking").alias("kind"),
     )
-    return I.resolve_people(rows)
+    return rows
+
+
+@_query()
+def entity_resolution(t):
+    return I.resolve_people(_career_rows(t))
+
+
+@_query()
+def entity_resolution_in_rounds(t):
+    """The same profiles, for names of any number of teams."""
+    return I.resolve_people_in_rounds(_career_rows(t))
+
+
+@_query("""
+    WITH r AS (SELECT 'P' || o_custkey % 300 AS name, CASE WHEN o_custkey % 3 = 0 THEN 'T' || o_custkey % 7 || '클럽' ELSE 'T' || o_custkey % 11 || '고등학교' END AS team, strftime(o_orderdate, '%Y-%m-%d') AS date FROM orders),
+    k AS (SELECT name, team, min(date) AS first, max(date) AS last, count(*) AS n, team LIKE '%고등학교' AS school FROM r GROUP BY 1, 2),
+    apart AS (SELECT DISTINCT a.name FROM k a JOIN k b ON a.name = b.name AND a.team < b.team AND a.school AND b.school AND greatest(a.first, b.first) <= least(a.last, b.last)),
+    p AS (SELECT k.name, CASE WHEN apart.name IS NULL THEN '' ELSE team END AS label, list(team ORDER BY first, team) AS teams, arg_max(team, (first, team)) AS current_team, min(first) AS first_seen, max(last) AS last_seen, CAST(sum(n) AS INT) AS appearances
+          FROM k LEFT JOIN apart ON k.name = apart.name GROUP BY 1, 2)
+    SELECT name, CAST(row_number() OVER (PARTITION BY name ORDER BY first_seen, teams) - 1 AS INT) AS part, teams, ['a'] AS weapons, current_team, first_seen, last_seen, appearances FROM p""")
+def people_without_clashes(t):
+    """Names whose teams never meet in a competition: one person, or as many as teams where schools of a level overlap."""
+    k = F.col("o_custkey")
+    team = F.when(k % 3 == 0, F.concat(F.lit("T"), (k % 7).cast("string"), F.lit("클럽"))).otherwise(F.concat(F.lit("T"), (k % 11).cast("string"), F.lit("고등학교")))
+    rows = t("orders").select(
+        F.concat(F.lit("P"), (k % 300).cast("string")).alias("name"), team.alias("team"), F.col("o_orderkey").cast("string").alias("comp"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"),
+        F.lit("").alias("event"), F.lit("a").alias("weapon"), F.lit(1).alias("rank"), F.lit("ranking").alias("kind"),
+    )
+    return I.resolve_people_in_rounds(rows)
 
 
 @_query("SELECT name, list_sort(list(DISTINCT c_nationkey)) AS teams FROM (SELECT 'P' || (c_custkey % 400) AS name, c_nationkey FROM customer) GROUP BY 1 HAVING count(DISTINCT c_nationkey) > 1")
