@@ -129,6 +129,25 @@ def metric(name: str, value: Column, threshold: float, at_least: bool) -> Column
     return F.struct(F.lit(name).alias("metric"), value.cast("double").alias("value"), F.lit(threshold).alias("threshold"), healthy.alias("healthy"), severity.alias("severity"))
 
 
+def look_back(rows: DataFrame, name: str, value: str, at: str, as_of: str, hours: tuple[int, ...] = (1, 24), tie: tuple[str, ...] = ()) -> DataFrame:
+    """name, latest, latest_at and the number of values in the last ``hours`` before ``as_of``, per metric; one aggregation.
+
+    Later rows don't count; rows of the same time are ordered by ``tie``, then value. A row exactly so many hours old isn't in the look-back.
+    """
+    now = F.lit(as_of).cast("timestamp")
+    seen = rows.where(F.col(at) <= now)
+    counts = [F.count_if(F.col(at) > now - F.make_dt_interval(F.lit(0), F.lit(h))).alias(f"last_{h}h") for h in hours]
+    return seen.groupBy(name).agg(F.max_by(value, F.struct(at, *tie, value)).alias("latest"), F.max(at).alias("latest_at"), *counts)
+
+
+def alerts(latest: DataFrame, name: str, limits: dict[str, tuple[float, bool]], as_of: str) -> DataFrame:
+    """name, latest, threshold, at of the metrics beyond their limit (threshold, whether it is a least value), as rows for a history."""
+    limit = lambda part: F.coalesce(*[F.when(F.col(name) == m, F.lit(v[part])) for m, v in limits.items()])
+    rows = latest.withColumns({"threshold": limit(0), "least": limit(1)})
+    broken = F.when(F.col("least"), F.col("latest") < F.col("threshold")).otherwise(F.col("latest") > F.col("threshold"))
+    return rows.where(broken).select(name, "latest", "threshold", F.lit(as_of).cast("timestamp").alias("at"))
+
+
 def duplicate_rate(rows: DataFrame, keys: list[str]) -> DataFrame:
     """rows, duplicates, rate: rows beyond the first of their key."""
     n = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 
 def links(pages: DataFrame, html: str = "html", keys: list[str] | None = None) -> DataFrame:
@@ -72,3 +74,99 @@ def paged_source(name: str, schema: str, fetch: Callable[[int], list[tuple]]) ->
             return _PageReader(fetch, int(self.options.get("pages", "1")))
 
     return Paged
+
+
+def attempted(fetch: Callable[[object, int], object], request: object, attempts: int, pause: float, growth: float) -> tuple[object, int, str | None]:
+    """(answer, attempts, error): tries up to ``attempts`` times, with pauses that grow by ``growth``; the last error stays."""
+    error = None
+    for n in range(1, attempts + 1):
+        try:
+            return fetch(request, n), n, None
+        except Exception as found:  # noqa: BLE001 - whatever a server does is a row of the failure table
+            error = f"{type(found).__name__}: {found}"
+        if n < attempts:
+            time.sleep(pause * growth ** (n - 1))
+    return None, attempts, error
+
+
+def fetch_pages(requests: DataFrame, key: str, fetch: Callable[[dict, int], str], lanes: int = 3, delay: float = 1.0, attempts: int = 3, pause: float = 2.0, growth: float = 2.0) -> DataFrame:
+    """key, answer, attempts, error for every request: ``fetch(request, attempt)`` gives a page's text or raises.
+
+    At most ``lanes`` tasks ask at once, each with ``delay`` seconds between its requests. A page
+    that fails at every attempt is a row with its error and no answer, so it fails no task and can be
+    asked again (see ``failed``). Requests are dealt out by key; an empty table asks nothing.
+    """
+    kind = dict(requests.dtypes)[key]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first = True
+        for batch in batches:
+            out = []
+            for request in batch.to_dict("records"):
+                if not first:
+                    time.sleep(delay)
+                first = False
+                out.append((request[key], *attempted(fetch, request, attempts, pause, growth)))
+            yield pd.DataFrame(out, columns=[key, "answer", "attempts", "error"])
+
+    return requests.repartition(lanes, key).mapInPandas(run, f"{key} {kind}, answer string, attempts int, error string")
+
+
+def answered(fetched: DataFrame, schema: str) -> DataFrame:
+    """The rows of all good pages, whose answers are JSON arrays of ``schema``."""
+    return fetched.where(F.col("error").isNull()).select(F.inline(F.from_json("answer", f"array<struct<{schema}>>")))
+
+
+def failed(fetched: DataFrame, key: str) -> DataFrame:
+    """key, attempts, error of the pages that no attempt gave."""
+    return fetched.where(F.col("error").isNotNull()).select(key, "attempts", "error")
+
+
+def regrouped(parents: DataFrame, children: DataFrame, key: str, name: str) -> DataFrame:
+    """``parents`` with their children nested as an array of structs, in order of the children's columns; none is an empty array."""
+    columns = [c for c in children.columns if c != key]
+    nested = children.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))  # the children of one document
+    empty = F.array().cast(dict(nested.dtypes)[name])
+    return parents.join(nested, key, "left").withColumn(name, F.coalesce(name, empty))
+
+
+class _PageStream(DataSourceStreamReader):
+    def __init__(self, fetch: Callable[[int], list[tuple]], newest: int, most: int):
+        self.fetch, self.newest, self.most = fetch, newest, most
+
+    def initialOffset(self) -> dict:
+        return {"page": 0}
+
+    def latestOffset(self) -> dict:
+        return {"page": self.newest}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        pages = range(start["page"] + 1, end["page"] + 1)
+        return [InputPartition(list(pages[i : i + self.most])) for i in range(0, len(pages), self.most)]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        for page in partition.value:
+            yield from self.fetch(page)
+
+
+def paged_stream(name: str, schema: str, fetch: Callable[[int, dict], list[tuple]]) -> type[DataSource]:
+    """A stream over numbered pages: each run reads the pages behind the last commit, up to option ``newest``.
+
+    Offsets are page numbers from 1, kept in the query's checkpoint, so a restart goes on from
+    there and no page is read twice into the result. ``fetch(page, options)`` returns a page's rows;
+    a task reads at most option ``pagesPerTask`` pages (default 8).
+    """
+
+    class Paged(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return name
+
+        def schema(self) -> str:
+            return schema
+
+        def streamReader(self, schema: object) -> DataSourceStreamReader:
+            options = dict(self.options)
+            return _PageStream(lambda page: fetch(page, options), int(options["newest"]), int(options.get("pagespertask", options.get("pagesPerTask", "8"))))
+
+    return Paged

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 RESULT = "struct<name:string,team:string,rank:int,scores:array<string>>"
@@ -68,6 +68,20 @@ def save_validated(checked: DataFrame, good: str, quarantine: str) -> None:
     checked.where("not can_save").write.mode("append").parquet(quarantine)
 
 
+def save_counted(checked: DataFrame, path: str, counters: dict[str, Column] | None = None) -> dict[str, int]:
+    """Saves rows by status below ``path`` (``status=saved`` and ``status=quarantined``) and returns the counters of that same job.
+
+    Counted with ``observe`` while the rows are written: all rows, saved ones, quarantined ones, and what ``counters`` names
+    (aggregates). The table isn't read a second time, neither for counting nor for the second folder.
+    """
+    good = F.coalesce(F.col("can_save"), F.lit(False))
+    metrics = {"total": F.count(F.lit(1)), "saved": F.count_if(good), "quarantined": F.count_if(~good), **(counters or {})}
+    seen = Observation()
+    rows = checked.observe(seen, *[c.alias(name) for name, c in metrics.items()])
+    rows.withColumn("status", F.when(good, "saved").otherwise("quarantined")).write.mode("append").partitionBy("status").parquet(path)
+    return seen.get
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share; only a local master may go without spark.checkpoint.dir."""
     found = spark.conf.get("spark.checkpoint.dir", None)

@@ -1,6 +1,7 @@
 import pytest
 from oracle import connect, same
 
+import lamella.plans.flows
 import lamella.plans.matches
 import lamella.plans.pages
 import lamella.plans.players
