@@ -40,16 +40,21 @@ ORGANISATIONS = [
     ("club", ["클럽", "펜싱클럽", "펜싱", "스포츠클럽", "FC", "SC", "아카데미", "도장", "체육관", "센터", "랩", "LAB"]),
 ]
 ORGANISATION_CODES = {"club": "C", "middle": "M", "high": "H", "university": "V", "professional": "A", "national": "N", "unknown": "X"}
-REGIONS = {
-    "서울": "Seoul", "부산": "Busan", "대구": "Daegu", "인천": "Incheon", "광주": "Gwangju", "대전": "Daejeon", "울산": "Ulsan", "세종": "Sejong",
-    "경기": "Gyeonggi", "강원": "Gangwon", "충북": "Chungbuk", "충남": "Chungnam", "전북": "Jeonbuk", "전남": "Jeonnam", "경북": "Gyeongbuk", "경남": "Gyeongnam", "제주": "Jeju",
-    "수원": "Suwon", "성남": "Seongnam", "용인": "Yongin", "고양": "Goyang", "안양": "Anyang",
-}
+# Regions, in their order of precedence; they are spelled by the rule of ``spelled`` but for these.
+REGION_NAMES = (
+    "서울 부산 대구 인천 광주 대전 울산 세종 경기 강원 충북 충남 전북 전남 경북 경남 제주 수원 성남 용인 고양 안양 안산 청주 천안 전주 포항 창원 김해 진주 양산 구미 경주 거제 통영 사천 밀양 함안 거창 합천 의령 하동 산청 남해 함양 목포 여수 순천 나주 "
+    "광양 군산 익산 정읍 남원 김제 완주 안동 영주 영천 상주 문경 경산 칠곡 예천 봉화 울진 영덕 청도 고령 성주 원주 춘천 강릉 동해 태백 속초 삼척 홍천 횡성 영월 평창 정선 철원 화천 양구 인제 고성 양양 충주 제천 보은 옥천 영동 증평 진천 괴산 음성 단양 "
+    "공주 보령 아산 서산 논산 계룡 당진 금산 부여 서천 청양 홍성 예산 태안 서귀포 강남 강동 강북 강서 관악 광진 구로 금천 노원 도봉 동대문 동작 마포 서대문 서초 성동 성북 송파 양천 영등포 용산 은평 종로 중구 중랑 호성 제일 동래 원예 신언 경덕 목동 "
+    "압구정 송도 최병철"
+).split()
+REGION_SPELLINGS = {"강릉": "Gangneung", "철원": "Cheorwon", "종로": "Jongno", "중구": "Jung-gu", "중랑": "Jungnang", "동래": "Dongnae", "최병철": "Choibyeongcheol"}
 ORGANISATION_WORDS = {
     "중학교": "Middle School", "여자중학교": "Girls' Middle School", "남자중학교": "Boys' Middle School", "고등학교": "High School", "여자고등학교": "Girls' High School",
     "남자고등학교": "Boys' High School", "체육고등학교": "Sports High School", "예술고등학교": "Arts High School", "과학고등학교": "Science High School",
-    "외국어고등학교": "Foreign Language High School", "대학교": "University", "대학": "University", "시청": "City Hall", "군청": "County Office", "구청": "District Office",
-    "도청": "Provincial Office", "체육회": "Sports Council", "펜싱클럽": "Fencing Club", "클럽": "Club", "스포츠클럽": "Sports Club", "아카데미": "Academy", "센터": "Center", "협회": "Association", "연맹": "Federation",
+    "외국어고등학교": "Foreign Language High School", "산업고등학교": "Technical High School", "원예고등학교": "Horticultural High School", "대학교": "University", "대학": "University",
+    "광역시청": "Metropolitan City Hall", "광역시": "Metropolitan City", "특별시청": "Special City Hall", "특별시": "Special City",
+    "시청": "City Hall", "군청": "County Office", "구청": "District Office", "도청": "Provincial Office", "체육회": "Sports Council", "펜싱클럽": "Fencing Club", "클럽": "Club",
+    "스포츠클럽": "Sports Club", "아카데미": "Academy", "센터": "Center", "협회": "Association", "연맹": "Federation", "주니어펜싱클럽": "Junior Fencing Club", "거점스포츠클럽": "Regional Sports Club",
 }
 TEAM_LABELS = {"club": "클럽", "elementary": "초등학교", "middle": "중학교", "high": "고등학교", "university": "대학교", "professional": "실업팀"}
 INITIALS = ["g", "kk", "n", "d", "tt", "r", "m", "b", "pp", "s", "ss", "", "j", "jj", "ch", "k", "t", "p", "h"]
@@ -57,6 +62,15 @@ VOWELS = ["a", "ae", "ya", "yae", "eo", "e", "yeo", "ye", "o", "wa", "wae", "oe"
 FINALS = ["", "k", "k", "k", "n", "n", "n", "t", "l", "k", "m", "l", "l", "l", "p", "l", "m", "p", "p", "t", "t", "ng", "t", "t", "k", "t", "p", "t"]
 
 
+def spelled(name: str) -> str:
+    """A name in Latin letters, syllable by syllable."""
+    parts = [(ord(ch) - 44032) for ch in name]
+    return "".join(INITIALS[at // 588] + VOWELS[at % 588 // 28] + FINALS[at % 28] for at in parts).capitalize()
+
+
+REGIONS = {name: REGION_SPELLINGS.get(name) or spelled(name) for name in REGION_NAMES}
+
+
 def _first(text: Column, table: list[tuple[str, str]], otherwise: object = None) -> Column:
     out = None
     for pattern, code in table:
@@ -105,12 +119,28 @@ def region(name: Column | str) -> Column:
     return keyword_case(name, [(k, [k]) for k in REGIONS])
 
 
-def organisation_english(name: Column | str) -> Column:
-    """Words of organisations and regions in English, the longest first; the rest romanised, words capitalised."""
-    c = F.trim(_col(name))
-    for k, v in sorted((ORGANISATION_WORDS | REGIONS).items(), key=lambda kv: -len(kv[0])):
-        c = F.replace(c, F.lit(k), F.lit(f" {v} "))
-    return F.initcap(romanised(F.trim(F.regexp_replace(c, r"\s+", " "))))
+def organisation_english(name: Column | str, verified: Column | None = None) -> Column:
+    """English name: a verified one, else the longest region named and then the words of organisations, the longest first, in English.
+
+    Only the longest region is replaced (of equally long ones the first in order of precedence). If other Korean
+    characters are left they are romanised and every run of letters begins with a capital, so names
+    without any keep their capitals. The romanisation is the one of person names; the reference's own table of finals
+    is out of step with the alphabet.
+    """
+    c = _col(name)
+    longest = sorted(REGIONS.items(), key=lambda kv: -len(kv[0]))
+    c = F.coalesce(*[F.when(c.contains(k), F.replace(c, F.lit(k), F.lit(f"{v} "))) for k, v in longest], c)
+    for k, v in sorted(ORGANISATION_WORDS.items(), key=lambda kv: -len(kv[0])):
+        c = F.replace(c, F.lit(k), F.lit(f" {v}"))
+    c = F.trim(F.regexp_replace(c, r"\s+", " "))
+    c = F.when(c.rlike("[가-힣]"), title_case(romanised(c))).otherwise(c)
+    return c if verified is None else F.coalesce(verified, c)
+
+
+def title_case(text: Column | str) -> Column:
+    """Each run of letters with a capital at its beginning and small letters behind, also after hyphens and apostrophes."""
+    runs = F.regexp_extract_all(_col(text), F.lit(r"(\p{L}+|\P{L}+)"), F.lit(1))
+    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.left(r, F.lit(1))), F.lower(F.substring(r, 2, 1_000_000)))), "")
 
 
 def _syllable(ch: Column) -> tuple[Column, Column, Column, Column]:
@@ -143,12 +173,12 @@ def masked_name(name: Column | str) -> Column:
     return F.when(F.size(found) > 0, F.concat(F.array_join(found, "."), F.lit("."))).otherwise("")
 
 
-def anonymous_team(kind: Column | str, province: Column | str) -> Column:
-    """Region and kind of a team instead of its name."""
+def anonymous_team(kind: Column | str, province: Column | str, keep_empty: bool = False) -> Column:
+    """Region and kind of a team instead of its name; ``keep_empty`` replaces a null region only, as the database's own function does."""
     label = F.lit("기타")
     for key, value in TEAM_LABELS.items():
         label = F.when(_col(kind) == key, value).otherwise(label)
-    return F.concat(F.coalesce(F.nullif(_col(province), F.lit("")), F.lit("전국")), F.lit("("), label, F.lit(")"))
+    return F.concat(F.coalesce(_col(province) if keep_empty else F.nullif(_col(province), F.lit("")), F.lit("전국")), F.lit("("), label, F.lit(")"))
 
 
 def is_minor(born: Column | str, as_of: Column | str) -> Column:

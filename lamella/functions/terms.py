@@ -12,13 +12,16 @@ from .scalar import _col, lookup
 
 # Rounds of elimination by size, display names (Korean, English), age codes, surnames.
 SIZES = [256, 128, 64, 32, 16, 8, 4, 2]
-POOL_TERMS = ["예선", "풀", "뿔", "pool", "poule", "pool_round", "pool_rounds", "풀라운드", "예선전"]
-DE_TERMS = ["본선", "de", "d.e.", "direct elimination", "direct_elimination", "엘리미나시옹디렉트", "토너먼트", "녹아웃", "knockout", "elimination", "de_bracket"]
-ROUND_TYPES = {
-    "결승": "final", "결승전": "final", "final": "final", "준결승": "semifinal", "4강": "semifinal", "4강전": "semifinal", "semifinal": "semifinal",
-    "8강": "quarterfinal", "8강전": "quarterfinal", "quarterfinal": "quarterfinal",
+POOL_TERMS = ["pool", "풀", "예선", "뿔", "pool_round", "pool_rounds", "풀라운드", "예선전", "poule"]
+DE_TERMS = [
+    "de", "본선", "d.e.", "direct elimination", "direct_elimination", "엘리미나시옹디렉트", "엘리미나시옹 디렉트", "엘리미나시옹_디렉트", "elimination directe",
+    "de_bracket", "de_round", "de_rounds", "토너먼트", "녹아웃", "knockout", "elimination",
+]
+# Late rounds by names that are no round of elimination by size.
+LATE_TERMS = {"gold_medal_bout": "final", "금메달전": "final", "semi-final": "semifinal", "semi_final": "semifinal", "quarter-final": "quarterfinal", "quarter_final": "quarterfinal"}
+NAMED_ROUNDS = {
+    "quarterfinal": "t8", "semifinal": "t4", "준결승": "t4", "결승": "t2", "결승전": "t2", "t2": "t2", "final": "t2", "동메달전": "bronze", "3위결정전": "bronze", "bronze": "bronze",
 }
-NAMED_ROUNDS = {"준결승": "t4", "결승": "t2", "결승전": "t2", "동메달전": "bronze", "3-4위전": "bronze", "bronze": "bronze"}
 DISPLAY = {
     "t256": ("256강", "Round of 256"), "t128": ("128강", "Round of 128"), "t64": ("64강", "Round of 64"), "t32": ("32강", "Round of 32"), "t16": ("16강", "Round of 16"),
     "t8": ("8강", "Quarterfinal"), "t4": ("준결승", "Semifinal"), "t2": ("결승", "Final"), "bronze": ("동메달전", "Bronze Medal Bout"),
@@ -43,17 +46,25 @@ COMPETITION_STATES = {"예정": "scheduled", "진행": "in_progress", "진행중
 MATCH_STATES = {"V": "victory", "A": "abandon", "F": "forfeit", "E": "exclusion", "P": "penalty"}
 
 
+def _folded(term: Column | str) -> Column:
+    return F.lower(F.trim(_col(term)))
+
+
 def round_code(term: Column | str) -> Column:
-    """t256 to t2 or bronze for a named round of elimination; null for other terms."""
-    known = {f"{n}강{end}": f"t{n}" for n in SIZES for end in ("", "전")} | {f"t{n}": f"t{n}" for n in SIZES} | NAMED_ROUNDS
-    return lookup(F.trim(_col(term)), known)
+    """t256 to t2 or bronze for a named round of elimination, whatever its case and the space around it; null for other terms."""
+    known = {f"{n}강{end}": f"t{n}" for n in SIZES if n > 2 for end in ("", "전")} | {f"t{n}": f"t{n}" for n in SIZES} | NAMED_ROUNDS
+    return lookup(_folded(term), known)
 
 
 def round_type(term: Column | str) -> Column:
-    """Pool, DE or a named late round; DE for any other round of elimination, else Unknown."""
-    low = F.lower(F.trim(_col(term)))
+    """Pool, DE or Unknown.
+
+    Rounds of elimination are DE, as their names stand in the reference's index after those of the types and
+    replace them there; the few names of late rounds that only the types have keep their type (final, semifinal, quarterfinal).
+    """
+    low = _folded(term)
     found = F.when(low.isin(POOL_TERMS), F.lit("Pool")).when(low.isin(DE_TERMS), F.lit("DE"))
-    return F.coalesce(found, lookup(low, ROUND_TYPES), F.when(round_code(term).isNotNull(), F.lit("DE")), F.lit("Unknown"))
+    return F.coalesce(found, lookup(low, LATE_TERMS), F.when(round_code(term).isNotNull(), F.lit("DE")), F.lit("Unknown"))
 
 
 def canonical_round(term: Column | str) -> Column:
@@ -184,6 +195,17 @@ def surname_variants(name: Column | str) -> Column:
     return out
 
 
+def romanised_names(name: Column | str, verified: Column | None = None) -> Column:
+    """Whole names by every spelling of the surname in three styles each: given surname, surname given, SURNAME given.
+
+    A verified name stands alone. The surname is the first character. Null and empty names have none.
+    """
+    given = F.initcap(korean.romanised(F.substring(_col(name), 2, 100)))
+    styles = lambda s: F.array(F.concat_ws(" ", given, s), F.concat_ws(" ", s, given), F.concat_ws(" ", F.upper(s), given))
+    found = F.when(F.coalesce(_col(name), F.lit("")) != "", F.flatten(F.transform(surname_variants(name), styles))).otherwise(F.array().cast("array<string>"))
+    return found if verified is None else F.when(verified.isNotNull(), F.array(verified)).otherwise(found)
+
+
 def name_candidates(name: Column | str, verified: Column | None = None) -> Column:
     """array of (full_name, surname, given, order, confidence, source): a verified name alone, else romanisations.
 

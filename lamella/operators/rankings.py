@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import vocabulary as V
 from ..sources.tables import numbered
 
 
@@ -65,3 +66,26 @@ def podium_by_season(rows: DataFrame, player: str, season: Column, rank: str) ->
         F.count_if(F.col(rank) == 1).alias("gold"), F.count_if(F.col(rank) == 2).alias("silver"), F.count_if(F.col(rank) == 3).alias("bronze"),
         F.count_if(F.col(rank).between(4, 8)).alias("top8"), F.count(F.lit(1)).alias("entries"),
     )
+
+
+#: Age groups that have categories, and the one of the national team.
+CATEGORY_AGES = ("Y14", "Cadet", "Junior", "Veteran", "MS", "HS", "UNI", "SR", "U17", "NT")
+NATIONAL_AGE, PROFESSIONAL = "NT", "PRO"
+
+
+def ranking_rows(rows: DataFrame, age_group: str, category: str | None = None, age: str = "age_group", kind: str = "category", title: str = "competition") -> DataFrame:
+    """The results that a ranking of an age group counts.
+
+    The national team counts professional results of all ages in its own competitions. Groups with
+    categories count professional results unless told otherwise; the others take no notice of categories.
+    """
+    if age_group == NATIONAL_AGE:
+        return rows.where((F.col(kind) == PROFESSIONAL) & F.contains(title, F.lit(V.NATIONAL_KEYWORD)))
+    rows = rows.where(F.col(age) == age_group)
+    return rows.where(F.col(kind) == (category or PROFESSIONAL)) if age_group in CATEGORY_AGES else rows
+
+
+def listed_events(rows: DataFrame, national: bool, title: str = "competition") -> DataFrame:
+    """Events of the list: those of the national team alone, or all others; a null title is no competition of theirs."""
+    own = F.coalesce(F.contains(title, F.lit(V.NATIONAL_KEYWORD)), F.lit(False))
+    return rows.where(own if national else ~own)

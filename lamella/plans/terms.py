@@ -9,6 +9,7 @@ from ..functions import korean
 from ..functions import terms as M
 from ..operators import brackets as K
 from ..operators import quality as Q
+from ..operators import rankings
 from ..sources import endpoints as E
 from .registry import query
 
@@ -22,26 +23,81 @@ def _sql_of(values: list, n: str) -> str:
     return f"[{', '.join('NULL' if v is None else repr(v) for v in values)}][CAST({n} % {len(values)} AS INT) + 1]"
 
 
-ROUND_WORDS = ["예선", "본선", "32강전", "16강", "8강", "준결승", "결승", "동메달전", "t64", "pool", "4강전", "연습"]
+# Every name of a round: its type, and its code.
+ROUND_TABLE = [
+    ("Pool", None, "풀 예선 뿔 pool pool_round pool_rounds 풀라운드 예선전 poule".split()),
+    ("DE", None, ["de", "본선", "d.e.", "direct elimination", "direct_elimination", "엘리미나시옹디렉트", "엘리미나시옹 디렉트", "엘리미나시옹_디렉트", "elimination directe", "de_bracket", "de_round", "de_rounds", "토너먼트", "녹아웃", "knockout", "elimination"]),
+    ("final", None, ["gold_medal_bout", "금메달전"]), ("semifinal", None, ["semi-final", "semi_final"]), ("quarterfinal", None, ["quarter-final", "quarter_final"]),
+    ("DE", "t256", ["256강", "256강전", "t256"]), ("DE", "t128", ["128강", "128강전", "t128"]), ("DE", "t64", ["64강", "64강전", "t64"]), ("DE", "t32", ["32강", "32강전", "t32"]), ("DE", "t16", ["16강", "16강전", "t16"]),
+    ("DE", "t8", ["8강", "8강전", "t8", "quarterfinal"]), ("DE", "t4", ["4강", "4강전", "t4", "semifinal", "준결승"]), ("DE", "t2", ["결승", "결승전", "t2", "final"]), ("DE", "bronze", ["동메달전", "3위결정전", "bronze"]),
+    ("Unknown", None, ["연습", "2강", "", "round of 16"]),
+]
+ROUND_WORDS = [form for *_, names in ROUND_TABLE for name in names for form in (name, f" {name.upper()} ", name.title())]
+_ROUND_CASE = " ".join(f"WHEN '{name}' THEN '{kind}'" for kind, _, names in ROUND_TABLE for name in names)
+_CODE_CASE = " ".join(f"WHEN '{name}' THEN '{code}'" for _, code, names in ROUND_TABLE if code for name in names)
 
 
 @query(f"""
     WITH r AS (SELECT o_orderkey, {_sql_of(ROUND_WORDS, "o_orderkey")} AS term, CAST(o_custkey % 20 AS INT) AS a, CAST(o_custkey % 7 AS INT) AS b FROM orders),
-    c AS (SELECT *, CASE term WHEN '예선' THEN 'Pool' WHEN 'pool' THEN 'Pool' WHEN '본선' THEN 'DE' WHEN '결승' THEN 'final' WHEN '준결승' THEN 'semifinal' WHEN '4강전' THEN 'semifinal' WHEN '8강' THEN 'quarterfinal'
-                         WHEN '연습' THEN 'Unknown' ELSE 'DE' END AS round_type,
-                    CASE term WHEN '32강전' THEN 't32' WHEN '16강' THEN 't16' WHEN '8강' THEN 't8' WHEN '준결승' THEN 't4' WHEN '4강전' THEN 't4' WHEN '결승' THEN 't2' WHEN '동메달전' THEN 'bronze' WHEN 't64' THEN 't64' END AS round_code FROM r),
+    c AS (SELECT *, CASE lower(trim(term)) {_ROUND_CASE} END AS round_type, CASE lower(trim(term)) {_CODE_CASE} END AS round_code FROM r),
     d AS (SELECT *, CASE WHEN round_type IN ('Pool', 'Unknown') THEN round_type ELSE 'DE' END AS bout_type, coalesce(round_code, CASE WHEN round_type <> 'Unknown' THEN round_type END, term) AS round_canonical FROM c)
     SELECT o_orderkey, round_type, round_code, bout_type, round_canonical, CASE WHEN bout_type = 'DE' AND greatest(a, b) BETWEEN 10 AND 14 THEN 'de_10' WHEN bout_type = 'DE' THEN 'de_15' ELSE 'pool_5' END AS bout_format,
-           CASE round_canonical WHEN 't32' THEN '32강' WHEN 't16' THEN '16강' WHEN 't8' THEN '8강' WHEN 't4' THEN '준결승' WHEN 't2' THEN '결승' WHEN 'bronze' THEN '동메달전' WHEN 't64' THEN '64강' WHEN 'Pool' THEN '예선' WHEN 'DE' THEN '본선' ELSE round_canonical END AS display_ko,
-           CASE round_canonical WHEN 't32' THEN 'Round of 32' WHEN 't16' THEN 'Round of 16' WHEN 't8' THEN 'Quarterfinal' WHEN 't4' THEN 'Semifinal' WHEN 't2' THEN 'Final' WHEN 'bronze' THEN 'Bronze Medal Bout' WHEN 't64' THEN 'Round of 64'
-                                WHEN 'DE' THEN 'Direct Elimination' ELSE round_canonical END AS display_en,
+           CASE round_canonical WHEN 'Pool' THEN '예선' WHEN 'DE' THEN '본선' WHEN 'final' THEN '결승' WHEN 'semifinal' THEN '준결승' WHEN 'quarterfinal' THEN '8강' WHEN 't256' THEN '256강' WHEN 't128' THEN '128강' WHEN 't64' THEN '64강' WHEN 't32' THEN '32강' WHEN 't16' THEN '16강'
+                                WHEN 't8' THEN '8강' WHEN 't4' THEN '준결승' WHEN 't2' THEN '결승' WHEN 'bronze' THEN '동메달전' ELSE round_canonical END AS display_ko,
+           CASE round_canonical WHEN 'DE' THEN 'Direct Elimination' WHEN 'final' THEN 'Final' WHEN 'semifinal' THEN 'Semifinal' WHEN 'quarterfinal' THEN 'Quarterfinal' WHEN 't256' THEN 'Round of 256' WHEN 't128' THEN 'Round of 128' WHEN 't64' THEN 'Round of 64' WHEN 't32' THEN 'Round of 32'
+                                WHEN 't16' THEN 'Round of 16' WHEN 't8' THEN 'Quarterfinal' WHEN 't4' THEN 'Semifinal' WHEN 't2' THEN 'Final' WHEN 'bronze' THEN 'Bronze Medal Bout' ELSE round_canonical END AS display_en,
            CASE WHEN bout_type = 'Pool' THEN 5 ELSE 15 END AS max_score FROM d""")
 def round_terms(t):
+    """All names of rounds, as they are, in capitals between spaces, and with capitals at their beginnings."""
     rows = t("orders").select("o_orderkey", _of(ROUND_WORDS, F.col("o_orderkey")).alias("term"), (F.col("o_custkey") % 20).cast("int").alias("a"), (F.col("o_custkey") % 7).cast("int").alias("b"))
     info = rows.withColumn("info", M.bout_info("term", "a", "b"))
     return info.select("o_orderkey", M.round_type("term").alias("round_type"), M.round_code("term").alias("round_code"), "info.*")
 
 
+ORGANISATION_NAMES = {"서울체육고등학교": "Seoul Sports High School", "SK fencing LAB": "SK fencing LAB", "부산광역시청": "Busan Metropolitan City Hall", "강릉 여자중학교": "Gangneung Girls' Middle School", "가나 O-neil고 클럽": "Gana O-Neilgo Club", "경기 서울 협회": "Gyeonggi Seoul Association", "": ""}
+TEAM_REGIONS = ["서울", "", None, "경기"]
+
+
+@query(f"""
+    WITH n AS (SELECT o_orderkey, {_sql_of(list(ORGANISATION_NAMES), "o_orderkey")} AS name, {_sql_of(TEAM_REGIONS, "o_custkey")} AS region, {_sql_of(["김소윤", "박가", "", None, "뷁나다"], "o_custkey")} AS person FROM orders)
+    SELECT o_orderkey, CASE name {" ".join(f"WHEN '{k.replace(chr(39), chr(39) * 2)}' THEN '{v.replace(chr(39), chr(39) * 2)}'" for k, v in ORGANISATION_NAMES.items())} END AS english, CASE WHEN region IS NULL OR region = '' THEN '전국' ELSE region END || '(클럽)' AS team, coalesce(region, '전국') || '(클럽)' AS stored_team,
+           CASE person WHEN '김소윤' THEN ['Soyun Kim', 'Kim Soyun', 'KIM Soyun', 'Soyun Gim', 'Gim Soyun', 'GIM Soyun'] WHEN '박가' THEN ['Ga Park', 'Park Ga', 'PARK Ga', 'Ga Pak', 'Pak Ga', 'PAK Ga', 'Ga Bak', 'Bak Ga', 'BAK Ga'] WHEN '뷁나다' THEN ['Nada Bwek', 'Bwek Nada', 'BWEK Nada'] ELSE CAST([] AS VARCHAR[]) END AS names FROM n""")
+def organisation_terms(t):
+    """English names of organisations, teams without their names in both ways, and romanised names in three styles."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    region, person = _of(TEAM_REGIONS, c), _of(["김소윤", "박가", "", None, "뷁나다"], c)
+    return t("orders").select(
+        "o_orderkey", korean.organisation_english(_of(list(ORGANISATION_NAMES), k)).alias("english"), korean.anonymous_team(F.lit("club"), region).alias("team"), korean.anonymous_team(F.lit("club"), region, True).alias("stored_team"),
+        M.romanised_names(person).alias("names"),
+    )
+
+
+_RESULT_SQL = """r AS (SELECT o_orderkey, ['Y12', 'Y14', 'SR', 'E1'][CAST(o_custkey % 4 AS INT) + 1] AS age_group, ['PRO', 'CLUB'][CAST(o_orderkey % 2 AS INT) + 1] AS category, CASE WHEN o_orderkey % 7 = 0 THEN '국가대표 선발대회' WHEN o_orderkey % 11 > 0 THEN '회장배' END AS competition FROM orders)"""
+
+
+def _results(t):
+    age, kind = _of(["Y12", "Y14", "SR", "E1"], F.col("o_custkey")), _of(["PRO", "CLUB"], F.col("o_orderkey"))
+    title = F.when(F.col("o_orderkey") % 7 == 0, "국가대표 선발대회").when(F.col("o_orderkey") % 11 > 0, "회장배")
+    return t("orders").select("o_orderkey", age.alias("age_group"), kind.alias("category"), title.alias("competition"))
+
+
+@query(f"""
+    WITH {_RESULT_SQL} SELECT 'NT' AS ranking, o_orderkey FROM r WHERE category = 'PRO' AND competition LIKE '%국가대표%' UNION ALL SELECT 'Y12', o_orderkey FROM r WHERE age_group = 'Y12'
+    UNION ALL SELECT 'Y14', o_orderkey FROM r WHERE age_group = 'Y14' AND category = 'PRO' UNION ALL SELECT 'SR', o_orderkey FROM r WHERE age_group = 'SR' AND category = 'CLUB'""")
+def ranking_defaults(t):
+    """Results that four rankings count, by the rules for the national team, for categories, and for ages without them."""
+    asked = (("NT", None), ("Y12", "CLUB"), ("Y14", None), ("SR", "CLUB"))
+    parts = [rankings.ranking_rows(_results(t), age, kind).select(F.lit(age).alias("ranking"), "o_orderkey") for age, kind in asked]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
+@query(f"WITH {_RESULT_SQL} SELECT competition IS NOT NULL AND competition LIKE '%국가대표%' AS national, o_orderkey FROM r")
+def listed_events(t):
+    rows = _results(t)
+    some = lambda own: rankings.listed_events(rows, own).select(F.lit(own).alias("national"), "o_orderkey")
+    return some(True).union(some(False))
+
+
 @query("""
     SELECT o_orderkey, CAST(pow(2, ceil(log2(n))) AS INT) AS open_size, CASE WHEN size = 4 THEN '준결승' WHEN size IN (8, 16, 32, 64, 128) THEN size || '강' ELSE '32강' END AS start_round,
            CASE WHEN n = 1 THEN '결승_승자' WHEN n = 2 THEN '결승' WHEN n <= 4 THEN '준결승' WHEN n <= 8 THEN '8강' WHEN n <= 16 THEN '16강' WHEN n <= 32 THEN '32강' WHEN n <= 64 THEN '64강' ELSE '128강' END AS lost_in
