@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, conversations, dedup, fingerprints, html, jaccard, langid, licenses, mixing, packing, ranking, sharding, toxicity
+from . import bpe, conversations, dedup, fingerprints, html, jaccard, langid, licenses, mixing, oracles, packing, ranking, sharding, toxicity
 from .common import held_out
 
 
@@ -96,4 +96,6 @@ ORACLE_SQL = {
         FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents)
         WINDOW same AS (PARTITION BY norm)
     """,
+    "op12_conversation_repair": oracles.REPAIR,
+    "op13_tiered_search": oracles.SEARCH,
 }

@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from oracle import connect, same
 
 from lamella.llm import conversations, queries
 
@@ -145,6 +146,10 @@ def test_repaired_rows_give_the_digest(spark):
         assert hashlib.sha256("\n".join(f"{r}:{t}" for _, r, t, _ in mine).encode()).hexdigest() == found[7]
 
 
+def test_query_equals_sql(spark):
+    same(queries.op12_conversation_repair(spark, SF), connect(SF), queries.ORACLE_SQL["op12_conversation_repair"])
+
+
 def test_query_has_the_columns(spark):
     got = queries.op12_conversation_repair(spark, SF)
     assert got.columns == ["conv_id", *COLUMNS] and got.count() == spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id").distinct().count()

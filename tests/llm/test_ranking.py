@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import pytest
+from oracle import connect, same
 
 from lamella.llm import queries, ranking
 
@@ -101,6 +102,10 @@ def test_blocks_of_items_agree(spark, monkeypatch):
     assert searched(docs, items) == brute(texts(docs, "doc_id"), texts(items, "item_id"))
 
 
+def test_query_equals_sql(spark):
+    same(queries.op13_tiered_search(spark, SF), connect(SF), queries.ORACLE_SQL["op13_tiered_search"])
+
+
 def test_query_has_the_columns(spark):
     got = queries.op13_tiered_search(spark, SF)
     assert dict(got.dtypes) == {"item_id": "bigint", "rank": "int", "doc_id": "bigint", "score": "bigint"}
