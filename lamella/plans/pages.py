@@ -27,8 +27,9 @@ _LINES_SQL = f"""lines AS (SELECT l_orderkey AS event, CAST(row_number() OVER (P
 
 
 def _lines(t) -> DataFrame:
-    """event, es: the lines of each order, numbered from 1 (pos)."""
-    rows = t("lineitem").groupBy(F.col("l_orderkey").alias("event")).agg(F.array_sort(F.collect_list(F.struct(*_LINE))).alias("es"))  # the lines of an order
+    """event, es: the lines of each order, numbered from 1 (pos); spread over all cores, as pages take far longer than their bytes tell."""
+    lines = t("lineitem")
+    rows = lines.repartition(lines.sparkSession.sparkContext.defaultParallelism, "l_orderkey").groupBy(F.col("l_orderkey").alias("event")).agg(F.array_sort(F.collect_list(F.struct(*_LINE))).alias("es"))  # the lines of an order
     one = lambda e, i: F.struct((i + 1).alias("pos"), e["l_partkey"].alias("partkey"), e["l_suppkey"].alias("suppkey"), e["l_extendedprice"].cast("double").alias("price"), e["l_quantity"].cast("int").alias("qty"))
     return rows.select("event", F.transform("es", one).alias("es"))
 

@@ -31,17 +31,17 @@ def competition_history(t):
 
 
 @query("""
-    SELECT s_suppkey, s_name, n_name AS coach, coalesce(n, 0) AS participants FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN (SELECT l_suppkey, count(*) AS n FROM lineitem WHERE l_linenumber > 5 GROUP BY 1) ON s_suppkey = l_suppkey""")
+    SELECT s_suppkey, s_name, n_name AS coach, coalesce(n, 0) AS participants FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1) ON s_suppkey = l_suppkey""")
 def lessons_with_counts(t):
     rows = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey"), "left").select("s_suppkey", "s_name", F.col("n_name").alias("coach"))
-    return P.with_counts(rows, "s_suppkey", t("lineitem").where("l_linenumber > 5").select(F.col("l_suppkey").alias("s_suppkey")))
+    return P.with_counts(rows, "s_suppkey", t("lineitem").select(F.col("l_suppkey").alias("s_suppkey")))
 
 
 @query("""
     SELECT o_orderkey, coalesce(a, []) AS lines, coalesce(b, []) AS amounts FROM orders
-    LEFT JOIN (SELECT l_orderkey, list(l_linenumber ORDER BY l_linenumber, l_quantity) AS a, list(l_quantity ORDER BY l_linenumber, l_quantity) AS b FROM lineitem WHERE l_linenumber > 2 GROUP BY 1) ON o_orderkey = l_orderkey""")
+    LEFT JOIN (SELECT l_orderkey, list(l_linenumber ORDER BY l_linenumber, l_quantity) AS a, list(l_quantity ORDER BY l_linenumber, l_quantity) AS b FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey""")
 def lesson_detail(t):
-    parts = t("lineitem").where("l_linenumber > 2").withColumnRenamed("l_orderkey", "o_orderkey")
+    parts = t("lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
     rows = P.with_parts(t("orders").select("o_orderkey"), "o_orderkey", parts, ["l_linenumber", "l_quantity"])
     return rows.select("o_orderkey", F.col("parts.l_linenumber").alias("lines"), F.col("parts.l_quantity").alias("amounts"))
 

@@ -413,9 +413,9 @@ def anti_orphans(t):
     return L.orphans(t("orders"), "o_custkey", t("customer").where("c_mktsegment <> 'MACHINERY'"), "c_custkey").select("o_orderkey", "o_custkey")
 
 
-@_query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+@_query("SELECT p_partkey AS k FROM part EXCEPT SELECT o_custkey FROM orders")
 def except_keys(t):
-    return t("customer").select(F.col("c_custkey").alias("k")).subtract(t("orders").select("o_custkey"))
+    return t("part").select(F.col("p_partkey").alias("k")).subtract(t("orders").select("o_custkey"))
 
 
 @_query("SELECT l_suppkey AS k FROM lineitem WHERE l_returnflag = 'R' INTERSECT SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 45")

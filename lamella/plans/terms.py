@@ -291,7 +291,7 @@ def merged_brackets(t):
 # -- brackets held against ranks -------------------------------------------------------------------------
 
 _RANKS_SQL = """
-    k AS (SELECT o_custkey AS e, 'N' || row_number() OVER w AS name, CAST(least(row_number() OVER w, 3) AS INT) AS rank FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey) QUALIFY row_number() OVER w <= 4),
+    k AS (SELECT o_custkey AS e, 'N' || row_number() OVER w AS name, CAST(CASE WHEN row_number() OVER w = 4 THEN 3 ELSE row_number() OVER w END AS INT) AS rank FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
     b AS (SELECT e, 1 AS number, '준결승' AS round, 'N1' AS winner, 'N3' AS loser FROM k WHERE name = 'N3' UNION ALL SELECT e, 2, '준결승', 'N2', 'N4' FROM k WHERE name = 'N4'
           UNION ALL SELECT e, 3, '결승', CASE WHEN e % 5 = 0 THEN 'N2' ELSE 'N1' END, CASE WHEN e % 5 = 0 THEN 'N1' ELSE 'N2' END FROM k WHERE name = 'N2' AND e % 7 > 0
           UNION ALL SELECT e, 4, '결승', 'N1', 'N4' FROM k WHERE name = 'N4' AND e % 3 = 0)"""
@@ -299,8 +299,8 @@ _RANKS_SQL = """
 
 def _ranks(t):
     n = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
-    rows = t("orders").select(F.col("o_custkey").alias("e"), n.alias("n")).where("n <= 4")
-    ranks = rows.select("e", F.concat(F.lit("N"), F.col("n").cast("string")).alias("name"), F.least("n", F.lit(3)).alias("rank"))
+    rows = t("orders").select(F.col("o_custkey").alias("e"), n.alias("n"))
+    ranks = rows.select("e", F.concat(F.lit("N"), F.col("n").cast("string")).alias("name"), F.when(F.col("n") == 4, 3).otherwise(F.col("n")).alias("rank"))
     bout = lambda number, name, winner, loser: F.struct(F.lit(number).alias("number"), F.lit(name).alias("round"), F.lit(winner).alias("winner"), F.lit(loser).alias("loser"))
     final = F.when(F.col("e") % 5 == 0, bout(3, "결승", "N2", "N1")).otherwise(bout(3, "결승", "N1", "N2"))
     made = F.array_compact(F.array(
