@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import win_rate
+from ..functions.scalar import letter_rating, win_rate
 
 
 def player_index(rows: DataFrame, name: str, key: list[str], order: list[str], fields: list[str]) -> DataFrame:
@@ -173,3 +173,29 @@ def with_team_ids(people: DataFrame, key: str, team: str, organisations: DataFra
     ids = organisations.select(F.col("organisation").alias(team), F.col("id").alias("team_id"))
     rows = people.join(ids, team, "left")
     return rows.groupBy(key).agg(F.sort_array(F.collect_set(F.struct(team, "team_id"))).alias("teams"))
+
+
+def player_pages(results: DataFrame, player: str, season: str, weapon: str, rank: str, date: str, team: str, latest: int = 5, shown: int = 10, tie: tuple[str, ...] = ()) -> DataFrame:
+    """One row per player: medals, records, teams, years, weapons, podiums by season, ratings by weapon and their history.
+
+    Places 1 to 3 are medals, 4 to 8 the top eight. A weapon's rating is the letter of the best place in it and the player's
+    latest year. The history has those of the ``latest`` results of each weapon that are among the top eight, weapon
+    by weapon, ``shown`` at most. Results without a season count for no medal and no season, as in the reference, but
+    are records. Results are added up per season and weapon before a player's meet; arrays are as long as a career has seasons, weapons and teams.
+    """
+    rows = results.select(F.col(player).alias("player"), F.col(season).cast("int").alias("season"), F.col(weapon).alias("weapon"), F.col(rank).cast("int").alias("rank"), F.col(date).alias("date"), F.col(team).alias("team"), *[F.col(c).alias(f"t{i}") for i, c in enumerate(tie)])
+    at = lambda low, high: F.count_if(F.col("season").isNotNull() & F.col("rank").between(low, high))
+    parts = rows.groupBy("player", "season", "weapon").agg(at(1, 1).alias("gold"), at(2, 2).alias("silver"), at(3, 3).alias("bronze"), at(4, 8).alias("top8"), F.count(F.lit(1)).alias("total"), F.min("rank").alias("best"), F.collect_set("team").alias("teams"))
+    sums = [F.sum(c).alias(c) for c in ("gold", "silver", "bronze", "top8", "total")]
+    seasons = parts.where("season is not null").groupBy("player", "season").agg(*sums).groupBy("player").agg(F.sort_array(F.collect_list(F.struct("season", "gold", "silver", "bronze", "top8", "total")), asc=False).alias("podiums"))
+    weapons = parts.where("weapon is not null").groupBy("player", "weapon").agg(F.min("best").alias("best")).groupBy("player").agg(F.array_sort(F.collect_list(F.struct("weapon", "best"))).alias("bests"))
+    whole = parts.groupBy("player").agg(*[F.sum(c).alias(c) for c in ("gold", "silver", "bronze", "top8")], F.sum("total").alias("records"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("teams")))).alias("teams"), F.max("season").alias("latest"))
+    newest = Window.partitionBy("player", "weapon").orderBy(F.desc("date"), *[f"t{i}" for i in range(len(tie))])
+    recent = rows.where("weapon is not null").withColumn("rn", F.row_number().over(newest)).where(f"rn <= {latest} and rank between 1 and 8")
+    history = recent.groupBy("player").agg(F.slice(F.array_sort(F.collect_list(F.struct("weapon", "rn", "date"))), 1, shown).alias("recent"))  # ``latest`` rows of each weapon
+    met = whole.join(seasons, "player", "left").join(weapons, "player", "left").join(history, "player", "left")
+    none = lambda c: F.coalesce(F.col(c), F.array().cast(dict(met.dtypes)[c]))
+    ratings = F.transform(none("bests"), lambda w: F.struct(w["weapon"].alias("weapon"), F.coalesce(letter_rating(F.coalesce(w["best"], F.lit(999)), F.col("latest")), F.lit("U")).alias("rating")))
+    met = met.withColumn("ratings", ratings)
+    rated = F.transform(none("recent"), lambda h: F.struct(h["weapon"].alias("weapon"), h["date"].alias("date"), F.get(F.filter("ratings", lambda r: r["weapon"] == h["weapon"]), F.lit(0))["rating"].alias("rating")))
+    return met.select("player", "gold", "silver", "bronze", "top8", "records", "teams", F.transform(none("podiums"), lambda s: s["season"]).alias("years"), none("podiums").alias("podiums"), "ratings", rated.alias("history"))

@@ -209,3 +209,28 @@ def team_ids(t):
     organisations = t("orders").where("o_orderpriority <> '5-LOW'").select(F.col("o_orderpriority").alias("organisation"), F.concat(F.lit("K"), F.substring("o_orderpriority", 1, 1)).alias("id")).distinct()
     got = P.with_team_ids(t("orders").select("o_custkey", F.col("o_orderpriority").alias("team")), "o_custkey", "team", organisations)
     return got.select("o_custkey", F.col("teams.team").alias("teams"), F.array_compact(F.col("teams.team_id")).alias("ids"))
+
+
+@query("""
+    WITH r AS (SELECT o_custkey AS player, CASE WHEN o_orderkey % 13 > 0 THEN CAST(year(o_orderdate) AS INT) END AS season, CASE WHEN o_orderkey % 17 > 0 THEN o_orderstatus END AS weapon, CAST(substr(o_orderpriority, 1, 1) AS INT) + CAST(o_orderkey % 9 AS INT) * 2 - 2 AS rank, o_orderdate AS date, o_orderkey, 'T' || o_orderkey % 3 AS team FROM orders),
+    s AS (SELECT player, season, count(*) FILTER (rank = 1) AS g, count(*) FILTER (rank = 2) AS s, count(*) FILTER (rank = 3) AS b, count(*) FILTER (rank BETWEEN 4 AND 8) AS e, count(*) AS t FROM r WHERE season IS NOT NULL GROUP BY 1, 2),
+    p AS (SELECT player, list(season ORDER BY season DESC) AS years, list(season || ':' || g || '-' || s || '-' || b || '-' || e || '-' || t ORDER BY season DESC) AS podiums FROM s GROUP BY 1),
+    a AS (SELECT player, count(*) FILTER (season IS NOT NULL AND rank = 1) AS gold, count(*) FILTER (season IS NOT NULL AND rank = 2) AS silver, count(*) FILTER (season IS NOT NULL AND rank = 3) AS bronze, count(*) FILTER (season IS NOT NULL AND rank BETWEEN 4 AND 8) AS top8, count(*) AS records,
+                 list_sort(list(DISTINCT team)) AS teams, max(season) AS latest FROM r GROUP BY 1),
+    w AS (SELECT r.player, weapon, min(rank) AS best, max(latest) AS latest FROM r JOIN a ON r.player = a.player WHERE weapon IS NOT NULL GROUP BY 1, 2),
+    l AS (SELECT *, coalesce(CASE WHEN best = 1 THEN 'A' WHEN best = 2 THEN 'B' WHEN best <= 4 THEN 'C' WHEN best <= 8 THEN 'D' WHEN best <= 16 THEN 'E' ELSE 'U' END || lpad(CAST(latest % 100 AS VARCHAR), 2, '0'), 'U') AS rating FROM w),
+    h AS (SELECT *, row_number() OVER (PARTITION BY player, weapon ORDER BY date DESC, o_orderkey) AS rn FROM r WHERE weapon IS NOT NULL),
+    k AS (SELECT h.player, list(h.weapon || ' ' || l.rating || ' ' || h.rn ORDER BY h.weapon, h.rn)[1:10] AS history FROM h JOIN l ON h.player = l.player AND h.weapon = l.weapon WHERE rn <= 5 AND rank BETWEEN 1 AND 8 GROUP BY 1)
+    SELECT a.player, gold, silver, bronze, top8, records, teams, coalesce(years, []) AS years, coalesce(podiums, []) AS podiums, coalesce((SELECT list(weapon || ' ' || rating ORDER BY weapon) FROM l WHERE l.player = a.player), []) AS ratings, coalesce(len(history), 0) AS history
+    FROM a LEFT JOIN p ON a.player = p.player LEFT JOIN k ON a.player = k.player""")
+def player_pages(t):
+    """The page of every player in one row, from results with missing seasons and weapons."""
+    k = F.col("o_orderkey")
+    rows = t("orders").select(
+        "o_custkey", "o_orderkey", F.when(k % 13 > 0, F.year("o_orderdate")).alias("season"), F.when(k % 17 > 0, F.col("o_orderstatus")).alias("weapon"),
+        (F.substring("o_orderpriority", 1, 1).cast("int") + (k % 9).cast("int") * 2 - 2).alias("rank"), F.col("o_orderdate").alias("date"), F.concat(F.lit("T"), (k % 3).cast("string")).alias("team"),
+    )
+    got = P.player_pages(rows, "o_custkey", "season", "weapon", "rank", "date", "team", tie=("o_orderkey",))
+    said = lambda s: F.concat(s["season"].cast("string"), F.lit(":"), F.concat_ws("-", *[s[c].cast("string") for c in ("gold", "silver", "bronze", "top8", "total")]))
+    rated = F.transform("ratings", lambda r: F.concat_ws(" ", r["weapon"], r["rating"]))
+    return got.withColumns({"podiums": F.transform("podiums", said), "ratings": rated, "history": F.size("history").cast("long")})
