@@ -73,8 +73,8 @@ def templates_table(spark: SparkSession, templates: dict[str, str], width: int)
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, width: int = 5, least: float = 0.8, bands: int = 12, rows: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_hash, license, start_word, containment, windows: each license found in a whole text.
 
-    Around every anchor word, overlapping windows as long as a template are laid at each word.
-    Where a window and a template agree in a band, the words from one length before the window to
+    Overlapping windows as long as a template are laid at every word. Where a window and a
+    template agree in a band, the words from one length before the window to
     one behind it are searched for the template by exact containment of its shingles of ``width``
     words (of all words, if it has fewer), so words put into a license don't push its end out of
     sight. A window that holds the share ``least`` of a template's shingles, shifted or edited,
@@ -82,6 +82,11 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, width: int =
     1 - 0.34**12 or more for one window; one that holds half of them still meets with 0.99, and
     neighbouring windows try again. start_word is the first best window's first word (from 0).
 
+    A window can agree with a template in a band only if it holds the shingle in which the template's
+    first row of that band is least. Each text is hashed once; only where one of these few shingles stands are windows laid
+    and their bands computed, on a slice of the hashes around it. So work grows with the length of
+    a text and with the licenses in it, not with words that licenses use too.
+
     Words are runs of a-z and 0-9 in the lower-cased text. Null and empty texts have no row, nor
     do texts without a license. Rows that repeat id and text are reported once; rows that share only
     the id are told apart by text_hash. Templates and anchors are broadcast or literal; their
@@ -95,21 +100,30 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, width: int =
     for word in marks:
         may = may | low.contains(word)
     known = templates_table(spark, templates, width)
-    sizes = sorted({(len(_words(t)), min(width, len(_words(t)))) for t in templates.values()})
+    mine = known.select("license", "k", F.size("words").alias("n"), "shingles", F.posexplode(_bands(F.col("shingles"), bands, rows)).alias("band", "value"))
+    least_of = lambda j: F.min_by("s", F.xxhash64("s", j))
+    marked = mine.select("license", "band", F.explode("shingles").alias("s")).groupBy("license", "band").agg(least_of(F.col("band").cast("int") * rows).alias("hash"))
+    mine = mine.join(marked, ["license", "band"]).collect()  # one row per template and band
+    table = spark.createDataFrame(mine, "license string, band int, k int, n int, shingles array<long>, value long, hash long")
     texts = docs.where(may).select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.regexp_extract_all(low, F.lit(WORD), 0).alias("words"))
-    anchor = F.array(*map(F.lit, marks))
-    places = F.filter(F.transform("words", lambda w, i: F.when(F.array_contains(anchor, w), i)), lambda i: i.isNotNull())
-    span = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(k).alias("k")) for n, k in sizes]))
-    near = texts.withColumn("places", places).where(F.size("places") > 0).withColumn("span", span)
-    first = lambda p: F.greatest(p - F.col("span.n") + 1, F.lit(0))
-    last = lambda p: F.least(p, F.greatest(F.size("words") - F.col("span.n"), F.lit(0)))
-    starts = F.array_distinct(F.flatten(F.transform("places", lambda p: F.when(first(p) <= last(p), F.sequence(first(p), last(p))).otherwise(F.array(last(p))))))
-    windows = near.withColumn("start", F.explode(starts)).select("doc_id", "text_hash", "start", F.col("span.n").alias("n"), F.col("span.k").alias("k"), F.slice("words", F.col("start") + 1, F.col("span.n")).alias("window"), F.slice("words", F.greatest(F.col("start") - F.col("span.n"), F.lit(0)) + 1, F.least(F.col("start"), F.col("span.n")) + 2 * F.col("span.n")).alias("around"))
-    windows = windows.withColumn("held", F.array_distinct(_shingles(F.col("window"), F.col("k")))).where(F.size("held") > 0)
-    mine = known.select("license", F.size("words").alias("n"), "shingles", F.posexplode(_bands(F.col("shingles"), bands, rows)).alias("band", "value"))
-    met = windows.select("doc_id", "text_hash", "start", "n", "k", "around", F.posexplode(_bands(F.col("held"), bands, rows)).alias("band", "value"))
-    met = met.join(F.broadcast(mine), ["n", "band", "value"])
-    share = F.size(F.array_intersect(_shingles(F.col("around"), F.col("k")), "shingles")) / F.size("shingles")
+    hits = None
+    for k in sorted({r["k"] for r in mine}):
+        wanted, reach = sorted({r["hash"] for r in mine if r["k"] == k}), 2 * max(r["n"] for r in mine if r["k"] == k)
+        hashed = texts.select("doc_id", "text_hash", F.size("words").alias("size"), _shingles(F.col("words"), F.lit(k)).alias("hashes"))
+        at = F.filter(F.transform("hashes", lambda h, i: F.when(h.isin(wanted), i)), lambda i: i.isNotNull())
+        from_ = lambda i: F.greatest(i - reach, F.lit(0))
+        around = F.transform(at, lambda i: F.struct(i.alias("i"), F.get("hashes", i).alias("hash"), from_(i).alias("base"), F.slice("hashes", from_(i) + 1, F.lit(2 * reach + 1)).alias("part")))  # noqa: B023
+        some = hashed.select("doc_id", "text_hash", "size", F.lit(k).alias("k"), F.explode_outer(around).alias("h")).where("h is not null").select("doc_id", "text_hash", "size", "k", "h.*")
+        hits = some if hits is None else hits.unionByName(some)
+    met = hits.join(F.broadcast(table), ["k", "hash"])
+    first, last = F.greatest(F.col("i") - F.col("n") + F.col("k"), F.lit(0)), F.least(F.col("i"), F.greatest(F.col("size") - F.col("n"), F.lit(0)))
+    met = met.where(first <= last).withColumn("start", F.explode(F.sequence(first, last)))
+    held = F.slice("part", F.col("start") - F.col("base") + 1, F.col("n") - F.col("k") + 1)
+    low_of = lambda r: F.array_min(F.transform(held, lambda h: F.xxhash64(h, F.col("band") * rows + r)))
+    met = met.where(F.xxhash64("band", *[low_of(r) for r in range(rows)]) == F.col("value"))
+    before = F.greatest(F.col("start") - F.col("n"), F.lit(0))
+    searched = F.slice("part", before - F.col("base") + 1, F.col("start") - before + 2 * F.col("n") - F.col("k") + 1)
+    share = F.size(F.array_intersect(searched, "shingles")) / F.size("shingles")
     found = met.select("doc_id", "text_hash", "license", "start", share.alias("containment")).where(F.col("containment") >= least)
     best = found.groupBy("doc_id", "text_hash", "license", "start").agg(F.max("containment").alias("containment"))
     return best.groupBy("doc_id", "text_hash", "license").agg(

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -283,6 +284,19 @@ def test_license_scan_equals_brute_force(spark, odd_docs, no_docs):
     assert (103, "gpl-notice") in got and (104, "mit-text") in got
 
 
+def test_words_that_licenses_use_cost_little(spark):
+    """A long text full of anchor words, and a license in it, within seconds."""
+    rnd = np.random.default_rng(1)
+    pool = [*licenses.anchors(licenses.TEMPLATES, 5, 0.8), "of", "the", "and", "to"]
+    long = " ".join(rnd.choice(pool, 16_000))
+    schema = "doc_id long, text string"
+    licenses.scan(spark.createDataFrame([(0, "MIT License")], schema)).count()
+    began = time.time()
+    got = licenses.scan(spark.createDataFrame([(1, f"{long} {licenses.TEMPLATES['mit-text']} {long}"), (2, long)], schema)).collect()
+    assert time.time() - began < 15
+    assert {(r.doc_id, r.license) for r in got} >= {(1, "mit-text"), (1, "mit-grant")} and all(r.containment == 1.0 and 15_800 < r.start_word <= 16_000 for r in got if r.license == "mit-text")
+
+
 # -- toxicity ---------------------------------------------------------------------------------------------
 
 
