@@ -231,7 +231,12 @@ def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: s
 
 
 def encode_digest(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: digests of ``encode``'s results."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: digests of ``encode``'s results.
+
+    A null or empty text has no token and the digests of nothing. Long texts are encoded whole; of
+    equal ranks the leftmost pair is merged. Rows that repeat repeat their result, ids may be null, other columns are
+    ignored, and an empty table gives an empty result.
+    """
     schema = f"doc_id {dict(docs.dtypes)[id_col]}, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
     def digest(raw: bytes, data: bytes) -> tuple:

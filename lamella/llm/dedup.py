@@ -115,7 +115,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, bucket, chain.
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty. Of equal texts
-    the largest doc_id stays. Rows that repeat both doc_id and text are one document given twice
+    the largest doc_id stays. Long texts are compared whole, byte by byte where keys collide. Rows that repeat both doc_id and text are one document given twice
     and share its fate. A null doc_id stays only where its whole group has none. An empty table
     gives an empty result; other columns are ignored. The rows of a common text meet its entry in
     a join that Spark can split when it is skewed.

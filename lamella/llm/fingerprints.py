@@ -107,7 +107,8 @@ def edit_check(docs: DataFrame, k: int = 12, window: int = 32, id_col: str = "do
     whole numbers, or texts that spell them: their order is that of the numbers. Null
     texts count as empty; a null id comes first; rows that repeat an id follow each other in
     order of their text's digest. A single document is its own next one. An empty table gives
-    an empty result; other columns are ignored.
+    an empty result; other columns are ignored. Long texts are hashed whole; of equal least hashes
+    of a window the rightmost is chosen.
     """
     kind, ranges = dict(docs.dtypes)[id_col], shuffle_width(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -251,7 +251,8 @@ def jaccard_classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     into one before any comparison; ids that repeat are told apart by their sets. A null id
     counts as no candidate for component_id unless there is no other; a set that only rows
     without an id hold is compared like the others, its text found by hash. An empty table gives an
-    empty result; other columns are ignored. Sets are told apart by 64-bit hashes.
+    empty result; other columns are ignored. Sets are told apart by 64-bit hashes. Long texts are
+    shingled whole; of equal classes' ids the least names the class, so there are no ties.
     """
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

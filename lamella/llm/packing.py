@@ -101,7 +101,7 @@ def best_fit(counts: dict[int, int], capacity: int) -> Plan:
     """Best-fit decreasing on the histogram: each length goes to the fullest sequences that take it.
 
     Sequences of equal content are one group, so the work depends on the number of
-    lengths, not of documents.
+    lengths, not of documents. Among sequences with the same room the one opened last is taken.
     """
     groups: dict[int, list[tuple[list[tuple[int, int]], int]]] = {}
     rooms: list[int] = []
@@ -248,7 +248,9 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Packs every document into as few sequences of ``capacity`` tokens as best fit finds.
 
-    A null or empty text is the end id alone. Rows that repeat are packed each time. An empty table
+    A null or empty text is the end id alone. Rows that repeat are packed each time. Texts of more
+    tokens than fit are cut, whatever their length. Pieces of equal length may take each other's
+    places: the plan is made for lengths. An empty table
     gives an empty result; other columns are ignored; ids may be null.
     """
     return pack(token_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col), capacity)

@@ -84,7 +84,8 @@ def hilbert_shards(
 
     Size is the UTF-8 length plus 1; a null text counts as empty. Null dimensions sort first.
     Equal texts may lie in different shards, as their metadata may differ. Repeated rows each get
-    their own slot. Other columns are ignored. An empty table gives an empty result.
+    their own slot. A long text is a large row: under law ``bytes`` shards differ by the largest at
+    most. Ties in the hash go by id and text. Other columns are ignored. An empty table gives an empty result.
     """
     if law not in ("rows", "bytes"):
         raise ValueError("law must be rows or bytes")
