@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,10 +52,15 @@ def anchors(templates: dict[str, str], width: int, least: float) -> list[str]:
     return sorted(found)
 
 
-def _shingles(words: Column, k: Column) -> Column:
-    """Hashes of the runs of k words; none if there are fewer."""
-    n = F.size(words) - k + 1
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(words, i, k), " ")))).otherwise(F.array().cast("array<bigint>"))
+def _shingles(hashes: Column, k: int) -> Column:
+    """Hashes of the runs of k words, from the hashes of the words; none if there are fewer."""
+    n = F.size(hashes) - k + 1
+    run = lambda i: F.xxhash64(*[F.get(hashes, i + j) for j in range(k)])
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), run)).otherwise(F.array().cast("array<bigint>"))
+
+
+def _hashed(words: str) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
 
 
 def _bands(shingles: Column, bands: int, rows: int) -> Column:
@@ -66,8 +72,9 @@ def _bands(shingles: Column, bands: int, rows: int) -> Column:
 def templates_table(spark: SparkSession, templates: dict[str, str], width: int) -> DataFrame:
     """license, words, k, shingles."""
     rows = spark.createDataFrame([(n, _words(t)) for n, t in sorted(templates.items())], "license string, words array<string>")
-    rows = rows.withColumn("k", F.least(F.lit(width), F.size("words")))
-    return rows.withColumn("shingles", F.array_distinct(_shingles(F.col("words"), F.col("k"))))
+    rows = rows.withColumn("k", F.least(F.lit(width), F.size("words"))).withColumn("hashes", _hashed("words"))
+    found = F.coalesce(*[F.when(F.col("k") == k, _shingles(F.col("hashes"), k)) for k in range(1, width + 1)])
+    return rows.withColumn("shingles", F.array_distinct(found)).drop("hashes")
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, width: int = 5, least: float = 0.8, bands: int = 12, rows: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -96,9 +103,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, width: int =
     spark = docs.sparkSession
     marks = anchors(templates, width, least)
     low = F.lower(F.col(text_col))
-    may = F.lit(False)
-    for word in marks:
-        may = may | low.contains(word)
+    may = F.exists(F.array(low), lambda t: reduce(Column.__or__, [t.contains(word) for word in marks], F.lit(False)))  # in an array, so that the text is lower-cased once
     known = templates_table(spark, templates, width)
     mine = known.select("license", "k", F.size("words").alias("n"), "shingles", F.posexplode(_bands(F.col("shingles"), bands, rows)).alias("band", "value"))
     least_of = lambda j: F.min_by("s", F.xxhash64("s", j))
@@ -106,15 +111,22 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, width: int =
     mine = mine.join(marked, ["license", "band"]).collect()  # one row per template and band
     table = spark.createDataFrame(mine, "license string, band int, k int, n int, shingles array<long>, value long, hash long")
     texts = docs.where(may).select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.regexp_extract_all(low, F.lit(WORD), 0).alias("words"))
-    hits = None
-    for k in sorted({r["k"] for r in mine}):
+    texts = texts.select("doc_id", "text_hash", F.size("words").alias("size"), _hashed("words").alias("words"))
+
+    def hits_of(k: int) -> Column:
+        """Places of shingles of k words in which a template is least, each with the shingles around it."""
         wanted, reach = sorted({r["hash"] for r in mine if r["k"] == k}), 2 * max(r["n"] for r in mine if r["k"] == k)
-        hashed = texts.select("doc_id", "text_hash", F.size("words").alias("size"), _shingles(F.col("words"), F.lit(k)).alias("hashes"))
-        at = F.filter(F.transform("hashes", lambda h, i: F.when(h.isin(wanted), i)), lambda i: i.isNotNull())
-        from_ = lambda i: F.greatest(i - reach, F.lit(0))
-        around = F.transform(at, lambda i: F.struct(i.alias("i"), F.get("hashes", i).alias("hash"), from_(i).alias("base"), F.slice("hashes", from_(i) + 1, F.lit(2 * reach + 1)).alias("part")))  # noqa: B023
-        some = hashed.select("doc_id", "text_hash", "size", F.lit(k).alias("k"), F.explode_outer(around).alias("h")).where("h is not null").select("doc_id", "text_hash", "size", "k", "h.*")
-        hits = some if hits is None else hits.unionByName(some)
+
+        def around(i: Column) -> Column:
+            base = F.greatest(i - reach, F.lit(0))
+            return F.struct(F.lit(k).alias("k"), i.alias("i"), F.get(f"s{k}", i).alias("hash"), base.alias("base"), F.slice(f"s{k}", base + 1, F.lit(2 * reach + 1)).alias("part"))
+
+        at = F.filter(F.transform(f"s{k}", lambda h, i: F.when(h.isin(wanted), i)), lambda i: i.isNotNull())
+        return F.transform(at, around)
+
+    lengths = sorted({r["k"] for r in mine})
+    hashed = texts.select("doc_id", "text_hash", "size", *[_shingles(F.col("words"), k).alias(f"s{k}") for k in lengths])
+    hits = hashed.select("doc_id", "text_hash", "size", F.explode_outer(F.concat(*map(hits_of, lengths))).alias("h")).where("h is not null").select("doc_id", "text_hash", "size", "h.*")
     met = hits.join(F.broadcast(table), ["k", "hash"])
     first, last = F.greatest(F.col("i") - F.col("n") + F.col("k"), F.lit(0)), F.least(F.col("i"), F.greatest(F.col("size") - F.col("n"), F.lit(0)))
     met = met.where(first <= last).withColumn("start", F.explode(F.sequence(first, last)))
