@@ -2,14 +2,17 @@
 
 A page is one row. Its grid (columns of a bracket, cells of a matrix) becomes an array of structs
 by splitting the text; neighbours, next columns and mirrored cells are looked up in that array,
-so nothing is joined or shuffled before the bouts of different pages meet.
+so nothing is joined or shuffled before the bouts of different pages meet. Each piece of a page is
+read once: a value that is used twice is held as an element of an array, and what is parsed is exploded
+with ``explode_outer``, as a filter (also one that Spark infers from ``explode``) would otherwise be moved below and parse again.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
@@ -21,6 +24,16 @@ TABS = (128, 64, 32, 16, 8)
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
 
 
+def _held(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _number(text: Column, pattern: str, group: int = 1) -> Column:
+    """The first number that a pattern's group finds; null without one (an empty text would go through the cast as an exception, which costs more than all else on a page)."""
+    return F.get(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.lit(0)).try_cast("int")
+
+
 def text_of(html: Column) -> Column:
     """Text of a piece of HTML: no tags, characters decoded, one space for white space, trimmed."""
     plain = F.regexp_replace(html, "<[^>]*>", " ")
@@ -28,20 +41,29 @@ def text_of(html: Column) -> Column:
     return F.trim(F.regexp_replace(F.when(F.contains(html, F.lit("&")), decoded).otherwise(plain), r"\s+", " "))
 
 
+def _element(tag: str) -> Column:
+    """Pattern of an element up to the first end of its tag, with the inside as group 1; runs without ``<`` are skipped at once, nothing is tried twice."""
+    return F.lit(rf"(?i)<{tag}\b[^>]*>([^<]*+(?:<(?!/{tag}>)[^<]*+)*+)</{tag}>")
+
+
 def _named(html: Column, name: str) -> Column:
     """Text of the first element of a class, up to the first end of a tag; null where there is none or nothing in it."""
     found = F.regexp_extract(html, rf"""(?is)\bclass\s*=\s*["'][^"']*\b{name}\b[^"']*["'][^>]*>(.*?)</""", 1)
-    return F.nullif(text_of(found), F.lit(""))
+    return _held(_held(found, text_of), lambda t: F.when(t != "", t))
+
+
+def _opened(html: Column, opening: str) -> Column:
+    """The page from each opening tag to the next one. The pattern is asked at the ``<`` of a tag only, which is split off and put back."""
+    return F.transform(F.slice(F.split(html, f"(?is)<(?={opening})"), 2, 1_000_000_000), lambda p: F.concat(F.lit("<"), p))
 
 
 def _pieces(html: Column, tag: str, name: str) -> Column:
     """The page from each opening tag of a class to the next one."""
-    opening = rf"""<{tag}\b[^>]*\bclass\s*=\s*["'][^"']*\b{name}\b"""
-    return F.filter(F.split(html, f"(?is)(?={opening})"), lambda p: p.rlike(f"(?is)^{opening}"))
+    return _opened(html, rf"""{tag}\b[^>]*\bclass\s*=\s*["'][^"']*\b{name}\b""")
 
 
-def bracket_columns(html: Column) -> Column:
-    """array<struct<col, entries: array<struct<seed, name, aff, won, lost>>>>: the columns of a bracket's page, from the left.
+def bracket_columns(html: Column, only: int | None = None) -> Column:
+    """array<struct<col, entries: array<struct<seed, name, aff, won, lost>>>>: the columns of a bracket's page, from the left; those numbered ``only``, if given.
 
     An entry's ``aff`` is its team, or the score ``15 : 10`` of the bout that brought it into the column.
     """
@@ -50,15 +72,15 @@ def bracket_columns(html: Column) -> Column:
         return F.struct(_named(box, "num").alias("num"), _named(box, "user_name").alias("name"), _named(box, "user_aff").alias("aff"))
 
     def read(e: Column) -> Column:
-        score = lambda i: F.regexp_extract(e["aff"], r"(\d+)\s*:\s*(\d+)", i).try_cast("int")
-        seed = F.regexp_extract(e["num"], r"^\s*(\d+)", 1).try_cast("int")
+        score = lambda i: _number(e["aff"], r"(\d+)\s*:\s*(\d+)", i)
+        seed = _number(e["num"], r"^\s*(\d+)")
         return F.struct(F.coalesce(seed, F.lit(0)).alias("seed"), e["name"].alias("name"), e["aff"].alias("aff"), score(1).alias("won"), score(2).alias("lost"))
 
-    def column(piece: Column) -> Column:
-        entries = F.transform(F.transform(_pieces(piece, "tr", "user_box"), entry), read)
-        return F.struct(F.regexp_extract(piece, r"\brow0*(\d+)\b", 1).try_cast("int").alias("col"), entries.alias("entries"))
+    def numbered(piece: Column) -> Column:
+        return F.struct(_number(piece, r"\brow0*(\d+)\b").alias("col"), piece.alias("piece"))
 
-    return F.filter(F.transform(_pieces(html, "td", "row_table"), column), lambda c: c["col"].isNotNull())
+    wanted = F.filter(F.transform(_pieces(html, "td", "row_table"), numbered), lambda c: c["col"].isNotNull() if only is None else c["col"] == only)
+    return F.transform(wanted, lambda c: F.struct(c["col"].alias("col"), F.transform(F.transform(_pieces(c["piece"], "tr", "user_box"), entry), read).alias("entries")))
 
 
 def needed_pages(pages: DataFrame, keys: list[str], tab: str = "tab", html: str = "html") -> DataFrame:
@@ -66,15 +88,14 @@ def needed_pages(pages: DataFrame, keys: list[str], tab: str = "tab", html: str
 
     The bracket starts in the greatest tab that has entries in its first column, and its size is their
     number, else two to the power that the page names (``firstGrpSize``), else 8. It
-    needs the tab of 8 and every smaller tab than its size. Only entry marks are counted here, on text.
+    needs the tab of 8 and every smaller tab than its size. Only entry marks are counted here, on text, and once for each page.
     """
     first = F.get(F.filter(_pieces(F.col(html), "td", "row_table"), lambda p: p.rlike(r"(?i)^<td\b[^>]*\brow0*1\b")), F.lit(0))
     entries = F.size(_pieces(F.coalesce(first, F.lit("")), "tr", "user_box"))
-    power = F.regexp_extract(html, r"""(?i)<input\b[^>]*\bname\s*=\s*["']?firstGrpSize\b[^>]*\bvalue\s*=\s*["']?(\d+)""", 1).try_cast("int")
-    size = F.when(entries > 0, entries).when(power > 0, F.pow(F.lit(2), power).cast("int"))
-    sizes = pages.select(*keys, tab, size.alias("size")).groupBy(*keys).agg(F.coalesce(F.max_by("size", F.when(F.col("size").isNotNull(), F.col(tab))), F.lit(8)).alias("size"))
-    same = reduce(Column.__and__, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys])
-    met = pages.alias("a").join(sizes.alias("b"), same).select("a.*", "b.size")
+    power = _number(F.col(html), r"""(?i)<input\b[^>]*\bname\s*=\s*["']?firstGrpSize\b[^>]*\bvalue\s*=\s*["']?(\d+)""")
+    size = _held(entries, lambda n: F.when(n > 0, n).when(power > 0, F.pow(F.lit(2), power).cast("int")))
+    greatest = F.max_by("size", F.when(F.col("size").isNotNull(), F.col(tab))).over(Window.partitionBy(*keys))  # the tabs of one bracket
+    met = pages.withColumn("size", size).withColumn("size", F.coalesce(greatest, F.lit(8)))
     return met.where((F.col(tab) == 8) | (F.col(tab).isin(*TABS) & (F.col(tab) <= F.col("size"))))
 
 
@@ -124,29 +145,29 @@ def page_bouts(pages: DataFrame, keys: list[str], tab: str = "tab", html: str =
 def seeding(pages: DataFrame, keys: list[str], tab: str = "tab", html: str = "html") -> DataFrame:
     """keys, seed, name, team, is_bye: the first column of the greatest tab needed; entries without a number go."""
     need = needed_pages(pages, keys, tab, html)
-    rows = need.select(*keys, F.col(tab).alias("tab"), F.explode(F.get(F.filter(bracket_columns(F.col(html)), lambda c: c["col"] == 1), F.lit(0))["entries"]).alias("e"))
-    rows = rows.where("e.seed > 0").groupBy(*keys, "tab").agg(F.collect_list("e").alias("e"))  # the entries of one page
+    entries = F.filter(F.get(bracket_columns(F.col(html), 1), F.lit(0))["entries"], lambda e: e["seed"] > 0)
+    rows = need.select(*keys, F.col(tab).alias("tab"), F.explode_outer(F.array(entries)).alias("e")).where(F.size("e") > 0).groupBy(*keys, "tab").agg(F.flatten(F.collect_list("e")).alias("e"))  # the entries of one page
     top = rows.groupBy(*keys).agg(F.max_by("e", "tab").alias("e")).select(*keys, F.explode("e").alias("e"))
     return top.select(*keys, "e.seed", "e.name", F.when(~F.contains("e.aff", F.lit(":")), F.col("e.aff")).alias("team"), F.col("e.name").isNull().alias("is_bye"))
 
 
 def champions(pages: DataFrame, keys: list[str], tab: str = "tab", html: str = "html") -> DataFrame:
     """keys, seed, name: the first entry of the fourth column of the tab of 8."""
-    entry = F.get(F.get(F.filter(bracket_columns(F.col(html)), lambda c: c["col"] == 4), F.lit(0))["entries"], F.lit(0))
-    return pages.where(F.col(tab) == 8).select(*keys, entry.alias("e")).where("e.name is not null").select(*keys, "e.seed", "e.name")
+    entry = F.slice(F.get(bracket_columns(F.col(html), 4), F.lit(0))["entries"], 1, 1)
+    return pages.where(F.col(tab) == 8).select(*keys, F.explode_outer(entry).alias("e")).where("e.name is not null").select(*keys, "e.seed", "e.name")
 
 
 def _tables(html: Column) -> Column:
-    return F.regexp_extract_all(html, F.lit(r"(?is)<table\b[^>]*>(.*?)</table>"), F.lit(1))
+    return F.regexp_extract_all(html, _element("table"), F.lit(1))
 
 
 def _cells(row: Column, tag: str = "td") -> Column:
-    return F.transform(F.regexp_extract_all(row, F.lit(rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>"), F.lit(1)), text_of)
+    return F.transform(F.regexp_extract_all(row, _element(tag), F.lit(1)), text_of)
 
 
 def _rows(table: Column) -> Column:
     """Cells of each row that has any."""
-    return F.filter(F.transform(F.regexp_extract_all(table, F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1)), lambda r: _cells(r)), lambda r: F.size(r) > 0)
+    return F.filter(F.transform(F.regexp_extract_all(table, _element("tr"), F.lit(1)), lambda r: _cells(r)), lambda r: F.size(r) > 0)
 
 
 def pool_matrices(pages: DataFrame, keys: list[str], html: str = "html", least_cells: int = 10) -> DataFrame:
@@ -157,46 +178,57 @@ def pool_matrices(pages: DataFrame, keys: list[str], html: str = "html", least_c
     cells losses by their number. The cell of one's own position is null, whatever stands there. Rows of fewer than
     ``least_cells`` cells, without a name, or named by digits alone, go.
     """
-    block = F.explode(F.split(html, r"(?i)(?=<ul\b)"))
-    rows = pages.select(*keys, block.alias("block")).select(*keys, "block", F.regexp_extract("block", r"(?is)^<ul\b[^>]*>(.*?)</ul>", 1).alias("head"), F.get(_tables(F.col("block")), F.lit(0)).alias("table"))
-    items = F.transform(F.regexp_extract_all("head", F.lit(r"(?is)<li\b[^>]*>(.*?)</li>"), F.lit(1)), text_of)
-    rows = rows.withColumn("items", items)
-    number = F.regexp_extract(F.coalesce(F.get("items", F.lit(0)), F.lit("")), rf"{POOL}\s*(\d+)", 1).try_cast("int")
-    heads = _cells(F.col("table"), "th")
-    rows = rows.withColumn("pool_number", number).where(F.col("pool_number").isNotNull() & F.col("table").isNotNull()).withColumn("heads", heads)
-    rows = rows.where(F.array_contains("heads", NAME) & F.array_contains("heads", RATE))
-    opponents = F.size(F.filter("heads", lambda h: h.rlike(r"^\d+$")))
-
-    def told(mark: str) -> Column:
-        item = F.element_at(F.filter("items", lambda i: F.contains(i, F.lit(mark))), -1)
-        return F.when(F.exists("items", lambda i: F.contains(i, F.lit(mark))), F.trim(F.regexp_replace(item, rf"{mark}\s*", ""))).otherwise("")
+    blocks = F.transform(_opened(F.col(html), r"ul\b"), lambda b: F.struct(F.regexp_extract(b, r"(?is)^<ul\b[^>]*>(.*?)</ul>", 1).alias("head"), F.get(_tables(b), F.lit(0)).alias("table")))
+    blocks = F.filter(blocks, lambda b: b["table"].isNotNull() & F.contains(b["head"], F.lit(POOL)))
+
+    def named(b: Column) -> Column:
+        items = F.transform(F.regexp_extract_all(b["head"], _element("li"), F.lit(1)), text_of)
+        return F.struct(items.alias("items"), _cells(b["table"], "th").alias("heads"), b["table"].alias("table"))
+
+    def numbered(b: Column) -> Column:
+        number = _number(F.get(b["items"], F.lit(0)), rf"{POOL}\s*(\d+)")
+        opponents = F.size(F.filter(b["heads"], lambda h: h.rlike(r"^\d+$")))
+        return F.struct(number.alias("number"), opponents.alias("opponents"), b["items"].alias("items"), b["table"].alias("table"))
+
+    def told(items: Column, mark: str) -> Column:
+        item = F.element_at(F.filter(items, lambda i: F.contains(i, F.lit(mark))), -1)
+        return F.when(F.exists(items, lambda i: F.contains(i, F.lit(mark))), F.trim(F.regexp_replace(item, rf"{mark}\s*", ""))).otherwise("")
 
     def whole(c: Column) -> Column:
-        return F.coalesce(F.regexp_extract(c, r"^(-?\d+)", 1).try_cast("int"), F.lit(0))
+        return F.coalesce(_number(c, r"^(-?\d+)"), F.lit(0))
+
+    def placed(r: Column, at: Column) -> Column:
+        own = _number(r[0], r"^(\d+)")
+        return F.struct(r.alias("r"), F.when(own > 0, own).otherwise(at + 1).alias("position"), F.split(F.get(r, F.size(r) - 4), "/").alias("rate"))
 
-    def result(cells: Column, at: Column) -> Column:
-        own = F.regexp_extract(cells[0], r"^(\d+)", 1).try_cast("int")
-        position = F.when(own > 0, own).otherwise(at + 1)
+    def result(s: Column, opponents: Column) -> Column:
+        cells, position, rate = s["r"], s["position"], s["rate"]
         n = F.size(cells)
 
-        def cell(i: Column) -> Column:
-            c = F.coalesce(F.get(cells, i + 3), F.lit(""))
-            won = F.upper(c).startswith("V")
-            touches = F.regexp_extract(c, r"^[Vv](\d+)", 1).try_cast("int")
+        def cell(c: Column, i: Column) -> Column:
+            won = F.substring(c, 1, 1).isin("V", "v")  # not upper(): it took most of the time of a page
+            touches = _number(c, r"^[Vv](\d+)")
             score = F.when(won, F.when(touches > 0, touches).otherwise(5)).otherwise(whole(c))
             return F.when(i != position - 1, F.struct(F.when(won, "V").otherwise("L").alias("type"), score.alias("score")))
 
-        rate = F.split(F.get(cells, n - 4), "/")
         wins, total = whole(F.get(rate, F.lit(0))), whole(F.coalesce(F.get(rate, F.lit(1)), F.lit("")))
-        scores = F.transform(F.sequence(F.lit(0), F.greatest(opponents, F.lit(1)) - 1), cell)
+        shown = F.transform(F.sequence(F.lit(0), F.greatest(opponents, F.lit(1)) - 1), lambda i: F.coalesce(F.get(cells, i + 3), F.lit("")))
+        scores = F.transform(shown, cell)
         return F.struct(
             position.alias("position"), cells[1].alias("name"), cells[2].alias("team"), F.when(opponents > 0, scores).otherwise(F.slice(scores, 1, 0)).alias("scores"), wins.alias("wins"), (total - wins).alias("losses"),
             whole(F.get(cells, n - 3)).alias("indicator"), whole(F.get(cells, n - 2)).alias("touches"), whole(F.get(cells, n - 1)).alias("rank"),
         )
 
-    rows = rows.withColumn("cells", _rows(F.col("table")))
-    fit = F.filter(F.transform("cells", lambda r, i: F.struct(r.alias("r"), i.alias("i"))), lambda s: (F.size(s["r"]) >= least_cells) & (s["r"][1] != "") & ~s["r"][1].rlike(r"^\d+$"))
-    return rows.select(*keys, "pool_number", told(PISTE).alias("piste"), told(TIME).alias("time"), told(REFEREE).alias("referee"), F.transform(fit, lambda s: result(s["r"], s["i"])).alias("results"))
+    def pool(b: Column) -> Column:
+        fit = F.filter(F.transform(_rows(b["table"]), placed), lambda s: (F.size(s["r"]) >= least_cells) & (s["r"][1] != "") & ~s["r"][1].rlike(r"^\d+$"))
+        return F.struct(
+            b["number"].alias("pool_number"), told(b["items"], PISTE).alias("piste"), told(b["items"], TIME).alias("time"), told(b["items"], REFEREE).alias("referee"),
+            F.transform(fit, lambda s: result(s, b["opponents"])).alias("results"),
+        )
+
+    tabled = F.filter(F.transform(blocks, named), lambda b: F.array_contains(b["heads"], NAME) & F.array_contains(b["heads"], RATE))
+    pools = F.transform(F.filter(F.transform(tabled, numbered), lambda b: b["number"].isNotNull()), pool)
+    return pages.select(*keys, F.explode_outer(pools).alias("__p")).where("__p is not null").select(*keys, "__p.*")
 
 
 def matrix_bouts(pools: DataFrame, keys: list[str], results: str = "results") -> DataFrame:
@@ -215,7 +247,7 @@ def ranking_rows(pages: DataFrame, keys: list[str], html: str = "html", popup: s
     ``3위`` is rank 3; rows of fewer than three cells, without a rank above 0 or without a name go.
     """
     part = F.col(html) if popup is None else F.regexp_extract(html, rf"""(?is)\bid\s*=\s*["']{popup}["'](.*)$""", 1)
-    rank = lambda r: F.regexp_extract(F.replace(r[0], F.lit(PLACE), F.lit("")), r"^(\d+)", 1).try_cast("int")
+    rank = lambda r: _number(F.replace(r[0], F.lit(PLACE), F.lit("")), r"^(\d+)", 1)
     ranked = lambda t: F.filter(F.transform(F.filter(_rows(t), lambda r: F.size(r) >= 3), lambda r: F.struct(rank(r).alias("rank"), r[1].alias("name"), r[2].alias("team"))), lambda s: (s["rank"] > 0) & (s["name"] != ""))
     found = F.get(F.filter(F.transform(_tables(part), ranked), lambda t: F.size(t) > 0), F.lit(0))
     return pages.select(*keys, F.explode(found).alias("r")).select(*keys, "r.*")

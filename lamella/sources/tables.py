@@ -101,6 +101,15 @@ def written(rows: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(path)
 
 
+def spread(rows: DataFrame, *by: str, each: int = 200_000) -> DataFrame:
+    """``rows`` dealt out by ``by`` over all cores, in tasks of about ``each`` rows: a larger table gets more of them, no larger ones.
+
+    The rows are counted when this is called; of a Parquet table that reads the footers only.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(max(cores, -(-rows.count() // each)), *by)
+
+
 def numbered(rows: DataFrame, by: list[str], order: list[str | Column], name: str) -> DataFrame:
     """``rows`` and ``name``: their number, from 1, among the rows of equal ``by`` (nulls are equal) in ``order``.
 

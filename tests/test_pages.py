@@ -109,3 +109,14 @@ def test_meetings_follow_the_evidence(spark, tmp_path):
     assert got["full", "tree", "B", "D"] == (True, 15, 7, "준결승") and got["full", "pool", "A", "B"] == (True, 5, 3, "Pool")
     records = {(r.name, r.opponent): (r.wins, r.losses, r.win_rate, r.last.date, r.last.is_win) for r in bouts.head_to_head_records(met, "event_cd").collect()}
     assert records["A", "B"] == (2, 0, 100.0, "full", True) and records["C", "A"] == (1, 0, 100.0, "map", True) and records["A", "C"][1] == 1
+
+
+def test_pages_are_parsed_once(spark):
+    """A filter moved below an explode would parse the page again."""
+    pages = spark.createDataFrame([(1, 8, "<p></p>")], "event int, tab int, html string")
+    pool = result_pages.pool_matrices(pages, ["event"])._jdf.queryExecution().optimizedPlan().toString()
+    assert pool.count("뿔\\s*") == 1
+    best = result_pages.champions(pages, ["event"])._jdf.queryExecution().optimizedPlan().toString()
+    assert best.count("user_box") == 1
+    need = result_pages.needed_pages(pages, ["event"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in need
