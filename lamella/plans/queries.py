@@ -457,7 +457,7 @@ def merge_people(t):
 
 @_query("SELECT l_orderkey, l_linenumber, l_partkey, count(*) AS n FROM lineitem GROUP BY 1, 2, 3")
 def nested_roundtrip(t):
-    lines = t("lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_linenumber", "l_partkey")).alias("lines"))
+    lines = T.spread(t("lineitem"), "l_orderkey").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_linenumber", "l_partkey")).alias("lines"))
     kept = lines.select("l_orderkey", F.inline("lines"))
     return kept.groupBy("l_orderkey", "l_linenumber", "l_partkey").agg(F.count(F.lit(1)).alias("n"))
 

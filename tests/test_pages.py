@@ -120,3 +120,9 @@ def test_pages_are_parsed_once(spark):
     assert best.count("user_box") == 1
     need = result_pages.needed_pages(pages, ["event"])._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in need
+
+
+def test_tasks_do_not_grow_with_the_table(spark):
+    rows = spark.range(4000).withColumn("k", F.col("id") % 100)
+    parts = tables.spread(rows, "k", each=100)
+    assert parts.rdd.getNumPartitions() == 40 and parts.count() == 4000
