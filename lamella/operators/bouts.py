@@ -100,8 +100,9 @@ def _by_round(rounds: Column) -> Column:
 def _entry_scores(c: Column, part: int) -> Column:
     """Winner's (1) or loser's (2) score of text: an object, ``15-12`` or the winner's alone."""
     name = ("$.winner_score", "$.loser_score")[part - 1]
-    alone = F.when(F.lit(part == 1), F.regexp_extract(c, r"^([0-9]+)(\.[0-9]+)?$", 1))
-    pair = F.regexp_extract(c, r"^([0-9]+)\s*[-:]\s*([0-9]+)", part)
+    found = lambda pattern, group: F.get(F.regexp_extract_all(c, F.lit(pattern), F.lit(group)), F.lit(0))  # noqa: E731  # null, not empty: a cast of an empty text costs an exception
+    alone = F.when(F.lit(part == 1), found(r"^([0-9]+)(\.[0-9]+)?$", 1))
+    pair = found(r"^([0-9]+)\s*[-:]\s*([0-9]+)", part)
     return F.coalesce(F.get_json_object(c, name).try_cast("int"), pair.try_cast("int"), alone.try_cast("int"))
 
 
@@ -124,7 +125,7 @@ def _legacy(rounds: Column) -> Column:
         side = lambda s, won: _side(s["name"], s["team"], s["seed"], F.when(won, s["won"]).otherwise(s["lost"]))
         return _bout("rounds", r * 100_000 + n + 1, round_, side(x, first), side(y, second), F.when(first, x["name"]).when(second, y["name"]), y.isNull())
 
-    return F.flatten(F.transform(F.map_entries(rounds), lambda e, r: F.transform(pairs(entries(F.coalesce(e["value"], F.slice(e["value"], 1, 0)))), lambda m, n: one(e["key"], r, m, n))))
+    return F.flatten(F.transform(F.map_entries(rounds), lambda e, r: F.transform(F.flatten(F.transform(F.array(entries(F.coalesce(e["value"], F.slice(e["value"], 1, 0)))), pairs)), lambda m, n: one(e["key"], r, m, n))))
 
 
 def _wins(matches: Column) -> Column:
@@ -192,7 +193,7 @@ def _pool_array(pools: Column, most: int) -> Column:
     """Cells of the pools that ``clean_pools`` leaves, each a bout seen from its row."""
     kept = F.filter(pools, lambda p: (F.size(p["results"]) <= most) & ~F.exists(p["results"], lambda r: F.coalesce(r["name"].rlike("^[0-9]+$"), F.lit(False))))
     named = F.transform(kept, lambda p: F.struct(p["results"].alias("results"), F.array_sort(F.transform(p["results"], lambda r: r["name"])).alias("names"), F.coalesce(p["pool_number"], F.lit(0)).alias("n")))
-    own = F.filter(named, lambda p, i: ~F.exists(F.slice(named, 1, i), lambda q: q["names"] == p["names"]))
+    own = F.flatten(F.transform(F.array(named), lambda a: F.filter(a, lambda p, i: ~F.exists(F.slice(a, 1, i), lambda q: q["names"] == p["names"]))))
 
     def cell(p: Column, me: Column, i: Column, c: Column, j: Column) -> Column:
         other = F.get(p["results"], j)

@@ -122,6 +122,12 @@ def test_pages_are_parsed_once(spark):
     assert "Join" not in need
 
 
+def test_entries_of_a_table_are_sorted_once(spark):
+    events = spark.createDataFrame([], "event_cd string, " + tables.EVENT[len("struct<event_cd:string,"):-1]).select("event_cd", "results_by_round")
+    plan = bouts.bracket_bouts(events, ["event_cd"])._jdf.queryExecution().analyzed().toString()
+    assert plan.count("array_sort(filter(") == 1
+
+
 def test_tasks_do_not_grow_with_the_table(spark):
     rows = spark.range(4000).withColumn("k", F.col("id") % 100)
     parts = tables.spread(rows, "k", each=100)
