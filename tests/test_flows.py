@@ -121,6 +121,19 @@ def test_names_within_names_equal_all_pairs(spark):
     assert {tuple(r) for r in rows} == want and len(rows) == len(want)
 
 
+def test_copies_of_names_meet_as_classes(spark):
+    """Keys with the same names are compared once and written out in blocks; no pairs of keys are deduplicated, no names broadcast."""
+    left = [(i, "ab") for i in range(600)] + [(5, "abc"), (5, "ab"), (None, "b"), (700, "")]
+    right = [(i, "xabc") for i in range(50)] + [(0, "b"), (50, "c"), (51, None)]
+    got = relations.containing_pairs(spark.createDataFrame(left, "l long, a string"), "l", "a", spark.createDataFrame(right, "r long, b string"), "r", "b")
+    want = {(i, j) for i, a in left for j, b in right if a and b and (a in b or b in a)}
+    rows = got.collect()
+    assert {tuple(r) for r in rows} == want and len(rows) == len(want) > 30_000
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Project") or plan.startswith("Generate")
+    assert plan.count("strategy=broadcast") == 2 and plan.count("strategy=merge") == 8  # the sizes of large classes only
+
+
 def test_merging_under_bars_equals_one_pass_in_order(spark):
     rnd = random.Random(6)
     nodes = [f"n{i:02d}" for i in range(60)]
