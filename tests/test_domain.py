@@ -373,3 +373,15 @@ def test_numbers_over_ranges(spark):
             assert tables.numbered(rows.limit(0), by, order, "n").count() == 0
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_pairs_are_counted_in_tasks_that_do_not_grow(spark):
+    rows = spark.range(4000).select((F.col("id") % 500).alias("g"), (F.col("id") % 7).alias("n"))
+    got = relations.cooccurring(rows, ["g"], "n", each=100)
+    names = {}
+    for g, n in rows.collect():
+        names.setdefault(g, set()).add(n)
+    want = {(a, b): sum({a, b} <= s for s in names.values()) for a in range(7) for b in range(a + 1, 7)}
+    assert {(r["first"], r["second"]): r.together for r in got.collect()} == {k: v for k, v in want.items() if v}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 3 and plan.count(", 40") >= 3  # groups of both sides, and pairs
