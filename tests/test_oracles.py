@@ -25,3 +25,8 @@ def test_query_equals_sql(spark, con, name):
 def test_every_query_runs(spark):
     for name in sorted(set(QUERIES) - set(ORACLE_SQL)):
         assert QUERIES[name](spark, SF).count() > 0
+
+
+def test_customers_are_counted_without_a_distinct_count(spark):
+    plan = QUERIES["weapon_stats"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "distinct" not in plan and "Expand" not in plan and plan.count("RepartitionByExpression") == 3 and plan.count("strategy=merge") == 2
