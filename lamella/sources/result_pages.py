@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
+from . import page_parts
 
 #: Marks of the pages' own language, fixed values.
 POOL, PISTE, TIME, REFEREE, NAME, RATE, PLACE = "뿔", "삐스트", "시간", "심판", "이름", "승률", "위"
@@ -31,7 +32,7 @@ def _held(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def _number(text: Column, pattern: str, group: int = 1) -> Column:
     """The first number that a pattern's group finds; null without one (an empty text would go through the cast as an exception, which costs more than all else on a page)."""
-    return F.get(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.lit(0)).try_cast("int")
+    return _held(F.regexp_extract(text, pattern, group), lambda t: F.when(t != "", t.try_cast("int")))
 
 
 def text_of(html: Column) -> Column:
@@ -170,6 +171,47 @@ def _rows(table: Column) -> Column:
     return F.filter(F.transform(F.regexp_extract_all(table, _element("tr"), F.lit(1)), lambda r: _cells(r)), lambda r: F.size(r) > 0)
 
 
+def _pools(pages: DataFrame, keys: list[str], html: str, least_cells: int, matrix: bool) -> DataFrame:
+    """keys, p (number, opponents, items, rows): the pools of each page."""
+
+    def numbered(b: Column) -> Column:
+        number = _number(F.get(b["items"], F.lit(0)), rf"{POOL}\s*(\d+)")
+        return F.struct(number.alias("number"), F.size(F.filter(b["heads"], lambda h: h.rlike(r"^\d+$"))).alias("opponents"), b["items"].alias("items"), b["rows"].alias("rows"))
+
+    blocks = page_parts.list_tables(F.col(html), POOL, ENTITIES, least_cells, matrix)
+    tabled = F.filter(blocks, lambda b: F.array_contains(b["heads"], NAME) & F.array_contains(b["heads"], RATE))
+    pools = F.filter(F.transform(tabled, numbered), lambda b: b["number"].isNotNull())
+    return pages.select(*keys, F.explode_outer(pools).alias("p")).where("p is not null")
+
+
+def _fits(cells: Column) -> Column:
+    name = F.get(cells, F.lit(1))["text"]
+    return (F.size(cells) > 0) & (name != "") & ~name.rlike(r"^\d+$")
+
+
+def _position(cells: Column, at: Column) -> Column:
+    own = F.get(cells, F.lit(0))["number"]
+    return F.when(own > 0, own).otherwise(at + 1)
+
+
+def _told(cells: Column) -> list[Column]:
+    """wins, losses, indicator, touches and rank, from the last four cells of a row."""
+    last = lambda i: F.get(cells, F.size(cells) - i)
+    whole = lambda i: F.coalesce(last(i)["number"], F.lit(0))
+    total = F.coalesce(_number(last(4)["text"], r"^[^/]*/(-?\d+)"), F.lit(0))
+    return [whole(4).alias("wins"), (total - whole(4)).alias("losses"), whole(3).alias("indicator"), whole(2).alias("touches"), whole(1).alias("rank")]
+
+
+def pool_results(pages: DataFrame, keys: list[str], html: str = "html", least_cells: int = 10) -> DataFrame:
+    """keys, pool_number, position, name, team, wins, losses, indicator, touches, rank: a row for each result of ``pool_matrices``.
+
+    The cells of the matrix, whose number is the square of the rows', aren't told.
+    """
+    rows = _pools(pages, keys, html, least_cells, False).select(*keys, F.col("p.number").alias("pool_number"), F.posexplode_outer("p.rows").alias("at", "r")).where(_fits(F.col("r")))
+    r = F.col("r")
+    return rows.select(*keys, "pool_number", _position(r, F.col("at")).alias("position"), r[1]["text"].alias("name"), r[2]["text"].alias("team"), *_told(r))
+
+
 def pool_matrices(pages: DataFrame, keys: list[str], html: str = "html", least_cells: int = 10) -> DataFrame:
     """keys, pool_number, piste, time, referee, results (position, name, team, scores, wins, losses, indicator, touches, rank) of each pool.
 
@@ -178,57 +220,29 @@ def pool_matrices(pages: DataFrame, keys: list[str], html: str = "html", least_c
     cells losses by their number. The cell of one's own position is null, whatever stands there. Rows of fewer than
     ``least_cells`` cells, without a name, or named by digits alone, go.
     """
-    blocks = F.transform(_opened(F.col(html), r"ul\b"), lambda b: F.struct(F.regexp_extract(b, r"(?is)^<ul\b[^>]*>(.*?)</ul>", 1).alias("head"), F.get(_tables(b), F.lit(0)).alias("table")))
-    blocks = F.filter(blocks, lambda b: b["table"].isNotNull() & F.contains(b["head"], F.lit(POOL)))
 
-    def named(b: Column) -> Column:
-        items = F.transform(F.regexp_extract_all(b["head"], _element("li"), F.lit(1)), text_of)
-        return F.struct(items.alias("items"), _cells(b["table"], "th").alias("heads"), b["table"].alias("table"))
+    def told(mark: str) -> Column:
+        item = F.element_at(F.filter("p.items", lambda i: F.contains(i, F.lit(mark))), -1)
+        return F.when(F.exists("p.items", lambda i: F.contains(i, F.lit(mark))), F.trim(F.regexp_replace(item, rf"{mark}\s*", ""))).otherwise("")
 
-    def numbered(b: Column) -> Column:
-        number = _number(F.get(b["items"], F.lit(0)), rf"{POOL}\s*(\d+)")
-        opponents = F.size(F.filter(b["heads"], lambda h: h.rlike(r"^\d+$")))
-        return F.struct(number.alias("number"), opponents.alias("opponents"), b["items"].alias("items"), b["table"].alias("table"))
-
-    def told(items: Column, mark: str) -> Column:
-        item = F.element_at(F.filter(items, lambda i: F.contains(i, F.lit(mark))), -1)
-        return F.when(F.exists(items, lambda i: F.contains(i, F.lit(mark))), F.trim(F.regexp_replace(item, rf"{mark}\s*", ""))).otherwise("")
-
-    def whole(c: Column) -> Column:
-        return F.coalesce(_number(c, r"^(-?\d+)"), F.lit(0))
-
-    def placed(r: Column, at: Column) -> Column:
-        own = _number(r[0], r"^(\d+)")
-        return F.struct(r.alias("r"), F.when(own > 0, own).otherwise(at + 1).alias("position"), F.split(F.get(r, F.size(r) - 4), "/").alias("rate"))
-
-    def result(s: Column, opponents: Column) -> Column:
-        cells, position, rate = s["r"], s["position"], s["rate"]
-        n = F.size(cells)
+    def result(s: Column) -> Column:
+        cells, position = s["r"], s["position"]
 
         def cell(c: Column, i: Column) -> Column:
-            won = F.substring(c, 1, 1).isin("V", "v")  # not upper(): it took most of the time of a page
-            touches = _number(c, r"^[Vv](\d+)")
-            score = F.when(won, F.when(touches > 0, touches).otherwise(5)).otherwise(whole(c))
+            won = F.substring(c["text"], 1, 1).isin("V", "v")  # not upper(): it took most of the time of a page
+            touches = F.when(F.length(c["text"]) > 1, _number(c["text"], r"^[Vv](\d+)"))
+            score = F.when(won, _held(touches, lambda t: F.when(t > 0, t).otherwise(5))).otherwise(F.coalesce(c["number"], F.lit(0)))
             return F.when(i != position - 1, F.struct(F.when(won, "V").otherwise("L").alias("type"), score.alias("score")))
 
-        wins, total = whole(F.get(rate, F.lit(0))), whole(F.coalesce(F.get(rate, F.lit(1)), F.lit("")))
-        shown = F.transform(F.sequence(F.lit(0), F.greatest(opponents, F.lit(1)) - 1), lambda i: F.coalesce(F.get(cells, i + 3), F.lit("")))
+        none = F.struct(F.lit("").alias("text"), F.lit(None).cast("int").alias("number"))
+        shown = F.transform(F.sequence(F.lit(0), F.greatest(F.col("p.opponents"), F.lit(1)) - 1), lambda i: F.coalesce(F.get(cells, i + 3), none))
         scores = F.transform(shown, cell)
-        return F.struct(
-            position.alias("position"), cells[1].alias("name"), cells[2].alias("team"), F.when(opponents > 0, scores).otherwise(F.slice(scores, 1, 0)).alias("scores"), wins.alias("wins"), (total - wins).alias("losses"),
-            whole(F.get(cells, n - 3)).alias("indicator"), whole(F.get(cells, n - 2)).alias("touches"), whole(F.get(cells, n - 1)).alias("rank"),
-        )
-
-    def pool(b: Column) -> Column:
-        fit = F.filter(F.transform(_rows(b["table"]), placed), lambda s: (F.size(s["r"]) >= least_cells) & (s["r"][1] != "") & ~s["r"][1].rlike(r"^\d+$"))
-        return F.struct(
-            b["number"].alias("pool_number"), told(b["items"], PISTE).alias("piste"), told(b["items"], TIME).alias("time"), told(b["items"], REFEREE).alias("referee"),
-            F.transform(fit, lambda s: result(s, b["opponents"])).alias("results"),
-        )
-
-    tabled = F.filter(F.transform(blocks, named), lambda b: F.array_contains(b["heads"], NAME) & F.array_contains(b["heads"], RATE))
-    pools = F.transform(F.filter(F.transform(tabled, numbered), lambda b: b["number"].isNotNull()), pool)
-    return pages.select(*keys, F.explode_outer(pools).alias("__p")).where("__p is not null").select(*keys, "__p.*")
+        return F.struct(position.alias("position"), cells[1]["text"].alias("name"), cells[2]["text"].alias("team"), F.when(F.col("p.opponents") > 0, scores).otherwise(F.slice(scores, 1, 0)).alias("scores"), *_told(cells))
+
+    fit = F.filter(F.transform("p.rows", lambda r, at: F.struct(r.alias("r"), _position(r, at).alias("position"))), lambda s: _fits(s["r"]))
+    pools = _pools(pages, keys, html, least_cells, True)
+    one = F.struct(F.col("p.number").alias("pool_number"), told(PISTE).alias("piste"), told(TIME).alias("time"), told(REFEREE).alias("referee"), F.transform(fit, result).alias("results"))
+    return pools.select(*keys, F.explode_outer(F.array(one)).alias("__p")).select(*keys, "__p.*")
 
 
 def matrix_bouts(pools: DataFrame, keys: list[str], results: str = "results") -> DataFrame:

@@ -59,6 +59,18 @@ def test_pool_pages(spark):
     assert got == {("Kim", "Lee", 4, 3, "Kim"), ("Kim", "Park", 5, 0, "Kim"), ("Lee", "Park", 0, 5, "Park")}
 
 
+def test_pool_results_are_read_without_the_matrix(spark):
+    """The rows of a pool's results, from malformed pages too, with the page read once and outside of higher-order functions."""
+    heads = "".join(f"<th>{c}</th>" for c in ["No", "이름", "소속", 1, 2, 3, "승률", "지수", "득점", "랭킹"])
+    row = "<TR><td>1</TD><td class=x> <b>Kim</b>&nbsp;&amp; a < b</td><td>t</td><td>9</td><td>V</td><td></td><td>{}/{}</td><td>-3</td><td>x</td><td>99999999999</td></TR>"
+    html = f"<UL><li>뿔 4</li></UL><table><tr>{heads}</tr>{row.format(2, 3)}<tr><td>7</td></tr>{row.format('', '')}</table>"
+    pages = spark.createDataFrame([("e", html), ("n", None), ("o", ""), ("u", html.replace("</table>", ""))], "event string, html string")
+    rows = result_pages.pool_results(pages, ["event"])
+    assert [tuple(r) for r in rows.collect()] == [("e", 4, 1, "Kim & a < b", "t", 2, 1, -3, 0, 0), ("e", 4, 1, "Kim & a < b", "t", 0, 0, -3, 0, 0)]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("tables_behind_lists") == 1 and "regexp_extract_all" not in plan and "split(" not in plan
+
+
 def test_rankings_and_winner_cells(spark):
     html = "<table><tr><td>a</td><td>b</td></tr></table><table><tr><td>2위</td><td>Kim</td><td>x</td></tr><tr><td>0</td><td>no</td><td>x</td></tr><tr><td>-</td><td>no</td><td>x</td></tr></table>"
     pages = spark.createDataFrame([("e", html, "<td>1 Kim 서울 15 : 3</td><td>Lee 15:2</td><td>2 Park 1:15</td>"), ("n", None, None)], "event string, html string, cells string")
