@@ -1,7 +1,7 @@
 """Stored result pages: elimination brackets, pools and rankings, read from their HTML without leaving the row.
 
 A page is one row. Its grid (columns of a bracket, cells of a matrix) becomes an array of structs
-by splitting the text; neighbours, next columns and mirrored cells are looked up in that array,
+of texts and numbers (of brackets and pools in ``page_parts``, in Arrow batches); neighbours, next columns and mirrored cells are looked up in that array,
 so nothing is joined or shuffled before the bouts of different pages meet. Each piece of a page is
 read once: a value that is used twice is held as an element of an array, and what is parsed is exploded
 with ``explode_outer``, as a filter (also one that Spark infers from ``explode``) would otherwise be moved below and parse again.
@@ -47,12 +47,6 @@ def _element(tag: str) -> Column:
     return F.lit(rf"(?i)<{tag}\b[^>]*>([^<]*+(?:<(?!/{tag}>)[^<]*+)*+)</{tag}>")
 
 
-def _named(html: Column, name: str) -> Column:
-    """Text of the first element of a class, up to the first end of a tag; null where there is none or nothing in it."""
-    found = F.regexp_extract(html, rf"""(?is)\bclass\s*=\s*["'][^"']*\b{name}\b[^"']*["'][^>]*>(.*?)</""", 1)
-    return _held(_held(found, text_of), lambda t: F.when(t != "", t))
-
-
 def _opened(html: Column, opening: str) -> Column:
     """The page from each opening tag to the next one. The pattern is asked at the ``<`` of a tag only, which is split off and put back."""
     return F.transform(F.slice(F.split(html, f"(?is)<(?={opening})"), 2, 1_000_000_000), lambda p: F.concat(F.lit("<"), p))
@@ -69,19 +63,15 @@ def bracket_columns(html: Column, only: int | None = None) -> Column:
     An entry's ``aff`` is its team, or the score ``15 : 10`` of the bout that brought it into the column.
     """
 
-    def entry(box: Column) -> Column:
-        return F.struct(_named(box, "num").alias("num"), _named(box, "user_name").alias("name"), _named(box, "user_aff").alias("aff"))
+    return F.when(html.isNotNull(), _scored(page_parts.boxed_columns(html, ENTITIES, only)["columns"]))
 
-    def read(e: Column) -> Column:
-        score = lambda i: _number(e["aff"], r"(\d+)\s*:\s*(\d+)", i)
-        seed = _number(e["num"], r"^\s*(\d+)")
-        return F.struct(F.coalesce(seed, F.lit(0)).alias("seed"), e["name"].alias("name"), e["aff"].alias("aff"), score(1).alias("won"), score(2).alias("lost"))
 
-    def numbered(piece: Column) -> Column:
-        return F.struct(_number(piece, r"\brow0*(\d+)\b").alias("col"), piece.alias("piece"))
+def _scored(columns: Column) -> Column:
+    def read(e: Column) -> Column:
+        score = lambda i: F.when(F.contains(e["aff"], F.lit(":")), _number(e["aff"], r"(\d+)\s*:\s*(\d+)", i))
+        return F.struct(e["seed"].alias("seed"), e["name"].alias("name"), e["aff"].alias("aff"), score(1).alias("won"), score(2).alias("lost"))
 
-    wanted = F.filter(F.transform(_pieces(html, "td", "row_table"), numbered), lambda c: c["col"].isNotNull() if only is None else c["col"] == only)
-    return F.transform(wanted, lambda c: F.struct(c["col"].alias("col"), F.transform(F.transform(_pieces(c["piece"], "tr", "user_box"), entry), read).alias("entries")))
+    return F.transform(columns, lambda c: F.struct(c["col"].alias("col"), F.transform(c["entries"], read).alias("entries")))
 
 
 def needed_pages(pages: DataFrame, keys: list[str], tab: str = "tab", html: str = "html") -> DataFrame:
@@ -93,13 +83,27 @@ def needed_pages(pages: DataFrame, keys: list[str], tab: str = "tab", html: str
     """
     first = F.get(F.filter(_pieces(F.col(html), "td", "row_table"), lambda p: p.rlike(r"(?i)^<td\b[^>]*\brow0*1\b")), F.lit(0))
     entries = F.size(_pieces(F.coalesce(first, F.lit("")), "tr", "user_box"))
-    power = _number(F.col(html), r"""(?i)<input\b[^>]*\bname\s*=\s*["']?firstGrpSize\b[^>]*\bvalue\s*=\s*["']?(\d+)""")
-    size = _held(entries, lambda n: F.when(n > 0, n).when(power > 0, F.pow(F.lit(2), power).cast("int")))
+    return _needed(pages.withColumn("size", _held(entries, lambda n: _size(n, F.col(html)))), keys, tab)
+
+
+def _size(entries: Column, html: Column) -> Column:
+    power = _number(html, r"""(?i)<input\b[^>]*\bname\s*=\s*["']?firstGrpSize\b[^>]*\bvalue\s*=\s*["']?(\d+)""")
+    return F.when(entries > 0, entries).otherwise(_held(power, lambda p: F.when(p > 0, F.pow(F.lit(2), p).cast("int"))))
+
+
+def _needed(sized: DataFrame, keys: list[str], tab: str) -> DataFrame:
     greatest = F.max_by("size", F.when(F.col("size").isNotNull(), F.col(tab))).over(Window.partitionBy(*keys))  # the tabs of one bracket
-    met = pages.withColumn("size", size).withColumn("size", F.coalesce(greatest, F.lit(8)))
+    met = sized.withColumn("size", F.coalesce(greatest, F.lit(8)))
     return met.where((F.col(tab) == 8) | (F.col(tab).isin(*TABS) & (F.col(tab) <= F.col("size"))))
 
 
+def _needed_columns(pages: DataFrame, keys: list[str], tab: str, html: str, only: int | None = None) -> DataFrame:
+    """keys, tab, columns: ``bracket_columns`` of the pages needed, without scores. Each page is read once, size and columns together, and only what was read is sorted by bracket, no page."""
+    read = pages.select(*keys, F.col(tab).alias("tab"), F.col(html).alias("__html"), page_parts.boxed_columns(F.col(html), ENTITIES, only).alias("r"))
+    sized = read.select(*keys, "tab", F.explode_outer(F.array(F.struct(_size(F.col("r.first"), F.col("__html")).alias("size"), F.col("r.columns").alias("columns")))).alias("s"))
+    return _needed(sized.select(*keys, "tab", "s.size", "s.columns"), keys, "tab")
+
+
 def _who(entry: Column) -> Column:
     team = F.when(~F.contains(entry["aff"], F.lit(":")), entry["aff"])
     return F.when(entry["name"].isNotNull(), F.struct(entry["seed"].alias("seed"), entry["name"].alias("name"), team.alias("team")))
@@ -119,7 +123,7 @@ def page_bouts(pages: DataFrame, keys: list[str], tab: str = "tab", html: str =
     champion, no bout. Of the same bout in several tabs the one of the smallest tab with a score
     stays, without any score the one of the greatest tab. Pages without a bracket, and null ones, give no rows.
     """
-    grid = needed_pages(pages, keys, tab, html).select(*keys, F.col(tab).alias("tab"), bracket_columns(F.col(html)).alias("columns"))
+    grid = _needed_columns(pages, keys, tab, html).select(*keys, "tab", F.explode_outer(F.array(_scored(F.col("columns")))).alias("columns"))
     cols = grid.select(*keys, "tab", "columns", F.explode_outer("columns").alias("c"))  # outer: an inferred filter would parse twice
     later = F.get(F.filter("columns", lambda d: d["col"] == F.col("c.col") + 1), F.lit(0))["entries"]
     cols = cols.select(*keys, "tab", F.col("c.col").alias("col"), F.col("c.entries").alias("e"), F.coalesce(later, F.expr("slice(c.entries, 1, 0)")).alias("later"))
@@ -145,16 +149,15 @@ def page_bouts(pages: DataFrame, keys: list[str], tab: str = "tab", html: str =
 
 def seeding(pages: DataFrame, keys: list[str], tab: str = "tab", html: str = "html") -> DataFrame:
     """keys, seed, name, team, is_bye: the first column of the greatest tab needed; entries without a number go."""
-    need = needed_pages(pages, keys, tab, html)
-    entries = F.filter(F.get(bracket_columns(F.col(html), 1), F.lit(0))["entries"], lambda e: e["seed"] > 0)
-    rows = need.select(*keys, F.col(tab).alias("tab"), F.explode_outer(F.array(entries)).alias("e")).where(F.size("e") > 0).groupBy(*keys, "tab").agg(F.flatten(F.collect_list("e")).alias("e"))  # the entries of one page
+    entries = F.filter(F.get("columns", F.lit(0))["entries"], lambda e: e["seed"] > 0)
+    rows = _needed_columns(pages, keys, tab, html, 1).select(*keys, "tab", F.explode_outer(F.array(entries)).alias("e")).where(F.size("e") > 0).groupBy(*keys, "tab").agg(F.flatten(F.collect_list("e")).alias("e"))  # the entries of one page
     top = rows.groupBy(*keys).agg(F.max_by("e", "tab").alias("e")).select(*keys, F.explode("e").alias("e"))
     return top.select(*keys, "e.seed", "e.name", F.when(~F.contains("e.aff", F.lit(":")), F.col("e.aff")).alias("team"), F.col("e.name").isNull().alias("is_bye"))
 
 
 def champions(pages: DataFrame, keys: list[str], tab: str = "tab", html: str = "html") -> DataFrame:
     """keys, seed, name: the first entry of the fourth column of the tab of 8."""
-    entry = F.slice(F.get(bracket_columns(F.col(html), 4), F.lit(0))["entries"], 1, 1)
+    entry = F.slice(F.get(page_parts.boxed_columns(F.col(html), ENTITIES, 4)["columns"], F.lit(0))["entries"], 1, 1)
     return pages.where(F.col(tab) == 8).select(*keys, F.explode_outer(entry).alias("e")).where("e.name is not null").select(*keys, "e.seed", "e.name")
 
 

@@ -34,6 +34,18 @@ def test_bracket_pages(spark):
     assert result_pages.page_bouts(pages.limit(0), ["event"]).count() == 0
 
 
+def test_brackets_are_read_once_and_by_no_expression(spark):
+    """Size and columns come from one pass over a page, malformed ones too; no page is sorted with its bracket."""
+    box = "<tr CLASS='a user_box'><td><i class=\"num\">{}</i><b class = 'user_name'>{}</b><b class='user_aff'>{}"
+    html = f"<TD class='row_table row01'>{box.format('3 x', 'K <i>&amp; L</i>', 'red</b>')}{box.format('-2', 'M', 'no end')}<td class='row_table row04'>{box.format(3, 'K', '15 : 2</b>')}{box.format(4, 'N', '</b>')}"
+    pages = spark.createDataFrame([("e", 8, html), ("e", 16, None), ("o", 8, "")], "event string, tab int, html string")
+    seeds, best, met = (f(pages, ["event"]) for f in (result_pages.seeding, result_pages.champions, result_pages.page_bouts))
+    assert [tuple(r) for r in seeds.collect()] == [("e", 3, "K & L", "red", False)] and [tuple(r) for r in best.collect()] == [("e", 3, "K")]
+    assert sorted((r["round_size"], r.match, r.p1.name, r.p2.name, r.p1_score) for r in met.collect()) == [(1, 1, "K", "N", None), (8, 1, "K & L", "M", None)]
+    for plan in (d._jdf.queryExecution().optimizedPlan().toString() for d in (seeds, best, met)):
+        assert plan.count("user_boxes") == 1 and "split(" not in plan
+
+
 def test_the_same_bout_in_two_tabs(spark):
     """With a score the smaller tab counts, without any the greater."""
     big = page([(i, f"p{i}", "t") for i in range(1, 17)], [(i, f"p{2 * i - 1}", "15 : 3") for i in range(1, 9)], [(i, f"p{4 * i - 3}", "15 : 4") for i in range(1, 5)], [])
