@@ -134,6 +134,20 @@ def test_copies_of_names_meet_as_classes(spark):
     assert plan.count("strategy=broadcast") == 2 and plan.count("strategy=merge") == 8  # the sizes of large classes only
 
 
+def test_copies_of_names_shuffle_far_less_than_their_pairs(spark):
+    """2,000 x 1,000 copies: the left keys go over once for each 512 right ones, as plain keys, and no partition of the pairs is merged with others."""
+    key = lambda n, seed: spark.range(n).select(F.xxhash64("id", F.lit(seed)).alias("k"), F.lit("ab").alias("t"))
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    got = relations.containing_pairs(key(2000, 1), "k", "t", key(1000, 2), "k", "t")
+    before = written()
+    assert got.agg(F.count(F.lit(1)), F.count_distinct("left"), F.count_distinct("right")).first() == (2_000_000, 2000, 1000)
+    got.write.format("noop").mode("overwrite").save()
+    plain = written()
+    got.write.format("noop").mode("overwrite").save()
+    assert before <= plain <= written() and written() - plain < 400_000
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 2
+
+
 def test_merging_under_bars_equals_one_pass_in_order(spark):
     rnd = random.Random(6)
     nodes = [f"n{i:02d}" for i in range(60)]
