@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,13 +43,23 @@ def pool_bouts(pools: DataFrame, keys: list[str], results: str = "results") -> D
     return found.where(F.col("kind").isNotNull()).drop("kind")
 
 
+def _json(c: Column, path: str) -> Column:
+    """A value of an object; other texts aren't parsed, as what is no JSON at all would be thrown and caught."""
+    return F.when(F.contains(c, F.lit("{")), F.get_json_object(c, path))
+
+
 def _kind(c: Column) -> Column:
     """V or L of a pool's cell; null where it is neither."""
-    return F.coalesce(F.get_json_object(c, "$.type"), F.when(c == "V", "V").when(c.rlike("^[0-9]+$"), "L"))
+    return F.coalesce(_json(c, "$.type"), F.when(c == "V", "V").when(c.rlike("^[0-9]+$"), "L"))
 
 
 def _touches(c: Column) -> Column:
-    return F.coalesce(F.get_json_object(c, "$.score").try_cast("int"), F.when(c == "V", 5), c.try_cast("int"))
+    return F.coalesce(_json(c, "$.score").try_cast("int"), F.when(c == "V", 5), c.try_cast("int"))
+
+
+def _held(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _side(name: Column, team: Column, seed: Column, score: Column) -> Column:
@@ -103,7 +115,7 @@ def _entry_scores(c: Column, part: int) -> Column:
     found = lambda pattern, group: F.get(F.regexp_extract_all(c, F.lit(pattern), F.lit(group)), F.lit(0))  # noqa: E731  # null, not empty: a cast of an empty text costs an exception
     alone = F.when(F.lit(part == 1), found(r"^([0-9]+)(\.[0-9]+)?$", 1))
     pair = found(r"^([0-9]+)\s*[-:]\s*([0-9]+)", part)
-    return F.coalesce(F.get_json_object(c, name).try_cast("int"), pair.try_cast("int"), alone.try_cast("int"))
+    return F.coalesce(_json(c, name).try_cast("int"), pair.try_cast("int"), alone.try_cast("int"))
 
 
 def _legacy(rounds: Column) -> Column:
@@ -155,23 +167,38 @@ SIDE = "struct<name:string,team:string,seed:int,score:int>"
 BOUTS = f"array<struct<kind:string,ord:bigint,round:string,p1:{SIDE},p2:{SIDE},winner:string,is_bye:boolean,table_index:int>>"
 
 
-def _settled(both: DataFrame, keys: list[str], double_count: bool) -> DataFrame:
-    """Bouts of brackets, each once, in rounds by their right names; those of pools as they are."""
-    pool, alone = F.col("kind") == "pool", F.col("kind") == "win"
-    won = Window.partitionBy(*keys, pool, round_label("round"), F.trim("winner"))
-    both = both.withColumn("__met", ~F.every(alone).over(won)).where(F.lit(double_count) | ~alone | ~F.col("__met")).drop("__met")
-    both = both.withColumn("round", F.when(pool, F.col("round")).otherwise(round_label("round")))
-    pair = F.array_sort(F.array(F.trim(F.coalesce("p1.name", F.lit(""))), F.trim(F.coalesce("p2.name", F.lit("")))))
-    first = Window.partitionBy(*keys, pool, "round", "__pair").orderBy("ord")
-    both = both.withColumn("__pair", pair).withColumn("__n", F.row_number().over(first)).where(pool | (F.col("__n") == 1)).drop("__pair", "__n")
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys, pool, "round"))
-    expected = F.lit(None).cast("int")
-    for name, count in V.ROUND_BOUTS.items():
-        expected = F.when(F.col("round") == name, count).otherwise(expected)
-    wrong = ~pool & ~F.col("round").isin(V.FINAL, V.SEMIFINAL) & (F.col("__count") >= 2 * F.col("__expected"))
-    better = F.when(F.col("__count").between(3, 4), "8강").when(F.col("__count").between(5, 8), "16강").when(F.col("__count").between(9, 16), "32강").when(F.col("__count").between(17, 32), "64강").otherwise(F.col("round"))
-    both = both.withColumn("__count", n).withColumn("__expected", expected).withColumn("round", F.when(wrong, better).otherwise(F.col("round")))
-    return both.withColumn("round_order", round_order("round")).drop("__count", "__expected")
+def _settled(bouts: Column, double_count: bool) -> Column:
+    """The bouts of a bracket, each once, in rounds by their right names, in order of these names; all within the row that holds them."""
+
+    def read(b: Column, i: Column) -> Column:
+        pair = F.sort_array(F.array(F.trim(F.coalesce(b["p1"]["name"], F.lit(""))), F.trim(F.coalesce(b["p2"]["name"], F.lit("")))))
+        return F.struct(round_label(b["round"]).alias("round"), pair.alias("pair"), b["ord"].alias("ord"), i.alias("i"), F.trim(b["winner"]).alias("won"), b.alias("b"))
+
+    won = lambda x: F.struct(x["round"], x["won"])
+    alone = lambda x: x["b"]["kind"] == "win"
+
+    def once(every: Column) -> Column:
+        """Without wins that others of the same round tell (wins are few, or all there is)."""
+        return _held(F.transform(F.filter(every, lambda x: ~alone(x)), won), lambda known: F.filter(every, lambda x: ~alone(x) | ~F.array_contains(known, won(x))))
+
+    def first(sorted_: Column) -> Column:
+        before = lambda i: F.get(sorted_, i - 1)
+        return F.filter(sorted_, lambda x, i: ~(before(i)["pair"].eqNullSafe(x["pair"]) & before(i)["round"].eqNullSafe(x["round"])))
+
+    def named(kept: Column) -> Column:
+        rounds = F.transform(F.array_distinct(F.transform(kept, lambda x: x["round"])), lambda r: F.struct(r.alias("round"), F.size(F.filter(kept, lambda x: x["round"].eqNullSafe(r))).alias("n")))
+        return _held(F.transform(rounds, right), lambda names: F.transform(kept, lambda x: x["b"].withField("round", F.get(F.filter(names, lambda r: r["round"].eqNullSafe(x["round"])), F.lit(0))["right"])))
+
+    def right(r: Column) -> Column:
+        expected, n = F.lit(None).cast("int"), r["n"]
+        for name, count in V.ROUND_BOUTS.items():
+            expected = F.when(r["round"] == name, count).otherwise(expected)
+        wrong = ~r["round"].isin(V.FINAL, V.SEMIFINAL) & (n >= 2 * expected)
+        better = F.when(n.between(3, 4), "8강").when(n.between(5, 8), "16강").when(n.between(9, 16), "32강").when(n.between(17, 32), "64강").otherwise(r["round"])
+        return F.struct(r["round"].alias("round"), F.when(wrong, better).otherwise(r["round"]).alias("right"))
+
+    every = F.transform(bouts, read)
+    return _held(F.sort_array(every if double_count else _held(every, once)), lambda sorted_: _held(first(sorted_), named))
 
 
 def bracket_bouts(events: DataFrame, keys: list[str], double_count: bool = False) -> DataFrame:
@@ -185,58 +212,74 @@ def bracket_bouts(events: DataFrame, keys: list[str], double_count: bool = False
     same two names of a round, the first stays. A round with twice its bouts or more takes the
     name for that number, unless it is a final or semifinal.
     """
-    both = events.select(*keys, F.explode_outer(_bracket_array(events)).alias("b")).where("b is not null").select(*keys, "b.*")
-    return _settled(both, keys, double_count).drop("kind", "table_index")
+    both = events.select(*keys, F.explode_outer(_settled(_bracket_array(events), double_count)).alias("b")).where("b is not null").select(*keys, "b.*")
+    return both.withColumn("round_order", round_order("round")).drop("kind", "table_index")
+
+
+def _rank(ranks: str | None, name: Column) -> Column:
+    """The final rank of a name, of equal ones the last one's."""
+    if ranks is None:
+        return F.lit(None).cast("int")
+    mine = F.filter(ranks, lambda r: r["name"] == name)
+    return F.get(mine, F.size(mine) - 1)["rank"]
+
 
+#: A row ``i`` of a pool with all of that pool, or (without ``i``) a bracket's bout with its two sides.
+ITEM = "struct<i:int,kind:string,round:string,table_index:int,winner:string,rows:array<struct<name:string,team:string,rank:int,score:int,scores:array<string>>>>"
 
-def _pool_array(pools: Column, most: int) -> Column:
-    """Cells of the pools that ``clean_pools`` leaves, each a bout seen from its row."""
+
+def _pool_items(pools: Column, most: int, ranks: str | None) -> Column:
+    """The rows of the pools that ``clean_pools`` leaves, each as its place among all rows of its pool, with ranks."""
     kept = F.filter(pools, lambda p: (F.size(p["results"]) <= most) & ~F.exists(p["results"], lambda r: F.coalesce(r["name"].rlike("^[0-9]+$"), F.lit(False))))
-    named = F.transform(kept, lambda p: F.struct(p["results"].alias("results"), F.array_sort(F.transform(p["results"], lambda r: r["name"])).alias("names"), F.coalesce(p["pool_number"], F.lit(0)).alias("n")))
-    own = F.flatten(F.transform(F.array(named), lambda a: F.filter(a, lambda p, i: ~F.exists(F.slice(a, 1, i), lambda q: q["names"] == p["names"]))))
+    named = F.transform(kept, lambda p: F.struct(p["results"].alias("results"), F.sort_array(F.transform(p["results"], lambda r: r["name"])).alias("names")))
+    own = _held(named, lambda a: F.filter(a, lambda p, i: ~F.exists(F.slice(a, 1, i), lambda q: q["names"] == p["names"])))
+    none = F.lit(None)
+    row = lambda r: F.struct(r["name"].alias("name"), r["team"].alias("team"), _rank(ranks, r["name"]).alias("rank"), none.cast("int").alias("score"), r["scores"].alias("scores"))
+    item = lambda rows, i: F.struct(i.alias("i"), F.lit("pool").alias("kind"), F.lit("Pool").alias("round"), F.lit(0).alias("table_index"), none.cast("string").alias("winner"), rows.alias("rows"))
+    return F.flatten(F.transform(own, lambda p: _held(F.transform(p["results"], row), lambda rows: F.transform(rows, lambda r, i: item(rows, i)))))
 
-    def cell(p: Column, me: Column, i: Column, c: Column, j: Column) -> Column:
-        other = F.get(p["results"], j)
-        back = F.coalesce(_touches(F.get(other["scores"], i)), F.lit(0))
-        same = me["name"].eqNullSafe(other["name"]) & me["team"].eqNullSafe(other["team"])
-        ok = (F.coalesce(F.trim(c), F.lit("")) != "") & other.isNotNull() & ~same & _kind(c).isNotNull()
-        side = lambda r, score: _side(r["name"], r["team"], F.lit(None), score)
-        return F.struct(_bout("pool", i * 1000 + j, F.lit("Pool"), side(me, _touches(c)), side(other, back), F.when(_kind(c) == "V", me["name"]).otherwise(other["name"]), F.lit(False)).alias("b"), ok.alias("ok"))
 
-    cells = F.flatten(F.transform(own, lambda p: F.flatten(F.transform(p["results"], lambda me, i: F.transform(F.coalesce(me["scores"], F.slice(me["scores"], 1, 0)), lambda c, j: cell(p, me, i, c, j))))))
-    return F.transform(F.filter(cells, lambda s: s["ok"]), lambda s: s["b"])
+def _bracket_items(bouts: Column, ranks: str | None) -> Column:
+    """Bouts of a bracket that have a winner and are no byes."""
+    none = F.lit(None)
+    row = lambda p: F.struct(p["name"].alias("name"), p["team"].alias("team"), _rank(ranks, p["name"]).alias("rank"), p["score"].alias("score"), none.cast("array<string>").alias("scores"))
+    item = lambda b: F.struct(none.cast("int").alias("i"), b["kind"].alias("kind"), b["round"].alias("round"), b["table_index"].alias("table_index"), b["winner"].alias("winner"), F.array(row(b["p1"]), row(b["p2"])).alias("rows"))
+    return F.transform(F.filter(bouts, lambda b: ~b["is_bye"] & b["winner"].isNotNull()), item)
 
 
 def bout_index(events: DataFrame, keys: list[str], most: int = 12, double_count: bool = False) -> DataFrame:
-    """All bouts of pools and brackets as rows of a player: one scan of the nested events, one explode.
+    """All bouts of pools and brackets as rows of a player: one scan of the nested events.
 
     keys, kind, round, table_index, name, team, score, opponent, opponent_team, opponent_score, is_win, rank,
     opponent_rank. Pools are cleaned as in ``clean_pools`` and give the rows of ``pool_bouts``; brackets those of ``bracket_bouts``,
     seen from both sides; byes, and bouts without a winner, aren't bouts of a player. Ranks are those of ``final_rankings`` (of equal names the last
-    one's). Columns that hold shapes may be missing; null arrays are empty.
+    one's). Columns that hold shapes may be missing; null arrays are empty. A row is an event, and its bouts are settled within it, so that no bout is sorted.
+    Cells of pools, far more than all else, are read behind the explodes, in expressions that Spark compiles.
     """
-    none = F.array().cast(BOUTS)
-    pools = F.coalesce(_pool_array(F.col("pool_rounds"), most), none) if "pool_rounds" in events.columns else none
     ranks = "final_rankings" if "final_rankings" in events.columns else None
-
-    def with_ranks(b: Column) -> Column:
-        def rank(name: Column) -> Column:
-            if ranks is None:
-                return F.lit(None).cast("int")
-            mine = F.filter(ranks, lambda r: r["name"] == name)
-            return F.get(mine, F.size(mine) - 1)["rank"]
-
-        return F.struct(b.alias("b"), rank(b["p1"]["name"]).alias("r1"), rank(b["p2"]["name"]).alias("r2"))
-
-    every = F.transform(F.concat(pools, _bracket_array(events)), with_ranks)
-    rows = events.select(*keys, F.explode_outer(every).alias("x")).where("x is not null").select(*keys, "x.b.*", "x.r1", "x.r2")  # outer: an inferred filter would build the array twice
-    settled = _settled(rows, keys, double_count)
-    view = lambda a, c, r, q: F.struct(*[F.col(f"{a}.{f}").alias(f) for f in ("name", "team", "score")], *[F.col(f"{c}.{f}").alias(f"opponent_{f}" if f != "name" else "opponent") for f in ("name", "team", "score")], F.col(r).alias("rank"), F.col(q).alias("opponent_rank"))
-    one = F.struct(view("p1", "p2", "r1", "r2").alias("v"), (F.col("winner") == F.col("p1.name")).alias("is_win"))
-    two = F.struct(view("p2", "p1", "r2", "r1").alias("v"), (F.col("winner") == F.col("p2.name")).alias("is_win"))
-    sides = F.when(F.col("kind").isin("pool", "win"), F.array(one)).otherwise(F.array(one, two))
-    out = settled.where(~F.col("is_bye") & F.col("winner").isNotNull()).select(*keys, "kind", "round", "table_index", F.explode(sides).alias("s"))
-    return out.select(*keys, "kind", "round", "table_index", "s.v.*", "s.is_win")
+    every = _bracket_items(_settled(_bracket_array(events), double_count), ranks)
+    if "pool_rounds" in events.columns:
+        every = F.concat(F.coalesce(_pool_items(F.col("pool_rounds"), most, ranks), F.array().cast(f"array<{ITEM}>")), every)
+    items = events.select(*keys, F.explode_outer(every).alias("x")).where("x is not null")  # outer: an inferred filter would build the array twice
+    i, rows = F.col("x.i"), F.col("x.rows")
+    pool = i.isNotNull()
+    views = F.when(pool, F.size(F.get(rows, i)["scores"])).when(F.col("x.kind") == "win", 1).otherwise(2)
+
+    def seen(j: Column) -> Column:
+        me, other = F.get(rows, F.coalesce(i, j)), F.get(rows, F.when(pool, j).otherwise(1 - j))
+        return F.struct(me.alias("me"), other.alias("other"), F.get(me["scores"], j).alias("cell"), F.get(other["scores"], i).alias("back"))
+
+    sides = items.select(*keys, "x.kind", "x.round", "x.table_index", "x.winner", pool.alias("pool"), F.explode_outer(F.when(views > 0, F.transform(F.sequence(F.lit(0), views - 1), seen))).alias("s"))
+    me, other, cell = F.col("s.me"), F.col("s.other"), F.col("s.cell")
+    same = me["name"].eqNullSafe(other["name"]) & me["team"].eqNullSafe(other["team"])
+    cells = sides.where("s is not null").where(~F.col("pool") | (other.isNotNull() & ~same)).withColumn("met", F.when(F.col("pool"), _kind(cell)).otherwise(""))
+    winner = F.when(~F.col("pool"), F.col("winner")).when(F.col("met") == "V", me["name"]).otherwise(other["name"])
+    score = lambda cell, row: F.when(F.col("pool"), _touches(cell)).otherwise(row["score"])
+    return cells.where(F.col("met").isNotNull() & winner.isNotNull()).select(
+        *keys, "kind", "round", "table_index", me["name"].alias("name"), me["team"].alias("team"), score(cell, me).alias("score"),
+        other["name"].alias("opponent"), other["team"].alias("opponent_team"), F.when(F.col("pool"), F.coalesce(_touches(F.col("s.back")), F.lit(0))).otherwise(other["score"]).alias("opponent_score"),
+        me["rank"].alias("rank"), other["rank"].alias("opponent_rank"), (winner == me["name"]).alias("is_win"),
+    )
 
 
 def meetings(rows: DataFrame, event: list[str], me: str = "name", other: str = "opponent") -> DataFrame:

@@ -10,12 +10,14 @@ from .pages import _LINES_SQL, _lines
 from .registry import query
 
 
-def event_documents(t) -> DataFrame:
-    """event, day and the nested arrays of an event for each order: a pool of its lines, and a bracket of neighbours in one of four shapes.
+def event_documents(t, dated: bool = True) -> DataFrame:
+    """event, day (if ``dated``) and the nested arrays of an event for each order: a pool of its lines, and a bracket of neighbours in one of four shapes.
 
     Every other bracket of a tree stores its first bout twice: the earlier one with the winner's and loser's places exchanged.
     """
-    rows = _lines(t).join(t("orders").select(F.col("o_orderkey").alias("event"), F.col("o_orderdate").cast("date").alias("day")), "event")
+    rows = _lines(t)
+    if dated:
+        rows = rows.join(t("orders").select(F.col("o_orderkey").alias("event"), F.col("o_orderdate").cast("date").alias("day")), "event")
     name = lambda e: F.concat(F.lit("P"), (e["partkey"] % 40).cast("string"), F.lit("/"), e["pos"].cast("string"))
     who = lambda e, score: F.struct(name(e).alias("name"), F.concat(F.lit("T"), e["suppkey"].cast("string")).alias("team"), e["pos"].alias("seed"), score.cast("int").alias("score"))
     cheap = lambda x, y: F.when(x["price"] >= y["price"], y).otherwise(x)
@@ -26,7 +28,8 @@ def event_documents(t) -> DataFrame:
         return F.when(me["pos"] == other["pos"], F.lit(None)).when(won, F.when(other["qty"] % 2 == 0, "V").otherwise('{"type":"V","score":4}')).otherwise((me["qty"] % 4).cast("string"))
 
     results = F.transform("es", lambda me: F.struct(name(me).alias("name"), F.lit("T").alias("team"), me["pos"].alias("rank"), F.transform("es", lambda o: cell(me, o)).alias("scores")))
-    pools = F.array(F.struct(F.lit(1).alias("round_number"), F.lit(1).alias("pool_number"), results.alias("results")), F.struct(F.lit(1).alias("round_number"), F.lit(2).alias("pool_number"), F.reverse(results).alias("results")))
+    both = lambda r: F.array(*[F.struct(F.lit(1).alias("round_number"), F.lit(n).alias("pool_number"), x.alias("results")) for n, x in ((1, r), (2, F.reverse(r)))])
+    pools = F.get(F.transform(F.array(results), both), F.lit(0))  # results are built once
     pairs = F.expr("if(size(es) > 1, transform(sequence(0, size(es) - 2, 2), i -> struct(es[i] as x, es[i + 1] as y)), slice(transform(es, e -> struct(e as x, e as y)), 1, 0))")
     rows = rows.withColumn("pairs", pairs).withColumn("shape", F.col("event") % 4)
     lost = lambda p: cheap(p["x"], p["y"])["qty"] % 14
@@ -51,7 +54,7 @@ def event_documents(t) -> DataFrame:
         "pool_rounds": pools, "final_rankings": ranks, "full_bouts": F.when(F.col("shape") == 0, full), "bouts": F.when(F.col("shape") == 1, flat),
         "bouts_by_round": F.when(F.col("shape") == 2, F.map_from_arrays(F.array(F.lit("32강")), F.array(nested))), "results_by_round": F.when(F.col("shape") == 3, F.map_from_arrays(F.array(F.lit("32강")), F.array(legacy))),
     }
-    return rows.select("event", "day", *[c.alias(n) for n, c in shapes.items()])
+    return rows.select("event", *["day"] * dated, *[c.alias(n) for n, c in shapes.items()])
 
 
 _SIDES_SQL = f"""
@@ -72,7 +75,7 @@ _SIDES_SQL = f"""
 @query(f"WITH {_SIDES_SQL} SELECT * FROM sides")
 def bout_index(t):
     """Every bout of every stored shape; of the pools the second repeats the first and goes."""
-    return B.bout_index(event_documents(t), ["event"])
+    return B.bout_index(event_documents(t, dated=False), ["event"])
 
 
 @query(f"""

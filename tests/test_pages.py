@@ -156,3 +156,13 @@ def test_tasks_do_not_grow_with_the_table(spark):
     rows = spark.range(4000).withColumn("k", F.col("id") % 100)
     parts = tables.spread(rows, "k", each=100)
     assert parts.rdd.getNumPartitions() == 40 and parts.count() == 4000
+
+
+def test_bouts_are_settled_within_their_event(spark, tmp_path):
+    """No bout is sorted or shuffled, items aren't rebuilt by casts, and a row of a pool without scores takes no other with it."""
+    (tmp_path / "d.json").write_text(DOCS.replace('{"name":"B","team":"u","scores":["3",null]}', '{"name":"B","team":"u"}'))
+    docs = tables.read_documents(spark, str(tmp_path)).select(F.explode("events").alias("e")).select("e.*")
+    index = bouts.bout_index(docs, ["event_cd"])
+    plan = index._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Sort " not in plan and "as array<struct<i" not in plan
+    assert [(r.name, r.opponent, r.score, r.opponent_score, r.is_win) for r in index.where("kind = 'pool'").collect()] == [("A", "B", 5, 0, True)]
