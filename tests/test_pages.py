@@ -46,6 +46,25 @@ def test_brackets_are_read_once_and_by_no_expression(spark):
         assert plan.count("user_boxes") == 1 and "split(" not in plan
 
 
+def test_plain_pages_are_read_by_their_classes(spark, monkeypatch):
+    """Boxes of plain tags are told without a search in each; odd ones as before."""
+    from lamella.sources import page_parts
+
+    made = []
+    monkeypatch.setattr(page_parts.F, "arrow_udf", lambda kind: lambda f: made.append(f) or (lambda c: c))
+    page_parts.boxed_columns(None, result_pages.ENTITIES)
+    odd = ["<td class=row_table></td>", '<td class="row_table row01"><TR CLASS="user_box"><b class="num">3</b>', '<td class="row_table row2"><tr class="user_box"><b class="user_name">A <i>x</i></b><b class="num user_aff">4</b>', '<td class="row_table">row3<tr class="user_box" class="num">5</b>']
+    plain = [page([(1, "A &amp;  B", "red"), ("", "", "")], [(1, "A &amp; B", "15 : 3")]), page([]), "", None]
+    read = lambda pages: made[0](page_parts.pa.array(pages, page_parts.pa.string())).to_pylist()
+    fast = read(plain)
+    entry = lambda seed=0, name=None, aff=None: {"seed": seed, "name": name, "aff": aff}
+    assert [(c["col"], c["entries"]) for c in fast[0]["columns"]] == [(1, [entry(1, "A & B", "red"), entry()]), (2, [entry(1, "A & B", "15 : 3")])]
+    assert [[c["entries"] for c in p["columns"]] for p in read(odd)] == [[], [[entry(3)]], [[entry(4, "A x", "4")]], [[entry(5)]]]
+    searched = lambda *_: (_ for _ in ()).throw(AssertionError)
+    monkeypatch.setattr(page_parts, "_parts", searched)
+    assert read(plain) == fast
+
+
 def test_the_same_bout_in_two_tabs(spark):
     """With a score the smaller tab counts, without any the greater."""
     big = page([(i, f"p{i}", "t") for i in range(1, 17)], [(i, f"p{2 * i - 1}", "15 : 3") for i in range(1, 9)], [(i, f"p{4 * i - 3}", "15 : 4") for i in range(1, 5)], [])
