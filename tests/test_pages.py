@@ -185,3 +185,10 @@ def test_bouts_are_settled_within_their_event(spark, tmp_path):
     plan = index._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "Sort " not in plan and "as array<struct<i" not in plan
     assert [(r.name, r.opponent, r.score, r.opponent_score, r.is_win) for r in index.where("kind = 'pool'").collect()] == [("A", "B", 5, 0, True)]
+
+
+def test_head_to_head_sorts_no_bouts_before_they_are_meetings(spark):
+    from lamella.plans import matches
+
+    plan = matches.head_to_head_settled(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Sort " not in plan
